@@ -1,4 +1,4 @@
 """Registered queries: operators bound to the driver's tables, with oracle SQL."""
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import checks, evaluation, fields, records  # noqa: F401
+from . import checks, evaluation, fields, geometry, physics, records  # noqa: F401

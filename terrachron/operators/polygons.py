@@ -129,27 +129,33 @@ def _crossing_edges(edge_rows: DataFrame, ring: Sequence[str], carry: Sequence[s
     # every other ring against a ray to the north pole; the ray's end is outside.
     holds_north = F.col("pole_turns") * F.signum("signed_area_sr") > 0.5
     rays = summary.select(*ring, holds_north.alias("to_south"))
-    step = _lon_step()
-    start = sphere.wrap360("a_lon")
-    west = F.when(step >= 0, start).otherwise(start + step)
-    east = F.when(step >= 0, start + step).otherwise(start)
+    # Both ends of an edge are compared as wrapped vertex longitudes, so two edges
+    # that share a vertex always agree on which side of a meridian it lies.
+    a_lon, b_lon = sphere.wrap360("a_lon"), sphere.wrap360("b_lon")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
     n = sphere.cross(vec_of("a_"), vec_of("b_"))
     bins = int(round(360.0 / lon_bin))
+    first, last = F.floor(low / lon_bin), F.floor(high / lon_bin)
+    spanned = F.when(F.col("over_seam"), F.sequence(last, first + bins)).otherwise(
+        F.sequence(first, last)
+    )
     return (
-        edge_rows.where(step != 0)
+        edge_rows.withColumns({"a": a_lon, "b": b_lon})
+        .where(F.col("a") != F.col("b"))
         .select(
             *ring,
             *carry,
-            west.alias("west"),
-            east.alias("east"),
+            low.alias("west"),
+            high.alias("east"),
+            (high - low > 180.0).alias("over_seam"),
             *[c.alias("n" + k) for k, c in zip("xyz", n)],
+            "a",
+            "b",
         )
         .join(rays, list(ring))
-        .withColumn(
-            "_raw", F.explode(F.sequence(F.floor(F.col("west") / lon_bin), F.floor(F.col("east") / lon_bin)))
-        )
+        .withColumn("_raw", F.explode(spanned))
         .withColumn("lon_bin", F.pmod(F.col("_raw"), F.lit(bins)).cast("int"))
-        .drop("_raw")
+        .drop("_raw", "a", "b")
     )
 
 
@@ -185,9 +191,9 @@ def ring_hits(
         F.pmod(F.floor(lon / lon_bin), F.lit(bins)).cast("int").alias("lon_bin"),
     )
     joined = at.join(crossing, [*by, "lon_bin"])
-    # Longitude of the point in the edge's unwrapped range; half-open on the east.
-    shift = sphere.wrap360(F.col("_lon") - F.col("west"))
-    spans = shift < F.col("east") - F.col("west")
+    # Half-open in longitude; an edge over the seam spans the complement.
+    between = (F.col("west") <= F.col("_lon")) & (F.col("_lon") < F.col("east"))
+    spans = between != F.col("over_seam")
     lam = F.radians("_lon")
     crossing_lat = F.atan2(
         -(F.col("nx") * F.cos(lam) + F.col("ny") * F.sin(lam)) * F.signum("nz"), F.abs("nz")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sphere
-from ..functions.sphere import clip
+from ..functions.sphere import clip, vec_columns, vec_of
 from ..functions.units import EARTH_RADIUS_KM, as_column
 
 
@@ -33,7 +33,8 @@ class CellScheme:
             widest = 1.0 if lo < 0 < hi else max(math.cos(math.radians(x)) for x in (lo, hi))
             self.sectors.append(max(1, int(math.ceil(360.0 * widest / self.width))))
         # The half diagonal of a width x width cell, 0.711 width at most for widths
-        # up to 30 degrees, bounds the distance of its points to its centre.
+        # up to 30 degrees, bounds the distance of its points to its centre. The rest
+        # of the factor covers the rounding of an arc cosine.
         self.radius = math.radians(self.width) * 0.72
         self.max_sectors = max(self.sectors)
 
@@ -87,19 +88,28 @@ def _cell_pairs(
     point_cells: DataFrame, target_cells: DataFrame, scheme: CellScheme, reach: float,
     by: Sequence[str],
 ) -> DataFrame:
-    """(by, cell, target_cell, centre_angle) within reach; bounded by the cell table."""
+    """(by, cell, target_cell, centre_angle) within reach; bounded by the cell table.
+
+    Centre vectors are computed once per cell, before the cells are paired.
+    """
     limit = reach + 2 * scheme.radius
-    wide = point_cells.withColumn(
+
+    def centred(cells: DataFrame, prefix: str) -> DataFrame:
+        v = sphere.unit_vector(*scheme.centre(F.col("cell")))
+        return cells.withColumns(vec_columns(v, prefix))
+
+    wide = centred(point_cells, "c_").withColumn(
         "target_cell", F.explode(scheme.around(F.col("cell"), min(limit, math.pi)))
     )
-    pairs = wide.join(
-        target_cells.withColumnRenamed("cell", "target_cell"), [*by, "target_cell"]
-    )
-    a = sphere.unit_vector(*scheme.centre(F.col("cell")))
-    b = sphere.unit_vector(*scheme.centre(F.col("target_cell")))
-    return pairs.withColumn("centre_angle", sphere.angle(a, b)).where(
-        F.col("centre_angle") <= limit
+    goals = centred(target_cells, "g_").withColumnRenamed("cell", "target_cell")
+    pairs = wide.join(goals, [*by, "target_cell"]).select(
+        *by,
+        "cell",
+        "target_cell",
+        sphere.dot(vec_of("c_"), vec_of("g_")).alias("_dot"),
     )
+    near = pairs if limit >= math.pi else pairs.where(F.col("_dot") >= math.cos(limit))
+    return near.select(*by, "cell", "target_cell", F.acos(clip("_dot", -1.0, 1.0)).alias("centre_angle"))
 
 
 def nearest_distance(
