@@ -417,7 +417,7 @@ def outline_distance(spark, sf):
         "observation_id as qid", "present_lon as lon", "present_lat as lat"
     )
     out = polygons.outline_distance(
-        pts, b.rings(spark, sf), point_keys=["qid"], cap_km=3000.0, width=6.0
+        pts, b.rings(spark, sf), point_keys=["qid"], cap_km=3000.0
     )
     return rounded(out.select("qid", "outline_km"))
 
@@ -443,7 +443,7 @@ def boundary_vertex_distance(spark, sf):
         "observation_id as qid", "present_lon as lon", "present_lat as lat"
     )
     out = polygons.boundary_vertex_distance(
-        pts, b.rings(spark, sf), point_keys=["qid"], tessellation_deg=2.0, width=6.0
+        pts, b.rings(spark, sf), point_keys=["qid"], tessellation_deg=2.0
     )
     return rounded(out.select("qid", "boundary_km"))
 

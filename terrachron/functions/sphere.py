@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .units import EARTH_RADIUS_KM, as_column
@@ -97,16 +97,35 @@ def chord_to_km(chord) -> Column:
     return 2.0 * EARTH_RADIUS_KM * F.asin(clip(as_column(chord) / 2.0, 0.0, 1.0))
 
 
-def slerp(a: Vec, b: Vec, t) -> Vec:
-    """Point at fraction t of the minor arc a->b; coincident ends blend linearly."""
-    t = as_column(t)
-    omega = angle(a, b)
+def blend_weights(omega, t) -> tuple[Column, Column]:
+    """Weights of two unit vectors (or quaternions) an angle omega apart."""
+    omega, t = as_column(omega), as_column(t)
     near = omega < COINCIDENT_ANGLE
     wa = F.when(near, 1.0 - t).otherwise(F.sin((1.0 - t) * omega) / F.sin(omega))
     wb = F.when(near, t).otherwise(F.sin(t * omega) / F.sin(omega))
+    return wa, wb
+
+
+def slerp(a: Vec, b: Vec, t) -> Vec:
+    """Point at fraction t of the minor arc a->b; coincident ends blend linearly."""
+    wa, wb = blend_weights(angle(a, b), t)
     return add(scale(a, wa), scale(b, wb))
 
 
+def with_slerp(df: DataFrame, a: str, b: str, t, out: str, omega: str | None = None) -> DataFrame:
+    """Add the vector ``out`` at fraction t from vector ``a`` to vector ``b`` (prefixes).
+
+    The angle and the weights become columns of their own, so each is worked out once
+    per row and the generated code stays small.
+    """
+    if omega is None:
+        df = df.withColumn("_omega", angle(vec_of(a), vec_of(b)))
+    wa, wb = blend_weights(omega or "_omega", t)
+    df = df.withColumns({"_wa": wa, "_wb": wb})
+    v = add(scale(vec_of(a), "_wa"), scale(vec_of(b), "_wb"))
+    return df.withColumns(vec_columns(v, out)).drop("_wa", "_wb", "_omega")
+
+
 # --- rotations ---------------------------------------------------------------
 
 
@@ -140,16 +159,12 @@ def rotate(q: Quat, v: Vec) -> Vec:
     return add(v, scale(cross(r, inner), 2.0))
 
 
-def quat_slerp(a: Quat, b: Quat, t) -> Quat:
-    """Rotation at fraction t from a to b along the shorter way round."""
-    t = as_column(t)
-    c = a.w * b.w + a.x * b.x + a.y * b.y + a.z * b.z
-    sign = F.when(c < 0, -1.0).otherwise(1.0)
-    omega = F.acos(clip(F.abs(c), 0.0, 1.0))
-    near = omega < COINCIDENT_ANGLE
-    wa = F.when(near, 1.0 - t).otherwise(F.sin((1.0 - t) * omega) / F.sin(omega))
-    wb = F.when(near, t).otherwise(F.sin(t * omega) / F.sin(omega)) * sign
-    return Quat(a.w * wa + b.w * wb, a.x * wa + b.x * wb, a.y * wa + b.y * wb, a.z * wa + b.z * wb)
+def quat_of(prefix: str) -> Quat:
+    return Quat(*[F.col(prefix + c) for c in "wxyz"])
+
+
+def quat_columns(q: Quat, prefix: str) -> dict[str, Column]:
+    return {prefix + c: v for c, v in zip("wxyz", q)}
 
 
 def rotate_lonlat(lon, lat, pole_lat, pole_lon, angle_deg) -> tuple[Column, Column]:
@@ -185,12 +200,19 @@ def bearing_turn(p: Vec, a: Vec, b: Vec) -> Column:
     return F.atan2(dot(p, cross(a, b)), dot(a, b) - dot(p, a) * dot(p, b))
 
 
-def arc_distance(p: Vec, a: Vec, b: Vec) -> Column:
-    """Angle from p to the minor arc a-b: foot of the normal if it falls on the arc."""
+def arc_distance(p: Vec, a: Vec, b: Vec, n: Vec) -> Column:
+    """Angle from p to the minor arc a-b with unit normal n: its foot if that is on the arc.
+
+    The foot lies on the arc when p is on b's side of a and on a's side of b. A
+    degenerate arc has a null normal and only its ends count.
+    """
+    along = (dot(cross(n, a), p) >= 0) & (dot(cross(b, n), p) >= 0)
+    to_plane = F.abs(F.asin(clip(dot(p, n), -1.0, 1.0)))
+    return F.when(along, to_plane).otherwise(F.least(angle(p, a), angle(p, b)))
+
+
+def arc_normal(a: Vec, b: Vec) -> Vec:
+    """Unit normal of the great circle through a and b; null where they coincide."""
     n = cross(a, b)
     size = norm(n)
-    # The foot lies on the arc when it is on b's side of a and on a's side of b.
-    along = (dot(cross(n, a), p) >= 0) & (dot(cross(b, n), p) >= 0)
-    to_plane = F.abs(F.atan2(dot(p, n) / size, norm(cross(p, n)) / size))
-    to_ends = F.least(angle(p, a), angle(p, b))
-    return F.when((size > 1e-15) & along, to_plane).otherwise(to_ends)
+    return Vec(*[F.when(size > 1e-15, c / size) for c in n])

@@ -278,16 +278,15 @@ def densified_edges(edge_rows: DataFrame, step_deg: float, keep: Sequence[str])
 
     Edge vectors stay on the row for exact arc distances.
     """
-    a, b = vec_of("a_"), vec_of("b_")
-    omega = sphere.angle(a, b)
-    pieces = F.greatest(F.ceil(F.degrees(omega) / step_deg), F.lit(1)).cast("int")
+    pieces = F.greatest(F.ceil(F.degrees("arc") / step_deg), F.lit(1)).cast("int")
+    vectors = [f"{p}_{c}" for p in "ab" for c in "xyz"]
     rows = edge_rows.select(
-        *keep, *[f"{p}_{c}" for p in "ab" for c in "xyz"], pieces.alias("_n")
-    ).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    v = sphere.slerp(vec_of("a_"), vec_of("b_"), F.col("_k") / F.col("_n"))
-    rows = rows.withColumns(vec_columns(v, "t_"))
+        *keep, *vectors, sphere.angle(vec_of("a_"), vec_of("b_")).alias("arc")
+    ).withColumn("_n", pieces)
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = sphere.with_slerp(rows, "a_", "b_", F.col("_k") / F.col("_n"), "t_", omega="arc")
     lon, lat = sphere.to_lonlat(vec_of("t_"))
-    return rows.withColumns({"t_lon": lon, "t_lat": lat}).drop("_n", "_k")
+    return rows.withColumns({"t_lon": lon, "t_lat": lat}).drop("_n", "_k", "arc")
 
 
 def boundary_vertex_distance(
@@ -334,11 +333,13 @@ def outline_distance(
     """
     by = list(by)
     extra = [c for c in by if c not in RING]
-    targets = densified_edges(edges(vertices, RING, extra), sample_deg, by)
+    targets = densified_edges(edges(vertices, RING, extra), sample_deg, by).withColumns(
+        vec_columns(sphere.arc_normal(vec_of("a_"), vec_of("b_")), "n_")
+    )
     return spherebins.nearest_distance(
         points,
         targets,
-        sphere.arc_distance(vec_of("p_"), vec_of("a_"), vec_of("b_")),
+        sphere.arc_distance(vec_of("p_"), vec_of("a_"), vec_of("b_"), vec_of("n_")),
         point_keys=point_keys,
         by=by,
         cap_km=cap_km,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sphere
-from ..functions.sphere import Quat
+from ..functions.sphere import quat_columns, quat_of
+from .sizes import broadcast_checked
 
 # The anchor plate and the number of hops a circuit may take.
 ANCHOR_PLATE = 0
@@ -16,14 +19,6 @@ MAX_HOPS = 11
 _IDENTITY = (1.0, 0.0, 0.0, 0.0)
 
 
-def _quat(prefix: str) -> Quat:
-    return Quat(*[F.col(prefix + c) for c in "wxyz"])
-
-
-def _store(q: Quat, prefix: str) -> dict[str, Column]:
-    return {prefix + c: v for c, v in zip("wxyz", q)}
-
-
 def rotation_brackets(entries: DataFrame) -> DataFrame:
     """(plate_id, age_from, age_to, parent, two quaternions), open at both ends.
 
@@ -33,7 +28,7 @@ def rotation_brackets(entries: DataFrame) -> DataFrame:
     its rotation file lists ages, so the window is bounded by the model.
     """
     q = sphere.rotation("lat", "lon", "angle")
-    rows = entries.withColumns(_store(q, "_"))
+    rows = entries.withColumns(quat_columns(q, "_"))
     w = Window.partitionBy("plate_id").orderBy("age")
     here = [F.col("_" + c).alias("a" + c) for c in "wxyz"]
     nxt = [F.coalesce(F.lead("_" + c).over(w), F.col("_" + c)).alias("b" + c) for c in "wxyz"]
@@ -61,29 +56,54 @@ def rotation_brackets(entries: DataFrame) -> DataFrame:
     return forward.unionByName(before)
 
 
-def step_rotations(pairs: DataFrame, brackets: DataFrame, plate="plate_id", age="age") -> DataFrame:
-    """As-of join: rotation of each (plate, age) against its parent, as ``s_w..s_z``."""
-    b = brackets.alias("b")
-    p = pairs.alias("p")
+def _as_of_step(columns: Sequence[str], plate: str, age: str):
+    """The as-of join and its blend, with every expression built once."""
+    at = F.col(f"p.{age}")
     hit = (
         (F.col(f"p.{plate}") == F.col("b.plate_id"))
-        & (F.col(f"p.{age}") >= F.col("b.age_from"))
-        & (F.col(f"p.{age}") < F.col("b.age_to"))
+        & (at >= F.col("b.age_from"))
+        & (at < F.col("b.age_to"))
     )
     span = F.col("b.age_to") - F.col("b.age_from")
     open_end = F.col("b.clamped") | (span < 1e-9)
-    fraction = F.when(open_end, 0.0).otherwise((F.col(f"p.{age}") - F.col("b.age_from")) / span)
-    joined = p.join(b, hit, "left").select(
-        *[f"p.{c}" for c in pairs.columns],
+    fraction = F.when(open_end, 0.0).otherwise((at - F.col("b.age_from")) / span)
+    qa, qb = quat_of("b.a"), quat_of("b.b")
+    cosine = qa.w * qb.w + qa.x * qb.x + qa.y * qb.y + qa.z * qb.z
+    located = [
+        *[F.col(f"p.{c}") for c in columns],
         F.col("b.parent").alias("parent"),
         F.col("b.clamped").alias("clamped"),
         fraction.alias("_f"),
+        cosine.alias("_cos"),
         *[F.col("b.a" + c).alias("_a" + c) for c in "wxyz"],
         *[F.col("b.b" + c).alias("_b" + c) for c in "wxyz"],
-    )
-    s = sphere.quat_slerp(_quat("_a"), _quat("_b"), "_f")
-    keep = [F.col(c) for c in pairs.columns]
-    return joined.select(*keep, "parent", "clamped", *[v.alias(k) for k, v in _store(s, "s_").items()])
+    ]
+    wa, wb = sphere.blend_weights(F.acos(sphere.clip(F.abs("_cos"), 0.0, 1.0)), "_f")
+    sign = F.when(F.col("_cos") < 0, -1.0).otherwise(1.0)
+    weighted = {"_wa": wa, "_wb": wb * sign}
+    blended = [
+        *columns,
+        "parent",
+        "clamped",
+        *[
+            (x * F.col("_wa") + y * F.col("_wb")).alias("s_" + c)
+            for c, x, y in zip("wxyz", quat_of("_a"), quat_of("_b"))
+        ],
+    ]
+
+    def step(pairs: DataFrame, brackets: DataFrame) -> DataFrame:
+        joined = pairs.alias("p").join(brackets.alias("b"), hit, "left").select(*located)
+        return joined.withColumns(weighted).select(*blended)
+
+    return step
+
+
+def step_rotations(pairs: DataFrame, brackets: DataFrame, plate="plate_id", age="age") -> DataFrame:
+    """As-of join: rotation of each (plate, age) against its parent, as ``s_w..s_z``.
+
+    The blend between the two samples goes the shorter way round.
+    """
+    return _as_of_step(pairs.columns, plate, age)(pairs, brackets)
 
 
 def total_rotations(
@@ -95,36 +115,39 @@ def total_rotations(
     """Rotation of each distinct (plate_id, age) to the anchor: ``r_w..r_z, ok, clamped``.
 
     The circuit is walked child to parent with one as-of join per hop, on distinct
-    (plate, age) pairs only. A missing plate, a plate that is its own parent or a
+    (plate, age) pairs only. A rotation model that is counted to be small is broadcast,
+    and the whole walk is then one stage; a larger one is joined on the plate. A missing plate, a plate that is its own parent or a
     circuit longer than ``max_hops`` gives null components and ``ok`` false.
     """
-    brackets = rotation_brackets(entries)
-    cur = pairs.select("plate_id", "age").distinct().withColumns(
+    brackets = broadcast_checked(rotation_brackets(entries))
+    walk = pairs.select("plate_id", "age").distinct().withColumns(
         {
             "_at": F.col("plate_id"),
             "clamped_any": F.lit(False),
             **{"r_" + c: F.lit(v) for c, v in zip("wxyz", _IDENTITY)},
         }
     )
+    # One hop, as expressions shared by all hops. A hop that cannot be made parks the
+    # pair at a null plate; a pair that has arrived keeps its rotation.
+    arrived = F.col("_at") == anchor
+    stuck = F.col("parent").isNull() | (F.col("parent") == F.col("_at"))
+    composed = sphere.compose(quat_of("s_"), quat_of("r_"))
+    hop = [
+        F.col("plate_id"),
+        F.col("age"),
+        F.when(arrived, F.col("_at")).when(~stuck, F.col("parent")).alias("_at"),
+        F.when(arrived, F.col("clamped_any"))
+        .otherwise(F.col("clamped_any") | F.coalesce("clamped", F.lit(False)))
+        .alias("clamped_any"),
+        *[
+            F.when(arrived, F.col("r_" + c)).otherwise(v).alias("r_" + c)
+            for c, v in zip("wxyz", composed)
+        ],
+    ]
+    step = _as_of_step(walk.columns, "_at", "age")
+    cur = walk
     for _ in range(max_hops):
-        moved = step_rotations(cur, brackets, plate="_at")
-        arrived = F.col("_at") == anchor
-        step, total = _quat("s_"), _quat("r_")
-        new = sphere.compose(step, total)
-        # A hop that cannot be made parks the pair at a null plate.
-        stuck = F.col("parent").isNull() | (F.col("parent") == F.col("_at"))
-        cur = moved.select(
-            "plate_id",
-            "age",
-            F.when(arrived, F.col("_at")).when(~stuck, F.col("parent")).alias("_at"),
-            F.when(arrived, F.col("clamped_any"))
-            .otherwise(F.col("clamped_any") | F.coalesce("clamped", F.lit(False)))
-            .alias("clamped_any"),
-            *[
-                F.when(arrived, old).otherwise(v).alias("r_" + c)
-                for c, old, v in zip("wxyz", total, new)
-            ],
-        )
+        cur = step(cur, brackets).select(*hop)
     ok = F.coalesce(F.col("_at") == anchor, F.lit(False))
     sign = F.when(F.col("r_w") < 0, -1.0).otherwise(1.0)
     return cur.select(
@@ -164,10 +187,11 @@ def reconstruct(
         total, (F.col(plate) == F.col("_plate")) & (F.col(age) == F.col("_age")), "left"
     )
     ok = F.coalesce("_ok", F.lit(False))
-    q = _quat("r_")
+    q = quat_of("r_")
     q = sphere.inverse(q) if backward else q
-    rotated = joined.withColumns(
-        sphere.vec_columns(sphere.rotate(q, sphere.unit_vector(lon, lat)), "_v")
+    here = joined.withColumns(sphere.vec_columns(sphere.unit_vector(lon, lat), "_u"))
+    rotated = here.withColumns(
+        sphere.vec_columns(sphere.rotate(q, sphere.vec_of("_u")), "_v")
     )
     new_lon, new_lat = sphere.to_lonlat(sphere.vec_of("_v"))
     return rotated.select(

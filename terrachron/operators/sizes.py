@@ -1,0 +1,18 @@
+"""Broadcast hints behind a check of the actual size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 200_000
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when the table is counted to be small; otherwise leave the join alone.
+
+    The count stops at the limit. For reference tables (a rotation model), which are
+    cheap to read twice and usually small, but not small by construction.
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df

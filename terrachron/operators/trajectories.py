@@ -195,8 +195,7 @@ def positions_at(
             **sphere.vec_columns(sphere.unit_vector("lon1", "lat1"), "_q"),
         }
     )
-    v = sphere.slerp(sphere.vec_of("_p"), sphere.vec_of("_q"), "_f")
-    staged = staged.withColumns(sphere.vec_columns(v, "_v"))
+    staged = sphere.with_slerp(staged, "_p", "_q", "_f", "_v")
     lon, lat = sphere.to_lonlat(sphere.vec_of("_v"))
     # An exact sample wins over a blend; otherwise the bracketing segment is unique.
     lon = F.when(at == F.col("t0"), F.col("lon0")).otherwise(lon)
