@@ -45,22 +45,23 @@ def split_rhat(spark, sf):
     return rounded(histories.split_rhat(b.draws(spark, sf)))
 
 
-# Node means per draw: the analytic truth plus a draw-dependent offset from the vectors.
+# Node means per draw: the analytic truth plus an offset that is the mean of all
+# vectors with one label, so a label is a draw.
 _DRAW_NODES = (
     "draw_nodes",
     """select s.observation_id, s.node_idx, s.node_weight, s.y, s.sigma, d.draw, s.mu + d.o as mu
-   from scored s, (select vec_id as draw, embedding[1]::double*20 as o from embeddings where vec_id < 12) d""",
+   from scored s, (select label as draw, avg(embedding[1]::double)*50 as o from embeddings group by 1) d""",
 )
-_N_DRAWS = 12
+_N_DRAWS = 10
 
 
 def draw_nodes(spark, sf):
     offsets = (
         b.table(spark, sf, "embeddings")
-        .where(F.col("vec_id") < _N_DRAWS)
-        .select(F.col("vec_id").alias("draw"), (F.col("embedding")[0].cast("double") * 20).alias("o"))
+        .groupBy(F.col("label").alias("draw"))
+        .agg((F.avg(F.col("embedding")[0].cast("double")) * 50).alias("o"))
     )
-    # Twelve draws of the chain travel as one array per node and are unpacked in place.
+    # The draws travel as one array per node and are unpacked in place.
     packed = offsets.agg(F.collect_list(F.struct("draw", "o")).alias("d")).select("d").scalar()
     nodes = b.scored_nodes(spark, sf).withColumn("_d", packed)
     return nodes.select(
@@ -94,7 +95,7 @@ _SAMPLES = (
     "samples",
     f"""select p.observation_id, p.k, mu + sigma*(case when u < 0.5e0 then -1 when u > 0.5e0 then 1 else 0 end)
         *2*sqrt(greatest(cos(acos(least(1e0, sqrt(4*u*(1-u))))/3)/sqrt(4*u*(1-u)) - 1, 0e0)) as sample
-   from (select observation_id, k, floor({_U.format("'42-draw-' || observation_id || '-' || k")}*12) as draw,
+   from (select observation_id, k, floor({_U.format("'42-draw-' || observation_id || '-' || k")}*10) as draw,
            coalesce((select min(node_idx) from cum c where c.observation_id = w.observation_id
                 and {_U.format("'42-node-' || w.observation_id || '-' || w.k")} < c.total), n - 1) as node_idx,
            {_U.format("'42-noise-' || observation_id || '-' || k")} + 0.5e0/4294967296e0 as u
