@@ -148,7 +148,10 @@ def _crossing_edges(edge_rows: DataFrame, ring: Sequence[str], carry: Sequence[s
             low.alias("west"),
             high.alias("east"),
             (high - low > 180.0).alias("over_seam"),
-            *[c.alias("n" + k) for k, c in zip("xyz", n)],
+            # The crossing of a meridian is at tan(lat) = (mx cos(lon) + my sin(lon)) / mz.
+            (-n.x * F.signum(n.z)).alias("mx"),
+            (-n.y * F.signum(n.z)).alias("my"),
+            F.abs(n.z).alias("mz"),
             "a",
             "b",
         )
@@ -187,19 +190,20 @@ def ring_hits(
         *point_keys,
         *[c for c in by if c not in point_keys],
         lon.alias("_lon"),
-        F.col("lat").alias("_lat"),
+        F.cos(F.radians("lon")).alias("_cl"),
+        F.sin(F.radians("lon")).alias("_sl"),
+        F.cos(F.radians("lat")).alias("_cp"),
+        F.sin(F.radians("lat")).alias("_sp"),
         F.pmod(F.floor(lon / lon_bin), F.lit(bins)).cast("int").alias("lon_bin"),
     )
     joined = at.join(crossing, [*by, "lon_bin"])
     # Half-open in longitude; an edge over the seam spans the complement.
     between = (F.col("west") <= F.col("_lon")) & (F.col("_lon") < F.col("east"))
     spans = between != F.col("over_seam")
-    lam = F.radians("_lon")
-    crossing_lat = F.atan2(
-        -(F.col("nx") * F.cos(lam) + F.col("ny") * F.sin(lam)) * F.signum("nz"), F.abs("nz")
-    )
-    here = F.radians("_lat")
-    beyond = F.when(F.col("to_south"), crossing_lat < here).otherwise(crossing_lat > here)
+    # Compare tangents without dividing: all trigonometry is done before the join.
+    crossing = (F.col("mx") * F.col("_cl") + F.col("my") * F.col("_sl")) * F.col("_cp")
+    here = F.col("mz") * F.col("_sp")
+    beyond = F.when(F.col("to_south"), crossing < here).otherwise(crossing > here)
     keys = list(dict.fromkeys([*point_keys, *by, *ring, *carry]))
     return (
         joined.where(spans & beyond)
