@@ -96,13 +96,18 @@ def _lon_step() -> Column:
 def ring_summary(edge_rows: DataFrame, ring: Sequence[str] = RING) -> DataFrame:
     """Per ring: signed area (steradian), turns around the north pole, vertex count.
 
-    The area is a sum of signed triangles from the ring's first vertex.
+    The area is a sum of signed triangles from the ring's first vertex. No point of the
+    ring lies south of ``lat_floor``: an arc leaves the latitudes of its ends by at most
+    half its length.
     """
     f = sphere.unit_vector("f_lon", "f_lat")
     excess = sphere.triangle_excess(f, vec_of("a_"), vec_of("b_"))
     return edge_rows.groupBy(*ring).agg(
         F.sum(excess).alias("signed_area_sr"),
         (F.sum(_lon_step()) / 360.0).alias("pole_turns"),
+        (
+            F.min("a_lat") - F.degrees(F.max(sphere.angle(vec_of("a_"), vec_of("b_")))) / 2.0
+        ).alias("lat_floor"),
         F.count("*").alias("n_vertices"),
     )
 
@@ -127,8 +132,10 @@ def _crossing_edges(edge_rows: DataFrame, ring: Sequence[str], carry: Sequence[s
     )
     # A ring that holds the north pole is tested against a ray to the south pole,
     # every other ring against a ray to the north pole; the ray's end is outside.
-    holds_north = F.col("pole_turns") * F.signum("signed_area_sr") > 0.5
-    rays = summary.select(*ring, holds_north.alias("to_south"))
+    turns = F.col("pole_turns") * F.signum("signed_area_sr")
+    # South of its floor a ring that holds neither pole has no inside to find.
+    floor = F.when(F.abs(turns) > 0.5, -90.0).otherwise(F.col("lat_floor") - 1e-9)
+    rays = summary.select(*ring, (turns > 0.5).alias("to_south"), floor.alias("floor"))
     # Both ends of an edge are compared as wrapped vertex longitudes, so two edges
     # that share a vertex always agree on which side of a meridian it lies.
     a_lon, b_lon = sphere.wrap360("a_lon"), sphere.wrap360("b_lon")
@@ -190,20 +197,21 @@ def ring_hits(
         *point_keys,
         *[c for c in by if c not in point_keys],
         lon.alias("_lon"),
+        F.col("lat").alias("_lat"),
         F.cos(F.radians("lon")).alias("_cl"),
         F.sin(F.radians("lon")).alias("_sl"),
         F.cos(F.radians("lat")).alias("_cp"),
         F.sin(F.radians("lat")).alias("_sp"),
         F.pmod(F.floor(lon / lon_bin), F.lit(bins)).cast("int").alias("lon_bin"),
     )
-    joined = at.join(crossing, [*by, "lon_bin"])
+    joined = at.join(crossing, [*by, "lon_bin"]).where(F.col("_lat") >= F.col("floor"))
     # Half-open in longitude; an edge over the seam spans the complement.
     between = (F.col("west") <= F.col("_lon")) & (F.col("_lon") < F.col("east"))
     spans = between != F.col("over_seam")
     # Compare tangents without dividing: all trigonometry is done before the join.
-    crossing = (F.col("mx") * F.col("_cl") + F.col("my") * F.col("_sl")) * F.col("_cp")
+    reach = (F.col("mx") * F.col("_cl") + F.col("my") * F.col("_sl")) * F.col("_cp")
     here = F.col("mz") * F.col("_sp")
-    beyond = F.when(F.col("to_south"), crossing < here).otherwise(crossing > here)
+    beyond = F.when(F.col("to_south"), reach < here).otherwise(reach > here)
     keys = list(dict.fromkeys([*point_keys, *by, *ring, *carry]))
     return (
         joined.where(spans & beyond)
