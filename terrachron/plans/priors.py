@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import EARTH_RADIUS_KM
 from ..operators import fields, physics, polygons, rotations, trajectories
+from ..sources.storage import cut_lineage
 
 # Fixed values of the support policy.
 MIN_CONTINENTAL = 0.75
@@ -42,6 +43,8 @@ def rigid_priors(
     is used once.
     """
     max_age = step * (n_anchors - 1)
+    # Feature and candidate tables are grids that several joins below read again.
+    features = cut_lineage(features)
     mask = modern.withColumn("value", (F.col("value") >= 20.0).cast("double"))
     continental = fields.conservative_remap(mask, nlat, nlon).withColumnRenamed("value", "m")
     inner = (
@@ -55,8 +58,9 @@ def rigid_priors(
         )
         .select("i", "j", "lon", "lat")
     )
-    candidates = polygons.assign_plates(inner, static_plates).where(F.col("plate_id") >= 0)
-    chosen = physics.balanced_regions(candidates, max_regions)
+    located = polygons.assign_plates(inner, static_plates).where(F.col("plate_id") >= 0)
+    candidates = cut_lineage(located)
+    chosen = cut_lineage(physics.balanced_regions(candidates, max_regions))
     region = F.col("i") * nlon + F.col("j")
     ages = [max_age * (1 - k / (PATH_AGES - 1)) for k in range(PATH_AGES)]
     corners = F.array(
