@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import dynamic, predict, prepare, reports, score
+from ..plans import dynamic, predict, prepare, priors, reports, score
 from ..sources import synthetic, text
 from . import bridge as b
 from .bridge import ANCHORS, FIELD_CTES, MODERN, NLAT, NLON, STEP, with_
@@ -217,6 +217,24 @@ def job_dynamic_geometry(spark, sf):
     )
 
 
+@query()
+def job_rigid_priors(spark, sf):
+    """Points of the rigid-interior factors of both roles (no SQL oracle)."""
+    m = b.modern(spark, sf)
+    plates = b.rings(spark, sf).withColumn("plate_id", (F.col("priority") % 23 + 100).cast("int"))
+    features = prepare.repeat_over_ages(
+        prepare.static_features(spark, m, NLAT, NLON, plates), ANCHORS
+    )
+    out = priors.rigid_priors(
+        spark, features, m, plates, b.rotations(spark, sf), nlat=NLAT, nlon=NLON, step=STEP,
+        n_anchors=ANCHORS, min_edge_km=0.0,
+    )
+    keep = ["kind", "factor_id", "evidence_id", "age", "lon", "lat"]
+    paths = out["trajectory"].withColumn("kind", F.lit("trajectory")).select(*keep)
+    areas = out["interior"].withColumn("kind", F.lit("budget")).select(*keep)
+    return rounded(paths.unionByName(areas))
+
+
 _CORE_DRAWS = (
     "core_draws",
     """select vec_id % 10 as dr, d // 8 as age_idx, (d % 8) // 4 as rr, d % 4 as ss, avg(embedding[d+1]::double) as value
