@@ -1,12 +1,15 @@
 """Registered queries of this subpackage and their oracle SQL."""
 
-from . import exact_dedup, url_filters
+from . import exact_dedup, html_extract, quality_rules, url_filters
 
 QUERIES = {
+    "op2_html_extract": html_extract.op2_html_extract,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op7_url_filters": url_filters.op7_url_filters,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op4_quality_rules": quality_rules.SQL,
     "op7_url_filters": url_filters.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
