@@ -1,11 +1,13 @@
 """Registered queries of this subpackage and their oracle SQL."""
 
-from . import exact_dedup, html_extract, quality_rules, url_filters
+from . import exact_dedup, html_extract, packing, piece_codec, quality_rules, url_filters
 
 QUERIES = {
     "op2_html_extract": html_extract.op2_html_extract,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_packing": packing.op6_packing,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op8_piece_codec": piece_codec.op8_piece_codec,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {

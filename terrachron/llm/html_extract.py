@@ -37,6 +37,7 @@ ARTICLES = frozenset(("article", "main"))
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _WORD = re.compile(r"[^0-9a-z]+")
+_CUT = re.compile(r"<[a-zA-Z/!?]")
 #: Standard deviation, in lines, of the Gaussian that smooths the ratios.
 SIGMA = 1.0
 _KERNEL = np.exp(-0.5 * (np.arange(-3, 4) / SIGMA) ** 2)
@@ -157,6 +158,8 @@ def main_text(html: str | None) -> str:
         return ""
     events = Events()
     events.feed(html)
+    if _CUT.match(events.rawdata):  # a tag or comment that the end of the page cuts off
+        events.rawdata = ""
     events.close()
     events.flush()
     regions = {r for _, _, r in events.lines if r}
