@@ -1,10 +1,21 @@
 """Registered queries of this subpackage and their oracle SQL."""
 
-from . import exact_dedup, html_extract, packing, piece_codec, quality_rules, url_filters
+from . import (
+    exact_dedup,
+    html_extract,
+    packing,
+    piece_codec,
+    quality_model,
+    quality_rules,
+    toxicity,
+    url_filters,
+)
 
 QUERIES = {
     "op2_html_extract": html_extract.op2_html_extract,
+    "op3_quality_model": quality_model.op3_quality_model,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_piece_codec": piece_codec.op8_piece_codec,

@@ -18,6 +18,8 @@ BLOCK_BYTES = 1 << 20
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Blanks, ASCII punctuation and control characters.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -70,9 +72,9 @@ class Block:
     def hashed(self, lower: bool = False) -> "Hashes":
         return Hashes(_LOWER[self.data] if lower else self.data)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First byte, byte after the last, and text of each word, in order."""
-        solid = ~BLANK[self.data]
+    def words(self, apart: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First byte, byte after the last, and text of each run of bytes not in ``apart``, in order."""
+        solid = ~apart[self.data]
         before = np.empty_like(solid)
         before[:1], before[1:] = False, solid[:-1]
         after = np.empty_like(solid)
