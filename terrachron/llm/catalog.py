@@ -7,6 +7,7 @@ from . import (
     piece_codec,
     quality_model,
     quality_rules,
+    suffix_dedup,
     toxicity,
     url_filters,
 )
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_piece_codec": piece_codec.op8_piece_codec,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,29 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(df: DataFrame) -> DataFrame:
+    """The frame, after its session's executors were sent this library for their Python workers.
+
+    Spark distributes the file itself; once per application.
+    """
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        library = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        name = os.path.basename(library)
+        path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for folder, _, files in os.walk(library):
+                for f in sorted(x for x in files if x.endswith(".py")):
+                    full = os.path.join(folder, f)
+                    archive.write(full, os.path.join(name, os.path.relpath(full, library)))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
+    return df
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null counted as empty."""
     return F.coalesce(F.col(column), F.lit(""))

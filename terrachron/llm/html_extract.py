@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -198,7 +200,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     one block; elements that are not closed end with their parent; tags cut off by the end of the
     page are ignored; ids and urls may be null or repeated; other columns are not read.
     """
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = ship(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = dict(rows.dtypes)
     found = rows.mapInArrow(_extract, f"id {kinds['id']}, url {kinds['url']}, text string, n_chars bigint")
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ship, written
 
 
 def remainder(id_col: str, modulus: int) -> Column:
@@ -34,5 +34,5 @@ def training_sample(
         .orderBy(F.xxhash64("labelled_id"), "labelled_id")
         .limit(bound)
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = ship(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return written(rows.join(F.broadcast(chosen), F.col("id") == F.col("labelled_id")).select("label", "text"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ship, written
 
 CAPACITY = 1024
 #: Id that ends each document.
@@ -124,7 +124,7 @@ def _cutter(path: str, capacity: int, keep_ids: bool):
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
     """Each document's ids and one end id, cut into full pieces and a rest; one scan."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = ship(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(rows.dtypes)['id']}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     return rows.mapInArrow(_cutter(tokenizer, capacity, keep_ids), schema + ", ids array<int>" * keep_ids)
 
@@ -202,8 +202,8 @@ def pack_documents(
 
     Pieces are counted by length; only that histogram (at most ``capacity`` numbers) comes to the
     driver, where patterns of packs are found. Pieces get a rank among those of their length from a
-    count per (length, salt), at most ``capacity`` times the salts, and a row number within the
-    salt, so no window holds a whole length; a pattern's slot owns a range of ranks, and a piece
+    count per (length, salt) and a row number within both, so no window holds a whole length, and
+    the join of the two needs no further shuffle; a pattern's slot owns a range of ranks, and a piece
     finds its slot by binary search. ``tokenizer`` is a path that every executor has.
 
     Defined cases: a null or empty text is one piece, the end id; documents longer than the capacity
@@ -224,7 +224,7 @@ def pack_documents(
     ranked = (
         pieces.withColumn("salt", salt)
         .withColumn("row", F.row_number().over(within))
-        .join(F.broadcast(bases), (F.col("length") == F.col("of")) & (F.col("salt") == F.col("part")))
+        .join(bases, (F.col("length") == F.col("of")) & (F.col("salt") == F.col("part")))
         .withColumn("rank", F.col("base") + F.col("row") - 1)
         .select(*pieces.columns, "rank")
     )

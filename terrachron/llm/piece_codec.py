@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 SPACE = "▁"
 #: Words that a worker remembers; the table is emptied when full.
 CACHED_WORDS = 300_000
@@ -291,7 +293,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     the model become byte pieces; U+2581 in a text counts as a space, as in the library; ids may be
     null or repeated; time and memory grow with the length of a text, words of any length included.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = ship(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     found = rows.mapInArrow(_coder(model), f"id {kind}, n_tokens bigint, ids string, decoded string")
     return found.select(F.col("id").alias(id_col), "n_tokens", "ids", "decoded")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
+from .common import ship
 from .labelled import held_out, training_sample
 
 #: Labelled rows that the model is fitted on, at most.
@@ -140,7 +141,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     Defined cases: a null or empty text has the score of the output's bias alone; ids may be null
     or repeated; other columns are never read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = ship(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_score(model), f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans
+from .common import ship, written
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -72,7 +73,7 @@ def measured(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
 ) -> DataFrame:
     """(id, lang, source, features, base_failed) of every row; one scan, no shuffle."""
-    rows = docs.select(
+    rows = ship(docs).select(
         F.col(id_col).alias("id"),
         F.col(lang_col).cast("string").alias("lang"),
         F.col(source_col).cast("string").alias("source"),
@@ -196,8 +197,6 @@ def quality_rules(docs: DataFrame, **columns: str) -> DataFrame:
     Defined cases: a null or empty text has only zeros and fails the base rules; ``id``, ``lang``
     and ``source`` may be null or repeated, every row is judged by itself; empty table, empty result.
     """
-    from .common import written
-
     rows = written(measured(docs, **columns))
     return judged(rows, thresholds(sketches(rows)))
 

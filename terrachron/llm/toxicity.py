@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
+from .common import ship
 from .labelled import held_out, training_sample
 
 #: Labelled rows that the model is fitted on, at most.
@@ -248,7 +249,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     Defined cases: a null or empty text has no passage and the score of that; without a usable
     label of each kind all texts get the share of toxic labels; ids may be null or repeated.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = ship(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = (
         f"id {dict(rows.dtypes)['id']}, score double, "
         "passages array<struct<first_byte: bigint, end_byte: bigint, score: double, expected: double>>"
