@@ -3,6 +3,7 @@
 from . import (
     exact_dedup,
     html_extract,
+    jaccard_join,
     packing,
     piece_codec,
     quality_model,
@@ -13,6 +14,7 @@ from . import (
 )
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_html_extract": html_extract.op2_html_extract,
     "op3_quality_model": quality_model.op3_quality_model,
     "op4_quality_rules": quality_rules.op4_quality_rules,

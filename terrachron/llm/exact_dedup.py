@@ -57,15 +57,23 @@ def exact_groups(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were.
 
-    The row with the smallest id stays. Only ids of rows that go are joined, so a table without
-    copies passes unchanged; of rows that repeat both id and text one stays.
+    The row with the smallest id stays. Only ids of rows that go are joined, from a written table
+    whose size the planner knows. Of rows that repeat both id and text one stays; an id whose texts
+    differ is dropped with all its rows when one of them is a copy of a smaller document's.
     """
-    gone = exact_groups(docs, id_col, text_col).where("group_size > 1")
+    gone = written(exact_groups(docs, id_col, text_col).where("group_size > 1"))
     mark, digest = fresh("group_digest", docs.columns), fresh("group_of", docs.columns)
-    losers = gone.where("not kept").select(F.col(id_col).alias(mark)).distinct()
-    kept = gone.where("kept").groupBy(F.col(id_col).alias(mark)).agg(F.max("text_sha256").alias(digest))
+    losers = written(gone.where("not kept").select(F.col(id_col).alias(mark)).distinct())
+    again = written(
+        gone.where("kept").groupBy(F.col(id_col).alias(mark), F.col("text_sha256").alias(digest)).count()
+        .where("count > 1").select(mark, digest)
+    )
     stay = docs.join(losers, F.col(id_col).eqNullSafe(F.col(mark)), "left_anti")
-    once = stay.join(kept, F.col(id_col).eqNullSafe(F.col(mark)), "left")
+    if again.isEmpty():  # ids are unique, as they should be
+        return stay
+    normal = F.sha2(F.regexp_replace(text_of(text_col), BLANKS, " "), 256)
+    same = F.col(id_col).eqNullSafe(F.col(mark)) & (normal == F.col(digest))
+    once = stay.join(again, same, "left")
     single = once.where(F.col(digest).isNull()).select(*docs.columns)
     first = once.where(F.col(digest).isNotNull()).dropDuplicates([id_col, digest]).select(*docs.columns)
     return single.unionByName(first)

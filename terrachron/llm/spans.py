@@ -142,7 +142,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """The texts of a string column (null: empty) in blocks of about ``limit`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_binary()) if pa.types.is_binary(column.type) else pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1]

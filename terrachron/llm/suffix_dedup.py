@@ -553,6 +553,33 @@ def remove_repeats(
     return out.select(*back, *added)
 
 
+def _decoded(names: list[str], text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [k.as_py().decode("utf-8", "ignore") for k in batch.column("kept")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names], names
+            )
+
+    return run
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the remaining text in place of the text, and its code points in ``chars_col``.
+
+    A character of which only some bytes remain is left out; a null text becomes the empty text.
+    """
+    own = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(own))])
+    name = dict(zip(own, plain.columns))
+    found = remove_repeats(plain, name[id_col], name[text_col])
+    texts = found.mapInArrow(_decoded(plain.columns, name[text_col]), plain.schema)
+    if chars_col in name:
+        count = F.length(name[text_col]).cast(plain.schema[name[chars_col]].dataType)
+        texts = texts.withColumn(name[chars_col], count)
+    return texts.toDF(*own)
+
+
 def op9_suffix_dedup(spark, sf_dir):
     """Repeated 50-byte strings of the whole documents table, removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

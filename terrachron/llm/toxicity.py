@@ -261,6 +261,22 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 CUT = 0.3
 
 
+def _passing(model: Model, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            evidence = [evidence_of(b, model)[0] for b in spans.blocks(batch.column(text_col))]
+            if evidence:
+                score = np.round(model.probability(np.minimum(np.concatenate(evidence), 50.0)), 6)
+                yield batch.filter(pa.array(score < CUT))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose score reaches ``CUT``; all columns as they were, no shuffle."""
+    return ship(docs).mapInArrow(_passing(model, text_col), docs.schema)
+
+
 def op5_toxicity(spark, sf_dir):
     """Toxicity of the whole documents table, learned from the rows not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: The rules of the registered query: (verdict, host, path).
 RULES = (
     ("allow", "org", "/"),
@@ -92,15 +94,16 @@ def judge_urls(
         F.length("rule_host").alias("b"),
         (F.col("rule_verdict") == "block").alias("c"),
     )
-    best = met.groupBy("host", "path").agg(
-        F.max(F.struct(order.alias("o"), F.struct("rule", "rule_verdict").alias("r"))).alias("best")
+    best = fresh("best", kept)
+    found = met.groupBy("host", "path").agg(
+        F.max(F.struct(order.alias("o"), F.struct("rule", "rule_verdict").alias("r"))).alias(best)
     )
-    return parsed.join(best, ["host", "path"], "left").select(
+    return parsed.join(found, ["host", "path"], "left").select(
         *kept,
         "host",
         "path",
-        F.col("best.r.rule").alias("rule"),
-        F.coalesce("best.r.rule_verdict", F.lit(default)).alias("verdict"),
+        F.col(f"{best}.r.rule").alias("rule"),
+        F.coalesce(f"{best}.r.rule_verdict", F.lit(default)).alias("verdict"),
     )
 
 
