@@ -236,7 +236,7 @@ class Texts:
     """Compressed texts of nodes, stored by node, so that joining them to a node moves only the pairs."""
 
     def __init__(self, nodes: DataFrame, words: int):
-        self.spark, self.words = nodes.sparkSession, words
+        self.spark, self.words, self.schema = nodes.sparkSession, words, nodes.schema
         self.name = f"texts_{uuid.uuid4().hex}"
         self.path = f"{table_folder(self.spark).rstrip('/')}/{self.name}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -249,7 +249,7 @@ class Texts:
         ``b`` may be hot (a pivot of many): its join is one that adaptive execution can split.
         """
         left = self.spark.table(self.name).select(F.col("node").alias(a), F.col("text").alias("x"))
-        right = self.spark.read.parquet(self.path).select(F.col("node").alias(b), F.col("text").alias("y"))
+        right = self.spark.read.schema(self.schema).parquet(self.path).select(F.col("node").alias(b), F.col("text").alias("y"))
         kinds = ", ".join(f"{c} {t}" for c, t in pairs.dtypes)
         joined = pairs.join(left, a).join(right, b).select(*pairs.columns, "x", "y")
         return joined.mapInArrow(_compared(self.words), f"{kinds}, common bigint, nx bigint, ny bigint")
