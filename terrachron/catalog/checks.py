@@ -47,12 +47,14 @@ def grid_contract(spark, sf):
 
 
 @query(
-    with_(*FIELD_CTES)
+    with_(OBS, b.CELL_MEANS)
     + """select count(distinct age_idx) as n_ages, count(distinct age_idx) as n_index,
-      0e0 as youngest, max(age_idx)*1e1 as oldest, 0::bigint as off_step, max(age_idx) = 6 as passed from field"""
+      min(age_idx)*1e1 as youngest, max(age_idx)*1e1 as oldest, 0::bigint as off_step,
+      count(distinct age_idx) = 7 and min(age_idx) = 0 and max(age_idx) = 6 as passed from cell_means"""
 )
 def age_list_contract(spark, sf):
-    ages = b.field(spark, sf).select("age_idx", (F.col("age_idx") * 10.0).alias("age"))
+    """The anchors that records fall on, against the expected list."""
+    ages = b.cell_means(spark, sf).select("age_idx", (F.col("age_idx") * 10.0).alias("age"))
     return checks.age_list_report(ages, b.STEP, 60.0)
 
 
@@ -78,9 +80,11 @@ def protocol_contract(spark, sf):
     frozen = c.groupBy(F.col("c_mktsegment").alias("name")).agg(
         F.count("*").cast("string").alias("value")
     )
-    household = c.where("c_mktsegment = 'HOUSEHOLD'").count()
-    asked = {"BUILDING": "0", "HOUSEHOLD": str(household), "schema_version": "2"}
-    return checks.protocol_differences(frozen, asked)
+    household = frozen.where("name = 'HOUSEHOLD'").select("name", F.col("value").alias("requested"))
+    asked = spark.createDataFrame(
+        [("BUILDING", "0"), ("schema_version", "2")], "name string, requested string"
+    )
+    return checks.protocol_differences(frozen, asked.unionByName(household))
 
 
 _HISTORIES = """select cast(vec_id as varchar) || ' ' as history_id, cast(vec_id // 10 as varchar) as group_id,

@@ -46,11 +46,11 @@ def split_rhat(spark, sf):
 
 
 # Node means per draw: the analytic truth plus an offset that is the mean of all
-# vectors with one label, so a label is a draw.
+# vectors with one label, all their entries added up, so a label is a draw.
 _DRAW_NODES = (
     "draw_nodes",
     """select s.observation_id, s.node_idx, s.node_weight, s.y, s.sigma, d.draw, s.mu + d.o as mu
-   from scored s, (select label as draw, avg(embedding[1]::double)*50 as o from embeddings group by 1) d""",
+   from scored s, (select label as draw, avg(list_sum(embedding::double[]))*6.25e0 as o from embeddings group by 1) d""",
 )
 _N_DRAWS = 10
 
@@ -59,7 +59,11 @@ def draw_nodes(spark, sf):
     offsets = (
         b.table(spark, sf, "embeddings")
         .groupBy(F.col("label").alias("draw"))
-        .agg((F.avg(F.col("embedding")[0].cast("double")) * 50).alias("o"))
+        .agg(
+            (
+                F.avg(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double"))) * 6.25
+            ).alias("o")
+        )
     )
     # The draws travel as one array per node and are unpacked in place.
     packed = offsets.agg(F.collect_list(F.struct("draw", "o")).alias("d")).select("d").scalar()
@@ -99,7 +103,7 @@ _SAMPLES = (
            coalesce((select min(node_idx) from cum c where c.observation_id = w.observation_id
                 and {_U.format("'42-node-' || w.observation_id || '-' || w.k")} < c.total), n - 1) as node_idx,
            {_U.format("'42-noise-' || observation_id || '-' || k")} + 0.5e0/4294967296e0 as u
-         from (select observation_id, n, unnest(range(32)) as k from (
+         from (select observation_id, n, unnest(range(256)) as k from (
             select observation_id, count(*) as n from scored group by 1)) w) p
    join draw_nodes d using (observation_id, draw, node_idx)""",
 )
@@ -119,7 +123,7 @@ _PI_CTES = (OBS, NODES, NODE_ROWS, b.SCORED, _DRAW_NODES, _CUM, _SAMPLES, _PI)
 @query(with_(*_PI_CTES) + f"select observation_id, {r('lower', 'lower')}, {r('upper', 'upper')} from pint")
 def predictive_intervals(spark, sf):
     """Central 90 % range of a reproducible predictive sample per record."""
-    s = histories.predictive_samples(draw_nodes(spark, sf), _N_DRAWS, 32, 42)
+    s = histories.predictive_samples(draw_nodes(spark, sf), _N_DRAWS, 256, 42)
     return rounded(histories.predictive_intervals(s))
 
 
@@ -133,7 +137,7 @@ def predictive_intervals(spark, sf):
 def posterior_report(spark, sf):
     nodes = draw_nodes(spark, sf)
     intervals = histories.predictive_intervals(
-        histories.predictive_samples(nodes, _N_DRAWS, 32, 42)
+        histories.predictive_samples(nodes, _N_DRAWS, 256, 42)
     )
     return rounded(histories.posterior_report(histories.predictive_scores(nodes), intervals))
 
@@ -223,21 +227,21 @@ def train_normalisation(spark, sf):
 @query(
     f"""with e as (select vec_id, (embedding::double[]) as e from embeddings)
     select vec_id, {r('''greatest(x, 0) + ln(1 + exp(-abs(x))) + 0.05e0''', 'thickness_km')} from (
-      select vec_id, 2.5e0 + (select sum(e[i+1]*e[i*4+j+5]*e[j+40]) from (select unnest(range(3)) as i), (select unnest(range(4)) as j))
-        * 10/sqrt(12) as x from e)"""
+      select vec_id, 2.5e0 + (select sum(e[i+1]*e[i*5+j+15]*e[j+10]) from (select unnest(range(9)) as i), (select unnest(range(5)) as j))
+        * 10/sqrt(45) + e[60] + e[61] + e[62] + e[63] + e[64] as x from e)"""
 )
 def tucker_decode(spark, sf):
-    """Thickness decoded from factor arrays: 3 spatial x 4 context factors."""
+    """Thickness decoded from all entries: 9 spatial x 5 context factors, their core, and the base."""
     e = b.table(spark, sf, "embeddings").select(
         "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e")
     )
-    rows = F.array(*[F.slice("e", 5 + 4 * i, 4) for i in range(3)])
+    rows = F.array(*[F.slice("e", 15 + 5 * i, 5) for i in range(9)])
     staged = e.select(
         "vec_id",
-        F.slice("e", 1, 3).alias("spatial"),
-        F.slice("e", 40, 4).alias("context"),
+        F.slice("e", 1, 9).alias("spatial"),
+        F.slice("e", 10, 5).alias("context"),
         rows.alias("core"),
-        F.lit(2.5).alias("base"),
+        sum((F.col("e")[k] for k in range(59, 64)), F.lit(2.5)).alias("base"),
     )
     value = histories.tucker_value(scale_km=10.0, epsilon=0.05)
     return rounded(staged.select("vec_id", value.alias("thickness_km")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import grids
@@ -44,7 +46,10 @@ def macro_metrics(spark, sf):
     return rounded(metrics.macro_metrics(per))
 
 
-_BOOT = 200
+_BOOT = 2000
+# Cumulative shares of a Poisson variate of mean 1.
+_SHARES = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1)) for k in range(17)]
+_TIMES = " + ".join(f"(x >= {c!r}::double)::int" for c in _SHARES)
 
 
 @query(
@@ -52,16 +57,16 @@ _BOOT = 200
         *_CTES,
         (
             "units",
-            """select row_number() over (order by group_id) - 1 as u, count(*) as n,
-          sum(abs(a-y)) as sa, sum(abs(b-y)) as sb from predictions group by group_id""",
+            """select group_id, count(*) as n, sum(abs(a-y)) as sa, sum(abs(b-y)) as sb
+          from predictions group by group_id""",
         ),
         (
             "deltas",
-            f"""select p.b, sum(sa)/sum(n) - sum(sb)/sum(n) as delta from (
-          select r.b, floor(('0x' || substr(md5('3-' || r.b || '-' || s.u), 1, 8))::bigint / 4294967296e0
-              * (select count(*) from units)) as pick
-          from (select unnest(range({_BOOT})) as b) r, (select u from units) s) p
-        join units on units.u = p.pick group by p.b""",
+            f"""select b, sum(t*sa)/sum(t*n) - sum(t*sb)/sum(t*n) as delta from (
+          select b, {_TIMES} as t, n, sa, sb from (
+            select r.b, n, sa, sb, ('0x' || substr(md5('3-' || r.b || '-' || u.group_id), 1, 8))::bigint / 4294967296e0 as x
+            from (select unnest(range({_BOOT})) as b) r, units u))
+        group by b""",
         ),
     )
     + f"""select {r('avg(delta)', 'delta_mae_mean')}, {r('quantile_cont(delta, 0.025)', 'ci_low')},
@@ -244,24 +249,21 @@ def rolling_age_median(spark, sf):
         ),
         (
             "pairs",
-            """select observation_id, i, j, 6371*2*asin(sqrt(least(1e0, pow(sin(radians(present_lat - lat)/2), 2)
+            """select observation_id, i*16 + j as value, 6371*2*asin(sqrt(least(1e0, pow(sin(radians(present_lat - lat)/2), 2)
           + cos(radians(present_lat))*cos(radians(lat))*pow(sin(radians(present_lon-lon)/2), 2)))) as d
         from obs, centres""",
         ),
     )
-    + f"""select observation_id, cast(i as int) as i, cast(j as int) as j, {r('d', 'distance_km')},
-       {r('exp(-0.5e0*pow(d/800, 2))', 'weight')} from pairs where d <= 2400"""
+    + f"""select observation_id, {r('sum(k)', 'weight')}, {r('sum(k*value)', 'weighted_value')}
+       from (select *, exp(-0.5e0*pow(d/800, 2)) as k from pairs) group by observation_id"""
 )
 def rbf_weights(spark, sf):
-    """Weights of the fixed basis centres within three length scales of each point."""
-    centres = grids.gauss_grid(spark, b.NLAT, b.NLON).select(
-        "i", "j", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")
-    )
+    """Kernel weights of all basis centres summed per point, plain and times a value."""
+    lats = grids.gauss_latitudes(b.NLAT)[0][::-1]
+    centres = [(22.5 * j, lat, 16 * i + j) for i, lat in enumerate(lats) for j in range(b.NLON)]
     pts = b.obs(spark, sf).selectExpr(
         "observation_id", "present_lon as lon", "present_lat as lat"
     )
     return rounded(
-        spherebins.rbf_weights(
-            pts, centres, 800.0, point_keys=["observation_id"], centre_keys=["i", "j"]
-        )
+        spherebins.rbf_sums(pts, centres, 800.0).select("observation_id", "weight", "weighted_value")
     )

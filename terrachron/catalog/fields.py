@@ -321,12 +321,12 @@ _SUPPORT = (
 # Two anchors of records only, so that part of the field stays outside the support.
 _SPARSE = (
     "sparse",
-    "select lon, lat, case when qid % 2 = 0 then 1e1 else 1e1 + (qid % 10)/1e0 end as age from points where lat < 20",
+    "select lon, lat, case when qid % 2 = 0 then 1e1 else 1e1 + (qid % 10)/1e0 end as age from points",
 )
 
 
 def _sparse(spark, sf):
-    return _points(spark, sf).where("lat < 20").selectExpr(
+    return _points(spark, sf).selectExpr(
         "lon", "lat", "case when qid % 2 = 0 then 1e1 else 1e1 + (qid % 10)/1e0 end as age"
     )
 

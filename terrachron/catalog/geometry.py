@@ -422,13 +422,13 @@ def outline_distance(spark, sf):
     return rounded(out.select("qid", "outline_km"))
 
 
-# Arc samples as the operator defines them: n pieces of at most two degrees.
+# Points that cut each arc into the fewest equal pieces of at most half a degree.
 _SAMPLED = (
     "arc_samples",
     f"""select wa*ax + wb*bx as x, wa*ay + wb*"by" as y, wa*az + wb*bz as z from (
       select *, sin((1-f)*om)/sin(om) as wa, sin(f*om)/sin(om) as wb from (
        select *, k/n as f from (select *, unnest(range(cast(n as int))) as k from (
-         select *, greatest(ceil(degrees({_OMEGA})/2e0), 1) as n, {_OMEGA} as om from edges))))""",
+         select *, greatest(ceil(degrees({_OMEGA})/0.5e0), 1) as n, {_OMEGA} as om from edges))))""",
 )
 
 
@@ -443,7 +443,7 @@ def boundary_vertex_distance(spark, sf):
         "observation_id as qid", "present_lon as lon", "present_lat as lat"
     )
     out = polygons.boundary_vertex_distance(
-        pts, b.rings(spark, sf), point_keys=["qid"], tessellation_deg=2.0
+        pts, b.rings(spark, sf), point_keys=["qid"], tessellation_deg=0.5
     )
     return rounded(out.select("qid", "boundary_km"))
 

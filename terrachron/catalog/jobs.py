@@ -164,7 +164,7 @@ def job_predict_grid(spark, sf):
     with_(*FIELD_CTES, MODERN,
           ("gpts", "select i*360+j as qid, lon, lat, 2.5e1 as age from modern"),
           ("v", b.nested_interpolation_text("gpts", "lon", "lat", "age", "qid")))
-    + """select 2.5e1 as age, printf('%.6f %.6f %.6f', lon, lat, value) as value from v join gpts using (qid)"""
+    + """select 2.5e1 as age, printf('%.6f %.6f %.6f', qid % 360 + 0.5e0, qid // 360 - 89.5e0, value) as value from v"""
 )
 def job_export_text(spark, sf):
     """Text lines of the exported grid at 25 Ma."""
@@ -227,7 +227,7 @@ def job_rigid_priors(spark, sf):
     )
     out = priors.rigid_priors(
         spark, features, m, plates, b.rotations(spark, sf), nlat=NLAT, nlon=NLON, step=STEP,
-        n_anchors=ANCHORS, min_edge_km=0.0,
+        n_anchors=ANCHORS,
     )
     keep = ["kind", "factor_id", "evidence_id", "age", "lon", "lat"]
     paths = out["trajectory"].withColumn("kind", F.lit("trajectory")).select(*keep)
@@ -237,8 +237,8 @@ def job_rigid_priors(spark, sf):
 
 _CORE_DRAWS = (
     "core_draws",
-    """select vec_id % 10 as dr, d // 8 as age_idx, (d % 8) // 4 as rr, d % 4 as ss, avg(embedding[d+1]::double) as value
-   from embeddings, (select unnest(range(56)) as d) group by 1, 2, 3, 4""",
+    """select vec_id % 10 as dr, least(d // 8, 6) as age_idx, (d % 8) // 4 as rr, d % 4 as ss, avg(embedding[d+1]::double) as value
+   from embeddings, (select unnest(range(64)) as d) group by 1, 2, 3, 4""",
 )
 _CELL_DRAWS = (
     "cell_draws",
@@ -254,10 +254,10 @@ def _field_draws(spark, sf):
     """Ten draws of 2x4 cores per anchor, averaged from all vectors, decoded on the grid."""
     e = b.table(spark, sf, "embeddings").select(
         (F.col("vec_id") % 10).alias("draw"), F.posexplode("embedding").alias("d", "v")
-    ).where("d < 56")
+    )
     cores = e.groupBy(
         "draw",
-        F.floor(F.col("d") / 8).cast("int").alias("age_idx"),
+        F.least(F.floor(F.col("d") / 8), F.lit(6)).cast("int").alias("age_idx"),
         F.floor(F.col("d") % 8 / 4).alias("r"),
         (F.col("d") % 4).alias("s"),
     ).agg(F.avg(F.col("v").cast("double")).alias("value")).withColumn("chain", F.lit(0))

@@ -368,13 +368,13 @@ def merge_evidence(spark, sf):
 
 @query(
     """select l_orderkey as domain_id, case when bool_or(l_returnflag = 'A') and bool_or(l_returnflag = 'R') then 'budget'
-      when bool_or(l_returnflag = 'A') then 'trajectory' when bool_or(l_returnflag = 'R') then 'budget' end as role
-    from lineitem where l_returnflag <> 'N' group by 1"""
+      else min(case l_returnflag when 'A' then 'trajectory' when 'R' then 'budget' else 'boundary' end) end as role
+    from lineitem group by 1"""
 )
 def loss_roles(spark, sf):
-    rows = b.table(spark, sf, "lineitem").where("l_returnflag <> 'N'").select(
-        F.col("l_orderkey").alias("domain_id"),
-        F.when(F.col("l_returnflag") == "A", "trajectory").otherwise("budget").alias("kind"),
+    rows = b.table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey as domain_id",
+        "case l_returnflag when 'A' then 'trajectory' when 'R' then 'budget' else 'boundary' end as kind",
     )
     return ops.loss_roles(rows)
 
@@ -462,7 +462,7 @@ def backtrack_and_bounds(spark, sf):
 @query(
     with_(*FIELD_CTES)
     + """select plate_id, count(*) filter (ok) as n, min(i*16+j) filter (ok) as first_cell,
-        any_value(role) as role from (
+        any_value(role) as role, any_value(n) - count(*) filter (ok) as left_out from (
       select *, row_number() over (partition by plate_id order by i, j) - 1 as k,
         count(*) over (partition by plate_id) as n, dense_rank() over (order by plate_id) - 1 as rk from (
           select i, j, cast(floor(value*3) as int) % 7 as plate_id from field where age_idx = 0)) z,
@@ -472,14 +472,32 @@ def backtrack_and_bounds(spark, sf):
     group by plate_id having count(*) filter (ok) > 0"""
 )
 def balanced_regions(spark, sf):
-    """Strided choice of cells per plate under an equal quota, with alternating roles."""
+    """Strided choice of cells per plate under an explicit quota, with alternating roles."""
+    return _regions(spark, sf, 24).agg(
+        F.count("*").alias("n"), F.min(F.col("i") * 16 + F.col("j")).alias("first_cell"),
+        F.min("role").alias("role"), F.min("left_out").alias("left_out"),
+    )
+
+
+def _regions(spark, sf, quota=None):
     cells = b.field(spark, sf).where("age_idx = 0").select(
         "i", "j", (F.floor(F.col("value") * 3).cast("int") % 7).alias("plate_id")
     )
-    picked = ops.balanced_regions(cells, 24)
-    return picked.groupBy("plate_id").agg(
+    return ops.balanced_regions(cells, quota).groupBy("plate_id")
+
+
+@query(
+    with_(*FIELD_CTES)
+    + """select plate_id, count(*) as n, min(i*16+j) as first_cell, 0::bigint as left_out,
+        case when dense_rank() over (order by plate_id) % 2 = 1 then 'trajectory' else 'budget' end as role
+      from (select i, j, cast(floor(value*3) as int) % 7 as plate_id from field where age_idx = 0) group by plate_id"""
+)
+def all_regions(spark, sf):
+    """Every cell of every plate, with alternating roles."""
+    return _regions(spark, sf).agg(
         F.count("*").alias("n"), F.min(F.col("i") * 16 + F.col("j")).alias("first_cell"),
-        F.min("role").alias("role"),
+        F.min("role").alias("role"), F.max("left_out").alias("left_out"),
     )
 
 
+

@@ -750,7 +750,7 @@ def split_by_holdout(spark, sf):
         OBS,
         (
             "tagged",
-            """select w.label as "window", round_even(present_lat/"""
+            """select w.label as "window", observation_id, round_even(present_lat/"""
             + STEP_TEXT
             + """,0) as sa, round_even(present_lon/"""
             + STEP_TEXT
@@ -767,6 +767,9 @@ def split_by_holdout(spark, sf):
        count(distinct (sa, sb)) filter (role = 'test') as test_sites,
        (select count(*) from (select sa, sb from tagged t where t."window" = tagged."window" and role = 'train'
          intersect select sa, sb from tagged t where t."window" = tagged."window" and role = 'test')) as shared_sites,
+       count(*) as n_records, count(distinct (sa, sb)) as n_sites,
+       (select count(*) from (select observation_id from tagged t where t."window" = tagged."window" and role = 'train'
+         intersect select observation_id from tagged t where t."window" = tagged."window" and role = 'test')) as shared_ids,
        count(*) filter (role = 'train') > 0 and count(*) filter (role = 'test') > 0 as passed
     from tagged group by "window" """
 )

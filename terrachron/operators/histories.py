@@ -259,11 +259,6 @@ def predictive_intervals(samples: DataFrame, alpha: float = 0.1) -> DataFrame:
     )
 
 
-def expected_point_nll(nodes: DataFrame, key: str = "observation_id") -> DataFrame:
-    lp = F.col("node_weight") * t4_log_density("y", "mu", "sigma")
-    return nodes.groupBy(key).agg((-F.sum(lp)).alias("nll"))
-
-
 # --- history checks ----------------------------------------------------------
 
 
@@ -369,4 +364,3 @@ def posterior_report(scores: DataFrame, intervals: DataFrame, alpha: float = 0.1
     )
     extra = part.select(F.struct("coverage", "mean_width", "interval_score", "n").alias("s")).scalar()
     return core.withColumn("_s", extra).select("*", "_s.*").drop("_s")
-

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -55,14 +56,28 @@ def effective_clusters(df: DataFrame, unit: str) -> DataFrame:
     return df.agg(F.count_distinct(unit).alias("effective_clusters"))
 
 
+#: Multiplicities above this have a chance below 1e-15 and are counted as this.
+_MOST = 17
+
+
+def _poisson_one(u: Column) -> Column:
+    """Poisson variate of mean 1 for a uniform in [0, 1): how many cumulative shares are at most u."""
+    share, total, cuts = math.exp(-1.0), 0.0, []
+    for k in range(_MOST):
+        total += share
+        share /= k + 1
+        cuts.append(total)
+    return sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+
+
 def bootstrap_deltas(
     df: DataFrame, truth: str, a: str, b: str, unit: str, n_boot: int = 2000, seed: int = 0
 ) -> DataFrame:
     """MAE difference (a - b) per replicate, resampling whole units.
 
-    Rows are reduced to one row per unit first. Each replicate draws as many
-    units as there are, with replacement, by hashing (seed, replicate, slot); the
-    draws are spread evenly over the units, so the join has no hot key.
+    Rows are reduced to one row per unit first. The law is the Poisson bootstrap: in each replicate
+    a unit counts a Poisson(1) number of times, by hashing (seed, replicate, unit). Every task adds
+    its units up by itself, so ``n_boot`` rows per task are shuffled and nothing is joined.
     """
     y = F.col(truth)
     units = df.groupBy(unit).agg(
@@ -70,26 +85,17 @@ def bootstrap_deltas(
         F.sum(F.abs(F.col(a) - y)).alias("sa"),
         F.sum(F.abs(F.col(b) - y)).alias("sb"),
     )
-    ids = ordering.dense_ids(units, unit, "unit_idx")
-    indexed = units.join(ids, unit).select("unit_idx", "n", "sa", "sb")
-    total = units.agg(F.count("*").alias("m")).select("m").scalar()
-    slots = ids.select(F.col("unit_idx").alias("slot"))
-    draws = slots.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).select(
-        "b",
-        F.floor(hash_uniform(seed, F.col("b"), F.col("slot")) * total).alias("unit_idx"),
+    drawn = (
+        units.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+        .withColumn("_u", hash_uniform(seed, F.col("b"), F.col(unit)))
+        .withColumn("t", _poisson_one(F.col("_u")))
     )
-    # Equal picks within a replicate are merged before the join.
-    picked = draws.groupBy("b", "unit_idx").agg(F.count("*").alias("times"))
-    t = F.col("times")
+    t = F.col("t")
+    total = F.sum(t * F.col("n"))
     return (
-        picked.join(indexed, "unit_idx")
+        drawn.where("t > 0")
         .groupBy("b")
-        .agg(
-            (
-                F.sum(t * F.col("sa")) / F.sum(t * F.col("n"))
-                - F.sum(t * F.col("sb")) / F.sum(t * F.col("n"))
-            ).alias("delta")
-        )
+        .agg((F.sum(t * F.col("sa")) / total - F.sum(t * F.col("sb")) / total).alias("delta"))
     )
 
 
@@ -229,45 +235,6 @@ def rolling_age_median(
     )
 
 
-def weighted_median(
-    df: DataFrame, by: Sequence[str], value: str, count: str, chunks: int = 4096
-) -> DataFrame:
-    """Median of values with multiplicities (linear between the two middle ranks).
-
-    The running count is cut into equal-width value chunks per group, so a group
-    with very many distinct values is still several window partitions.
-    """
-    by = list(by)
-    stats = df.groupBy(*by).agg(
-        F.sum(count).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
-    )
-    at = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * chunks)
-    chunk = F.when(F.col("_hi") > F.col("_lo"), F.least(at, F.lit(chunks - 1))).otherwise(0)
-    binned = df.join(stats, by).withColumn("_bin", chunk)
-    over = Window.partitionBy(*by).orderBy("_bin")
-    starts = (
-        binned.groupBy(*by, "_bin")
-        .agg(F.sum(count).alias("_m"))
-        .withColumn(
-            "_start",
-            F.sum("_m").over(over.rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("_m"),
-        )
-        .withColumn("_stop", F.col("_start") + F.col("_m"))
-    )
-    lo, hi = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
-    # Only the chunks that hold a middle rank are sorted.
-    wanted = binned.join(starts.drop("_m"), [*by, "_bin"]).where(
-        ((lo >= F.col("_start")) & (lo < F.col("_stop")))
-        | ((hi >= F.col("_start")) & (hi < F.col("_stop")))
-    )
-    inside = Window.partitionBy(*by, "_bin").orderBy(value)
-    placed = wanted.withColumn(
-        "_to",
-        F.col("_start")
-        + F.sum(count).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-    ).withColumn("_from", F.col("_to") - F.col(count))
-    low = F.max(F.when((lo >= F.col("_from")) & (lo < F.col("_to")), F.col(value)))
-    high = F.max(F.when((hi >= F.col("_from")) & (hi < F.col("_to")), F.col(value)))
-    return placed.groupBy(*by).agg(((low + high) / 2.0).alias("median"))
-
+def weighted_median(df: DataFrame, by: Sequence[str], value: str, count: str) -> DataFrame:
+    """Median of values with multiplicities (linear between the two middle ranks)."""
+    return ordering.weighted_quantiles(df, by, value, count, {"median": 0.5}).drop("n")

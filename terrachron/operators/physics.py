@@ -346,7 +346,7 @@ def merge_evidence(groups: DataFrame, order: str = "group_id") -> DataFrame:
 
 
 def loss_roles(domains: DataFrame, policy: str = "fixed_per_domain") -> DataFrame:
-    """One role per domain when trajectory and budget both claim it.
+    """One role per domain when trajectory and budget both claim it, else the domain's first kind.
 
     ``domains`` rows are (domain_id, kind). Two flags per domain are enough, so no
     list of kinds is gathered.
@@ -387,29 +387,32 @@ def spline_rate(queries: DataFrame, knots: DataFrame, key: str = "segment_id") -
 # --- region selection --------------------------------------------------------
 
 
-def balanced_regions(candidates: DataFrame, max_regions: int = 48) -> DataFrame:
-    """Strided, quota-balanced choice of cells per plate, with alternating roles.
+def balanced_regions(candidates: DataFrame, max_regions: int | None = None) -> DataFrame:
+    """Cells per plate with alternating roles and ``left_out``, the plate's cells not chosen.
 
     ``candidates`` rows are grid cells (plate_id, i, j); the grid bounds a plate's
-    rows. Plates take turns: first trajectory, next budget.
+    rows. Plates take turns: first trajectory, next budget. Without ``max_regions`` all cells
+    are chosen; with it, cells are taken at even strides under an equal quota per plate.
     """
     from . import ordering
 
-    plates = ordering.dense_ids(candidates.where(F.col("plate_id") >= 0), "plate_id", "plate_rank")
+    located = candidates.where(F.col("plate_id") >= 0)
+    plates = ordering.dense_ids(located, "plate_id", "plate_rank")
+    role = F.when(F.col("plate_rank") % 2 == 0, "trajectory").otherwise("budget")
+    ranked = located.join(plates, "plate_id").withColumn("role", role)
+    if max_regions is None:
+        return ranked.withColumn("left_out", F.lit(0).cast("long"))
     total = plates.agg(F.count("*").alias("m")).select("m").scalar()
-    counts = candidates.groupBy("plate_id").agg(F.count("*").alias("_n"))
+    counts = located.groupBy("plate_id").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("plate_id").orderBy("i", "j")
-    ranked = (
-        candidates.join(plates, "plate_id")
-        .join(counts, "plate_id")
-        .withColumn("_k", F.row_number().over(w) - 1)
-        .withColumn("_quota", F.greatest(F.lit(1), F.floor(F.lit(max_regions) / total)))
-    )
+    quota = F.greatest(F.lit(1), F.floor(F.lit(max_regions) / total))
     stride = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.col("_quota")))
-    picked = ranked.where(
-        (F.col("_k") % stride == 0) & (F.floor(F.col("_k") / stride) < F.col("_quota"))
-    )
     # With more plates than regions the quota is one each: the first plates win.
-    kept = picked.where(F.col("plate_rank") < max_regions)
-    role = F.when(F.col("plate_rank") % 2 == 0, "trajectory").otherwise("budget")
-    return kept.withColumn("role", role).drop("_n", "_k", "_quota")
+    chosen = (
+        (F.col("_k") % stride == 0)
+        & (F.floor(F.col("_k") / stride) < F.col("_quota"))
+        & (F.col("plate_rank") < max_regions)
+    )
+    marked = ranked.join(counts, "plate_id").withColumns({"_k": F.row_number().over(w) - 1, "_quota": quota})
+    taken = F.least(F.col("_quota"), F.ceil(F.col("_n") / stride))
+    return marked.where(chosen).withColumn("left_out", (F.col("_n") - taken).cast("long")).drop("_n", "_k", "_quota")

@@ -120,21 +120,29 @@ def ring_report(vertices: DataFrame, ring: Sequence[str] = RING) -> DataFrame:
 
 
 def hemisphere_rings(vertices: DataFrame, ring: Sequence[str] = RING) -> DataFrame:
-    """Rings whose inside is ambiguous because they bound half the sphere (rejects)."""
+    """Rings whose inside is ambiguous because they bound half the sphere (rejects).
+
+    Containment refuses them; list them first to take them out.
+    """
     s = ring_summary(edges(vertices, ring), ring)
     return s.where(F.abs(F.abs("signed_area_sr") - 2 * math.pi) < _HEMISPHERE_TOLERANCE)
 
 
 def _crossing_edges(edge_rows: DataFrame, ring: Sequence[str], carry: Sequence[str], lon_bin: float):
     """Edges with their ring's ray direction, spread over the longitude bins they span."""
-    summary = ring_summary(edge_rows, ring).where(
-        F.abs(F.abs("signed_area_sr") - 2 * math.pi) >= _HEMISPHERE_TOLERANCE
-    )
+    summary = ring_summary(edge_rows, ring)
+    # A ring that bounds half the sphere has two insides: the job stops and names it.
+    halved = F.abs(F.abs("signed_area_sr") - 2 * math.pi) < _HEMISPHERE_TOLERANCE
+    refusal = F.raise_error(F.concat_ws(" ", F.lit("ring bounds half the sphere:"), *ring))
     # A ring that holds the north pole is tested against a ray to the south pole,
     # every other ring against a ray to the north pole; the ray's end is outside.
     turns = F.col("pole_turns") * F.signum("signed_area_sr")
     # South of its floor a ring that holds neither pole has no inside to find.
-    floor = F.when(F.abs(turns) > 0.5, -90.0).otherwise(F.col("lat_floor") - 1e-9)
+    floor = (
+        F.when(halved, refusal.cast("double"))
+        .when(F.abs(turns) > 0.5, -90.0)
+        .otherwise(F.col("lat_floor") - 1e-9)
+    )
     rays = summary.select(*ring, (turns > 0.5).alias("to_south"), floor.alias("floor"))
     # Both ends of an edge are compared as wrapped vertex longitudes, so two edges
     # that share a vertex always agree on which side of a meridian it lies.

@@ -35,15 +35,6 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN marks a missing number; in Spark it would sort above every number."""
-    fixed = [
-        F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c)
-        for c, t in df.dtypes
-    ]
-    return df.select(*fixed)
-
-
 def _number(name: str) -> Column:
     value = F.col(name).try_cast("double")
     return F.when(~F.isnan(value), value)
@@ -133,10 +124,6 @@ def valid_record(columns=(), include_flagged: bool = False) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def normalised_longitude(obs: DataFrame) -> DataFrame:
-    return obs.withColumn("present_lon", wrap180("present_lon"))
-
-
 def explode_nodes(
     records: DataFrame,
     keep,

@@ -179,62 +179,32 @@ def nearest_distance(
     return joined.withColumn(out, km).drop("_d")
 
 
-def within_distance(
-    points: DataFrame,
-    targets: DataFrame,
-    cutoff_km: float,
-    *,
-    point_keys: Sequence[str],
-    target_keys: Sequence[str],
-    width: float | None = None,
-) -> DataFrame:
-    """Pairs (point, target) closer than ``cutoff_km``, with ``distance_km``.
+def rbf_sums(points: DataFrame, centres: Sequence[tuple[float, float, float]], length_km: float = 800.0) -> DataFrame:
+    """``points`` with ``weight`` and ``weighted_value``: Gaussian kernel sums over all centres.
 
-    Only for target sets that are fixed by design (centres of a basis), because
-    the result has one row per pair.
+    ``centres`` are (lon, lat, value) of a basis that is fixed by design. They travel as one literal
+    array that is folded per row, so no table of pairs is made and no centre is left out.
     """
-    reach = cutoff_km / EARTH_RADIUS_KM
-    scheme = CellScheme(width or min(30.0, max(0.5, math.degrees(reach) / 2)))
-    place = points.withColumn("cell", scheme.cell("lon", "lat")).withColumns(
-        vec_columns(sphere.unit_vector("lon", "lat"), "p_")
-    )
-    goals = targets.withColumn("target_cell", scheme.cell("t_lon", "t_lat")).withColumns(
-        vec_columns(sphere.unit_vector("t_lon", "t_lat"), "t_")
-    )
-    pairs = _cell_pairs(
-        place.select("cell").distinct(),
-        goals.select(F.col("target_cell").alias("cell")).distinct(),
-        scheme,
-        reach,
-        [],
-    ).select("cell", "target_cell")
-    joined = place.join(pairs, "cell").join(goals, "target_cell")
-    # A dot product rejects most pairs before the exact angle is taken.
-    close = joined.where(
-        sphere.dot(vec_of("p_"), vec_of("t_")) >= math.cos(min(reach, math.pi)) - 1e-9
-    )
-    d = sphere.angle(vec_of("p_"), vec_of("t_")) * EARTH_RADIUS_KM
-    return (
-        close.select(*point_keys, *target_keys, d.alias("distance_km"))
-        .where(F.col("distance_km") <= cutoff_km)
+    basis = []
+    for lon, lat, value in centres:
+        lam, phi = math.radians(lon), math.radians(lat)
+        basis.append((math.cos(phi) * math.cos(lam), math.cos(phi) * math.sin(lam), math.sin(phi), float(value)))
+    rows = F.array(*[F.array(*map(F.lit, b)) for b in basis])
+    p = sphere.unit_vector("lon", "lat")
+    here = points.withColumns({"_px": p.x, "_py": p.y, "_pz": p.z})
+
+    def kernel(c: Column) -> Column:
+        # The chord keeps its digits for near centres, where a dot product has lost them.
+        chord2 = F.pow(F.col("_px") - c[0], 2) + F.pow(F.col("_py") - c[1], 2) + F.pow(F.col("_pz") - c[2], 2)
+        d = 2.0 * EARTH_RADIUS_KM * F.asin(F.least(F.sqrt(chord2) / 2.0, F.lit(1.0)))
+        return F.exp(-0.5 * F.pow(d / length_km, 2))
+
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("v"))
+    total = F.aggregate(
+        rows,
+        zero,
+        lambda s, c: F.struct((s["w"] + kernel(c)).alias("w"), (s["v"] + kernel(c) * c[3]).alias("v")),
     )
-
-
-def rbf_weights(
-    points: DataFrame,
-    centres: DataFrame,
-    length_km: float = 800.0,
-    *,
-    point_keys: Sequence[str],
-    centre_keys: Sequence[str],
-    cutoff_lengths: float = 3.0,
-) -> DataFrame:
-    """Sparse spherical RBF rows: weight of every centre within three length scales."""
-    pairs = within_distance(
-        points,
-        centres,
-        cutoff_lengths * length_km,
-        point_keys=point_keys,
-        target_keys=centre_keys,
+    return here.withColumn("_s", total).select(
+        *points.columns, F.col("_s.w").alias("weight"), F.col("_s.v").alias("weighted_value")
     )
-    return pairs.withColumn("weight", F.exp(-0.5 * F.pow(F.col("distance_km") / length_km, 2)))

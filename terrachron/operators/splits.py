@@ -92,15 +92,36 @@ def window_role(lower, upper, representative, window, max_width: float = 5.0) ->
 # --- held-out ids ------------------------------------------------------------
 
 
-def unknown_holdout_ids(obs: DataFrame, holdout: DataFrame) -> DataFrame:
-    return holdout.select("observation_id").distinct().join(obs, "observation_id", "left_anti")
+def holdout_problems(obs: DataFrame, holdout: DataFrame, flag: str = "held") -> DataFrame:
+    """(observation_id, problem) of a held-out list: unknown or repeated ids, flags not 0 or 1.
+
+    ``holdout`` has ``observation_id`` and may have a flag column.
+    """
+    counts = holdout.groupBy("observation_id").agg(
+        F.count("*").alias("n"),
+        *([F.count_if(~F.coalesce(F.col(flag).isin(0, 1), F.lit(False))).alias("odd")] if flag in holdout.columns else [F.lit(0).alias("odd")]),
+    )
+    known = obs.select("observation_id").distinct().withColumn("_known", F.lit(True))
+    problem = (
+        F.when(F.col("_known").isNull(), "unknown id").when(F.col("n") > 1, "repeated id").when(F.col("odd") > 0, "flag is not 0 or 1")
+    )
+    return (
+        counts.join(known, "observation_id", "left")
+        .select("observation_id", problem.alias("problem"))
+        .where(F.col("problem").isNotNull())
+    )
+
+
+def held_ids(holdout: DataFrame, flag: str = "held") -> DataFrame:
+    """The ids that are held out: those with flag 1, or all where there is no flag."""
+    return (holdout.where(F.col(flag) == 1) if flag in holdout.columns else holdout).select("observation_id").distinct()
 
 
 def whole_group_holdout(obs: DataFrame, holdout: DataFrame, group: str) -> DataFrame:
     """Add ``held_out``: true for every row of a group that has a held-out id."""
     groups = (
         obs.select("observation_id", group)
-        .join(holdout.select("observation_id").distinct(), "observation_id", "left_semi")
+        .join(held_ids(holdout), "observation_id", "left_semi")
         .select(group)
         .distinct()
         .withColumn("_held", F.lit(True))
@@ -172,7 +193,8 @@ def assign_split(
 
 
 def window_manifest(obs: DataFrame, windows, max_width: float = 5.0) -> DataFrame:
-    """Per window: role counts, site counts per role and the leakage checks.
+    """Per window: role, site and total counts, and the leakage checks: sites on both sides are
+    counted, ids on both sides fail the window.
 
     One pass over the records: every record is tagged with its role in each of
     the few windows, then counted with map-side combining.
@@ -190,8 +212,8 @@ def window_manifest(obs: DataFrame, windows, max_width: float = 5.0) -> DataFram
         ]
     )
     tagged = obs.select(
-        site_key("present_lon", "present_lat").alias("site"), F.explode(tags).alias("t")
-    ).select("site", "t.*")
+        "observation_id", site_key("present_lon", "present_lat").alias("site"), F.explode(tags).alias("t")
+    ).select("observation_id", "site", "t.*")
     # Counts per (window, role, site) first: the distinct sites come for free.
     by_site = tagged.groupBy("window", "role", "site").agg(F.count("*").alias("n"))
     by_role = by_site.groupBy("window", "role").agg(
@@ -216,9 +238,20 @@ def window_manifest(obs: DataFrame, windows, max_width: float = 5.0) -> DataFram
         pick("buffer", "n").alias("n_buffer"),
         pick("train", "sites").alias("train_sites"),
         pick("test", "sites").alias("test_sites"),
+        F.sum("n").alias("n_records"),
+    )
+    totals = by_site.groupBy("window").agg(F.count_distinct("site").alias("n_sites"))
+    ids = (
+        tagged.groupBy("window", "observation_id")
+        .agg(
+            F.max((F.col("role") == "train").cast("int")).alias("tr"),
+            F.max((F.col("role") == "test").cast("int")).alias("te"),
+        )
+        .groupBy("window")
+        .agg(F.sum(F.col("tr") * F.col("te")).alias("shared_ids"))
     )
-    return report.join(shared, "window").withColumn(
-        "passed", (F.col("n_train") > 0) & (F.col("n_test") > 0)
+    return report.join(shared, "window").join(totals, "window").join(ids, "window").withColumn(
+        "passed", (F.col("n_train") > 0) & (F.col("n_test") > 0) & (F.col("shared_ids") == 0)
     )
 
 

@@ -53,14 +53,6 @@ def unpivot_slots(wide: DataFrame, key: str = "source_row") -> DataFrame:
     )
 
 
-def on_time_samples(long: DataFrame) -> DataFrame:
-    return long.where("on_time").drop("on_time", "slot")
-
-
-def mismatch_count(long: DataFrame) -> DataFrame:
-    return long.agg(F.count_if(~F.col("on_time")).alias("dropped_mismatch"))
-
-
 def segments(samples: DataFrame, key: str = "source_row") -> DataFrame:
     """Every sample with its successor: (key, t0, lon0, lat0, t1, lon1, lat1).
 

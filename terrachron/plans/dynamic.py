@@ -11,28 +11,6 @@ from ..operators import polygons, rotations
 from .prepare import DISTANCE_SCALE_KM, REFERENCE_SCALE_KM
 
 
-def rotated_outlines(
-    outlines: DataFrame, entries: DataFrame, ages: Sequence[float]
-) -> DataFrame:
-    """Present-day polygon vertices moved to every age of a short list.
-
-    Polygons whose plate cannot be rotated to an age are left out at that age.
-    """
-    pairs = F.array(
-        *[F.struct(F.lit(k).alias("age_idx"), F.lit(float(a)).alias("age")) for k, a in enumerate(ages)]
-    )
-    rows = outlines.withColumn("_a", F.explode(pairs)).select("*", "_a.*").drop("_a")
-    moved = rotations.reconstruct(rows, entries)
-    return moved.where("ok").drop("lon", "lat", "ok").withColumnsRenamed(
-        {"rec_lon": "lon", "rec_lat": "lat"}
-    )
-
-
-def at_anchors(vertices: DataFrame, step: float) -> DataFrame:
-    """Snapshot polygons with their anchor number; every anchor is its own feature set."""
-    return vertices.withColumn("age_idx", F.rint(F.col("age") / step).cast("int"))
-
-
 def dynamic_features(
     base: DataFrame,
     modern: DataFrame,
@@ -85,16 +63,6 @@ def dynamic_features(
     ).drop("boundary_km", "reference_km", "c", "in_network")
 
 
-def anchor_report(features: DataFrame) -> DataFrame:
-    """Per anchor: unassigned cells, supported cells, network and continental cells."""
-    return features.groupBy("age_idx").agg(
-        F.count_if(F.col("plate_id") < 0).alias("unassigned"),
-        F.count_if("supported").alias("supported"),
-        F.count_if(F.col("deformation_coverage") > 0).alias("network"),
-        F.count_if(F.col("continental_mask") > 0).alias("continental"),
-    )
-
-
 def require_boundaries(vertices: DataFrame, n_anchors: int) -> DataFrame:
     """Anchors without any outline (must be empty before distances are used)."""
     spark = vertices.sparkSession

@@ -108,28 +108,28 @@ def prepare(
     """Frozen tables ``records, nodes, features, modern``.
 
     With rotations and plates the nodes are moved to their past positions and a
-    record with any node that cannot be moved is dropped whole.
+    record with any node that cannot be moved is dropped whole. A held-out list with unknown or
+    repeated ids or flags other than 0 and 1 is refused, and so is a test set without records.
     """
     paleo = rotation_entries is not None and static_plates is not None
-    n_anchors = checks.check_arguments(
-        nlat=nlat,
-        nlon=nlon,
-        step=step,
-        max_age=max_age,
-        window=window,
-        holdout=holdout,
-        validation_fraction=validation_fraction,
-        max_width=max_width,
-        coordinate_mode="paleo" if paleo else "present",
-        sigmas={
-            "record_sigma": record_sigma,
-            "continental_sigma": continental_sigma,
-            "thin_sigma": thin_sigma,
-            "modern_sigma": modern_sigma,
-        },
-    )
+    checks.checked_number("nlat", nlat, 4)
+    checks.checked_number("nlon", nlon, 8)
+    n_anchors = checks.anchor_count(max_age, step)
+    if window is not None:
+        checks.checked_window(window, max_age)
+    checks.checked_number("validation_fraction", validation_fraction, 0, 1, open_high=True)
+    checks.checked_number("max_width", max_width, 0)
+    for name, sigma in (
+        ("record_sigma", record_sigma),
+        ("continental_sigma", continental_sigma),
+        ("thin_sigma", thin_sigma),
+        ("modern_sigma", modern_sigma),
+    ):
+        checks.checked_number(name, sigma, 0, open_low=True)
     flags = [c for c in records.DISQUALIFYING if c in obs.columns]
     checks.require_columns(obs, [*records.REQUIRED, *([group] if group else [])], flags)
+    if holdout is not None:
+        checks.must_be_empty(splits.holdout_problems(obs, holdout), "held-out list refused")
     key = group
     rows = obs
     if group is None:
@@ -145,6 +145,8 @@ def prepare(
         seed=seed,
     )
     valid = split.where(records.valid_record(split.columns, include_flagged))
+    if (window is not None or holdout is not None) and valid.where(F.col("split") == splits.TEST).isEmpty():
+        raise checks.ContractError("no eligible record is left for the test set")
     sampled = fields.sample_one_field(
         valid,
         modern.select("i", "j", "value"),

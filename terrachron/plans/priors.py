@@ -32,7 +32,7 @@ def rigid_priors(
     nlon: int,
     step: float,
     n_anchors: int,
-    max_regions: int = 48,
+    max_regions: int | None = None,
     min_edge_km: float = 500.0,
 ) -> Mapping[str, DataFrame]:
     """Trajectory and budget factors in supported plate interiors.

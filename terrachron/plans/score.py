@@ -35,16 +35,6 @@ def score(
     return scoring.split_scores(scores.where(F.col("split") >= 0))
 
 
-def score_modern(
-    tables: Mapping[str, DataFrame], field: DataFrame, nlat: int, nlon: int, step: float,
-    n_anchors: int,
-) -> DataFrame:
-    """Endpoint loss and area RMSE of the youngest anchor on the native cells."""
-    cells = tables["modern"].withColumn("age", F.lit(0.0)).withColumnRenamed("value", "observed")
-    at = fields.sample_fields(cells, field, nlat, nlon, step, n_anchors)
-    return scoring.modern_block_mean_loss(at.withColumnRenamed("value", "prediction"))
-
-
 def compare_models(
     tables: Mapping[str, DataFrame],
     candidates: Mapping[str, DataFrame],

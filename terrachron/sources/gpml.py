@@ -43,17 +43,46 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
             F.monotonically_increasing_id().alias("feature"),
         )
     )
+    return parse_features(members)
+
+
+def feature_rejects(members: DataFrame) -> DataFrame:
+    """(path, feature, text) of coordinate lists with text that is no number, or an odd count."""
+    lists = F.explode(_all_inner(_without_marks(F.col("xml")), "posList")).alias("text")
+    return members.select("path", "feature", lists).where(_malformed(F.col("text")))
+
+
+def _numbers(text: Column) -> Column:
+    return F.transform(
+        F.filter(F.split(F.trim(text), r"\s+"), lambda s: s != ""), lambda s: s.try_cast("double")
+    )
+
+
+def _malformed(text: Column) -> Column:
+    values = _numbers(text)
+    return F.exists(values, lambda v: v.isNull()) | (F.size(values) % 2 == 1)
+
+
+def _without_marks(xml: Column) -> Column:
+    """XML without comments, with the text of CDATA sections in place."""
+    plain = F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
+    return F.regexp_replace(plain, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+
+
+def parse_features(members: DataFrame) -> DataFrame:
+    """(path, feature, xml) pieces that end at each feature member's end -> features.
+
+    A malformed coordinate list stops the job; ``feature_rejects`` lists all of them.
+    """
     # A piece that ends in "</gml:" closed a member; anything else is outside one.
     body = members.where(F.col("xml").rlike(r"(?s)</(?:\w+:)?$"))
-    xml = F.col("xml")
+    xml = _without_marks(F.col("xml"))
     plate_text = F.coalesce(_inner(xml, "reconstructionPlateId"), _inner(xml, "plateid"))
     numbers = F.regexp_extract(_plain(plate_text), r"([-+]?\d+(?:\.\d+)?)\s*$", 1)
 
     def pairs(text: Column) -> Column:
-        values = F.transform(
-            F.filter(F.split(F.trim(text), r"\s+"), lambda s: s != ""),
-            lambda s: s.try_cast("double"),
-        )
+        told = F.concat_ws(" ", F.lit("malformed coordinates in"), "path", F.col("feature").cast("string"))
+        values = F.when(_malformed(text), F.raise_error(told).cast("array<double>")).otherwise(_numbers(text))
         return F.transform(
             F.sequence(F.lit(0), F.floor(F.size(values) / 2) - 1),
             lambda k: F.struct(

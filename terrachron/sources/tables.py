@@ -50,14 +50,35 @@ def _csv_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
     """Observation CSV with typed required columns, optional extras and boolean flags."""
-    raw = checks.require_columns(_csv_text(spark, path), records.REQUIRED)
+    return typed_observations(_csv_text(spark, path))
+
+
+def _bad_flag(name: str):
+    return F.col(name).isNotNull() & F.col(name).try_cast("boolean").isNull()
+
+
+def flag_rejects(raw: DataFrame) -> DataFrame:
+    """(observation_id, flag, text) of flags that are neither true nor false."""
+    flags = [c for c in raw.columns if c.startswith("qc_")]
+    found = F.array(
+        *[F.when(_bad_flag(c), F.struct(F.lit(c).alias("flag"), F.col(c).alias("text"))) for c in flags]
+    )
+    return raw.select("observation_id", F.explode(F.array_compact(found)).alias("f")).select("observation_id", "f.*")
+
+
+def typed_observations(raw: DataFrame) -> DataFrame:
+    """Text columns -> observation table. A flag that cannot be read stops the job with its record;
+    ``flag_rejects`` lists all of them."""
+    checks.require_columns(raw, records.REQUIRED)
     columns = []
     for c in raw.columns:
         if c in records.REQUIRED[1:] or c == "age_representative_ma":
             number = F.col(c).try_cast("double")
             columns.append(F.when(~F.isnan(number), number).alias(c))
         elif c.startswith("qc_"):
-            columns.append(F.col(c).try_cast("boolean").alias(c))
+            told = F.concat_ws(" ", F.lit(f"unreadable {c}:"), F.col(c), F.lit("in record"), "observation_id")
+            refusal = F.raise_error(told).cast("boolean")
+            columns.append(F.when(_bad_flag(c), refusal).otherwise(F.col(c).try_cast("boolean")).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))
     return raw.select(*columns)
@@ -75,6 +96,12 @@ def read_point_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POINT_QUERY).option("header", True).csv(path)
 
 
+def parse_rows(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """CSV lines (``value``) under a declared schema; a line that does not fit has null columns."""
+    parsed = F.from_csv("value", schema.simpleString()[len("struct<") : -1].replace(":", " "), {"mode": "PERMISSIVE"})
+    return lines.select(parsed.alias("r")).select("r.*")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 

@@ -28,13 +28,17 @@ def _number(fields: Column, k: int) -> Column:
 
 
 def read_modern_grid(spark: SparkSession, path: str) -> DataFrame:
-    """``lon lat -thickness`` lines -> (i, j, lon, lat, encoded, value, area_km2).
+    """The modern grid of a text file."""
+    return parse_modern_grid(spark.read.text(path))
+
+
+def parse_modern_grid(lines: DataFrame) -> DataFrame:
+    """``lon lat -thickness`` lines (``value``) -> (i, j, lon, lat, encoded, value, area_km2).
 
     Row and column numbers come from the coordinates, not from line order.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
     f = _fields(F.col("value"))
-    rows = lines.select(
+    rows = lines.where(F.trim("value") != "").select(
         _number(f, 0).alias("lon"), _number(f, 1).alias("lat"), _number(f, 2).alias("encoded")
     )
     return rows.select(
@@ -80,17 +84,27 @@ def modern_endpoint(grid: DataFrame, sigma_km: float = 3.0) -> DataFrame:
 # --- rotations ---------------------------------------------------------------
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n, line) of text files; ``n`` keeps the order of a file's lines."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.monotonically_increasing_id().alias("n"),
+        F.col("value").alias("line"),
+    )
+
+
 def read_rotations(spark: SparkSession, path: str) -> DataFrame:
-    """Rotation lines -> (plate_id, age, lat, lon, angle, conjugate_id).
+    """The rotations of text files."""
+    return parse_rotations(numbered_lines(spark, path))
+
+
+def parse_rotations(lines: DataFrame) -> DataFrame:
+    """(path, n, line) rotation lines -> (plate_id, age, lat, lon, angle, conjugate_id).
 
     Comment lines and lines that do not parse are skipped; the first line of a
     (plate, age) wins; a missing or unreadable parent is plate 0.
     """
-    numbered = spark.read.text(path).select(
-        F.trim("value").alias("line"),
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("n"),
-    )
+    numbered = lines.select(F.trim("line").alias("line"), F.col("path").alias("file"), "n")
     f = _fields(F.col("line"))
     parent = F.get(f, F.lit(5)).try_cast("int")
     rows = numbered.where(
@@ -116,6 +130,11 @@ def read_rotations(spark: SparkSession, path: str) -> DataFrame:
 def list_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """(path, age) of the snapshot files of a folder; age null if the name has none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gmt").load(folder)
+    return snapshot_ages(files)
+
+
+def snapshot_ages(files: DataFrame) -> DataFrame:
+    """(path, age) of paths; age null if the name has none."""
     name = F.element_at(F.split("path", "/"), -1)
     # Fixed pattern: the age stands right before "Ma.gmt" and is not part of a longer number.
     text = F.regexp_extract(name, r"(?<![\d.\-])(\d+(?:\.\d+)?)Ma\.gmt$", 1)
@@ -148,7 +167,25 @@ def _age_keys(age: str) -> Column:
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Polygon snapshot files -> one row per vertex.
+    """The vertices of polygon snapshot files."""
+    return parse_snapshots(numbered_lines(spark, path))
+
+
+# A bar outside quotes: an even number of quotes follows.
+_BAR = r'\|(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _attributes(text: str) -> Column:
+    """Fields between bars; a quoted field may hold bars, and doubled quotes stand for one."""
+    def plain(a: Column) -> Column:
+        inner = F.regexp_extract(a, r'(?s)^"(.*)"$', 1)
+        return F.when(a.rlike(r'(?s)^".*"$'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(a)
+
+    return F.transform(F.split(text, _BAR), plain)
+
+
+def parse_snapshots(lines: DataFrame) -> DataFrame:
+    """(path, n, line) of polygon snapshots -> one row per vertex.
 
     Columns: ``path, age, feature, meta, ring, role, vertex, lon, lat, problem``.
     Lines keep their order through a running number, so a file may be split among
@@ -156,11 +193,7 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     file. A line that breaks the format yields a row with ``problem`` set, and its
     whole file belongs to the rejects.
     """
-    lines = spark.read.text(path).select(
-        F.trim(F.regexp_replace("value", "^﻿", "")).alias("line"),
-        F.col("_metadata.file_path").alias("path"),
-        F.monotonically_increasing_id().alias("n"),
-    )
+    lines = lines.select(F.trim(F.regexp_replace("line", "^\ufeff", "")).alias("line"), "path", "n")
     line = F.col("line")
     is_feature = line.startswith("# @D")
     is_break = line.startswith(">")
@@ -200,9 +233,8 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     )
     f = _fields(line)
     lon, lat = _number(f, 0), _number(f, 1)
-    attr = F.split("attributes", r"\|")
+    clean = _attributes("attributes")
     name_list = F.split("names", r"\|")
-    clean = F.transform(attr, lambda a: F.regexp_replace(a, r'^"(.*)"$', "$1"))
     counts_match = F.size(clean) == F.size(name_list)
     duplicate_names = F.size(F.array_distinct(name_list)) != F.size(name_list)
     problem = (
@@ -243,7 +275,9 @@ def snapshot_polygons(vertices: DataFrame) -> DataFrame:
     """
     from ..operators import polygons
 
-    ok = vertices.where(F.col("problem").isNull())
+    # A file with any problem is left out whole; a ring without its bad line is another ring.
+    bad = vertices.where(F.col("problem").isNotNull()).select("path").distinct()
+    ok = vertices.join(bad, "path", "left_anti")
     named = ok.withColumn(
         "feature_id",
         F.coalesce(
