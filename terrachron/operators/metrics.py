@@ -85,10 +85,13 @@ def bootstrap_deltas(
         F.sum(F.abs(F.col(a) - y)).alias("sa"),
         F.sum(F.abs(F.col(b) - y)).alias("sb"),
     )
-    drawn = (
-        units.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .withColumn("_u", hash_uniform(seed, F.col("b"), F.col(unit)))
-        .withColumn("t", _poisson_one(F.col("_u")))
+    # The uniform is made inside the generator, so that it is hashed once per row.
+    replicates = F.transform(
+        F.sequence(F.lit(0), F.lit(n_boot - 1)),
+        lambda k: F.struct(k.alias("b"), hash_uniform(seed, k, F.col(unit)).alias("u")),
+    )
+    drawn = units.select("n", "sa", "sb", F.explode(replicates).alias("r")).select(
+        "n", "sa", "sb", F.col("r.b").alias("b"), _poisson_one(F.col("r.u")).alias("t")
     )
     t = F.col("t")
     total = F.sum(t * F.col("n"))
