@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,24 +145,31 @@ def _settled(h, e, ids, start) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gone, again, mixed
 
 
-def _rows(ids, start, size, e, a, b, h, ask) -> pa.RecordBatch:
+def _place(start, size, a, b) -> np.ndarray:
+    """Where an extent is in its text, and from where to where it is meant, as one number."""
+    start, size, a, b = (np.asarray(x).astype(np.int64) for x in (start, size, a, b))
+    return (((start << 10 | size) << 10) | a) << 10 | b
+
+
+def _parts(place: np.ndarray) -> tuple[np.ndarray, ...]:
+    return place >> 30, place >> 20 & 1023, place >> 10 & 1023, place & 1023
+
+
+def _rows(ids, start, size, e, h, ask) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids.astype(np.int64)),
-            pa.array(start.astype(np.int32)),
-            pa.array(size.astype(np.int32)),
+            pa.array(_place(start, size, np.zeros(len(ids)), size)),
             pa.array(e.astype(np.uint64).view(np.int64)),
-            pa.array(a.astype(np.int32)),
-            pa.array(b.astype(np.int32)),
             pa.array(h.astype(np.uint64).view(np.int64)),
             pa.array(ask),
         ],
-        ["key", "start", "size", "e", "a", "b", "h", "ask"],
+        ["key", "place", "e", "h", "ask"],
     )
 
 
-_ROW = "key bigint, start int, size int, e bigint, a int, b int, h bigint, ask boolean"
-_SPAN = ["key", "start", "size", "e", "a", "b"]
+_ROW = "key bigint, place bigint, e bigint, h bigint, ask boolean"
+_SPAN = ["key", "place", "e"]
 
 
 def _is_hot(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -221,9 +229,9 @@ def _met(hot: np.ndarray):
         ask = (mixed | _is_hot(h, hot)) & ~gone & ~again
         out = gone & ~again | ask
         h, e, ids, start, size, ask = (c[out] for c in (h, e, ids, start, size, ask))
-        out = [_rows(ids, start, size, e, np.zeros(len(h)), size, h, ask)]
+        out = [_rows(ids, start, size, e, h, ask)]
         for h, e, ids, start, size in done:
-            out.append(_rows(ids, start, size, e, np.zeros(len(h)), size, h, np.zeros(len(h), dtype=bool)))
+            out.append(_rows(ids, start, size, e, h, np.zeros(len(h), dtype=bool)))
         return pa.Table.from_batches(out)
 
     return run
@@ -339,19 +347,19 @@ def _shard(length: int, hot: np.ndarray):
         ids = table.column("key").to_numpy()
         at, region, doc, least = _judged(text, begin, size, ids, length)
         start, e, h = (table.column(c).to_numpy() for c in ("start", "e", "h"))
+
+        def rows(r, a, b, windows):
+            place = _place(start[r], size[r], a, b)
+            return pa.table([pa.array(ids[r]), pa.array(place), pa.array(e[r]), windows], [*_SPAN, "window"])
+
         gone = doc > least
         r, a, b = _ranges(at[gone], region[gone], begin, length)
-        none = pa.nulls(len(r), pa.binary())
-        columns = [pa.array(c[r]) for c in (ids, start)] + [pa.array(size[r].astype(np.int32)), pa.array(e[r])]
-        out = pa.table([*columns, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), none], [*_SPAN, "window"])
+        out = rows(r, a, b, pa.nulls(len(r), pa.binary()))
         first = ~gone & _is_hot(h.view(np.uint64), hot)[region]
         if first.any():
             at, r = at[first], region[first]
-            windows = text[at[:, None] + np.arange(length)]
-            offset = (at - begin[r]).astype(np.int32)
-            columns = [pa.array(c[r]) for c in (ids, start)] + [pa.array(size[r].astype(np.int32)), pa.array(e[r])]
-            raw = pa.array([w.tobytes() for w in windows], pa.binary())
-            out = pa.concat_tables([out, pa.table([*columns, pa.array(offset), pa.array(offset + np.int32(length)), raw], [*_SPAN, "window"])])
+            windows = pa.array([w.tobytes() for w in text[at[:, None] + np.arange(length)]], pa.binary())
+            out = pa.concat_tables([out, rows(r, at - begin[r], at - begin[r] + length, windows)])
         return out
 
     return run
@@ -367,10 +375,14 @@ def spans_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _merged(length: int):
-    """First windows of split shards: those that another shard has in a smaller document are removed."""
+    """First windows of split shards: those that another shard has in a smaller document are
+    removed. Rows without a window are settled and pass."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        settled = table.filter(pc.is_null(table.column("window"))).select(_SPAN)
+        table = table.filter(pc.is_valid(table.column("window"))).combine_chunks()
+        if not table.num_rows:
+            return settled
         text, _, _ = spans_of(table.column("window"))
         windows = text.reshape(-1, length).copy().view(f"S{length}").reshape(-1)
         ids = table.column("key").to_numpy()
@@ -379,7 +391,7 @@ def _merged(length: int):
         least = np.full(len(known), _LARGEST)
         np.minimum.at(least, place, ids)
         gone = pa.array(ids > least[place])
-        return table.select(_SPAN).filter(gone)
+        return pa.concat_tables([settled, table.select(_SPAN).filter(gone)])
 
     return run
 
@@ -420,7 +432,8 @@ def _fetched(shards: int, hot: np.ndarray):
             asks = batch.column("asks")
             for i in np.flatnonzero(~np.asarray(asks.is_null())):
                 data = np.frombuffer(_unzip(batch.column("text")[i]), dtype=np.uint8)
-                start, size, e, h = _listed(asks[i], ("start", "size", "e", "h"))
+                place, e, h = _listed(asks[i], ("place", "e", "h"))
+                start, size, _, _ = _parts(place)
                 good = _right(data, start, size, e)
                 start, size, e, h = start[good], size[good], e[good], h[good]
                 n = len(start)
@@ -460,7 +473,8 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n, gone, count = len(raw), 0, 0
                 if not absent[i]:
                     data = np.frombuffer(raw, dtype=np.uint8)
-                    start, size, e, a, b = _listed(found[i], ("start", "size", "e", "a", "b"))
+                    place, e = _listed(found[i], ("place", "e"))
+                    start, size, a, b = _parts(place)
                     good = _right(data, start, size, e)
                     edge = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(edge, (start + a)[good], 1)
@@ -503,8 +517,8 @@ def remove_repeats(
     with equal ids never remove from each other, also when their texts differ; ids are integers;
     columns of any name are carried along; empty table, empty result.
     """
-    if not 8 <= gram <= length:
-        raise ValueError("a gram has 8 bytes at least and fits into the length")
+    if not 8 <= gram <= length <= 500:
+        raise ValueError("a gram has 8 bytes at least and fits into the length, which is at most 500")
     spark = ship(docs).sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = SHARE * parts
@@ -520,7 +534,7 @@ def remove_repeats(
     asks = (
         met.where("ask")
         .groupBy("key")
-        .agg(F.collect_list(F.struct("start", "size", "e", "h")).alias("asks"))
+        .agg(F.collect_list(F.struct("place", "e", "h")).alias("asks"))
         .withColumnRenamed("key", "asked")
     )
 
@@ -534,14 +548,15 @@ def remove_repeats(
     regions = zipped.join(asks, F.col("key") == F.col("asked"), "left").mapInArrow(
         _fetched(shards, hot), "shard bigint, key bigint, start int, e bigint, h bigint, bytes binary"
     )
-    span = "key bigint, start int, size int, e bigint, a int, b int"
+    span = "key bigint, place bigint, e bigint"
     judged = regions.groupBy("shard").applyInArrow(_shard(length, hot), span + ", window binary")
-    found = met.where("not ask").select(*_SPAN).unionByName(judged.where("window is null").select(*_SPAN))
     if len(hot):
-        part = F.pmod(F.xxhash64("window"), F.lit(shards))
-        first = judged.where("window is not null").withColumn("part", part)
-        found = found.unionByName(first.groupBy("part").applyInArrow(_merged(length), span))
-    spans_by = found.groupBy("key").agg(F.collect_list(F.struct("start", "size", "e", "a", "b")).alias("spans"))
+        # Settled rows are dealt evenly, windows by their bytes.
+        spread = F.when(F.col("window").isNull(), F.xxhash64("key", "place")).otherwise(F.xxhash64("window"))
+        merged = judged.withColumn("part", F.pmod(spread, F.lit(shards)))
+        judged = merged.groupBy("part").applyInArrow(_merged(length), span)
+    found = met.where("not ask").select(*_SPAN).unionByName(judged.select(*_SPAN))
+    spans_by = found.groupBy("key").agg(F.collect_list(F.struct("place", "e")).alias("spans"))
     joined = zipped.join(spans_by.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left").drop("of")
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in others.values())
     out = joined.mapInArrow(
