@@ -368,13 +368,13 @@ def rotations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Rings: one 12-gon per supplier around a hashed centre, hexagonal hole for every third.
-def rings(spark: SparkSession, sf: str) -> DataFrame:
-    """Vertex table of supplier rings (12 vertices, radius 4-13 degrees)."""
+def rings(spark: SparkSession, sf: str, radius: str = "4e0 + (s_suppkey % 10)") -> DataFrame:
+    """Vertex table of supplier rings (12 vertices, by default of radius 4-13 degrees)."""
     base = table(spark, sf, "supplier").selectExpr(
         "s_suppkey",
         "((s_suppkey*7919) % 3600)/1e1-180 as clon",
         "((s_suppkey*10477) % 1400)/1e1-70 as clat",
-        "4e0 + (s_suppkey % 10) as rad",
+        f"{radius} as rad",
     )
     kinds = F.explode(
         F.when(

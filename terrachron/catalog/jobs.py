@@ -221,7 +221,8 @@ def job_dynamic_geometry(spark, sf):
 def job_rigid_priors(spark, sf):
     """Points of the rigid-interior factors of both roles (no SQL oracle)."""
     m = b.modern(spark, sf)
-    plates = b.rings(spark, sf).withColumn("plate_id", (F.col("priority") % 23 + 100).cast("int"))
+    # Plates wide enough that some cells of the coarse grid lie 500 km from every plate edge.
+    plates = b.rings(spark, sf, "5e1").withColumn("plate_id", (F.col("priority") % 23 + 100).cast("int"))
     features = prepare.repeat_over_ages(
         prepare.static_features(spark, m, NLAT, NLON, plates), ANCHORS
     )

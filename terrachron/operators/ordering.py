@@ -32,10 +32,10 @@ def coarse_chunk(value: Column) -> Column:
     return F.floor(F.signum(value) * F.asinh(F.abs(value) * 1e6) * COARSE).cast("long")
 
 
-def fine_chunk(value: Column, low: Column, high: Column) -> Column:
-    """Place of ``value`` in [low, high], in FINE equal parts."""
-    at = F.floor((value - low) / (high - low) * FINE)
-    return F.when(high > low, F.least(at, F.lit(FINE - 1))).otherwise(F.lit(0)).cast("long")
+def fine_chunk(value: Column, low: Column, high: Column, parts: int = FINE) -> Column:
+    """Place of ``value`` in [low, high], in equal parts."""
+    at = F.floor((value - low) / (high - low) * parts)
+    return F.when(high > low, F.least(at, F.lit(parts - 1))).otherwise(F.lit(0)).cast("long")
 
 
 def chunked_row_number(
@@ -76,7 +76,12 @@ def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def weighted_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, count: str, levels: Mapping[str, float | Column]
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    count: str,
+    levels: Mapping[str, float | Column],
+    chunks: int = FINE,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group of values with multiplicities, and the total ``n``.
 
@@ -131,7 +136,7 @@ def weighted_quantiles(
     )
     if not by:  # at most two chunks per level
         hit = F.broadcast(hit)
-    near = rows.join(hit, [*by, "_a"]).withColumn("_b", fine_chunk(F.col("_v"), F.col("_lo"), F.col("_hi")))
+    near = rows.join(hit, [*by, "_a"]).withColumn("_b", fine_chunk(F.col("_v"), F.col("_lo"), F.col("_hi"), chunks))
     keys = [*by, "_a"]
     fine = near.groupBy(*keys, "_b").agg(
         F.sum("_c").alias("_m"), F.max("n").alias("n"), F.max("_base").alias("_base")
@@ -165,10 +170,14 @@ def weighted_quantiles(
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, levels: Mapping[str, float | Column]
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    levels: Mapping[str, float | Column],
+    chunks: int = FINE,
 ) -> DataFrame:
     """Linear-interpolated quantiles of rows per group, plus the group's size ``n``."""
-    return weighted_quantiles(df.withColumn("_one", F.lit(1)), by, value, "_one", levels)
+    return weighted_quantiles(df.withColumn("_one", F.lit(1)), by, value, "_one", levels, chunks)
 
 
 def hash_ranked(df: DataFrame, digest: Column, tie: str, name: str = "rank") -> DataFrame:
