@@ -1,4 +1,7 @@
-"""Quality classifier: hashed word and character n-gram vectors, averaged, with a softmax output."""
+"""Quality classifier: hashed word and character n-gram vectors, averaged, with a softmax output.
+
+A word that repeats the word before it also counts as a word of its own kind, whichever it is.
+"""
 
 from __future__ import annotations
 
@@ -26,18 +29,28 @@ SEED = 20240229
 _GRAM_KEYS = spans.mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+#: Bucket of a word that repeats the one before it.
+_AGAIN = int(_GRAM_KEYS[-1] >> np.uint64(64 - BUCKET_BITS))
+
+
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def features(block: spans.Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Buckets of the words, then of the n-grams of code points, with where each text's begin and end.
+    """Buckets of the words, of words that repeat the word before them (one bucket for all of those),
+    then of the n-grams of code points, with where each text's begin and end.
 
     The values of text d are those from the d-th begin to the d-th end.
     """
     first, last, doc = block.words()
     upto = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(block)))))
-    yield _bucket(block.hashed()(first, last)), upto[:-1], upto[1:]
+    words = block.hashed()(first, last)
+    yield _bucket(words), upto[:-1], upto[1:]
+    again = np.zeros(len(words), dtype=bool)
+    again[1:] = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
+    upto = np.concatenate(([0], np.cumsum(np.bincount(doc[again], minlength=len(block)))))
+    yield np.full(int(again.sum()), _AGAIN), upto[:-1], upto[1:]
     points = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
     upto = np.concatenate(([0], np.cumsum((block.data & 0xC0) != 0x80)))
     begin, end = upto[block.starts], upto[block.ends]
