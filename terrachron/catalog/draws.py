@@ -308,61 +308,48 @@ def harmonic_basis(spark, sf):
 _QUAD = "(select sum(w)*16 from glat)"
 
 
+_COEF = (
+    "coef",
+    "select age_idx, "
+    + ", ".join(f"sum(value*{e}*w/{_QUAD}*4*pi()) as {n}" for n, e in _BASIS2.items())
+    + " from field group by 1",
+)
+
+
 @query(
-    with_(
-        *FIELD_CTES,
-        (
-            "coef",
-            "select age_idx, "
-            + ", ".join(f"sum(value*{e}*w/{_QUAD}*4*pi()) as {n}" for n, e in _BASIS2.items())
-            + " from field where age_idx in (0, 3) group by 1",
-        ),
-    )
+    with_(*FIELD_CTES, _COEF)
     + " union all ".join(
-        f"select {k}::bigint as term, {r(f'(select y{k} from coef where age_idx = 0)', 'young')}, "
-        f"{r(f'(select y{k} from coef where age_idx = 3)', 'old')}, "
-        + r("0e0" if k == 0 else f"(select y{k} from coef where age_idx = 0)/({-2 if k < 4 else -6})", "potential")
+        f"select age_idx::bigint as age_idx, {k}::bigint as term, {r(f'y{k}', 'coefficient')}, "
+        + r("0e0" if k == 0 else f"y{k}/({-2 if k < 4 else -6})", "potential")
+        + " from coef"
         for k in range(9)
     )
 )
 def harmonic_analysis(spark, sf):
-    """Quadrature least squares of two anchor fields, and a spectral inverse Laplacian."""
+    """Quadrature least squares of all anchor fields, and their spectral inverse Laplacians."""
     from ..functions import grids
 
-    f = b.field(spark, sf)
-    weight = grids.gauss_weight("i", b.NLAT)
-    young = harmonics.analyse(f.where("age_idx = 0"), 2, weight)
-    old = harmonics.analyse(f.where("age_idx = 3"), 2, weight)
-    psi = harmonics.poisson_coefficients(young).select("term", F.col("coefficient").alias("potential"))
-    return rounded(
-        young.select("term", F.col("coefficient").alias("young"))
-        .join(old.select("term", F.col("coefficient").alias("old")), "term")
-        .join(psi, "term")
-    )
+    c = harmonics.analyse(b.field(spark, sf), 2, grids.gauss_weight("i", b.NLAT), "age_idx")
+    psi = harmonics.poisson_coefficients(c).select("age_idx", "term", F.col("coefficient").alias("potential"))
+    return rounded(c.select("age_idx", "term", "coefficient").join(psi, ["age_idx", "term"]))
 
 
 @query(
-    with_(
-        *FIELD_CTES,
-        (
-            "coef",
-            "select "
-            + ", ".join(f"sum(value*{e}*w/{_QUAD}*4*pi()) as c{k}" for k, e in enumerate(_BASIS2.values()))
-            + " from field where age_idx = 0",
-        ),
-    )
+    with_(*FIELD_CTES, _COEF)
     + "select observation_id, "
-    + r(" + ".join(f"c{k}*{e}" for k, e in enumerate(_BASIS2.values())), "value")
-    + " from (select observation_id, present_lon as lon, present_lat as lat from obs), coef"
+    + r(" + ".join(f"y{k}*{e}" for k, e in enumerate(_BASIS2.values())), "value")
+    + """ from (select observation_id, present_lon as lon, present_lat as lat, observation_id % 7 as age_idx from obs)
+    join coef using (age_idx)"""
 )
 def harmonic_synthesis(spark, sf):
-    """The analysed field evaluated at every observation."""
+    """The analysed anchor fields evaluated at every observation, one anchor each."""
     from ..functions import grids
 
-    young = b.field(spark, sf).where("age_idx = 0")
-    c = harmonics.analyse(young, 2, grids.gauss_weight("i", b.NLAT))
-    pts = b.obs(spark, sf).selectExpr("observation_id", "present_lon as lon", "present_lat as lat")
-    return rounded(harmonics.synthesise(pts, c, 2).select("observation_id", "value"))
+    c = harmonics.analyse(b.field(spark, sf), 2, grids.gauss_weight("i", b.NLAT), "age_idx")
+    pts = b.obs(spark, sf).selectExpr(
+        "observation_id", "present_lon as lon", "present_lat as lat", "observation_id % 7 as age_idx"
+    )
+    return rounded(harmonics.synthesise(pts, c, 2, by="age_idx").select("observation_id", "value"))
 
 
 # --- variational objective --------------------------------------------------------------

@@ -14,43 +14,48 @@ from ..functions import harmonics, temporal
 from ..functions.physics import softplus
 
 
-def normal_equations(rows: DataFrame, lmax: int) -> DataFrame:
+def normal_equations(rows: DataFrame, lmax: int, by: str | None = None) -> DataFrame:
     """Entries (a, b, value) of Y'WY and of Y'Wf (b = -1) for rows (lon, lat, w, f).
 
-    Each Arrow batch stream is reduced to one small matrix before anything is
-    shuffled, so the shuffle carries (terms^2) numbers per task.
+    With ``by``, a number column such as the anchor, there is one system per value, all in one pass.
+    Each Arrow batch stream is reduced to small matrices before anything is shuffled, so the
+    shuffle carries (terms^2) numbers per task and value.
     """
     k = harmonics.coefficient_count(lmax)
+    key = by or "_all"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram = np.zeros((k, k))
-        right = np.zeros(k)
-        for b in batches:
-            y = harmonics.basis_matrix(lmax, b["lon"].to_numpy(), b["lat"].to_numpy())
-            w = b["w"].to_numpy()
-            gram += y.T @ (y * w[:, None])
-            right += y.T @ (w * b["f"].to_numpy())
+        systems: dict[int, list[np.ndarray]] = {}
+        for whole in batches:
+            for value, b in whole.groupby(key):
+                gram, right = systems.setdefault(value, [np.zeros((k, k)), np.zeros(k)])
+                y = harmonics.basis_matrix(lmax, b["lon"].to_numpy(), b["lat"].to_numpy())
+                w = b["w"].to_numpy()
+                gram += y.T @ (y * w[:, None])
+                right += y.T @ (w * b["f"].to_numpy())
         a, c = np.divmod(np.arange(k * k), k)
-        yield pd.DataFrame({"a": a, "b": c, "value": gram.ravel()})
-        yield pd.DataFrame({"a": np.arange(k), "b": -1, "value": right})
+        for value, (gram, right) in systems.items():
+            yield pd.DataFrame({key: value, "a": a, "b": c, "value": gram.ravel()})
+            yield pd.DataFrame({key: value, "a": np.arange(k), "b": -1, "value": right})
 
-    clean = rows.select(*[F.col(c).cast("double").alias(c) for c in ("lon", "lat", "w", "f")])
+    group = F.col(by).cast("long").alias(by) if by else F.lit(0).cast("long").alias(key)
+    clean = rows.select(group, *[F.col(c).cast("double").alias(c) for c in ("lon", "lat", "w", "f")])
     return (
         clean.dropna()
-        .mapInPandas(partial, "a long, b long, value double")
-        .groupBy("a", "b")
+        .mapInPandas(partial, f"{key} long, a long, b long, value double")
+        .groupBy(key, "a", "b")
         .agg(F.sum("value").alias("value"))
     )
 
 
-def solve(equations: DataFrame, lmax: int) -> DataFrame:
-    """Least-squares coefficients (term, degree, ord, kind, coefficient).
+def solve(equations: DataFrame, lmax: int, by: str | None = None) -> DataFrame:
+    """Least-squares coefficients ((by,) term, degree, ord, kind, coefficient).
 
-    The system has (lmax + 1)^2 unknowns whatever the data, so one small task
-    solves it.
+    A system has (lmax + 1)^2 unknowns whatever the data, so one small task solves it.
     """
     k = harmonics.coefficient_count(lmax)
     names = harmonics.terms(lmax)
+    key = by or "_all"
 
     def least_squares(pdf: pd.DataFrame) -> pd.DataFrame:
         gram, right = np.zeros((k, k)), np.zeros(k)
@@ -60,6 +65,7 @@ def solve(equations: DataFrame, lmax: int) -> DataFrame:
         c = np.linalg.lstsq(gram, right, rcond=None)[0]
         return pd.DataFrame(
             {
+                key: pdf[key].iloc[0],
                 "term": np.arange(k),
                 "degree": [t[0] for t in names],
                 "ord": [t[1] for t in names],
@@ -68,27 +74,34 @@ def solve(equations: DataFrame, lmax: int) -> DataFrame:
             }
         )
 
-    schema = "term long, degree long, ord long, kind string, coefficient double"
-    return equations.groupBy(F.lit(0).alias("_one")).applyInPandas(least_squares, schema)
+    schema = f"{key} long, term long, degree long, ord long, kind string, coefficient double"
+    found = equations.groupBy(key).applyInPandas(least_squares, schema)
+    return found if by else found.drop(key)
 
 
-def analyse(field: DataFrame, lmax: int, weight: Column) -> DataFrame:
-    """Quadrature-weighted least-squares coefficients of ``field`` (lon, lat, value)."""
-    rows = field.select("lon", "lat", weight.alias("w"), F.col("value").alias("f"))
-    return solve(normal_equations(rows, lmax), lmax)
+def analyse(field: DataFrame, lmax: int, weight: Column, by: str | None = None) -> DataFrame:
+    """Quadrature-weighted least-squares coefficients of ``field`` (lon, lat, value), per ``by``."""
+    keys = [by] if by else []
+    rows = field.select(*keys, "lon", "lat", weight.alias("w"), F.col("value").alias("f"))
+    return solve(normal_equations(rows, lmax, by), lmax, by)
 
 
-def coefficient_array(coefficients: DataFrame) -> DataFrame:
-    """One row holding the coefficients in term order ((lmax + 1)^2 numbers)."""
+def coefficient_array(coefficients: DataFrame, by: str | None = None) -> DataFrame:
+    """The coefficients in term order as one array ((lmax + 1)^2 numbers), a row per ``by``."""
     packed = F.array_sort(F.collect_list(F.struct("term", "coefficient")))
-    return coefficients.agg(F.transform(packed, lambda t: t["coefficient"]).alias("c"))
+    return coefficients.groupBy(*([by] if by else [])).agg(F.transform(packed, lambda t: t["coefficient"]).alias("c"))
 
 
 def synthesise(
-    points: DataFrame, coefficients: DataFrame, lmax: int, out: str = "value"
+    points: DataFrame, coefficients: DataFrame, lmax: int, out: str = "value", by: str | None = None
 ) -> DataFrame:
-    c = coefficient_array(coefficients).select("c").scalar()
-    y = points.withColumn("_y", harmonics.basis(lmax)).withColumn("_c", c)
+    """The field of the coefficients at each point; with ``by``, of the point's own anchor."""
+    y = points.withColumn("_y", harmonics.basis(lmax))
+    if by:
+        arrays = coefficient_array(coefficients, by).select(F.col(by).alias("_by"), F.col("c").alias("_c"))
+        y = y.join(arrays, F.col(by) == F.col("_by")).drop("_by")
+    else:
+        y = y.withColumn("_c", coefficient_array(coefficients).select("c").scalar())
     return y.withColumn(out, harmonics.synthesis("_y", "_c")).drop("_y", "_c")
 
 

@@ -90,7 +90,9 @@ def bootstrap_deltas(
         F.sequence(F.lit(0), F.lit(n_boot - 1)),
         lambda k: F.struct(k.alias("b"), hash_uniform(seed, k, F.col(unit)).alias("u")),
     )
-    drawn = units.select("n", "sa", "sb", F.explode(replicates).alias("r")).select(
+    # A few units still make many draws: keep all cores busy, which size alone would not.
+    spread = units.repartition(df.sparkSession.sparkContext.defaultParallelism, unit)
+    drawn = spread.select("n", "sa", "sb", F.explode(replicates).alias("r")).select(
         "n", "sa", "sb", F.col("r.b").alias("b"), _poisson_one(F.col("r.u")).alias("t")
     )
     t = F.col("t")
