@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidy
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +35,10 @@ MARKS = frozenset(
 )
 HEADS = frozenset("header masthead topbar".split())
 ARTICLES = frozenset(("article", "main"))
+#: Elements around a whole page, whose classes describe the page and not a part of it.
+ROOTS = frozenset(("html", "body", "main"))
+#: Why text is dropped: inside a form, which may also be put around a whole page, or for good.
+IN_FORM, FOR_GOOD = 1, 2
 #: Start tags before which an open paragraph or item ends by itself.
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -52,13 +56,13 @@ class Events(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[bool, int] | None]] = []
-        self.open: list[tuple[str, bool, int]] = []  # name, dropped, number of the article
+        self.open: list[tuple[str, int, int]] = []  # name, why dropped, number of the article
         self.counts: dict[str, int] = {}  # of names in open
         self.text: list[str] = []
         self.tags = self.articles = self.run = 0
 
-    def _state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def _state(self) -> tuple[int, int]:
+        return self.open[-1][1:] if self.open else (0, 0)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -84,11 +88,18 @@ class Events(HTMLParser):
             if self.open and (self.open[-1][0] == "p" or ends and self.open[-1][0] in ends):
                 self._cut(len(self.open) - 1)
         dropped, article = self._state()
-        if not dropped:
-            dropped = tag in DROPPED or (tag == "header" and not article) or self._marked(attrs, article)
-            if tag in ARTICLES and not dropped and not article:
-                self.articles += 1
-                article = self.articles
+        if dropped == IN_FORM and tag in ARTICLES:
+            dropped = 0
+        if dropped != FOR_GOOD:
+            if tag == "form":
+                dropped = IN_FORM
+            elif tag in DROPPED or (tag == "header" and not article):
+                dropped = FOR_GOOD
+            elif tag not in ROOTS and self._marked(attrs, article):
+                dropped = FOR_GOOD
+        if tag in ARTICLES and not dropped and not article:
+            self.articles += 1
+            article = self.articles
         self.open.append((tag, dropped, article))
         self.counts[tag] = self.counts.get(tag, 0) + 1
 
@@ -179,6 +190,7 @@ def main_text(html: str | None) -> str:
     return "\n".join(t for t, _, r in events.lines if r in chosen)
 
 
+@tidy
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(h.as_py()) for h in batch.column("html")]

@@ -35,6 +35,8 @@ PAGE = (
         ("<article><p>x</article><p cla", "x"),
         ("<main><h1>A</h1><!-- c --><p>b</p></main><p>other</p>", "A\nb"),
         ("<nav>only menu</nav>", ""),
+        ("<body class='has-sidebar'><form><nav>n</nav>x<main class='search'><p>a</p><form>f</form></main></form>", "a"),
+        ("<article><p>a</p><div class='comments'><article><p>c</p></article></div></article>", "a"),
         ("<div id=sidebar>s</div><h2>T</h2><p>A long paragraph of the page, with enough words.</p><p>s</p><footer>f</footer>", "T\nA long paragraph of the page, with enough words.\ns"),
         ("<article>" + "<p>word " * 2000 + "</article>", "\n".join(["word"] * 2000)),
     ],
