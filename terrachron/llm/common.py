@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,25 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidy(run):
+    """The generator ``run`` for a Python worker, which at its end hands freed memory back.
+
+    Workers are kept for later steps; without this they also keep what the largest one needed.
+    """
+
+    @functools.wraps(run)
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return held
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null counted as empty."""
     return F.coalesce(F.col(column), F.lit(""))

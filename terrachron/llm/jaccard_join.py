@@ -4,9 +4,9 @@ Sets that are equal are one node. Nodes are partitioned into groups of similar s
 pivot with sets that link to it, found by equal min-hashes. For each group the union of its members'
 prefix tokens is stored as rows (token, group), the matrix. A set and a group of linked sets share
 at least so many prefix tokens; groups that share fewer with a query, or whose sizes are too far
-off, stay closed. An open group is first compared by its pivot; its other members are compared only
-if the pivot's distance leaves room (distances obey the triangle inequality) and query and group are
-not in one component already.
+off, stay closed. An open group is first compared by its pivot. If query and group are not in one
+component then, its other members are compared only where the pivot leaves room: by the triangle
+inequality, and by the tokens that query and member share outside the pivot.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import fresh, ship, table_folder, written
+from .common import fresh, ship, table_folder, tidy, written
 from .components import components
 
 WORDS = 5
@@ -34,7 +34,7 @@ FREQUENT, FREQUENT_SHARE = 3, 4096
 #: A set of n tokens has 1 + n / EXTRA prefix tokens more than a link needs.
 EXTRA = 50
 #: Prefix tokens that a task sorts and hands on together; buckets per shuffle partition.
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 19
 BUCKETS = 8
 #: Pairs whose texts are unpacked together.
 SLICE_ROWS = 256
@@ -82,7 +82,7 @@ def _described(words: int):
             columns += [pa.array(k.view(np.int64)) for k in keys]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "k1", "k2", *[f"m{k}" for k in range(ROUNDS)]])
 
-    return run
+    return tidy(run)
 
 
 def _counted(words: int):
@@ -92,7 +92,7 @@ def _counted(words: int):
                 tokens, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], ["token", "n"])
 
-    return run
+    return tidy(run)
 
 
 def _needed(n: int, share: int) -> int:
@@ -174,7 +174,7 @@ def _prefixes(words: int, share: int, frequent: np.ndarray, buckets: int):
         if held:
             yield from flushed(held)
 
-    return run
+    return tidy(run)
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -204,6 +204,7 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"token": pa.array(token.view(np.int64)), "k1": pa.array(key.view(np.int64))})
 
 
+@tidy
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
@@ -229,7 +230,7 @@ def _compared(words: int):
                     [batch.column(c) for c in rest] + [pa.array(c, pa.int64()) for c in found], [*rest, "common", "nx", "ny"]
                 )
 
-    return run
+    return tidy(run)
 
 
 class Texts:
@@ -248,17 +249,46 @@ class Texts:
 
         ``b`` may be hot (a pivot of many): its join is one that adaptive execution can split.
         """
+        kinds = ", ".join(f"{c} {t}" for c, t in pairs.dtypes)
+        return self._joined(pairs, a, b).mapInArrow(
+            _compared(self.words), f"{kinds}, common bigint, nx bigint, ny bigint"
+        )
+
+    def outside(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """``pairs`` with ``token``: a row per token of the set of a that the set of b does not have."""
+        kinds = ", ".join(f"{c} {t}" for c, t in pairs.dtypes)
+        return self._joined(pairs, a, b).mapInArrow(_outside(self.words), f"{kinds}, token bigint")
+
+    def _joined(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
         left = self.spark.table(self.name).select(F.col("node").alias(a), F.col("text").alias("x"))
         right = self.spark.read.schema(self.schema).parquet(self.path).select(F.col("node").alias(b), F.col("text").alias("y"))
-        kinds = ", ".join(f"{c} {t}" for c, t in pairs.dtypes)
-        joined = pairs.join(left, a).join(right, b).select(*pairs.columns, "x", "y")
-        return joined.mapInArrow(_compared(self.words), f"{kinds}, common bigint, nx bigint, ny bigint")
+        return pairs.join(left, a).join(right, b).select(*pairs.columns, "x", "y")
 
     def close(self) -> None:
         """Forget the table; its files stay in the shared folder."""
         self.spark.sql(f"drop table if exists {self.name}")
 
 
+def _outside(words: int):
+    """The tokens of the first compressed text of each row that the second does not have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                n = batch.num_rows
+                raw = [unpack(v.as_py()) for c in ("x", "y") for v in batch.column(c)]
+                sets = [s for b in spans.blocks(pa.array(raw, pa.binary())) for s in sets_of(b, words)]
+                own = [x[~_among(x, y)] for x, y in zip(sets[:n], sets[n:])]
+                row = pa.array(np.repeat(np.arange(n), [len(x) for x in own]))
+                rest = [c for c in batch.schema.names if c not in ("x", "y")]
+                token = pa.array(np.concatenate(own).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(row) for c in rest], token], [*rest, "token"])
+
+    return tidy(run)
+
+
 def _linked(share: int) -> Column:
     return F.expr(f"100 * common >= {share} * (nx + ny - common)")
 
@@ -306,27 +336,34 @@ def jaccard_components(
     blobs = texts.mapInArrow(_prefixes(words, share, frequent, BUCKETS * parts), "bucket bigint, n bigint, blob binary")
     shared = blobs.groupBy("bucket").applyInArrow(_shared, "token bigint, k1 bigint")
     tokens = written(shared.join(classes.select("k1", "node", "n"), "k1").select("token", "node", "n").distinct())
+    met = tokens.groupBy("node").agg((F.count("*") / F.max("n")).alias("met"))
     nodes = written(
-        classes.join(tokens.select("node").distinct(), "node").groupBy("node").agg(*[F.min(m).alias(m) for m in marks])
+        classes.join(met, "node").groupBy("node").agg(F.max("met").alias("met"), *[F.min(m).alias(m) for m in marks])
     )
     zipped = texts.mapInArrow(_zipped, "id bigint, text binary").withColumnRenamed("id", "node")
     stored = Texts(zipped.join(nodes.select("node"), "node", "left_semi"), words)
 
-    # Groups: a pivot and the sets linked to it.
-    grouped, left = None, nodes
+    # Groups: a pivot and the sets linked to it. The pivot is the set with the largest share of
+    # tokens that others have: of a text and its edited copies, the text.
+    found = nodes.select("node").where("false").select("node", F.col("node").alias("pivot"))
+    linked = found.withColumns({"apart": F.lit(0.0), "common": F.lit(0).cast("long"), "size": F.lit(0).cast("long")})
+    left = pool = nodes
     for mark in marks:
-        pivots = left.groupBy(mark).agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+        central = F.max_by("node", F.struct("met", -F.col("node")))
+        pivots = pool.groupBy(mark).agg(central.alias("pivot"), F.count("*").alias("c")).where("c > 1")
         pairs = left.join(pivots, mark).where("node <> pivot").select("node", "pivot")
         joined = written(
-            stored.compared(pairs, "node", "pivot").where(_linked(share))
-            .groupBy("node", "pivot").agg(F.min(_distance()).alias("apart"))
+            stored.compared(pairs, "node", "pivot")
+            .where(_linked(share))
+            .groupBy("node", "pivot")
+            .agg(F.min(_distance()).alias("apart"), F.max("common").alias("common"), F.min("nx").alias("size"))
         )
-        used = joined.select(F.col("pivot").alias("node")).distinct()
-        own = used.select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("apart"))
-        grouped = joined.unionByName(own) if grouped is None else grouped.unionByName(joined).unionByName(own)
-        left = written(left.join(grouped.select("node"), "node", "left_anti"))
-    alone = left.select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("apart"))
-    members = written(grouped.unionByName(alone))
+        linked = linked.unionByName(joined)
+        pool = written(nodes.join(linked.select("node"), "node", "left_anti"))
+        left = pool.join(linked.select(F.col("pivot").alias("node")).distinct(), "node", "left_anti")
+    own = pool.select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("apart"))
+    sizes = classes.groupBy("node").agg(F.min("n").alias("size"), F.max("n").alias("common"))
+    members = written(linked.unionByName(own.join(sizes, "node")))
 
     # The matrix, and the groups that a node's prefix tokens open.
     named = tokens.join(members.select("node", "pivot"), "node")
@@ -350,21 +387,43 @@ def jaccard_components(
     # Other members of open groups in another component, where the triangle inequality leaves room.
     of = lambda name, to: first.select(F.col("u").alias(name), F.col("component").alias(to))
     apart = (
-        by_pivot.groupBy("query", "home", "pivot").agg(F.min("far").alias("far"), F.max("link").alias("linked"))
+        by_pivot.groupBy("query", "home", "pivot")
+        .agg(
+            F.min("far").alias("far"),
+            F.max("link").alias("linked"),
+            F.max("common").alias("shares"),
+            F.min("nx").alias("length"),
+        )
         .where("not linked")
         .join(of("home", "ch"), "home", "left")
         .join(of("pivot", "cp"), "pivot", "left")
         .where("coalesce(ch, home) <> coalesce(cp, pivot)")
-        .select("query", "home", "pivot", "far")
+        .select("query", "home", "pivot", "far", "shares", "length")
     )
     reach = 1 - share / 100 + 1e-9
-    others = members.where("node <> pivot")
-    pairs = (
-        apart.where(F.col("far") <= 2 * reach)
+    others = members.where("node <> pivot").withColumnRenamed("node", "member")
+    least = others.groupBy("pivot").agg(F.min("size").alias("least"))
+    open_still = written(apart.where(F.col("far") <= 2 * reach).join(least, "pivot"))
+    # A link needs share / (100 + share) of both sizes in common; at most ``shares`` of these lie in
+    # the pivot, so the rest must be tokens that query and member share outside it.
+    within = f"{100 + share} * least(shares, common) >= {share} * (length + size)"
+    direct = (
+        open_still.where(f"{100 + share} * shares >= {share} * (length + least)")
         .join(others, "pivot")
-        .where(F.abs(F.col("far") - F.col("apart")) <= reach)
-        .select("query", "home", "pivot", F.col("node").alias("member"))
+        .where((F.abs(F.col("far") - F.col("apart")) <= reach) & F.expr(within))
+        .select("query", "home", "pivot", "member")
+    )
+    asked = stored.outside(open_still.select("query", "home", "pivot", "shares", "length"), "query", "pivot")
+    wanted = others.join(open_still.select("pivot").distinct(), "pivot", "left_semi").select("member", "pivot", "size")
+    offered = stored.outside(wanted, "member", "pivot")
+    beside = (
+        asked.join(offered, ["pivot", "token"])
+        .groupBy("query", "home", "pivot", "member", "shares", "length", "size")
+        .agg(F.count("*").alias("more"))
+        .where(f"{100 + share} * (shares + more) >= {share} * (length + size)")
+        .select("query", "home", "pivot", "member")
     )
+    pairs = direct.unionByName(beside).distinct()
     further = stored.compared(pairs, "query", "member").where(_linked(share))
     found = written(
         edges.unionByName(further.select(F.col("home").alias("u"), F.col("pivot").alias("v")))
