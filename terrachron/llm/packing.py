@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
 from array import array
@@ -12,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import ship, tidy, written
 
 CAPACITY = 1024
 #: Id that ends each document.
 END_ID = 0
 #: Words that a worker remembers; the table is emptied when full.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 #: Rows whose results are handed back together.
 SLICE_ROWS = 256
 
@@ -35,12 +37,19 @@ class ByteTokens:
     _LOOSE = re.compile(r"\s (?:\s|\Z)")
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.path = path
+        self.special = [t["content"] for t in file["added_tokens"]]
+        self.words: dict[str, bytes] = {}
+        self._fast = _ranked(file["model"], self.special)
+
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer itself, loaded when a text needs it."""
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self._fast = _ranked(path, self.special)
+        return Tokenizer.from_file(self.path)
 
     def _encode(self, text: str) -> bytes:
         ids = self._fast.encode_ordinary(text) if self._fast else self.whole.encode(text, add_special_tokens=False).ids
@@ -67,15 +76,11 @@ class ByteTokens:
         return b"".join(out)
 
 
-def _ranked(path: str, special: list[str]):
+def _ranked(model: dict, special: list[str]):
     """The same vocabulary as byte ranks for tiktoken, if ids are merge ranks; else nothing."""
-    import json
-
     import public_tokenizers
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
     # Fixed rule of byte-level BPE: printable bytes stand for themselves, the rest follow from 256.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -119,7 +124,7 @@ def _cutter(path: str, capacity: int, keep_ids: bool):
                     columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return run
+    return tidy(run)
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
@@ -187,7 +192,7 @@ def _placer(slots):
             columns += [pa.array(sequences[at] + key - keys[at]), pa.array(offsets[at])]
             yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
-    return run
+    return tidy(run)
 
 
 def pack_documents(

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidy
 
 SPACE = "▁"
 #: Words that a worker remembers; the table is emptied when full.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _UNIT = re.compile(f"{SPACE}?(?:[{_LATIN}]+|[^{_LATIN}{SPACE}]+)|{SPACE}")
 _NORMAL, _UNKNOWN, _BYTE, _CONTROL = 1, 2, 6, 3
@@ -280,7 +280,7 @@ def _coder(path: str):
                     ["id", "n_tokens", "ids", "decoded"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

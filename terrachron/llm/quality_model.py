@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import ship
+from .common import ship, tidy
 from .labelled import held_out, training_sample
 
 #: Labelled rows that the model is fitted on, at most.
@@ -80,6 +80,7 @@ class Model:
         return np.round(1.0 / (1.0 + np.exp(-np.clip(logit, -50, 50))), 6)
 
 
+@tidy
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text its distinct buckets and their shares, for training."""
     for batch in batches:
@@ -145,7 +146,7 @@ def _score(model: Model):
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(parts))], ["id", "score"])
 
-    return run
+    return tidy(run)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import ship, written
+from .common import ship, tidy, written
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -60,6 +60,7 @@ def features_of(block: spans.Block) -> dict[str, np.ndarray]:
     return out
 
 
+@tidy
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = [features_of(b) for b in spans.blocks(batch.column("text"))]

@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 #: Bytes of text that one pass of the numpy helpers holds (a longer text makes its own block).
 BLOCK_BYTES = 1 << 20
 
+#: Rows of a batch that are converted at a time.
+SLICE_ROWS = 1024
+
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 #: Blanks, ASCII punctuation and control characters.
@@ -142,7 +145,15 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """The texts of a string column (null: empty) in blocks of about ``limit`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()) if pa.types.is_binary(column.type) else pc.fill_null(column.cast(pa.large_string()), "")
+    for first in range(0, len(column), SLICE_ROWS):  # only a slice is converted at a time
+        yield from _slice_blocks(column.slice(first, SLICE_ROWS), first, limit)
+
+
+def _slice_blocks(column: pa.Array, base: int, limit: int) -> Iterator[Block]:
+    if pa.types.is_binary(column.type):
+        column = column.cast(pa.large_binary())
+    else:
+        column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1]
@@ -150,5 +161,5 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + limit, side="right")) - 1)
-        yield Block(i, whole[at[i] : at[j]], at[i:j] - at[i], at[i + 1 : j + 1] - at[i])
+        yield Block(base + i, whole[at[i] : at[j]], at[i:j] - at[i], at[i + 1 : j + 1] - at[i])
         i = j

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import fresh, ship
+from .common import fresh, ship, tidy
 
 LENGTH = 50
 #: Bytes of a gram; a window of LENGTH bytes has LENGTH - GRAM + 1 of them.
 GRAM = 20
 #: Bytes of text whose anchors a task sorts and hands on together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: One in so many extents is counted to find anchors with very many different ones.
 PROBE = 256
 #: Counted extents from which an anchor is split over shards.
@@ -212,7 +212,7 @@ def _extent_batches(length: int, gram: int, buckets: int, hot: np.ndarray):
                     ["bucket", "n", "blob"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _met(hot: np.ndarray):
@@ -243,7 +243,7 @@ def _probe(length: int, gram: int):
             some = (spans.mix(e) % _U(PROBE)) == 0
             yield pa.RecordBatch.from_arrays([pa.array(c[some].view(np.int64)) for c in (h, e)], ["h", "e"])
 
-    return run
+    return tidy(run)
 
 
 # --- suffix arrays -------------------------------------------------------------------------------
@@ -399,6 +399,7 @@ def _merged(length: int):
 # --- documents -----------------------------------------------------------------------------------
 
 
+@tidy
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
@@ -453,13 +454,14 @@ def _fetched(shards: int, hot: np.ndarray):
                     ["shard", "key", "start", "e", "h", "bytes"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _mixed(hot: np.ndarray) -> np.ndarray:
     return np.sort(spans.mix(hot))
 
 
+@tidy
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document without its removed bytes."""
     for whole in batches:
@@ -576,7 +578,7 @@ def _decoded(names: list[str], text_col: str):
                 [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names], names
             )
 
-    return run
+    return tidy(run)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:

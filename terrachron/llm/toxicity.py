@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import ship
+from .common import ship, tidy
 from .labelled import held_out, training_sample
 
 #: Labelled rows that the model is fitted on, at most.
@@ -38,6 +38,7 @@ def tokens(block: spans.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes(first, last), stems, doc
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, toxic, clean): in how many texts of each label a key occurs, per block."""
     for batch in batches:
@@ -179,7 +180,7 @@ def _weigh(model: Model):
                     [batch.column("label"), pa.array(np.concatenate(parts))], ["label", "evidence"]
                 )
 
-    return run
+    return tidy(run)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE_ROWS) -> Model:
@@ -239,7 +240,7 @@ def _score(model: Model):
             items = [[dict(zip(("first_byte", "end_byte", "score", "expected"), p)) for p in ps] for ps in lists]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(found), pa.array(items, kind)], [*names, "score", "passages"])
 
-    return run
+    return tidy(run)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +270,7 @@ def _passing(model: Model, text_col: str):
                 score = np.round(model.probability(np.minimum(np.concatenate(evidence), 50.0)), 6)
                 yield batch.filter(pa.array(score < CUT))
 
-    return run
+    return tidy(run)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

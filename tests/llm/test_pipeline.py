@@ -48,3 +48,14 @@ def test_stages(spark, tmp_path):
     tokens = packing.ByteTokens(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"))
     assert sum(r.length for r in got) == sum(len(tokens(t)) // 4 + 1 for t in left.values())
     assert {r.doc_id for r in got} == set(left)
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gone string"
+    docs = spark.createDataFrame([], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "gone"] and docs.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
