@@ -57,22 +57,25 @@ def exact_groups(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were.
 
-    The row with the smallest id stays. Only ids of rows that go are joined, from a written table
-    whose size the planner knows. Of rows that repeat both id and text one stays; an id whose texts
-    differ is dropped with all its rows when one of them is a copy of a smaller document's.
+    The row with the smallest id stays. Ids whose rows all go are joined alone, from a written table
+    whose size the planner knows; where an id (null too) has rows that stay beside copies, the copies
+    go by id and digest. Of rows that repeat both id and text one stays.
     """
-    gone = written(exact_groups(docs, id_col, text_col).where("group_size > 1"))
+    found = exact_groups(docs, id_col, text_col)
+    gone = written(found.where("group_size > 1"))
     mark, digest = fresh("group_digest", docs.columns), fresh("group_of", docs.columns)
-    losers = written(gone.where("not kept").select(F.col(id_col).alias(mark)).distinct())
-    again = written(
-        gone.where("kept").groupBy(F.col(id_col).alias(mark), F.col("text_sha256").alias(digest)).count()
-        .where("count > 1").select(mark, digest)
-    )
-    stay = docs.join(losers, F.col(id_col).eqNullSafe(F.col(mark)), "left_anti")
-    if again.isEmpty():  # ids are unique, as they should be
-        return stay
-    normal = F.sha2(F.regexp_replace(text_of(text_col), BLANKS, " "), 256)
-    same = F.col(id_col).eqNullSafe(F.col(mark)) & (normal == F.col(digest))
+    own = fresh("own_digest", docs.columns)
+    pair = F.col(id_col).alias(mark), F.col("text_sha256").alias(digest)
+    alone = F.col(id_col).eqNullSafe(F.col(mark))
+    same = alone & F.col(own).eqNullSafe(F.col(digest))
+    losers = gone.where("not kept").select(*pair).distinct()
+    ids = written(losers.select(mark).distinct())
+    mixed = written(found.where("kept").select(id_col).join(ids, alone, "inner").select(mark).distinct())
+    again = written(gone.where("kept").groupBy(*pair).count().where("count > 1").select(mark, digest))
+    if mixed.isEmpty() and again.isEmpty():  # ids are unique, as they should be
+        return docs.join(ids, alone, "left_anti")
+    named = docs.withColumn(own, F.sha2(F.regexp_replace(text_of(text_col), BLANKS, " "), 256))
+    stay = named.join(written(losers), same, "left_anti")
     once = stay.join(again, same, "left")
     single = once.where(F.col(digest).isNull()).select(*docs.columns)
     first = once.where(F.col(digest).isNotNull()).dropDuplicates([id_col, digest]).select(*docs.columns)

@@ -130,3 +130,9 @@ def test_without_repeats_keeps_columns(spark):
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect())) == [(1, passage, 61, "b"), (2, "é two", 5, "a"), (3, "", 0, "c")]
     assert suffix_dedup.without_repeats(docs.limit(0)).collect() == []
+
+
+def test_keep_one_keeps_texts_of_their_own_beside_a_copy(spark):
+    rows = [(1, "a b"), (None, "a  b"), (None, "own"), (None, "other"), (7, "a\tb"), (7, "seven"), (None, "twice"), (None, "twice")]
+    kept = exact_dedup.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "other"), (0, "own"), (0, "twice"), (1, "a b"), (7, "seven")]
