@@ -73,6 +73,11 @@ class Model:
         self.maybe = np.zeros(1 << 16, dtype=bool)
         self.maybe[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    @property
+    def informed(self) -> bool:
+        """Whether any token speaks for the toxic label; without one all texts have the same score."""
+        return len(self.keys) > 0
+
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         """Log-odds of each key, 0 for keys outside the lexicon."""
         out = np.zeros(len(keys))
@@ -248,7 +253,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     significant passage as byte range, score and expected number by chance. A scan, no shuffle.
 
     Defined cases: a null or empty text has no passage and the score of that; without a usable
-    label of each kind all texts get the share of toxic labels; ids may be null or repeated.
+    label of each kind all texts get the share of toxic labels, which tells nothing of any of them
+    (``drop_toxic`` then keeps all); ids may be null or repeated.
     """
     rows = ship(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = (
@@ -274,7 +280,12 @@ def _passing(model: Model, text_col: str):
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score reaches ``CUT``; all columns as they were, no shuffle."""
+    """``docs`` without the rows whose score reaches ``CUT``; all columns as they were, no shuffle.
+
+    A model that is not informed (no labels, labels of one kind only, no telling token) drops nothing.
+    """
+    if not model.informed:
+        return docs
     return ship(docs).mapInArrow(_passing(model, text_col), docs.schema)
 
 
@@ -286,5 +297,5 @@ def op5_toxicity(spark, sf_dir):
         "doc_id",
         held_out("doc_id", MODULUS, REST).alias("held_out"),
         "score",
-        (F.col("score") >= CUT).cast("int").alias("predicted"),
+        (F.lit(model.informed) & (F.col("score") >= CUT)).cast("int").alias("predicted"),
     )

@@ -4,7 +4,7 @@ import random
 
 from . import brute
 import corpus_pipeline
-from terrachron.llm import packing
+from terrachron.llm import packing, toxicity
 
 
 def test_stages(spark, tmp_path):
@@ -59,3 +59,17 @@ def test_stages_of_empty_tables(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "gone"] and docs.count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_labels_that_tell_nothing_reject_nothing(spark, tmp_path):
+    rows = [(i, f"document number {i} of some words", "en", "s", None) for i in range(40)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    none = [(1000, 1, None), (None, 1, 1)]
+    cases = {"empty": [], "null": none, "toxic": [(i, 1, 1) for i in range(40)], "clean": [(i, 1, 0) for i in range(40)], "blind": [(i, 1, i % 2) for i in range(10)]}
+    for name, labels in cases.items():
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        kept = corpus_pipeline.clean(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect())), name
+        assert {r.predicted for r in toxicity.op5_toxicity(spark, folder).collect()} == {0}, name
