@@ -42,7 +42,6 @@ SLICE_ROWS = 256
 ROUNDS = 2
 _U = np.uint64
 _KEYS = spans.mix(np.arange(11, 11 + 2 + ROUNDS, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-_LARGEST = (1 << 63) - 1
 
 
 def sets_of(block: spans.Block, words: int = WORDS) -> list[np.ndarray]:
@@ -78,9 +77,9 @@ def _described(words: int):
                     keys[1, i] = np.bitwise_xor.reduce(spans.mix(s ^ _KEYS[1]))
                     for k in range(2, 2 + ROUNDS):
                         keys[k, i] = spans.mix(s ^ _KEYS[k]).min()
-            columns = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64())]
+            columns = [batch.column("id"), batch.column("body"), pa.array([len(s) for s in sets], pa.int64())]
             columns += [pa.array(k.view(np.int64)) for k in keys]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "k1", "k2", *[f"m{k}" for k in range(ROUNDS)]])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "body", "n", "k1", "k2", *[f"m{k}" for k in range(ROUNDS)]])
 
     return tidy(run)
 
@@ -206,10 +205,19 @@ def _shared(table: pa.Table) -> pa.Table:
 
 @tidy
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3).compress
+    """Compressed texts; rows that repeat id and text go on once per task."""
+    pack, known = zstandard.ZstdCompressor(level=3).compress, set()
     for batch in batches:
+        at = []
+        for i, name in enumerate(zip(batch.column("id").to_pylist(), batch.column("body").to_pylist())):
+            if name not in known:
+                known.add(name)
+                at.append(i)
+        batch = batch.take(pa.array(at, pa.int64()))
         texts = [pack((t.as_py() or "").encode()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], ["id", "text"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("body"), pa.array(texts, pa.binary())], ["id", "body", "text"]
+        )
 
 
 def _compared(words: int):
@@ -241,7 +249,7 @@ class Texts:
         self.name = f"texts_{uuid.uuid4().hex}"
         self.path = f"{table_folder(self.spark).rstrip('/')}/{self.name}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        stored = nodes.repartition(parts, "node").write.bucketBy(parts, "node").sortBy("node")
+        stored = nodes.repartition(parts, "node").dropDuplicates(["node"]).write.bucketBy(parts, "node").sortBy("node")
         stored.format("parquet").option("path", self.path).saveAsTable(self.name)
 
     def compared(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -308,22 +316,39 @@ def jaccard_components(
     group, and groups whose component the node is in are never opened further.
 
     Defined cases: null and empty texts have the empty set, no link, and their own id as component;
-    rows that share an id (null ids too) count as one document, whose links are those of all its
-    texts; a null id is larger than any other, and a component of it alone is null; empty table,
-    empty result.
+    rows that share an id count as one document, whose links are those of all its texts; rows
+    without an id are each a document of their own, larger than any id, and a component of such rows
+    alone is null; empty table, empty result.
     """
+    rows = _component_rows(docs, id_col, text_col, words, share, by_id=True)
+    return rows.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id")
+    )
+
+
+def _hashed_text(text_col: str) -> Column:
+    """What tells rows that share an id (or have none) apart."""
+    return F.xxhash64(F.col(text_col))
+
+
+def _component_rows(docs: DataFrame, id_col: str, text_col: str, words: int, share: int, by_id: bool) -> DataFrame:
+    """(id, body, n, first) of every row: ``first`` (none, id, body) is the smallest row of its component,
+    null for empty sets. Sets are linked, and with ``by_id`` also the sets of rows that share an id."""
     spark = ship(docs).sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LARGEST))
-    texts = docs.select(key.alias("id"), F.col(text_col).alias("text"))
-    marks = [f"m{k}" for k in range(ROUNDS)]
-    described = written(
-        texts.mapInArrow(
-            _described(words), "id bigint, n bigint, k1 bigint, k2 bigint, " + ", ".join(f"{m} bigint" for m in marks)
-        )
+    texts = docs.select(
+        F.col(id_col).cast("bigint").alias("id"), _hashed_text(text_col).alias("body"), F.col(text_col).alias("text")
     )
+    marks = [f"m{k}" for k in range(ROUNDS)]
+    kinds = "id bigint, body bigint, n bigint, k1 bigint, k2 bigint, " + ", ".join(f"{m} bigint" for m in marks)
+    node = F.xxhash64("n", "k1", "k2")
+    described = written(texts.mapInArrow(_described(words), kinds).withColumn("node", node))
+    none = F.col("id").isNull().alias("none")
     classes = written(
-        described.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("node"), *[F.min(m).alias(m) for m in marks])
+        described.where("n > 0")
+        .groupBy("n", "k1", "k2")
+        .agg(F.min(F.struct(none, "id", "body")).alias("first"), *[F.min(m).alias(m) for m in marks])
+        .withColumn("node", node)
     )
 
     probe = texts.where(F.pmod(F.xxhash64("text"), F.lit(PROBE)) == 0)
@@ -338,10 +363,13 @@ def jaccard_components(
     tokens = written(shared.join(classes.select("k1", "node", "n"), "k1").select("token", "node", "n").distinct())
     met = tokens.groupBy("node").agg((F.count("*") / F.max("n")).alias("met"))
     nodes = written(
-        classes.join(met, "node").groupBy("node").agg(F.max("met").alias("met"), *[F.min(m).alias(m) for m in marks])
+        classes.join(met, "node").groupBy("node").agg(F.max("met").alias("met"), F.min("first").alias("first"), *[F.min(m).alias(m) for m in marks])
     )
-    zipped = texts.mapInArrow(_zipped, "id bigint, text binary").withColumnRenamed("id", "node")
-    stored = Texts(zipped.join(nodes.select("node"), "node", "left_semi"), words)
+    # One text stands for a node; several rows may repeat its id and text.
+    named = nodes.select("node", F.col("first.id").alias("of"), F.col("first.body").alias("like"))
+    zipped = texts.mapInArrow(_zipped, "id bigint, body bigint, text binary")
+    chosen = zipped.join(named, F.col("id").eqNullSafe(F.col("of")) & (F.col("body") == F.col("like")))
+    stored = Texts(chosen.select("node", "text"), words)
 
     # Groups: a pivot and the sets linked to it. The pivot is the set with the largest share of
     # tokens that others have: of a text and its edited copies, the text.
@@ -349,7 +377,7 @@ def jaccard_components(
     linked = found.withColumns({"apart": F.lit(0.0), "common": F.lit(0).cast("long"), "size": F.lit(0).cast("long")})
     left = pool = nodes
     for mark in marks:
-        central = F.max_by("node", F.struct("met", -F.col("node")))
+        central = F.max_by("node", F.struct("met", F.bitwise_not("node")))
         pivots = pool.groupBy(mark).agg(central.alias("pivot"), F.count("*").alias("c")).where("c > 1")
         pairs = left.join(pivots, mark).where("node <> pivot").select("node", "pivot")
         joined = written(
@@ -425,44 +453,52 @@ def jaccard_components(
     )
     pairs = direct.unionByName(beside).distinct()
     further = stored.compared(pairs, "query", "member").where(_linked(share))
-    found = written(
-        edges.unionByName(further.select(F.col("home").alias("u"), F.col("pivot").alias("v")))
-        .unionByName(members.select(F.col("node").alias("u"), F.col("pivot").alias("v")))
-        .unionByName(_versions(described, classes))
-        .distinct()
+    links = edges.unionByName(further.select(F.col("home").alias("u"), F.col("pivot").alias("v"))).unionByName(
+        members.select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     )
+    found = written((links.unionByName(_versions(described)) if by_id else links).distinct())
     stored.close()
-    rows = _labelled(described, classes, components(found))
-    known = [F.when(F.col(c) != _LARGEST, F.col(c)).alias(n) for c, n in (("id", id_col), ("component_id", "component_id"))]
-    return rows.select(known[0], "n_shingles", known[1])
+    return _labelled(described, classes, components(found))
 
 
 def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; all columns as they were.
+    """``docs`` with one row of each component, that of the smallest id; all columns as they were.
 
-    Only ids of documents that go are joined, from a written table whose size the planner knows.
+    Rows are linked by their texts alone, and go by id and hash of the text, from a written table
+    whose size the planner knows: what a row shares its id with does not matter, null or not.
     """
-    gone = fresh("gone", docs.columns)
-    found = jaccard_components(docs, id_col, text_col).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
-    losers = written(found.select(F.col(id_col).alias(gone)).distinct())
-    return docs.join(losers, F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
-
-
-def _versions(described: DataFrame, classes: DataFrame) -> DataFrame:
+    mark, of, own = (fresh(name, docs.columns) for name in ("gone", "gone_body", "own_body"))
+    rows = written(_component_rows(docs, id_col, text_col, WORDS, SHARE, by_id=False).where("n > 0"))
+    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("body") == F.col("first.body"))
+    pair = F.col("id").alias(mark), F.col("body").alias(of)
+    losers = written(rows.where(~kept).select(*pair).distinct())
+    again = written(rows.where(kept).groupBy(*pair).count().where("count > 1").select(mark, of))
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col(mark)) & (F.col(own) == F.col(of))
+    stay = docs.withColumn(own, _hashed_text(text_col)).join(losers, same, "left_anti")
+    if again.isEmpty():  # no row repeats the id and text of a kept one
+        return stay.select(*docs.columns)
+    once = stay.join(again, same, "left")
+    single = once.where(F.col(of).isNull()).select(*docs.columns)
+    first = once.where(F.col(of).isNotNull()).dropDuplicates([id_col, of]).select(*docs.columns)
+    return single.unionByName(first)
+
+
+def _versions(described: DataFrame) -> DataFrame:
     """Edges between the nodes of rows that share an id."""
-    several = described.where("n > 0").groupBy("id").agg(F.count_distinct("n", "k1", "k2").alias("c")).where("c > 1")
-    named = described.join(several.select("id"), "id").join(classes.select("n", "k1", "k2", "node"), ["n", "k1", "k2"])
-    least = named.groupBy("id").agg(F.min("node").alias("v"))
+    named = described.where("n > 0 and id is not null")
+    least = named.groupBy("id").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last")
     return named.select("id", F.col("node").alias("u")).join(least, "id").select("u", "v")
 
 
 def _labelled(described: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    named = classes.join(found.withColumnRenamed("u", "node"), "node", "left").select(
-        "n", "k1", "k2", F.coalesce("component", "node").alias("component")
-    )
-    return described.join(named, ["n", "k1", "k2"], "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
+    named = written(
+        classes.join(found.withColumnRenamed("u", "node"), "node", "left").select(
+            "n", "k1", "k2", "first", F.coalesce("component", "node").alias("component")
+        )
     )
+    least = named.groupBy("component").agg(F.min("first").alias("first"))
+    of_class = named.drop("first").join(least, "component").drop("component")
+    return described.join(of_class, ["n", "k1", "k2"], "left").select("id", "body", "n", "first")
 
 
 def op1_jaccard_join(spark, sf_dir):

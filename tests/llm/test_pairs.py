@@ -136,3 +136,20 @@ def test_keep_one_keeps_texts_of_their_own_beside_a_copy(spark):
     rows = [(1, "a b"), (None, "a  b"), (None, "own"), (None, "other"), (7, "a\tb"), (7, "seven"), (None, "twice"), (None, "twice")]
     kept = exact_dedup.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "other"), (0, "own"), (0, "twice"), (1, "a b"), (7, "seven")]
+
+
+def test_jaccard_links_rows_without_an_id_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (None, b), (None, b + " more"), (None, c), (None, c), (3, a + " end"), (9, b + " end"), (11, "x y z"), (None, None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    expected = [(None, 36, 3), (None, 36, 9), (None, 37, 9), (None, 36, None), (None, 36, None), (3, 37, 3), (9, 37, 9), (11, 1, 11), (None, 0, None)]
+    assert brute.by_id(map(tuple, got)) == brute.by_id(expected)
+
+
+def test_keep_smallest_drops_rows_and_not_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(7, a), (7, b), (3, b + " end"), (9, a + " end"), (None, c), (None, c + " end"), (None, d), (None, d), (None, a), (None, None), (12, None)]
+    kept = jaccard_join.keep_smallest(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(kept) == 6
+    found = {(r.doc_id, (r.text or "-")[0]) for r in kept}
+    assert found == {(7, "a"), (3, "b"), (None, "c"), (None, "d"), (None, "-"), (12, "-")}
