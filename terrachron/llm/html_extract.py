@@ -37,6 +37,8 @@ HEADS = frozenset("header masthead topbar".split())
 ARTICLES = frozenset(("article", "main"))
 #: Elements around a whole page, whose classes describe the page and not a part of it.
 ROOTS = frozenset(("html", "body", "main"))
+#: Blocks that may hold the paragraphs of an article; other blocks are a part of its text.
+HOLDERS = frozenset("center details dialog div fieldset".split())
 #: Why text is dropped: inside a form, which may also be put around a whole page, or for good.
 IN_FORM, FOR_GOOD = 1, 2
 #: Start tags before which an open paragraph or item ends by itself.
@@ -51,28 +53,29 @@ _KERNEL /= _KERNEL.sum()
 
 
 class Events(HTMLParser):
-    """Turns parser events into lines: (text, tags, region); region is None inside boilerplate."""
+    """Turns parser events into lines: (text, tags, region, holder); region is None inside boilerplate."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[bool, int] | None]] = []
-        self.open: list[tuple[str, int, int]] = []  # name, why dropped, number of the article
+        self.lines: list[tuple[str, int, tuple[bool, int] | None, int]] = []
+        self.open: list[tuple[str, int, int, int]] = []  # name, why dropped, numbers of article and holder
+        self.around = [0]  # of each holder, the one around it; 0 is the page
         self.counts: dict[str, int] = {}  # of names in open
         self.text: list[str] = []
         self.tags = self.articles = self.run = 0
 
-    def _state(self) -> tuple[int, int]:
-        return self.open[-1][1:] if self.open else (0, 0)
+    def _state(self) -> tuple[int, int, int]:
+        return self.open[-1][1:] if self.open else (0, 0, 0)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            dropped, article = self._state()
+            dropped, article, holder = self._state()
             if dropped:
                 self.run += 1
             region = None if dropped else (article > 0, article if article else self.run)
-            self.lines.append((text, self.tags, region))
+            self.lines.append((text, self.tags, region, holder))
             self.tags = 0
 
     def handle_starttag(self, tag, attrs):
@@ -87,7 +90,7 @@ class Events(HTMLParser):
             ends = SELF_CLOSING.get(tag)
             if self.open and (self.open[-1][0] == "p" or ends and self.open[-1][0] in ends):
                 self._cut(len(self.open) - 1)
-        dropped, article = self._state()
+        dropped, article, holder = self._state()
         if dropped == IN_FORM and tag in ARTICLES:
             dropped = 0
         if dropped != FOR_GOOD:
@@ -100,11 +103,14 @@ class Events(HTMLParser):
         if tag in ARTICLES and not dropped and not article:
             self.articles += 1
             article = self.articles
-        self.open.append((tag, dropped, article))
+        if tag in HOLDERS:
+            self.around.append(holder)
+            holder = len(self.around) - 1
+        self.open.append((tag, dropped, article, holder))
         self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def _cut(self, i: int) -> None:
-        for name, _, _ in self.open[i:]:
+        for name, *_ in self.open[i:]:
             self.counts[name] -= 1
         del self.open[i:]
 
@@ -138,6 +144,36 @@ class Events(HTMLParser):
         self.text.append(data)
 
 
+def joined(events: Events) -> dict:
+    """The region that each run of lines belongs to, where there is no article.
+
+    Runs with lines in the same holder are one region. A line's holder is the nearest one around it
+    that has more lines than this one, so a paragraph with a holder of its own counts with the next.
+    """
+    kept = [(region, holder) for _, _, region, holder in events.lines if region]
+    lines = [0] * len(events.around)
+    for _, holder in kept:
+        lines[holder] += 1
+    for i in range(len(lines) - 1, 0, -1):  # holders come after the ones around them
+        lines[events.around[i]] += lines[i]
+    of = list(range(len(lines)))
+    for i in range(1, len(lines)):
+        if lines[i] < 2:
+            of[i] = of[events.around[i]]
+    root = {region: region for region, _ in kept}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    first: dict = {}
+    for region, holder in kept:
+        root[find(region)] = find(first.setdefault(of[holder], region))
+    return {region: find(region) for region in root}
+
+
 def smoothed(ratios: np.ndarray) -> np.ndarray:
     """Ratios after a Gaussian over neighbouring lines; the ends repeat."""
     return np.convolve(np.pad(ratios, 3, mode="edge"), _KERNEL, mode="valid")
@@ -162,8 +198,8 @@ def main_text(html: str | None) -> str:
     """The article of one page: its blocks in page order, joined by ``\\n``.
 
     Each block is a line with its characters per tag. Smoothed ratios are clustered by a threshold;
-    a region (an article element, or where there is none a run of lines without boilerplate between)
-    is content when one of its lines lies above the border, and then keeps all its lines, since a
+    a region (an article element, or where there is none the runs of lines between boilerplate that
+    have a container in common, so that an advert does not part an article) is content when one of its lines lies above the border, and then keeps all its lines, since a
     heading or a short paragraph of an article has a low ratio of its own. If no region has such a
     line, the one with the largest ratio is the content.
     """
@@ -175,19 +211,22 @@ def main_text(html: str | None) -> str:
         events.rawdata = ""
     events.close()
     events.flush()
-    regions = {r for _, _, r in events.lines if r}
+    regions = {r: r for _, _, r, _ in events.lines if r}
     if any(inside for inside, _ in regions):
-        regions = {r for r in regions if r[0]}
+        regions = {r: r for r in regions if r[0]}
+    else:
+        regions = joined(events)
     if not regions:
         return ""
-    ratios = smoothed(np.array([len(t) / max(1, n) for t, n, _ in events.lines]))
+    ratios = smoothed(np.array([len(t) / max(1, n) for t, n, *_ in events.lines]))
     border = threshold(ratios)
     best: dict = {}
-    for (_, _, region), ratio in zip(events.lines, ratios):
-        if region in regions:
+    for (_, _, run, _), ratio in zip(events.lines, ratios):
+        if run in regions:
+            region = regions[run]
             best[region] = max(best.get(region, 0.0), ratio)
     chosen = {r for r, ratio in best.items() if ratio >= border} or {max(best, key=best.get)}
-    return "\n".join(t for t, _, r in events.lines if r in chosen)
+    return "\n".join(t for t, _, r, _ in events.lines if regions.get(r) in chosen)
 
 
 @tidy

@@ -315,3 +315,12 @@ def test_digest_of_queries(spark, tmp_path):
     ids = ",".join(map(str, piece_codec.Codec(PIECES).encode(text)))
     assert row.ids_sha256 == hashlib.sha256(ids.encode()).hexdigest()
     assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("wrap", ["<p>{}</p>", "<div><p>{}</p></div>", "<section><h2>{}</h2></section>", "<ul><li>{}</li></ul>"])
+def test_an_advert_does_not_part_an_article(wrap):
+    first, second, last = "Long words here " * 25, "More of the words " * 20, "Closing remark, thirty-six characters"
+    body = "<h1>Title</h1>" + "".join(wrap.format(x) for x in (first, second)) + "<div class=ad>Buy now</div>" + wrap.format(last)
+    page = f"<div id=top><div class=menu>Menu</div></div><div>{body}</div><div class=ad>Buy more</div><div><div>Imprint</div></div>"
+    assert html_extract.main_text(page) == "\n".join(["Title", first.strip(), second.strip(), last])
+    assert html_extract.main_text(body) == "\n".join(["Title", first.strip(), second.strip(), last])
