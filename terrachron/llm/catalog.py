@@ -1,9 +1,12 @@
 """Registered queries of this subpackage and their oracle SQL."""
 
 from . import (
+    collocations,
     exact_dedup,
     html_extract,
     jaccard_join,
+    lexical_search,
+    license_scan,
     packing,
     piece_codec,
     quality_model,
@@ -24,9 +27,15 @@ QUERIES = {
     "op8_piece_codec": piece_codec.op8_piece_codec,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_license_scan": license_scan.op13_license_scan,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.SQL,
     "op7_url_filters": url_filters.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_lexical_search": lexical_search.SQL,
+    "op12_collocations": collocations.SQL,
+    "op13_license_scan": license_scan.SQL,
 }
