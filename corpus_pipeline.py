@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,28 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 from terrachron.llm import exact_dedup, jaccard_join, packing, suffix_dedup, toxicity
 from terrachron.llm.common import written
 
+#: Bytes of a batch of rows between Spark and Python; whole texts make short batches, short rows long ones.
+BATCH_BYTES = 4 << 20
 
+
+def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with batches bounded by bytes, since all of its columns may pass through Python."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@bounded
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the labels not held out, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
 
+@bounded
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal but for blanks."""
     return exact_dedup.keep_one(docs)
 
 
+@bounded
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates."""
     return jaccard_join.keep_smallest(docs)
 
 
+@bounded
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-byte strings that documents with smaller ids have."""
     return suffix_dedup.without_repeats(docs)
 
 
+@bounded
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents, placed in sequences of at most 1024 ids."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
