@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sphere
-from ..functions.sphere import quat_columns, quat_of
-from .sizes import broadcast_checked
+from ..functions.sphere import Quat, quat_columns, quat_of
+from ..sources.storage import stored
 
 # The anchor plate and the number of hops a circuit may take.
 ANCHOR_PLATE = 0
 MAX_HOPS = 11
 
+# Ages per bucket of the circuit table, and the buckets that take all older and younger ages.
+BUCKET_MYR = 10.0
+FIRST_BUCKET, LAST_BUCKET = -1, 100
+
 _IDENTITY = (1.0, 0.0, 0.0, 0.0)
 
 
@@ -106,56 +110,163 @@ def step_rotations(pairs: DataFrame, brackets: DataFrame, plate="plate_id", age=
     return _as_of_step(pairs.columns, plate, age)(pairs, brackets)
 
 
+def _link() -> Column:
+    """What one hop of a circuit needs at any age of its bracket; the second sample goes the shorter way."""
+    qa, qb = quat_of("a"), quat_of("b")
+    cosine = qa.w * qb.w + qa.x * qb.x + qa.y * qb.y + qa.z * qb.z
+    sign = F.when(cosine < 0, -1.0).otherwise(1.0)
+    still = F.col("clamped") | (F.col("age_to") - F.col("age_from") < 1e-9)
+    return F.struct(
+        F.col("age_from").alias("start"),
+        F.when(~still, F.col("age_to") - F.col("age_from")).alias("span"),
+        F.col("clamped").alias("clamped"),
+        F.acos(sphere.clip(F.abs(cosine), 0.0, 1.0)).alias("omega"),
+        *[q.alias("a" + c) for c, q in zip("wxyz", qa)],
+        *[(q * sign).alias("b" + c) for c, q in zip("wxyz", qb)],
+    )
+
+
+def _twice_as_far(circuits: DataFrame, anchor: int) -> DataFrame:
+    """Each unfinished piece of a circuit continued by the pieces of the plate it has reached.
+
+    Their ages intersect, so a plate's ages are cut at every breakpoint along its chain.
+    """
+    finished = F.col("at").isNull() | (F.col("at") == anchor)
+    rest = circuits.select(
+        F.col("plate_id").alias("n_plate"),
+        F.col("age_from").alias("n_from"),
+        F.col("age_to").alias("n_to"),
+        F.col("at").alias("n_at"),
+        F.col("chain").alias("n_chain"),
+    )
+    meets = (
+        (F.col("at") == F.col("n_plate"))
+        & (F.col("age_from") < F.col("n_to"))
+        & (F.col("n_from") < F.col("age_to"))
+    )
+    longer = circuits.where(~finished).join(rest, meets, "left").select(
+        "plate_id",
+        F.greatest("age_from", "n_from").alias("age_from"),
+        F.least("age_to", "n_to").alias("age_to"),
+        F.col("n_at").alias("at"),
+        F.coalesce(F.concat("chain", "n_chain"), F.col("chain")).alias("chain"),
+    )
+    return circuits.where(finished).unionByName(longer)
+
+
+def circuit_table(
+    entries: DataFrame, anchor: int = ANCHOR_PLATE, max_hops: int = MAX_HOPS
+) -> DataFrame:
+    """(plate_id, age_from, age_to, ok, clamped, chain): every circuit of a rotation model.
+
+    A row holds the brackets from a plate to the anchor, child first, for ages between two
+    breakpoints of that chain. Rows are made from the model alone, by doubling: pieces of
+    1, 2, 4, ... hops are joined on the plate that they reach, so the number of joins is
+    logarithmic in ``max_hops`` and independent of the points. The table is stored, since
+    its size then tells the planner how to join it. A missing plate, a plate that is its own
+    parent or a circuit longer than ``max_hops`` has ``ok`` false.
+    """
+    parent = F.when(F.col("parent") != F.col("plate_id"), F.col("parent"))
+    pieces = (
+        rotation_brackets(entries)
+        .where(F.col("plate_id") != anchor)
+        .select("plate_id", "age_from", "age_to", parent.alias("at"), F.array(_link()).alias("chain"))
+    )
+    start = entries.sparkSession.range(1).select(
+        F.lit(anchor).cast(pieces.schema["plate_id"].dataType).alias("plate_id"),
+        F.lit(float("-inf")).alias("age_from"),
+        F.lit(float("inf")).alias("age_to"),
+        F.lit(anchor).cast(pieces.schema["at"].dataType).alias("at"),
+        F.array().cast(pieces.schema["chain"].dataType).alias("chain"),
+    )
+    circuits, reach, kept = stored(pieces.unionByName(start)), 1, 1
+    while reach < max_hops:
+        circuits, reach = _twice_as_far(circuits, anchor), 2 * reach
+        if reach >= 4 * kept:  # two doublings a table: each names its input twice
+            circuits, kept = stored(circuits), reach
+    arrived = F.coalesce(F.col("at") == anchor, F.lit(False)) & (F.size("chain") <= max_hops)
+    return circuits.select(
+        "plate_id",
+        "age_from",
+        "age_to",
+        arrived.alias("ok"),
+        F.exists(F.slice("chain", 1, max_hops), lambda link: link["clamped"]).alias("clamped"),
+        F.when(arrived, F.col("chain")).alias("chain"),
+    )
+
+
+def _bucket(age) -> Column:
+    return sphere.clip(F.floor(F.col(age) / BUCKET_MYR), FIRST_BUCKET, LAST_BUCKET).cast("int")
+
+
+def _composed(chain: str, age: str) -> Column:
+    """Quaternion of a whole chain at an age, as a struct ``w, x, y, z``."""
+    at = F.col(age)
+    fractions = F.transform(
+        chain,
+        lambda k: F.struct(
+            k.alias("k"), F.coalesce((at - k["start"]) / k["span"], F.lit(0.0)).alias("f")
+        ),
+    )
+
+    def weighted(p: Column) -> Column:
+        wa, wb = sphere.blend_weights(p["k"]["omega"], p["f"])
+        return F.struct(p["k"].alias("k"), wa.alias("a"), wb.alias("b"))
+
+    def blended(p: Column) -> Column:
+        k = p["k"]
+        return F.struct(*[(k["a" + c] * p["a"] + k["b" + c] * p["b"]).alias(c) for c in "wxyz"])
+
+    steps = F.transform(F.transform(fractions, weighted), blended)
+    identity = F.struct(*[F.lit(v).alias(c) for c, v in zip("wxyz", _IDENTITY)])
+
+    def then(sofar: Column, step: Column) -> Column:
+        q = sphere.compose(Quat(*[step[c] for c in "wxyz"]), Quat(*[sofar[c] for c in "wxyz"]))
+        return F.struct(*[v.alias(c) for c, v in zip("wxyz", q)])
+
+    return F.aggregate(steps, identity, then)
+
+
 def total_rotations(
     pairs: DataFrame,
     entries: DataFrame,
     anchor: int = ANCHOR_PLATE,
     max_hops: int = MAX_HOPS,
+    circuits: DataFrame | None = None,
 ) -> DataFrame:
     """Rotation of each distinct (plate_id, age) to the anchor: ``r_w..r_z, ok, clamped``.
 
-    The circuit is walked child to parent with one as-of join per hop, on distinct
-    (plate, age) pairs only. A rotation model that is counted to be small is broadcast,
-    and the whole walk is then one stage; a larger one is joined on the plate. A missing plate, a plate that is its own parent or a
-    circuit longer than ``max_hops`` gives null components and ``ok`` false.
+    One join on (plate, bucket of ages) finds the interval of the circuit table that holds
+    the age; the row's chain is then blended and folded in place. Rows without a whole
+    circuit have null components and ``ok`` false. ``circuits`` may be passed when several
+    calls use one model.
     """
-    brackets = broadcast_checked(rotation_brackets(entries))
-    walk = pairs.select("plate_id", "age").distinct().withColumns(
-        {
-            "_at": F.col("plate_id"),
-            "clamped_any": F.lit(False),
-            **{"r_" + c: F.lit(v) for c, v in zip("wxyz", _IDENTITY)},
-        }
-    )
-    # One hop, as expressions shared by all hops. A hop that cannot be made parks the
-    # pair at a null plate; a pair that has arrived keeps its rotation.
-    arrived = F.col("_at") == anchor
-    stuck = F.col("parent").isNull() | (F.col("parent") == F.col("_at"))
-    composed = sphere.compose(quat_of("s_"), quat_of("r_"))
-    hop = [
-        F.col("plate_id"),
-        F.col("age"),
-        F.when(arrived, F.col("_at")).when(~stuck, F.col("parent")).alias("_at"),
-        F.when(arrived, F.col("clamped_any"))
-        .otherwise(F.col("clamped_any") | F.coalesce("clamped", F.lit(False)))
-        .alias("clamped_any"),
-        *[
-            F.when(arrived, F.col("r_" + c)).otherwise(v).alias("r_" + c)
-            for c, v in zip("wxyz", composed)
-        ],
-    ]
-    step = _as_of_step(walk.columns, "_at", "age")
-    cur = walk
-    for _ in range(max_hops):
-        cur = step(cur, brackets).select(*hop)
-    ok = F.coalesce(F.col("_at") == anchor, F.lit(False))
-    sign = F.when(F.col("r_w") < 0, -1.0).otherwise(1.0)
-    return cur.select(
+    if circuits is None:
+        circuits = circuit_table(entries, anchor, max_hops)
+    dealt = circuits.select(
+        F.col("plate_id").alias("_plate"),
+        "age_from",
+        "age_to",
+        F.col("ok").alias("_ok"),
+        F.col("clamped").alias("_clamped"),
+        "chain",
+        F.explode(F.sequence(_bucket("age_from"), _bucket("age_to"))).alias("_bucket"),
+    )
+    asked = pairs.select("plate_id", "age").distinct().withColumn("_at", _bucket("age"))
+    holds = (
+        (F.col("plate_id") == F.col("_plate"))
+        & (F.col("_at") == F.col("_bucket"))
+        & (F.col("age") >= F.col("age_from"))
+        & (F.col("age") < F.col("age_to"))
+    )
+    found = asked.join(dealt, holds, "left").withColumn("_r", _composed("chain", "age"))
+    sign = F.when(F.col("_r.w") < 0, -1.0).otherwise(1.0)
+    return found.select(
         "plate_id",
         "age",
-        ok.alias("ok"),
-        F.col("clamped_any").alias("clamped"),
-        *[F.when(ok, F.col("r_" + c) * sign).alias("r_" + c) for c in "wxyz"],
+        F.coalesce("_ok", F.lit(False)).alias("ok"),
+        F.coalesce("_clamped", F.lit(False)).alias("clamped"),
+        *[(F.col(f"_r.{c}") * sign).alias("r_" + c) for c in "wxyz"],
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: later plans read it and know its size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def file_hashes(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """(path, file_name, bytes, sha256) of every file under ``path``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

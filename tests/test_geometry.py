@@ -71,3 +71,68 @@ def test_harmonic_expression_equals_recursion(spark):
     rows = df.select(harmonics.basis(5).alias("y")).collect()
     want = harmonics.basis_matrix(5, np.array([p[0] for p in pts]), np.array([p[1] for p in pts]))
     assert np.allclose([r.y for r in rows], want)
+
+
+def walked(entries, plate, age, hops=11):
+    """Rotation matrix from a plate to plate 0, one hop at a time; None where the walk fails."""
+
+    def quaternion(e):
+        half = math.radians(e[4]) / 2
+        lat, lon = math.radians(e[2]), math.radians(e[3])
+        axis = (math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat))
+        return np.array([math.cos(half), *(a * math.sin(half) for a in axis)])
+
+    def product(a, b):
+        w, v = a[0] * b[0] - a[1:] @ b[1:], a[0] * b[1:] + b[0] * a[1:] + np.cross(a[1:], b[1:])
+        return np.array([w, *v])
+
+    total, clamped = np.array([1.0, 0, 0, 0]), False
+    for _ in range(hops):
+        if plate == 0:
+            break
+        rows = sorted(e for e in entries if e[0] == plate)
+        if not rows:
+            return None, clamped
+        k = max((i for i, e in enumerate(rows) if e[1] <= age), default=0)
+        a, b = rows[k], rows[min(k + 1, len(rows) - 1)]
+        edge = age < rows[0][1] or k == len(rows) - 1
+        clamped |= edge
+        f = 0.0 if edge else (age - a[1]) / (b[1] - a[1])
+        qa, qb = quaternion(a), quaternion(a if edge else b)
+        qb = -qb if qa @ qb < 0 else qb
+        omega = math.acos(min(1.0, abs(qa @ qb)))
+        step = qa if omega < 1e-12 else (math.sin((1 - f) * omega) * qa + math.sin(f * omega) * qb) / math.sin(omega)
+        if a[5] == plate or a[5] is None:
+            return None, clamped
+        total, plate = product(step, total), a[5]
+    return (total if plate == 0 else None), clamped
+
+
+def test_circuits_agree_with_a_walk(spark):
+    import random
+
+    rng = random.Random(3)
+    entries = []
+    for plate in range(1, 30):
+        for age in sorted({round(rng.uniform(0, 90), 1) for _ in range(rng.randint(1, 4))}):
+            parent = rng.choice([0, plate - 1, plate - 2 if plate > 2 else 0, plate, 40, plate + 1] if plate > 3 else [plate - 1])
+            entries.append((plate, age, rng.uniform(-90, 90), rng.uniform(-180, 180), rng.uniform(-60, 300), parent))
+    entries += [(50 + k, 5.0, 10.0, 20.0, 3.0, 49 + k if k else 0) for k in range(13)]  # chains of 1 to 13 hops
+    pairs = [(p, a) for p in [0, *range(1, 30), *range(50, 63), 77] for a in (-1.0, 0.0, 5.0, 17.3, 60.0, 400.0, 5000.0)]
+    model = spark.createDataFrame(entries, "plate_id int, age double, lat double, lon double, angle double, conjugate_id int")
+    asked = spark.createDataFrame([*pairs, (None, 1.0), (1, None), (2, float("nan"))], "plate_id int, age double")
+    got = rotations.total_rotations(asked, model).collect()
+    assert len(got) == len(set(pairs)) + 3
+    held = 0
+    for r in got:
+        if r.plate_id is None or r.age is None or math.isnan(r.age):
+            assert not r.ok and r.r_w is None
+            continue
+        expected, clamped = walked(entries, r.plate_id, r.age)
+        assert r.ok == (expected is not None) and r.clamped == clamped, r
+        if expected is not None:
+            held += 1
+            expected = -expected if expected[0] < 0 else expected
+            assert np.allclose([r.r_w, r.r_x, r.r_y, r.r_z], expected, atol=1e-12)
+    assert held > 100
+    assert not any(r.ok for r in rotations.total_rotations(asked, model.limit(0)).collect() if r.plate_id)
