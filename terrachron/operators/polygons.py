@@ -128,52 +128,136 @@ def hemisphere_rings(vertices: DataFrame, ring: Sequence[str] = RING) -> DataFra
     return s.where(F.abs(F.abs("signed_area_sr") - 2 * math.pi) < _HEMISPHERE_TOLERANCE)
 
 
-def _crossing_edges(edge_rows: DataFrame, ring: Sequence[str], carry: Sequence[str], lon_bin: float):
-    """Edges with their ring's ray direction, spread over the longitude bins they span."""
-    summary = ring_summary(edge_rows, ring)
-    # A ring that bounds half the sphere has two insides: the job stops and names it.
-    halved = F.abs(F.abs("signed_area_sr") - 2 * math.pi) < _HEMISPHERE_TOLERANCE
-    refusal = F.raise_error(F.concat_ws(" ", F.lit("ring bounds half the sphere:"), *ring))
-    # A ring that holds the north pole is tested against a ray to the south pole,
-    # every other ring against a ray to the north pole; the ray's end is outside.
-    turns = F.col("pole_turns") * F.signum("signed_area_sr")
-    # South of its floor a ring that holds neither pole has no inside to find.
-    floor = (
-        F.when(halved, refusal.cast("double"))
-        .when(F.abs(turns) > 0.5, -90.0)
-        .otherwise(F.col("lat_floor") - 1e-9)
-    )
-    rays = summary.select(*ring, (turns > 0.5).alias("to_south"), floor.alias("floor"))
-    # Both ends of an edge are compared as wrapped vertex longitudes, so two edges
-    # that share a vertex always agree on which side of a meridian it lies.
-    a_lon, b_lon = sphere.wrap360("a_lon"), sphere.wrap360("b_lon")
-    low, high = F.least("a", "b"), F.greatest("a", "b")
+def _strips(edge_rows: DataFrame, ring: Sequence[str], carry: Sequence[str], cell: float) -> DataFrame:
+    """Edges spread over the longitude strips that they span, with the part of a strip they cover.
+
+    An edge covers ``from <= lon < to``. Vertex longitudes are wrapped once, so two edges that
+    share a vertex always agree on which side of a meridian it lies.
+    """
+    strips = int(round(360.0 / cell))
+    west, east = F.least("a", "b"), F.greatest("a", "b")
+    seam = east - west > 180.0  # covers from the eastern vertex over the seam to the western one
+    first, last = F.floor(west / cell), F.floor(east / cell)
     n = sphere.cross(vec_of("a_"), vec_of("b_"))
-    bins = int(round(360.0 / lon_bin))
-    first, last = F.floor(low / lon_bin), F.floor(high / lon_bin)
-    spanned = F.when(F.col("over_seam"), F.sequence(last, first + bins)).otherwise(
-        F.sequence(first, last)
-    )
-    return (
-        edge_rows.withColumns({"a": a_lon, "b": b_lon})
+    spread = (
+        edge_rows.withColumns({"a": sphere.wrap360("a_lon"), "b": sphere.wrap360("b_lon")})
         .where(F.col("a") != F.col("b"))
         .select(
             *ring,
             *carry,
-            low.alias("west"),
-            high.alias("east"),
-            (high - low > 180.0).alias("over_seam"),
+            west.alias("west"),
+            east.alias("east"),
+            F.when(F.col("a") < F.col("b"), F.col("a_lat")).otherwise(F.col("b_lat")).alias("west_lat"),
+            F.when(F.col("a") < F.col("b"), F.col("b_lat")).otherwise(F.col("a_lat")).alias("east_lat"),
+            seam.alias("seam"),
             # The crossing of a meridian is at tan(lat) = (mx cos(lon) + my sin(lon)) / mz.
             (-n.x * F.signum(n.z)).alias("mx"),
             (-n.y * F.signum(n.z)).alias("my"),
             F.abs(n.z).alias("mz"),
-            "a",
-            "b",
+            F.explode(
+                F.when(seam, F.sequence(last, first + strips)).otherwise(F.sequence(first, last))
+            ).alias("_raw"),
         )
-        .join(rays, list(ring))
-        .withColumn("_raw", F.explode(spanned))
-        .withColumn("lon_bin", F.pmod(F.col("_raw"), F.lit(bins)).cast("int"))
-        .drop("_raw", "a", "b")
+    )
+    after = F.col("_raw") >= strips  # the part of a seam edge that begins at longitude 0
+    low = F.when(~F.col("seam"), F.col("west")).when(after, -1.0).otherwise(F.col("east"))
+    high = F.when(~F.col("seam"), F.col("east")).when(after, F.col("west")).otherwise(361.0)
+    strip = F.pmod(F.col("_raw"), F.lit(strips)).cast("int")
+    return spread.select(
+        *ring,
+        *carry,
+        "mx",
+        "my",
+        "mz",
+        low.alias("from"),
+        high.alias("to"),
+        F.when(F.col("seam"), F.col("east_lat")).otherwise(F.col("west_lat")).alias("from_lat"),
+        F.when(F.col("seam"), F.col("west_lat")).otherwise(F.col("east_lat")).alias("to_lat"),
+        strip.alias("strip"),
+        (strip * cell).alias("lon0"),
+    )
+
+
+def _reach(lon) -> Column:
+    """mz tan(lat) of an edge at a longitude in degrees."""
+    return F.col("mx") * F.cos(F.radians(lon)) + F.col("my") * F.sin(F.radians(lon))
+
+
+def _above(reach, lat) -> Column:
+    """Whether an edge runs north of a latitude where it has this ``reach``; divides by nothing."""
+    return reach * F.cos(F.radians(lat)) > F.col("mz") * F.sin(F.radians(lat))
+
+
+def _inside_cells(
+    strips: DataFrame, rings: DataFrame, ring: Sequence[str], carry: Sequence[str], cell: float
+) -> DataFrame:
+    """(ring, carry, strip, band): cells whose north-western corner lies in the ring.
+
+    Along the western meridian of a strip a ring's crossings, sorted from the north, bound the
+    bands that are inside in turn. The sort holds one ring's crossings of one meridian.
+    """
+    bands = int(round(180.0 / cell))
+    top = lambda band: (band + 1) * cell - 90.0
+    here = strips.where((F.col("from") <= F.col("lon0")) & (F.col("lon0") < F.col("to")))
+    reach = _reach(F.col("lon0"))
+    near = F.floor((F.degrees(F.atan2(reach, F.col("mz"))) + 90.0) / cell).cast("int")
+    # Bands below the crossing, by the same comparison that points make with this edge.
+    below = near - 1 + _above(reach, top(near - 1)).cast("int") + _above(reach, top(near)).cast("int")
+    crossings = here.select(*ring, *carry, "strip", sphere.clip(below, 0, bands).cast("int").alias("below"))
+    order = Window.partitionBy(*ring, *carry, "strip").orderBy(F.desc("below"))
+    ranked = crossings.withColumns(
+        {
+            "rank": F.row_number().over(order),
+            "next": F.coalesce(F.lead("below").over(order), F.lit(0)),
+        }
+    ).join(rings, list(ring))
+    between = F.when((F.col("rank") % 2 == 1) != F.col("holds_north"), F.struct(F.col("next").alias("lo"), F.col("below").alias("hi")))
+    capped = F.when(
+        F.col("holds_north") & (F.col("rank") == 1),
+        F.struct(F.col("below").alias("lo"), F.lit(bands).alias("hi")),
+    )
+    return (
+        ranked.withColumn("_r", F.coalesce(capped, between))
+        .where(F.col("_r.lo") < F.col("_r.hi"))
+        .select(*ring, *carry, "strip", F.explode(F.sequence(F.col("_r.lo"), F.col("_r.hi") - 1)).alias("band"))
+    )
+
+
+def _cell_edges(strips: DataFrame, ring: Sequence[str], carry: Sequence[str], cell: float) -> DataFrame:
+    """Edges once for each cell that they may touch, with their side of the cell's northern border."""
+    bands = int(round(180.0 / cell))
+    start = F.greatest("from", "lon0")
+    end = F.least(F.col("to"), F.col("lon0") + cell)
+    lat_at = lambda lon: F.degrees(F.atan2(_reach(lon), F.col("mz")))
+    # A great circle is farthest north at the longitude of (mx, my), farthest south opposite.
+    crest = sphere.wrap360(F.degrees(F.atan2("my", "mx")))
+    peak = F.degrees(F.atan2(F.sqrt(F.col("mx") ** 2 + F.col("my") ** 2), F.col("mz")))
+    within = lambda lon: (lon >= F.col("_s") - 1e-9) & (lon <= F.col("_e") + 1e-9)
+    covered = strips.withColumns({"_s": start, "_e": end}).where(F.col("_s") < F.col("_e"))
+    ends = covered.withColumns({"_p": lat_at(F.col("_s")), "_q": lat_at(F.col("_e")), "_crest": crest})
+    low = F.least("_p", "_q", F.when(within(sphere.wrap360(F.col("_crest") + 180.0)), -peak))
+    high = F.greatest("_p", "_q", F.when(within(F.col("_crest")), peak))
+    band = lambda lat: sphere.clip(F.floor((lat + 90.0) / cell), 0, bands - 1).cast("int")
+    spread = ends.withColumn("band", F.explode(F.sequence(band(low - 1e-9), band(high + 1e-9))))
+    top = (F.col("band") + 1) * cell - 90.0
+    first_side = F.when(F.col("from") > F.col("lon0"), F.col("from_lat") > top).otherwise(
+        _above(_reach(F.col("lon0")), top)
+    )
+    return spread.select(
+        *ring,
+        *carry,
+        "strip",
+        "band",
+        "mx",
+        "my",
+        "mz",
+        "from",
+        "to",
+        start.alias("start"),
+        first_side.alias("start_above"),
+        (F.col("to_lat") > top).alias("end_above"),
+        F.cos(F.radians(top)).alias("_ct"),
+        F.sin(F.radians(top)).alias("_st"),
     )
 
 
@@ -185,49 +269,71 @@ def ring_hits(
     ring: Sequence[str] = RING,
     carry: Sequence[str] = (),
     by: Sequence[str] = (),
-    lon_bin: float = 0.5,
+    cell: float = 1.0,
 ) -> DataFrame:
     """(point keys, ring keys) for every ring that contains the point.
 
-    A point is inside when the meridian from it to an outside pole crosses the ring
-    an odd number of times. An edge is only compared with points in the longitude
-    bins it spans, so the work is points x edges over one meridian, not points x
-    edges; map-side counting leaves one row per (point, ring) to shuffle. Distinct
-    positions should be passed in, not every record (see ``assign_plates``).
+    The sphere is cut into cells of ``cell`` degrees, numbered by strip of longitude and band of
+    latitude. The way from a point north to the border of its cell and then west to the
+    corner stays in the cell, so only edges of that cell can be crossed; whether the corner is
+    inside was settled once for each cell and ring. A point is inside if the corner's state and the
+    number of edges crossed are odd together. A point thus meets the edges of one cell and one row for
+    each ring around it, both by an equi join on the cell; map-side counting leaves one
+    row per (point, ring) to shuffle. Distinct positions should be passed in, not every record
+    (see ``assign_plates``).
     """
     by = list(by)
     extra = [c for c in by if c not in ring]
-    edge_rows = edges(vertices, ring, [*carry, *extra])
-    crossing = _crossing_edges(edge_rows, ring, [*carry, *extra], lon_bin)
-    lon = sphere.wrap360("lon")
-    bins = int(round(360.0 / lon_bin))
+    carried = [*carry, *extra]
+    edge_rows = edges(vertices, ring, carried)
+    summary = ring_summary(edge_rows, ring)
+    # A ring that bounds half the sphere has two insides: the job stops and names it.
+    halved = F.abs(F.abs("signed_area_sr") - 2 * math.pi) < _HEMISPHERE_TOLERANCE
+    refusal = F.raise_error(F.concat_ws(" ", F.lit("ring bounds half the sphere:"), *ring))
+    north = F.col("pole_turns") * F.signum("signed_area_sr") > 0.5
+    rings = summary.select(
+        *ring, F.when(halved, refusal.cast("boolean")).otherwise(north).alias("holds_north")
+    )
+    strips = _strips(edge_rows, ring, carried, cell)
+    lon, lat = sphere.wrap360("lon"), F.col("lat")
+    bands = int(round(180.0 / cell))
     at = points.select(
         *point_keys,
         *[c for c in by if c not in point_keys],
         lon.alias("_lon"),
-        F.col("lat").alias("_lat"),
         F.cos(F.radians("lon")).alias("_cl"),
         F.sin(F.radians("lon")).alias("_sl"),
         F.cos(F.radians("lat")).alias("_cp"),
         F.sin(F.radians("lat")).alias("_sp"),
-        F.pmod(F.floor(lon / lon_bin), F.lit(bins)).cast("int").alias("lon_bin"),
+        F.pmod(F.floor(lon / cell), F.lit(int(round(360.0 / cell)))).cast("int").alias("strip"),
+        sphere.clip(F.floor((lat + 90.0) / cell), 0, bands - 1).cast("int").alias("band"),
     )
-    joined = at.join(crossing, [*by, "lon_bin"]).where(F.col("_lat") >= F.col("floor"))
-    # Half-open in longitude; an edge over the seam spans the complement.
-    between = (F.col("west") <= F.col("_lon")) & (F.col("_lon") < F.col("east"))
-    spans = between != F.col("over_seam")
-    # Compare tangents without dividing: all trigonometry is done before the join.
-    reach = (F.col("mx") * F.col("_cl") + F.col("my") * F.col("_sl")) * F.col("_cp")
-    here = F.col("mz") * F.col("_sp")
-    beyond = F.when(F.col("to_south"), reach < here).otherwise(reach > here)
     keys = list(dict.fromkeys([*point_keys, *by, *ring, *carry]))
-    return (
-        joined.where(spans & beyond)
+    place = [*by, "strip", "band"]
+    inner = _inside_cells(strips, rings, ring, carried, cell)
+    near = _cell_edges(strips, ring, carried, cell)
+    # A cell that no edge of a ring touches is inside as a whole; its points need no counting.
+    touched = near.select(*ring, *extra, "strip", "band").distinct()
+    same = [*ring, *extra, "strip", "band"]
+    settled = at.join(inner.join(touched, same, "left_anti"), place).select(*keys)
+    corners = at.join(inner.join(touched, same, "left_semi"), place).select(*keys)
+    met = at.join(near, place)
+    reach = F.col("mx") * F.col("_cl") + F.col("my") * F.col("_sl")
+    above = reach * F.col("_cp") > F.col("mz") * F.col("_sp")
+    above_top = reach * F.col("_ct") > F.col("mz") * F.col("_st")
+    # North along the point's meridian, half-open in longitude; then west along the border.
+    up = (F.col("from") <= F.col("_lon")) & (F.col("_lon") < F.col("to")) & (above != above_top)
+    reached = F.when(F.col("to") <= F.col("_lon"), F.col("end_above")).otherwise(above_top)
+    along = (F.col("start") < F.least("to", "_lon")) & (F.col("start_above") != reached)
+    crossed = met.where(up != along).select(*keys)
+    counted = (
+        corners.unionByName(crossed)
         .groupBy(*keys)
         .agg(F.count("*").alias("_crossings"))
         .where(F.col("_crossings") % 2 == 1)
         .drop("_crossings")
     )
+    return settled.unionByName(counted)
 
 
 def containing_features(
@@ -243,24 +349,20 @@ def containing_features(
     A part holds the point when its exterior does and none of its holes does; a
     feature holds it when any part does.
     """
-    by = list(by)
-    hits = ring_hits(
-        points,
-        vertices,
-        point_keys=point_keys,
-        carry=["role", *carry],
-        by=by,
-    )
+    return _holding_parts(points, vertices, point_keys, carry, list(by)).distinct()
+
+
+def _holding_parts(
+    points: DataFrame, vertices: DataFrame, point_keys: Sequence[str], carry: Sequence[str], by: list[str]
+) -> DataFrame:
+    """(point keys, feature_id, carry), once for every part that holds the point."""
+    hits = ring_hits(points, vertices, point_keys=point_keys, carry=["role", *carry], by=by)
     keys = list(dict.fromkeys([*point_keys, *by]))
     parts = hits.groupBy(*keys, "feature_id", *carry, "part").agg(
         F.bool_or(F.col("role") == "exterior").alias("_in"),
         F.bool_or(F.col("role") == "hole").alias("_hole"),
     )
-    return (
-        parts.where(F.col("_in") & ~F.col("_hole"))
-        .select(*keys, "feature_id", *carry)
-        .distinct()
-    )
+    return parts.where(F.col("_in") & ~F.col("_hole")).select(*keys, "feature_id", *carry)
 
 
 def assign_plates(
@@ -274,9 +376,7 @@ def assign_plates(
     by = list(by)
     position = [*by, "lon", "lat"]
     unique = points.select(*position).distinct()
-    inside = containing_features(
-        unique, vertices, point_keys=position, carry=["plate_id", "priority"], by=by
-    )
+    inside = _holding_parts(unique, vertices, position, ["plate_id", "priority"], by)
     first = inside.groupBy(*position).agg(F.min_by("plate_id", "priority").alias("_plate"))
     joined = points.join(first, position, "left")
     return joined.withColumn(out, F.coalesce("_plate", F.lit(-1)).cast("int")).drop("_plate")
@@ -317,7 +417,6 @@ def boundary_vertex_distance(
     by: Sequence[str] = (),
     tessellation_deg: float = 0.5,
     cap_km: float | None = 3000.0,
-    width: float = 4.0,
 ) -> DataFrame:
     """Distance to the nearest tessellated boundary vertex, capped."""
     by = list(by)
@@ -331,7 +430,6 @@ def boundary_vertex_distance(
         point_keys=point_keys,
         by=by,
         cap_km=cap_km,
-        width=width,
         out="boundary_km",
     )
 
@@ -344,7 +442,6 @@ def outline_distance(
     by: Sequence[str] = (),
     sample_deg: float = 2.0,
     cap_km: float | None = None,
-    width: float = 4.0,
 ) -> DataFrame:
     """Exact distance to the nearest outline arc, optionally capped.
 
@@ -363,7 +460,6 @@ def outline_distance(
         point_keys=point_keys,
         by=by,
         cap_km=cap_km,
-        width=width,
         slack=math.radians(sample_deg),
         out="outline_km",
     )
@@ -397,7 +493,7 @@ def coverage_fraction(
         F.col("o.db").alias("db"),
     )
     keys = ["i", "j", "da", "db"]
-    inside = containing_features(probes, vertices, point_keys=keys).select(*keys).distinct()
+    inside = _holding_parts(probes, vertices, keys, [], []).select(*keys).distinct()
     counted = inside.groupBy("i", "j").agg(F.count("*").alias("_n"))
     return cells.join(counted, ["i", "j"], "left").withColumn(
         "coverage", F.coalesce(F.col("_n"), F.lit(0)) / float(subsample**2)
@@ -416,45 +512,51 @@ def registration_report(
     largest vertex-to-nearest-vertex distance in both directions, and the largest
     distance of an exported edge's midpoint from the source outline.
     """
-    by = ["feature_id"]
-
-    def vertex_points(df: DataFrame) -> DataFrame:
-        return df.select("feature_id", "lon", "lat").distinct()
-
-    def vertex_targets(df: DataFrame) -> DataFrame:
-        t = df.select(
-            "feature_id", F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat")
-        ).distinct()
-        return t.withColumns(vec_columns(sphere.unit_vector("t_lon", "t_lat"), "t_"))
-
-    def worst(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        d = spherebins.nearest_distance(
-            vertex_points(a),
-            vertex_targets(b),
-            sphere.angle(vec_of("p_"), vec_of("t_")),
-            point_keys=["feature_id", "lon", "lat"],
-            by=by,
-            cap_km=None,
-        )
-        return d.groupBy("feature_id").agg(F.max("distance_km").alias(name))
+    arc = [f"{p}_{c}" for p in "abn" for c in "xyz"]
+
+    def corners(df: DataFrame, check: str) -> DataFrame:
+        return df.select(F.lit(check).alias("check"), "feature_id", "lon", "lat").distinct()
+
+    def corner_targets(df: DataFrame, check: str) -> DataFrame:
+        # A vertex is an arc without length: its normal is null and only its ends count.
+        v = sphere.unit_vector("t_lon", "t_lat")
+        named = corners(df, check).select("check", "feature_id", F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
+        none = {f"n_{c}": F.lit(None).cast("double") for c in "xyz"}
+        return named.withColumns({**vec_columns(v, "a_"), **vec_columns(v, "b_"), **none})
 
     mid = edges(exported)
     middle = sphere.add(vec_of("a_"), vec_of("b_"))
     lon, lat = sphere.to_lonlat(middle)
     midpoints = mid.where(sphere.norm(middle) >= 1e-12).select(
-        "feature_id", lon.alias("lon"), lat.alias("lat")
+        F.lit("edge").alias("check"), "feature_id", lon.alias("lon"), lat.alias("lat")
     ).distinct()
     antipodal = mid.where(sphere.norm(middle) < 1e-12).groupBy("feature_id").agg(
         F.count("*").alias("antipodal_edges")
     )
-    edge_gap = outline_distance(
-        midpoints, source, point_keys=["feature_id", "lon", "lat"], by=by
-    ).groupBy("feature_id").agg(F.max("outline_km").alias("edge_km"))
+    sample_deg = 2.0
+    arcs = densified_edges(edges(source), sample_deg, ["feature_id"]).withColumns(
+        {**vec_columns(sphere.arc_normal(vec_of("a_"), vec_of("b_")), "n_"), "check": F.lit("edge")}
+    )
+    columns = ["check", "feature_id", "t_lon", "t_lat", *arc]
+    # Both directions and the midpoints in one search, keyed by check and feature.
+    worst = spherebins.nearest_distance(
+        corners(exported, "forward").unionByName(corners(source, "backward")).unionByName(midpoints),
+        corner_targets(source, "forward")
+        .unionByName(corner_targets(exported, "backward"))
+        .select(*columns)
+        .unionByName(arcs.select(*columns)),
+        sphere.arc_distance(vec_of("p_"), vec_of("a_"), vec_of("b_"), vec_of("n_")),
+        point_keys=["feature_id", "lon", "lat"],
+        by=["check", "feature_id"],
+        cap_km=None,
+        slack=math.radians(sample_deg),
+    )
+    of = lambda check: F.max(F.when(F.col("check") == check, F.col("distance_km"))).alias(f"{check}_km")
+    gaps = worst.groupBy("feature_id").agg(of("forward"), of("backward"), of("edge"))
     left = exported.groupBy("feature_id").agg(F.min("plate_id").alias("export_plate"))
     right = source.groupBy("feature_id").agg(F.min("plate_id").alias("source_plate"))
     rows = left.join(right, "feature_id", "full_outer")
-    for part in (worst(exported, source, "forward_km"), worst(source, exported, "backward_km"),
-                 edge_gap, antipodal):
+    for part in (gaps, antipodal):
         rows = rows.join(part, "feature_id", "left")
     present = F.col("export_plate").isNotNull() & F.col("source_plate").isNotNull()
     close = F.greatest("forward_km", "backward_km", "edge_km") <= tolerance_km

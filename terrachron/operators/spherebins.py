@@ -1,9 +1,9 @@
 """Nearest-neighbour and cutoff joins on the sphere without a cross join.
 
-Both sides fall into cells of about ``width`` degrees. How far two cells can be
-from each other follows from their centres and radii alone, so the cells worth
-comparing are found on the cell table, whose size is fixed by ``width`` and not
-by the data. Points then meet only the targets in those cells, by equi join.
+Both sides fall into cells of several widths. How far two cells can be from each other
+follows from their centres and radii alone, so the cells worth comparing are found on tables
+of occupied cells: wide cells first, and narrower ones only below pairs that may still hold a
+nearest target. Points then meet only the targets in the narrowest of those, by equi join.
 """
 
 from __future__ import annotations
@@ -17,29 +17,31 @@ from pyspark.sql import functions as F
 from ..functions import sphere
 from ..functions.sphere import clip, vec_columns, vec_of
 from ..functions.units import EARTH_RADIUS_KM, as_column
+from ..sources.storage import stored
 
 
 class CellScheme:
     """Latitude bands of ``width`` degrees cut into near-square sectors."""
 
     def __init__(self, width: float):
-        if not 0.25 <= width <= 30:
-            raise ValueError("cell width must be between 0.25 and 30 degrees")
+        if not 0.001 <= width <= 30:
+            raise ValueError("cell width must be between 0.001 and 30 degrees")
         self.bands = int(math.ceil(180.0 / width))
         self.width = 180.0 / self.bands
-        self.sectors = []
-        for b in range(self.bands):
-            lo, hi = -90 + b * self.width, -90 + (b + 1) * self.width
-            widest = 1.0 if lo < 0 < hi else max(math.cos(math.radians(x)) for x in (lo, hi))
-            self.sectors.append(max(1, int(math.ceil(360.0 * widest / self.width))))
         # The half diagonal of a width x width cell, 0.711 width at most for widths
         # up to 30 degrees, bounds the distance of its points to its centre. The rest
         # of the factor covers the rounding of an arc cosine.
         self.radius = math.radians(self.width) * 0.72
-        self.max_sectors = max(self.sectors)
+        self.max_sectors = int(math.ceil(360.0 / self.width)) + 1
 
     def _sectors(self, band: Column) -> Column:
-        return F.get(F.lit(self.sectors), band.cast("int"))
+        """Sectors of a band, from the widest parallel in it."""
+        low = -90.0 + band * self.width
+        high = low + self.width
+        widest = F.when((low < 0) & (high > 0), 1.0).otherwise(
+            F.greatest(F.cos(F.radians(low)), F.cos(F.radians(high)))
+        )
+        return F.greatest(F.ceil(360.0 / self.width * widest), F.lit(1))
 
     def band(self, lat) -> Column:
         return clip(F.floor((as_column(lat) + 90.0) / self.width), 0, self.bands - 1).cast("int")
@@ -53,7 +55,7 @@ class CellScheme:
         band = self.band(lat)
         n = self._sectors(band)
         sector = F.least(F.floor(sphere.wrap360(lon) / 360.0 * n), n - 1)
-        return F.coalesce((band * self.max_sectors + sector).cast("int"), F.lit(-1))
+        return F.coalesce((band * F.lit(self.max_sectors).cast("long") + sector).cast("long"), F.lit(-1).cast("long"))
 
     def centre(self, cell: Column) -> tuple[Column, Column]:
         """(lon, lat) of a cell's centre."""
@@ -82,39 +84,57 @@ class CellScheme:
             last = F.least(last, first + n - 1)
             return F.transform(
                 F.sequence(first, last),
-                lambda s: (b * self.max_sectors + F.pmod(s, n)).cast("int"),
+                lambda s: (b * F.lit(self.max_sectors).cast("long") + F.pmod(s, n)).cast("long"),
             )
 
         return F.flatten(F.transform(F.sequence(low, high), in_band))
 
 
-def _cell_pairs(
-    point_cells: DataFrame, target_cells: DataFrame, scheme: CellScheme, reach: float,
-    by: Sequence[str],
-) -> DataFrame:
-    """(by, cell, target_cell, centre_angle) within reach; bounded by the cell table.
+#: Widths of the cells that a search goes through, in degrees, as many as the targets are dense.
+COARSEST = 12.0
+LEVELS = 7
+#: Targets that share a cell, on average over the targets, at which a search stops to descend.
+FEW_TARGETS = 12.0
 
-    Centre vectors are computed once per cell, before the cells are paired.
-    """
-    limit = reach + 2 * scheme.radius
 
-    def centred(cells: DataFrame, prefix: str) -> DataFrame:
-        v = vec_columns(sphere.unit_vector(*scheme.centre(F.col("cell"))), prefix)
-        return cells.withColumns({k: F.coalesce(c, F.lit(0.0)) for k, c in v.items()})
+def _centred(cells: DataFrame, cell: str, scheme: CellScheme, prefix: str) -> DataFrame:
+    """Cells with the vectors of their centres, worked out once per cell before cells are paired."""
+    v = vec_columns(sphere.unit_vector(*scheme.centre(F.col(cell))), prefix)
+    return cells.withColumns({k: F.coalesce(c, F.lit(0.0)) for k, c in v.items()})
 
-    wide = centred(point_cells, "c_").withColumn(
-        "target_cell", F.explode(scheme.around(F.col("cell"), min(limit, math.pi)))
-    )
-    goals = centred(target_cells, "g_").withColumnRenamed("cell", "target_cell")
-    pairs = wide.join(goals, [*by, "target_cell"]).select(
-        *by,
-        "cell",
-        "target_cell",
-        sphere.dot(vec_of("c_"), vec_of("g_")).alias("_dot"),
+
+def _useful(pairs: DataFrame, scheme: CellScheme, by: Sequence[str], reach: float, slack: float) -> DataFrame:
+    """Pairs of cells that may hold a point and its nearest target.
+
+    The nearest target of any point is at most the smallest ``angle + 2 radius`` of its cell
+    away, and a pair's targets are at least ``angle - 2 radius`` away.
+    """
+    angle = F.acos(clip(sphere.dot(vec_of("c_"), vec_of("g_")), -1.0, 1.0))
+    measured = pairs.select(*by, "cell", "target_cell", angle.alias("angle"))
+    bound = measured.groupBy(*by, "cell").agg((F.min("angle") + 2 * scheme.radius).alias("best"))
+    nearest = F.least(F.col("best") + 2 * slack, F.lit(reach))
+    return (
+        measured.join(bound, [*by, "cell"])
+        .where(F.col("angle") - 2 * scheme.radius <= nearest)
+        .select(*by, "cell", "target_cell")
     )
-    near = pairs if limit >= math.pi else pairs.where(F.col("_dot") >= math.cos(limit))
-    angle = F.acos(clip("_dot", -1.0, 1.0))
-    return near.select(*by, "cell", "target_cell", angle.alias("centre_angle"))
+
+
+def _widths(targets: DataFrame, by: Sequence[str], coarsest: float) -> list[float]:
+    """Cell widths to go through: down to where targets share their cell with few others.
+
+    One pass counts the targets per occupied cell of every width; the driver reads a number a level.
+    """
+    widths = [coarsest / 4.0**k for k in range(LEVELS)]
+    cells = F.array(*[
+        F.struct(F.lit(k).alias("level"), CellScheme(w).cell("t_lon", "t_lat").alias("cell"))
+        for k, w in enumerate(widths)
+    ])
+    counts = targets.select(*by, F.explode(cells).alias("c")).groupBy(*by, "c.level", "c.cell").count()
+    shared = counts.groupBy("level").agg(F.sum(F.col("count") * F.col("count")) / F.sum("count"))
+    found = dict(shared.collect())
+    last = next((k for k in range(LEVELS) if found.get(k, 0.0) <= FEW_TARGETS), LEVELS - 1)
+    return widths[: last + 1]
 
 
 def nearest_distance(
@@ -125,7 +145,7 @@ def nearest_distance(
     point_keys: Sequence[str],
     by: Sequence[str] = (),
     cap_km: float | None = 3000.0,
-    width: float = 4.0,
+    width: float = COARSEST,
     slack: float = 0.0,
     out: str = "distance_km",
 ) -> DataFrame:
@@ -138,37 +158,46 @@ def nearest_distance(
     Points farther than ``cap_km`` get ``cap_km``; without a cap every point gets
     its true distance.
 
-    The cells to look at hold every target that can be nearest: the best cell is at
-    most ``centre_angle + 2 radius`` away, so a cell is kept only if its lower bound
-    ``centre_angle - 2 radius`` does not exceed the smallest of those upper bounds.
+    Branch and bound: pairs of occupied cells of ``width`` degrees are bounded first; a pair that
+    can't hold a nearest target is dropped with all that lies below it, the others are replaced by
+    the pairs of the occupied cells four times narrower in them, until a cell holds few targets.
+    Each level is a stored table of cells, so plans stay short and sizes known; its number
+    of rows follows the occupied cells, not points times targets.
     """
     by = list(by)
-    scheme = CellScheme(width)
-    reach = math.pi if cap_km is None else cap_km / EARTH_RADIUS_KM + slack
-    place = points.withColumn("cell", scheme.cell("lon", "lat")).withColumns(
+    reach = math.pi if cap_km is None else min(math.pi, cap_km / EARTH_RADIUS_KM + slack)
+    schemes = [CellScheme(w) for w in _widths(targets, by, width)]
+    top = schemes[0]
+
+    def cells(df: DataFrame, lon: str, lat: str, level: int, name: str) -> DataFrame:
+        """Occupied cells of a level, each with the cells of the level above that share a row with it."""
+        wider = [schemes[level - 1].cell(lon, lat).alias(f"wide_{name}")] if level else []
+        own = schemes[level].cell(lon, lat).alias(name)
+        return df.select(*by, *wider, own).distinct()
+
+    around = F.explode(top.around(F.col("cell"), min(reach + 2 * top.radius, math.pi)))
+    here = _centred(cells(points, "lon", "lat", 0, "cell"), "cell", top, "c_")
+    there = _centred(cells(targets, "t_lon", "t_lat", 0, "target_cell"), "target_cell", top, "g_")
+    pairs = here.withColumn("target_cell", around).join(there, [*by, "target_cell"])
+    pairs = stored(_useful(pairs, top, by, reach, slack))
+    for level, scheme in enumerate(schemes[1:], 1):
+        here = _centred(cells(points, "lon", "lat", level, "cell"), "cell", scheme, "c_")
+        there = _centred(cells(targets, "t_lon", "t_lat", level, "target_cell"), "target_cell", scheme, "g_")
+        wide = pairs.withColumnsRenamed({"cell": "wide_cell", "target_cell": "wide_target_cell"})
+        below = wide.join(here, [*by, "wide_cell"]).join(there, [*by, "wide_target_cell"])
+        # A cell that lies in two wider ones has the pairs of both.
+        below = below.drop("wide_cell", "wide_target_cell").distinct()
+        pairs = stored(_useful(below, scheme, by, reach, slack))
+
+    last = schemes[-1]
+    place = points.withColumn("cell", last.cell("lon", "lat")).withColumns(
         sphere.vec_columns(sphere.unit_vector("lon", "lat"), "p_")
     )
-    goals = targets.withColumn("target_cell", scheme.cell("t_lon", "t_lat"))
-    pairs = _cell_pairs(
-        place.select(*by, "cell").distinct(),
-        goals.select(*by, F.col("target_cell").alias("cell")).distinct(),
-        scheme,
-        reach,
-        by,
-    )
-    # The best upper bound per point cell is an aggregate over the bounded cell table.
-    bound = pairs.groupBy(*by, "cell").agg(
-        (F.min("centre_angle") + 2 * scheme.radius).alias("_best")
-    )
-    useful = (
-        pairs.join(bound, [*by, "cell"])
-        .where(F.col("centre_angle") - 2 * scheme.radius <= F.col("_best") + 2 * slack)
-        .select(*by, "cell", "target_cell")
-    )
+    goals = targets.withColumn("target_cell", last.cell("t_lon", "t_lat"))
     near = (
-        place.join(useful, [*by, "cell"])
+        place.join(pairs, [*by, "cell"])
         .join(goals, [*by, "target_cell"])
-        .groupBy(*by, *point_keys)
+        .groupBy(*dict.fromkeys([*by, *point_keys]))
         .agg(F.min(distance).alias("_d"))
     )
     km = F.col("_d") * EARTH_RADIUS_KM

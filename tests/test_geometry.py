@@ -136,3 +136,51 @@ def test_circuits_agree_with_a_walk(spark):
             assert np.allclose([r.r_w, r.r_x, r.r_y, r.r_z], expected, atol=1e-12)
     assert held > 100
     assert not any(r.ok for r in rotations.total_rotations(asked, model.limit(0)).collect() if r.plate_id)
+
+
+def turning(ring, lon, lat):
+    """Whether a ring (its smaller side) holds a point, by the angles its edges subtend there."""
+
+    def unit(x, y):
+        x, y = math.radians(x), math.radians(y)
+        return np.array([math.cos(y) * math.cos(x), math.cos(y) * math.sin(x), math.sin(y)])
+
+    v, p = [unit(x, y) for x, y in ring], unit(lon, lat)
+    total, area = 0.0, 0.0
+    for a, b in zip(v, v[1:] + v[:1]):
+        total += math.atan2(p @ np.cross(a, b), a @ b - (p @ a) * (p @ b))
+        area += 2 * math.atan2(v[0] @ np.cross(a, b), 1 + v[0] @ a + a @ b + v[0] @ b)
+    return total / (2 * math.pi) * math.copysign(1, area) > 0.5
+
+
+def test_containment_agrees_with_turning_angles(spark):
+    import random
+
+    rng = random.Random(9)
+    rings, rows = {}, []
+    for k in range(24):
+        lon0, lat0, wide = rng.uniform(-180, 180), rng.choice([-88, -60, -20, 0, 33, 70, 87]), rng.choice([0.4, 3, 20, 40])
+        n = rng.randint(3, 40)
+        pts = []
+        for i in range(n):  # star-shaped rings around a centre, poles and the seam included
+            angle, r = 2 * math.pi * i / n, math.radians(wide * rng.uniform(0.3, 1))
+            y = math.asin(math.sin(math.radians(lat0)) * math.cos(r) + math.cos(math.radians(lat0)) * math.sin(r) * math.cos(angle))
+            x = math.radians(lon0) + math.atan2(math.sin(angle) * math.sin(r) * math.cos(math.radians(lat0)), math.cos(r) - math.sin(math.radians(lat0)) * math.sin(y))
+            pts.append((math.degrees(x), math.degrees(y)))
+        if k % 3 == 0:  # vertices on the borders and corners of cells
+            pts = [(float(round(x)), float(round(y))) for x, y in pts]
+            pts = [p for i, p in enumerate(pts) if p != pts[i - 1]]
+        if k % 2:
+            pts.reverse()
+        rings[f"r{k}"] = pts
+        rows += ring(f"r{k}", pts, plate=k)
+    points = [(rng.uniform(-180, 180), math.degrees(math.asin(rng.uniform(-1, 1)))) for _ in range(150)]
+    for pts in rings.values():
+        x, y = pts[0]
+        points += [(x + rng.uniform(-3, 3), max(-90.0, min(90.0, y + rng.uniform(-3, 3)))) for _ in range(8)]
+    p = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "pid int, lon double, lat double")
+    v = spark.createDataFrame(rows, SCHEMA)
+    expected = {(i, f) for i, (x, y) in enumerate(points) for f, pts in rings.items() if turning(pts, x, y)}
+    for cell in (1.0, 7.5):
+        got = {(r.pid, r.feature_id) for r in polygons.ring_hits(p, v, point_keys=["pid"], cell=cell).collect()}
+        assert got == expected and len(expected) > 40
