@@ -393,10 +393,13 @@ def override_ids(assigned: DataFrame, network: str, plate: str, out: str = "plat
 # --- boundaries --------------------------------------------------------------
 
 
-def densified_edges(edge_rows: DataFrame, step_deg: float, keep: Sequence[str]) -> DataFrame:
+def densified_edges(
+    edge_rows: DataFrame, step_deg: float, keep: Sequence[str], offset: float = 0.0
+) -> DataFrame:
     """Samples along every arc no farther apart than ``step_deg``: ``t_lon, t_lat``.
 
-    Edge vectors stay on the row for exact arc distances.
+    They begin ``offset`` steps from the arc's start: 0 at its vertex; with 0.5 every
+    point of an arc lies within half a step of a sample of that arc. Edge vectors stay on the row for exact arc distances.
     """
     pieces = F.greatest(F.ceil(F.degrees("arc") / step_deg), F.lit(1)).cast("int")
     vectors = [f"{p}_{c}" for p in "ab" for c in "xyz"]
@@ -404,7 +407,7 @@ def densified_edges(edge_rows: DataFrame, step_deg: float, keep: Sequence[str])
         *keep, *vectors, sphere.angle(vec_of("a_"), vec_of("b_")).alias("arc")
     ).withColumn("_n", pieces)
     rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rows = sphere.with_slerp(rows, "a_", "b_", F.col("_k") / F.col("_n"), "t_", omega="arc")
+    rows = sphere.with_slerp(rows, "a_", "b_", (F.col("_k") + offset) / F.col("_n"), "t_", omega="arc")
     lon, lat = sphere.to_lonlat(vec_of("t_"))
     return rows.withColumns({"t_lon": lon, "t_lat": lat}).drop("_n", "_k", "arc")
 
@@ -440,17 +443,17 @@ def outline_distance(
     *,
     point_keys: Sequence[str],
     by: Sequence[str] = (),
-    sample_deg: float = 2.0,
+    sample_deg: float = 1.0,
     cap_km: float | None = None,
 ) -> DataFrame:
     """Exact distance to the nearest outline arc, optionally capped.
 
-    Arcs are found through samples at most ``sample_deg`` apart; the distance itself
+    Arcs are found through samples no farther than ``sample_deg / 2`` from any of their points; the distance itself
     is to the whole arc.
     """
     by = list(by)
     extra = [c for c in by if c not in RING]
-    targets = densified_edges(edges(vertices, RING, extra), sample_deg, by).withColumns(
+    targets = densified_edges(edges(vertices, RING, extra), sample_deg, by, 0.5).withColumns(
         vec_columns(sphere.arc_normal(vec_of("a_"), vec_of("b_")), "n_")
     )
     return spherebins.nearest_distance(
@@ -460,7 +463,7 @@ def outline_distance(
         point_keys=point_keys,
         by=by,
         cap_km=cap_km,
-        slack=math.radians(sample_deg),
+        slack=math.radians(sample_deg) / 2,
         out="outline_km",
     )
 
@@ -533,8 +536,8 @@ def registration_report(
     antipodal = mid.where(sphere.norm(middle) < 1e-12).groupBy("feature_id").agg(
         F.count("*").alias("antipodal_edges")
     )
-    sample_deg = 2.0
-    arcs = densified_edges(edges(source), sample_deg, ["feature_id"]).withColumns(
+    sample_deg = 1.0
+    arcs = densified_edges(edges(source), sample_deg, ["feature_id"], 0.5).withColumns(
         {**vec_columns(sphere.arc_normal(vec_of("a_"), vec_of("b_")), "n_"), "check": F.lit("edge")}
     )
     columns = ["check", "feature_id", "t_lon", "t_lat", *arc]
@@ -549,7 +552,7 @@ def registration_report(
         point_keys=["feature_id", "lon", "lat"],
         by=["check", "feature_id"],
         cap_km=None,
-        slack=math.radians(sample_deg),
+        slack=math.radians(sample_deg) / 2,
     )
     of = lambda check: F.max(F.when(F.col("check") == check, F.col("distance_km"))).alias(f"{check}_km")
     gaps = worst.groupBy("feature_id").agg(of("forward"), of("backward"), of("edge"))

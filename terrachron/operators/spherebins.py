@@ -90,51 +90,49 @@ class CellScheme:
         return F.flatten(F.transform(F.sequence(low, high), in_band))
 
 
-#: Widths of the cells that a search goes through, in degrees, as many as the targets are dense.
+#: Widest cells of a search, in degrees, and how often they may be halved where targets are dense.
 COARSEST = 12.0
-LEVELS = 7
+LEVELS = 13
 #: Targets that share a cell, on average over the targets, at which a search stops to descend.
-FEW_TARGETS = 12.0
+FEW_TARGETS = 24.0
 
 
-def _centred(cells: DataFrame, cell: str, scheme: CellScheme, prefix: str) -> DataFrame:
-    """Cells with the vectors of their centres, worked out once per cell before cells are paired."""
+def _centre(cell: str, scheme: CellScheme, prefix: str) -> dict[str, Column]:
+    """Vector of a cell's centre, as columns that are never null."""
     v = vec_columns(sphere.unit_vector(*scheme.centre(F.col(cell))), prefix)
-    return cells.withColumns({k: F.coalesce(c, F.lit(0.0)) for k, c in v.items()})
+    return {k: F.coalesce(c, F.lit(0.0)) for k, c in v.items()}
 
 
-def _useful(pairs: DataFrame, scheme: CellScheme, by: Sequence[str], reach: float, slack: float) -> DataFrame:
-    """Pairs of cells that may hold a point and its nearest target.
+def _useful(pairs: DataFrame, radii: float, by: Sequence[str], reach: float, slack: float) -> DataFrame:
+    """Pairs of cells that may hold a point and its nearest target; ``radii`` is the sum of both radii.
 
-    The nearest target of any point is at most the smallest ``angle + 2 radius`` of its cell
-    away, and a pair's targets are at least ``angle - 2 radius`` away.
+    The nearest target of any point is at most the smallest ``angle + radii`` of its cell
+    away, and a pair's targets are at least ``angle - radii`` away.
     """
     angle = F.acos(clip(sphere.dot(vec_of("c_"), vec_of("g_")), -1.0, 1.0))
-    measured = pairs.select(*by, "cell", "target_cell", angle.alias("angle"))
-    bound = measured.groupBy(*by, "cell").agg((F.min("angle") + 2 * scheme.radius).alias("best"))
-    nearest = F.least(F.col("best") + 2 * slack, F.lit(reach))
+    measured = pairs.withColumn("angle", angle)
+    bound = measured.groupBy(*by, "cell").agg((F.min("angle") + radii).alias("best"))
+    nearest = F.least(F.col("best") + slack, F.lit(reach))
     return (
         measured.join(bound, [*by, "cell"])
-        .where(F.col("angle") - 2 * scheme.radius <= nearest)
-        .select(*by, "cell", "target_cell")
+        .where(F.col("angle") - radii <= nearest)
+        .drop("angle", "best")
     )
 
 
-def _widths(targets: DataFrame, by: Sequence[str], coarsest: float) -> list[float]:
-    """Cell widths to go through: down to where targets share their cell with few others.
+def _depth(occupied: DataFrame, by: Sequence[str]) -> int:
+    """Halvings of the widest cells after which targets share their cell with few others.
 
-    One pass counts the targets per occupied cell of every width; the driver reads a number a level.
+    ``occupied`` has the cells of every level and ``n``; the driver reads a number a level.
     """
-    widths = [coarsest / 4.0**k for k in range(LEVELS)]
-    cells = F.array(*[
-        F.struct(F.lit(k).alias("level"), CellScheme(w).cell("t_lon", "t_lat").alias("cell"))
-        for k, w in enumerate(widths)
-    ])
-    counts = targets.select(*by, F.explode(cells).alias("c")).groupBy(*by, "c.level", "c.cell").count()
-    shared = counts.groupBy("level").agg(F.sum(F.col("count") * F.col("count")) / F.sum("count"))
-    found = dict(shared.collect())
-    last = next((k for k in range(LEVELS) if found.get(k, 0.0) <= FEW_TARGETS), LEVELS - 1)
-    return widths[: last + 1]
+    cells = F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"c{k}").alias("cell")) for k in range(LEVELS)])
+    counts = (
+        occupied.select(*by, "n", F.explode(cells).alias("c"))
+        .groupBy(*by, "c.level", "c.cell")
+        .agg(F.sum("n").alias("n"))
+    )
+    found = dict(counts.groupBy("level").agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).collect())
+    return next((k for k in range(LEVELS) if found.get(k, 0.0) <= FEW_TARGETS), LEVELS - 1)
 
 
 def nearest_distance(
@@ -160,36 +158,54 @@ def nearest_distance(
 
     Branch and bound: pairs of occupied cells of ``width`` degrees are bounded first; a pair that
     can't hold a nearest target is dropped with all that lies below it, the others are replaced by
-    the pairs of the occupied cells four times narrower in them, until a cell holds few targets.
+    the pairs of the occupied narrower cells in them, until a cell holds few targets.
     Each level is a stored table of cells, so plans stay short and sizes known; its number
     of rows follows the occupied cells, not points times targets.
     """
     by = list(by)
     reach = math.pi if cap_km is None else min(math.pi, cap_km / EARTH_RADIUS_KM + slack)
-    schemes = [CellScheme(w) for w in _widths(targets, by, width)]
+    schemes = [CellScheme(width / 2.0**k) for k in range(LEVELS)]
     top = schemes[0]
 
-    def cells(df: DataFrame, lon: str, lat: str, level: int, name: str) -> DataFrame:
-        """Occupied cells of a level, each with the cells of the level above that share a row with it."""
-        wider = [schemes[level - 1].cell(lon, lat).alias(f"wide_{name}")] if level else []
-        own = schemes[level].cell(lon, lat).alias(name)
-        return df.select(*by, *wider, own).distinct()
-
-    around = F.explode(top.around(F.col("cell"), min(reach + 2 * top.radius, math.pi)))
-    here = _centred(cells(points, "lon", "lat", 0, "cell"), "cell", top, "c_")
-    there = _centred(cells(targets, "t_lon", "t_lat", 0, "target_cell"), "target_cell", top, "g_")
-    pairs = here.withColumn("target_cell", around).join(there, [*by, "target_cell"])
-    pairs = stored(_useful(pairs, top, by, reach, slack))
-    for level, scheme in enumerate(schemes[1:], 1):
-        here = _centred(cells(points, "lon", "lat", level, "cell"), "cell", scheme, "c_")
-        there = _centred(cells(targets, "t_lon", "t_lat", level, "target_cell"), "target_cell", scheme, "g_")
-        wide = pairs.withColumnsRenamed({"cell": "wide_cell", "target_cell": "wide_target_cell"})
-        below = wide.join(here, [*by, "wide_cell"]).join(there, [*by, "wide_target_cell"])
+    def levels(df: DataFrame, lon: str, lat: str, wanted: Sequence[int]) -> DataFrame:
+        cells = [schemes[k].cell(lon, lat).alias(f"c{k}") for k in wanted]
+        return stored(df.groupBy(*by, *cells).agg(F.count("*").alias("n")))
+
+    there = levels(targets, "t_lon", "t_lat", range(LEVELS))
+    depth = _depth(there, by)
+    path = sorted({0, *range(depth, 0, -2)})
+    here = levels(points, "lon", "lat", path)
+
+    def occupied(df: DataFrame, level: int, name: str, above: int | None = None) -> DataFrame:
+        """Cells of a level, each with the cells of the level above that share a row with it."""
+        wider = [] if above is None else [F.col(f"c{above}").alias(f"wide_{name}")]
+        return df.select(*by, *wider, F.col(f"c{level}").alias(name)).distinct()
+
+    mine = occupied(here, 0, "cell").withColumns(_centre("cell", top, "c_"))
+    goals = occupied(there, 0, "target_cell").withColumns(_centre("target_cell", top, "g_"))
+    if by:  # a key has a few hundred of the widest cells at most
+        first = mine.join(goals, by)
+    else:
+        around = F.explode(top.around(F.col("cell"), min(reach + 2 * top.radius, math.pi)))
+        first = mine.withColumn("target_cell", around).join(goals, "target_cell")
+    keep = [*by, "cell", "target_cell"]
+    pairs = stored(_useful(first, 2 * top.radius, by, reach, slack).select(*keep))
+    for above, level in zip(path, path[1:]):
+        wide, scheme = schemes[above], schemes[level]
+        # The points' side goes down first, so fewer targets' cells have to be opened.
+        mine = occupied(here, level, "cell", above).withColumns(_centre("cell", scheme, "c_"))
+        goals = occupied(there, level, "target_cell", above).withColumns(_centre("target_cell", scheme, "g_"))
+        half = (
+            pairs.withColumnsRenamed({"cell": "wide_cell", "target_cell": "wide_target_cell"})
+            .withColumns(_centre("wide_target_cell", wide, "g_"))
+            .join(mine, [*by, "wide_cell"])
+        )
+        half = _useful(half, wide.radius + scheme.radius, by, reach, slack).drop("g_x", "g_y", "g_z")
+        whole = half.join(goals, [*by, "wide_target_cell"])
         # A cell that lies in two wider ones has the pairs of both.
-        below = below.drop("wide_cell", "wide_target_cell").distinct()
-        pairs = stored(_useful(below, scheme, by, reach, slack))
+        pairs = stored(_useful(whole, 2 * scheme.radius, by, reach, slack).select(*keep).distinct())
 
-    last = schemes[-1]
+    last = schemes[depth]
     place = points.withColumn("cell", last.cell("lon", "lat")).withColumns(
         sphere.vec_columns(sphere.unit_vector("lon", "lat"), "p_")
     )

@@ -184,3 +184,35 @@ def test_containment_agrees_with_turning_angles(spark):
     for cell in (1.0, 7.5):
         got = {(r.pid, r.feature_id) for r in polygons.ring_hits(p, v, point_keys=["pid"], cell=cell).collect()}
         assert got == expected and len(expected) > 40
+
+
+def test_nearest_targets_crowded_into_one_cell(spark):
+    """Thousands of targets within a few metres to kilometres, points near and far, one key or none."""
+    from terrachron.functions import sphere
+    from terrachron.operators import spherebins
+
+    rng = np.random.default_rng(4)
+    lon, lat = 10 + rng.normal(0, 0.01, 3000), 20 + rng.normal(0, 0.01, 3000)
+    t = spark.createDataFrame([("a", float(x), float(y)) for x, y in zip(lon, lat)], "k string, t_lon double, t_lat double")
+    t = t.withColumns(sphere.vec_columns(sphere.unit_vector("t_lon", "t_lat"), "t_"))
+    points = [(i, "a", 10 + float(x), 20 + float(y)) for i, (x, y) in enumerate(rng.normal(0, 0.02, (60, 2)))]
+    points += [(100, "a", -170.0, -20.0), (101, "a", 0.0, 90.0), (102, "b", 10.0, 20.0), (103, "a", 40.0, 20.0)]
+    p = spark.createDataFrame(points, "pid int, k string, lon double, lat double")
+    unit = lambda x, y: np.array([np.cos(np.radians(y)) * np.cos(np.radians(x)), np.cos(np.radians(y)) * np.sin(np.radians(x)), np.sin(np.radians(y)) + 0 * x])
+    goals = unit(lon, lat)
+    for by in ([], ["k"]):
+        for cap in (None, 3000.0):
+            out = spherebins.nearest_distance(
+                p, t, sphere.angle(sphere.vec_of("p_"), sphere.vec_of("t_")), point_keys=["pid"], by=by, cap_km=cap
+            ) if by else spherebins.nearest_distance(
+                p.drop("k"), t.drop("k"), sphere.angle(sphere.vec_of("p_"), sphere.vec_of("t_")), point_keys=["pid"], cap_km=cap
+            )
+            got = {r.pid: r.distance_km for r in out.collect()}
+            assert len(got) == len(points)
+            for i, k, x, y in points:
+                chord = np.sqrt(((goals - unit(x, y)[:, None]) ** 2).sum(0)).min()
+                want = 6371 * 2 * math.asin(min(1, chord / 2))
+                if by and k == "b":
+                    assert got[i] == cap
+                else:
+                    assert math.isclose(got[i], want if cap is None else min(want, cap), rel_tol=1e-9, abs_tol=1e-5), (i, got[i], want)
