@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.chronology import hash_uniform
 from . import ordering
 
 
@@ -60,14 +59,49 @@ def effective_clusters(df: DataFrame, unit: str) -> DataFrame:
 _MOST = 17
 
 
-def _poisson_one(u: Column) -> Column:
-    """Poisson variate of mean 1 for a uniform in [0, 1): how many cumulative shares are at most u."""
+def _poisson_cuts() -> list[float]:
+    """Cumulative shares of a Poisson variate of mean 1."""
     share, total, cuts = math.exp(-1.0), 0.0, []
     for k in range(_MOST):
         total += share
         share /= k + 1
         cuts.append(total)
-    return sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    return cuts
+
+
+def _replicate_sums(n_boot: int, seed: int):
+    """Adds up all replicates of the units that a task reads, as vectors; ``n_boot`` rows a task.
+
+    A nested function without globals, so that executors need no copy of this library.
+    """
+    cuts = _poisson_cuts()
+
+    def run(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        heads = [f"{seed}-{k}".encode() for k in range(n_boot)]
+        steps = np.array(cuts)
+        n, sa, sb = np.zeros(n_boot, dtype=np.int64), np.zeros(n_boot), np.zeros(n_boot)
+        md5 = hashlib.md5
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("unit", "n", "sa", "sb")))
+            for unit, count, first, second in rows:
+                tail = b"" if unit is None else b"-" + unit.encode()
+                marks = b"".join([md5(head + tail).digest()[:4] for head in heads])
+                uniform = np.frombuffer(marks, dtype=">u4") / 4294967296.0
+                times = np.searchsorted(steps, uniform, side="right")
+                n += times * count
+                if first is not None:  # a unit without any error to add
+                    sa += times * first
+                if second is not None:
+                    sb += times * second
+        columns = [pa.array(np.arange(n_boot, dtype=np.int32)), pa.array(n), pa.array(sa), pa.array(sb)]
+        yield pa.RecordBatch.from_arrays(columns, ["b", "n", "sa", "sb"])
+
+    return run
 
 
 def bootstrap_deltas(
@@ -76,8 +110,9 @@ def bootstrap_deltas(
     """MAE difference (a - b) per replicate, resampling whole units.
 
     Rows are reduced to one row per unit first. The law is the Poisson bootstrap: in each replicate
-    a unit counts a Poisson(1) number of times, by hashing (seed, replicate, unit). Every task adds
-    its units up by itself, so ``n_boot`` rows per task are shuffled and nothing is joined.
+    a unit counts a Poisson(1) number of times, by hashing (seed, replicate, unit) as
+    ``hash_uniform`` does. A task adds its units into three vectors of ``n_boot`` numbers, so no
+    row per unit and replicate is ever made; ``n_boot`` rows a task are shuffled, nothing is joined.
     """
     y = F.col(truth)
     units = df.groupBy(unit).agg(
@@ -85,22 +120,21 @@ def bootstrap_deltas(
         F.sum(F.abs(F.col(a) - y)).alias("sa"),
         F.sum(F.abs(F.col(b) - y)).alias("sb"),
     )
-    # The uniform is made inside the generator, so that it is hashed once per row.
-    replicates = F.transform(
-        F.sequence(F.lit(0), F.lit(n_boot - 1)),
-        lambda k: F.struct(k.alias("b"), hash_uniform(seed, k, F.col(unit)).alias("u")),
-    )
     # A few units still make many draws: keep all cores busy, which size alone would not.
     spread = units.repartition(df.sparkSession.sparkContext.defaultParallelism, unit)
-    drawn = spread.select("n", "sa", "sb", F.explode(replicates).alias("r")).select(
-        "n", "sa", "sb", F.col("r.b").alias("b"), _poisson_one(F.col("r.u")).alias("t")
+    rows = spread.select(
+        F.col(unit).cast("string").alias("unit"),
+        "n",
+        F.col("sa").cast("double").alias("sa"),
+        F.col("sb").cast("double").alias("sb"),
     )
-    t = F.col("t")
-    total = F.sum(t * F.col("n"))
+    sums = rows.mapInArrow(_replicate_sums(n_boot, seed), "b int, n bigint, sa double, sb double")
+    total = F.sum("n")
     return (
-        drawn.where("t > 0")
-        .groupBy("b")
-        .agg((F.sum(t * F.col("sa")) / total - F.sum(t * F.col("sb")) / total).alias("delta"))
+        sums.groupBy("b")
+        .agg((F.sum("sa") / total - F.sum("sb") / total).alias("delta"), total.alias("_n"))
+        .where("_n > 0")
+        .drop("_n")
     )
 
 

@@ -80,3 +80,28 @@ def test_exact_quantiles_with_ties(spark):
     got = ordering.exact_quantiles(df, [], "v", {"a": 0.05, "b": 0.5, "c": 0.977}, chunks=16).collect()[0]
     want = np.quantile(values, [0.05, 0.5, 0.977])
     assert np.allclose([got.a, got.b, got.c], want)
+
+
+def test_bootstrap_vectors_follow_the_hash_law(spark):
+    from pyspark.sql import functions as F
+
+    from terrachron.functions.chronology import hash_uniform
+    from terrachron.operators import metrics
+
+    rows = [(g, float(k), k + 0.1 * (k % 3), k - 0.2 * (k % 5)) for g in ("u1", "u2", "ü3", None) for k in range(7)]
+    df = spark.createDataFrame([*rows, ("gap", 1.0, None, None)], "unit string, y double, a double, b double")
+    got = {r.b: r.delta for r in metrics.bootstrap_deltas(df, "y", "a", "b", "unit", n_boot=40, seed=5).collect()}
+    units = df.groupBy("unit").agg(
+        F.count("*").alias("n"), F.sum(F.abs(F.col("a") - F.col("y"))).alias("sa"), F.sum(F.abs(F.col("b") - F.col("y"))).alias("sb")
+    )
+    cuts = metrics._poisson_cuts()
+    drawn = units.select("*", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")).select(
+        "*", hash_uniform(5, F.col("k"), F.col("unit")).alias("u")
+    )
+    want = {}
+    for r in drawn.collect():
+        t = sum(r.u >= c for c in cuts)
+        n, sa, sb = want.get(r.k, (0, 0.0, 0.0))
+        want[r.k] = (n + t * r.n, sa + t * (r.sa or 0), sb + t * (r.sb or 0))
+    want = {k: sa / n - sb / n for k, (n, sa, sb) in want.items() if n}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
