@@ -11,6 +11,7 @@ from ..functions import temporal
 from ..functions.chronology import t4_quantile
 from ..functions.physics import softplus
 from ..operators import harmonics, histories, scoring
+from ..plans import reports
 from . import bridge as b
 from .bridge import DRAWS, FIELD_CTES, NODE_ROWS, NODES, OBS, with_
 from .registry import query, r, rounded
@@ -492,3 +493,79 @@ def modern_gradient(spark, sf):
     return rounded(out.select("anchor", F.col("term").cast("long").alias("term"), "gradient"))
 
 
+# --- ensembles of histories --------------------------------------------------------
+# Cells are 8 ages x 2 rows x 4 columns; every third value is not observed. A core is told apart by its id.
+
+_ENSEMBLE = (
+    "ensemble",
+    """select history_id, age_idx, dim, dim // 4 as i, dim % 4 as j, 30 + value as value, split,
+     (history_id + 8*age_idx + dim) % 3 <> 0 as observed, value + history_id*1e-6 as core from hist""",
+)
+_LINV_ONE = _matrix("linv", temporal.whitening_matrix(_AGES, 10.0, 1.0))
+
+
+def _ensemble(spark, sf):
+    return _histories(spark, sf).selectExpr(
+        "history_id", "cast(history_id % 50 as string) as group_id", "split", "age_idx", "dim",
+        "cast(dim div 4 as int) as i", "cast(dim % 4 as int) as j", "30 + value as value",
+        "3e1 as prediction", "cast((history_id + 8*age_idx + dim) % 3 <> 0 as int) as observed",
+        "value + history_id*1e-6 as core",
+    )
+
+
+def _grid(spark):
+    cells = spark.range(64).select(
+        F.floor(F.col("id") / 8).cast("int").alias("age_idx"),
+        F.floor(F.col("id") % 8 / 4).cast("int").alias("i"),
+        (F.col("id") % 4).cast("int").alias("j"),
+    )
+    return cells
+
+
+@query(
+    with_(_HIST, _ENSEMBLE, _LINV_ONE,
+          ("white", """select history_id, split, dim, rr as age_idx, sum(l*core) as value
+             from ensemble join linv on cc = age_idx group by 1, 2, 3, 4"""),
+          ("st", """select dim, avg(value) as mean, greatest(stddev_pop(value), 1e-4) as scale from white
+             where split = 'train' group by 1"""),
+          ("norm", "select history_id, avg((value - mean)/scale) as m from white join st using (dim) group by 1"),
+          ("err", "select history_id, sqrt(avg((value - 30)*(value - 30))) as e from ensemble where observed group by 1"))
+    + f"select history_id, {r('e', 'rmse_km')}, {r('m', 'normalised_mean')} from err join norm using (history_id)"
+)
+def ensemble_report(spark, sf):
+    """Contract, errors and training-only normalisation of an ensemble of histories."""
+    rows = _ensemble(spark, sf)
+    cores = rows.select("history_id", "split", "age_idx", "dim", F.col("core").alias("value"))
+    out = reports.ensemble_report(rows, cores, _AGES, _grid(spark))
+    means = out["normalised"].groupBy("history_id").agg(F.avg("value").alias("normalised_mean"))
+    return rounded(out["rmse"].join(means, "history_id").select("history_id", "rmse_km", "normalised_mean"))
+
+
+@query(
+    """select vec_id as history_id, case vec_id % 20 when 1 then 'other grid' when 2 then 'mask is not 0 or 1'
+      when 3 then 'nothing observed' when 4 then 'observed value is not positive and finite'
+      when 5 then 'other grid' end as field_problem,
+      case vec_id % 20 when 6 then 'value is not finite' when 7 then 'age outside the anchors'
+      when 8 then 'ages and dimensions incomplete' when 9 then 'other dimensions' end as core_problem
+    from embeddings where vec_id % 20 between 1 and 9"""
+)
+def ensemble_problems(spark, sf):
+    """Histories with planted faults, each named by the contract that it breaks."""
+    rows = _ensemble(spark, sf).withColumn("k", F.col("history_id") % 20)
+    k, first = F.col("k"), (F.col("age_idx") == 1) & (F.col("dim") == 1)
+    fields_table = rows.where(~((k == 1) & first)).withColumns(
+        {
+            "observed": F.when((k == 2) & first, 2).when(k == 3, 0).when((k == 4) & first, 1).otherwise(F.col("observed")),
+            "value": F.when((k == 4) & first, float("nan")).otherwise(F.col("value")),
+            "i": F.when((k == 5) & first, 7).otherwise(F.col("i")),
+        }
+    )
+    cores = rows.where(~((k == 8) & first)).select(
+        "history_id",
+        F.when((k == 7) & first, 8).otherwise(F.col("age_idx")).alias("age_idx"),
+        F.when(k == 9, F.col("dim") + 1).otherwise(F.col("dim")).alias("dim"),
+        F.when((k == 6) & first, float("inf")).otherwise(F.col("core")).alias("value"),
+    )
+    one = histories.field_problems(fields_table, _grid(spark)).withColumnRenamed("problem", "field_problem")
+    two = histories.core_problems(cores, _AGES).withColumnRenamed("problem", "core_problem")
+    return one.join(two, "history_id", "full_outer").select("history_id", "field_problem", "core_problem")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -338,6 +339,68 @@ def repeated_histories(cores: DataFrame) -> DataFrame:
     )
 
 
+def core_problems(cores: DataFrame, ages: Sequence[float]) -> DataFrame:
+    """(history_id, problem) of core histories that do not fit the ages or each other; must be empty.
+
+    ``cores`` has ``history_id, age_idx, dim, value``. Each history needs one finite number for every
+    age and dimension, and all histories have the same dimensions. The ages must be two or more,
+    finite and rising; otherwise the call itself is refused.
+    """
+    numbers = [float(a) for a in ages]
+    rising = all(a < b for a, b in zip(numbers, numbers[1:]))
+    if len(numbers) < 2 or not all(map(math.isfinite, numbers)) or not rising:
+        raise ValueError("a history needs two or more finite ages in rising order")
+    n = len(numbers)
+    whole = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    each = cores.groupBy("history_id").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("age_idx", "dim").alias("places"),
+        F.count_distinct("dim").alias("dims"),
+        F.count_if(~F.coalesce(F.col("age_idx").between(0, n - 1), F.lit(False))).alias("outside"),
+        F.count_if(~whole).alias("not_finite"),
+        F.sum(F.when(F.col("age_idx") == 0, F.xxhash64("dim").cast("decimal(38,0)"))).alias("mark"),
+    )
+    # The dimensions of most histories count as right; ties fall to the smaller mark.
+    usual = each.groupBy("mark").count().agg(F.max_by("mark", F.struct("count", -F.col("mark")))).scalar()
+    problem = (
+        F.when(F.col("not_finite") > 0, "value is not finite")
+        .when(F.col("outside") > 0, "age outside the anchors")
+        .when((F.col("n") != F.col("places")) | (F.col("n") != n * F.col("dims")), "ages and dimensions incomplete")
+        .when(~F.col("mark").eqNullSafe(usual), "other dimensions")
+    )
+    return each.select("history_id", problem.alias("problem")).where("problem is not null")
+
+
+def field_problems(fields: DataFrame, expected: DataFrame) -> DataFrame:
+    """(history_id, problem) of field histories that break the contract; must be empty.
+
+    ``fields`` has ``history_id, age_idx, i, j, value, observed`` with a mask of 0 and 1 (or booleans);
+    ``expected`` lists the cells ``age_idx, i, j`` every history must have, once each. Cells are
+    compared by an order-free fingerprint, so no history is gathered or joined to the grid.
+    """
+    cells = ["age_idx", "i", "j"]
+    keys = [F.col(c).cast("int").alias(c) for c in cells]
+    wanted = content_fingerprint(expected.select(*keys), cells).select("fingerprint").scalar()
+    mask = F.col("observed").cast("double")
+    seen = F.coalesce(mask == 1, F.lit(False))
+    v = F.col("value")
+    good = F.coalesce((v > 0) & (v < float("inf")) & ~F.isnan("value"), F.lit(False))
+    counts = fields.groupBy("history_id").agg(
+        F.count_if(~F.coalesce(mask.isin(0.0, 1.0), F.lit(False))).alias("bad_mask"),
+        F.count_if(seen).alias("n_observed"),
+        F.count_if(seen & ~good).alias("n_bad"),
+    )
+    prints = content_fingerprint(fields.select("history_id", *keys), cells, ["history_id"])
+    problem = (
+        F.when(F.col("fingerprint") != wanted, "other grid")
+        .when(F.col("bad_mask") > 0, "mask is not 0 or 1")
+        .when(F.col("n_observed") == 0, "nothing observed")
+        .when(F.col("n_bad") > 0, "observed value is not positive and finite")
+    )
+    joined = counts.join(prints, counts["history_id"].eqNullSafe(prints["history_id"])).drop(prints["history_id"])
+    return joined.select("history_id", problem.alias("problem")).where("problem is not null")
+
+
 def observed_report(fields: DataFrame) -> DataFrame:
     """Per history: observed cells, and observed cells that are not positive and finite."""
     v = F.col("value")
@@ -351,7 +414,8 @@ def observed_report(fields: DataFrame) -> DataFrame:
 def observed_rmse(fields: DataFrame) -> DataFrame:
     """RMSE over observed cells per history (``value`` against ``prediction``)."""
     e = F.col("prediction") - F.col("value")
-    return fields.where("observed").groupBy("history_id").agg(F.sqrt(F.avg(e * e)).alias("rmse_km"))
+    seen = F.col("observed").cast("boolean")
+    return fields.where(seen).groupBy("history_id").agg(F.sqrt(F.avg(e * e)).alias("rmse_km"))
 
 
 def posterior_report(scores: DataFrame, intervals: DataFrame, alpha: float = 0.1) -> DataFrame:

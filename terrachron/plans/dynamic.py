@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import polygons, rotations
+from ..operators import checks, polygons, rotations
 from .prepare import DISTANCE_SCALE_KM, REFERENCE_SCALE_KM
 
 
@@ -27,8 +27,14 @@ def dynamic_features(
     ``base`` is the static feature table; ``plates``, ``networks`` and ``continents``
     are polygon tables with ``age_idx`` (already in past coordinates), ``plate_id``
     and ``priority``. Networks override plates. The reference is the modern value
-    found by rotating a cell back; it is zero where that is not supported.
+    found by rotating a cell back; it is zero where that is not supported. A ring with fewer than
+    three vertices and an anchor without any outline are refused.
     """
+    for name, polygon_table in (("plates", plates), ("networks", networks), ("continents", continents)):
+        short = polygons.short_rings(polygon_table, [*polygons.RING, "age_idx"])
+        checks.must_be_empty(short, f"{name}: rings with fewer than three vertices")
+    outlined = plates.select("age_idx").unionByName(networks.select("age_idx"))
+    checks.must_be_empty(require_boundaries(outlined, n_anchors), "anchors without any outline")
     cells = base.withColumn(
         "age_idx", F.explode(F.sequence(F.lit(0), F.lit(n_anchors - 1)))
     ).drop("plate_id")

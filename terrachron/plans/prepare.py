@@ -104,12 +104,16 @@ def prepare(
     rotation_entries: DataFrame | None = None,
     static_plates: DataFrame | None = None,
     dynamic_features: DataFrame | None = None,
+    registry: DataFrame | None = None,
 ) -> Mapping[str, DataFrame]:
     """Frozen tables ``records, nodes, features, modern``.
 
     With rotations and plates the nodes are moved to their past positions and a
     record with any node that cannot be moved is dropped whole. A held-out list with unknown or
     repeated ids or flags other than 0 and 1 is refused, and so is a test set without records.
+    With a ``registry`` (source_id, source_sigma_km, source_bias_km) an unknown source is refused and
+    every record carries its source's scale and bias; plates with rings of fewer than three vertices
+    are refused.
     """
     paleo = rotation_entries is not None and static_plates is not None
     checks.checked_number("nlat", nlat, 4)
@@ -130,6 +134,10 @@ def prepare(
     checks.require_columns(obs, [*records.REQUIRED, *([group] if group else [])], flags)
     if holdout is not None:
         checks.must_be_empty(splits.holdout_problems(obs, holdout), "held-out list refused")
+    if registry is not None:
+        checks.must_be_empty(records.unregistered_sources(obs, registry), "unregistered sources")
+    if paleo:
+        checks.must_be_empty(polygons.short_rings(static_plates), "rings with fewer than three vertices")
     key = group
     rows = obs
     if group is None:
@@ -159,6 +167,8 @@ def prepare(
     )
     source = F.when(F.col("site_km") >= CONTINENTAL_KM, continental_sigma).otherwise(thin_sigma)
     recs = sampled.withColumn("sigma", chrono.combined_scale(F.lit(record_sigma), source))
+    if registry is not None:
+        recs = records.register_sources(recs, registry, "sigma")
     domain = (0.0, float(max_age))
     nodes = records.explode_nodes(
         valid, ["observation_id", "present_lon", "present_lat"], domain=domain

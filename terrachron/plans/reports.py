@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fields, histories
+from ..operators import checks, fields, histories
 
 
 def decode_draws(
@@ -82,20 +82,29 @@ def node_draws(
 
 
 def ensemble_report(
-    fields_table: DataFrame, cores: DataFrame, ages: Sequence[float], lengthscale: float = 10.0
+    fields_table: DataFrame,
+    cores: DataFrame,
+    ages: Sequence[float],
+    expected: DataFrame,
+    lengthscale: float = 10.0,
 ) -> dict[str, DataFrame]:
-    """Checks, per-history errors and train-only statistics of a history ensemble.
+    """Per-history errors and train-only statistics of an ensemble of histories.
 
-    ``fields_table`` rows (history_id, group_id, split, value, prediction, observed);
-    ``cores`` rows (history_id, split, age_idx, dim, value).
+    ``fields_table`` rows (history_id, group_id, split, age_idx, i, j, value, prediction, observed);
+    ``cores`` rows (history_id, split, age_idx, dim, value); ``expected`` the cells (age_idx, i, j) of
+    the grid. An ensemble is refused before anything is worked out from it if a field or core history
+    breaks its contract, if two histories are the same, or if groups cross splits or are too few.
     """
     heads = fields_table.select("history_id", "group_id", "split").distinct()
+    checks.must_be_empty(histories.field_problems(fields_table, expected), "field histories refused")
+    checks.must_be_empty(histories.core_problems(cores, ages), "core histories refused")
+    checks.must_be_empty(histories.repeated_histories(cores), "duplicate histories refused")
+    split = histories.history_split_report(heads)
+    checks.must_be_empty(split.where("not passed"), "splits of histories refused")
     white = histories.whiten(cores, ages, lengthscale, ["history_id", "split", "dim"])
     statistics = histories.train_normalisation(white)
     return {
-        "split": histories.history_split_report(heads),
-        "repeated": histories.repeated_histories(cores),
-        "observed": histories.observed_report(fields_table),
+        "split": split,
         "rmse": histories.observed_rmse(fields_table),
         "statistics": statistics,
         "normalised": histories.normalise(white, statistics),

@@ -131,3 +131,66 @@ def test_bootstrap_of_equal_predictors_is_zero(spark):
     rows = [(k % 7, float(k), float(k) + 1, float(k) + 1) for k in range(70)]
     deltas = metrics.bootstrap_deltas(spark.createDataFrame(rows, "u int, y double, a double, b double"), "y", "a", "b", "u", 50)
     assert deltas.count() == 50 and deltas.agg(F.max(F.abs("delta"))).first()[0] == 0
+
+
+def test_ensembles_are_refused(spark):
+    from terrachron.operators import histories
+    from terrachron.plans import reports
+
+    cells = [(a, i, j) for a in range(2) for i in range(1) for j in range(2)]
+    grid = spark.createDataFrame(cells, "age_idx int, i int, j int")
+    sides = {"a": "train", "b": "train", "c": "validation"}
+
+    def ensemble(change=lambda r: r, same=False, groups=str):
+        rows = [dict(history_id=h, group_id=groups(h), split=s, age_idx=a, i=i, j=j, value=8.0 + j, prediction=8.0, observed=1) for h, s in sides.items() for a, i, j in cells]
+        rows = [r for r in map(change, rows) if r]
+        cores = [(h, s, a, d, float(a + d + (0 if same else ord(h)))) for h, s in sides.items() for a in range(2) for d in range(2)]
+        f = spark.createDataFrame(rows, "history_id string, group_id string, split string, age_idx int, i int, j int, value double, prediction double, observed int")
+        return f, spark.createDataFrame(cores, "history_id string, split string, age_idx int, dim int, value double")
+
+    out = reports.ensemble_report(*ensemble(), [0.0, 1.0], grid)
+    assert {r.history_id: round(r.rmse_km, 9) for r in out["rmse"].collect()} == dict.fromkeys("abc", round(0.5**0.5, 9))
+    cases = {
+        "duplicate histories": ensemble(same=True),
+        "splits of histories": ensemble(groups=lambda h: "g"),
+        "other grid": ensemble(lambda r: None if r["history_id"] == "b" and r["j"] == 1 else r),
+        "mask is not": ensemble(lambda r: r | {"observed": 3} if r["history_id"] == "b" else r),
+        "nothing observed": ensemble(lambda r: r | {"observed": 0} if r["history_id"] == "c" else r),
+        "not positive": ensemble(lambda r: r | {"value": -1.0} if r["history_id"] == "c" else r),
+    }
+    for message, tables_ in cases.items():
+        with pytest.raises(checks.ContractError, match=message):
+            reports.ensemble_report(*tables_, [0.0, 1.0], grid)
+    cores = ensemble()[1]
+    for ages in ([0.0], [1.0, 0.0], [0.0, math.nan], [0.0, 0.0]):
+        with pytest.raises(ValueError, match="rising"):
+            histories.core_problems(cores, ages)
+    assert histories.core_problems(cores, [0.0, 1.0]).collect() == []
+    assert {r.problem for r in histories.core_problems(cores, [0.0, 1.0, 2.0]).collect()} == {"ages and dimensions incomplete"}
+
+
+def test_prepare_refuses_unknown_sources_and_short_rings(spark):
+    obs = synthetic.observations(spark, 30).withColumn("source_id", F.lit("s1"))
+    modern = text.parse_modern_grid(synthetic.modern_grid_lines(spark).select("value"))
+    registry = spark.createDataFrame([("s1", 3.0, 0.5)], "source_id string, source_sigma_km double, source_bias_km double")
+    out = prepare.prepare(spark, obs, modern, nlat=8, nlon=16, step=10.0, registry=registry)
+    row = out["records"].first()
+    assert row.source_bias_km == 0.5 and math.isclose(row.effective_sigma_km, math.hypot(row.sigma, 3.0))
+    with pytest.raises(checks.ContractError, match="unregistered sources"):
+        prepare.prepare(spark, obs, modern, nlat=8, nlon=16, step=10.0, registry=registry.where("source_id = 'x'"))
+    rings = spark.createDataFrame([("f", 1, 1, "exterior", k, float(k), 0.0, 1, 1) for k in range(2)], "feature_id string, part int, ring int, role string, vertex int, lon double, lat double, plate_id int, priority int")
+    entries = spark.createDataFrame([(1, 0.0, 90.0, 0.0, 0.0, 0)], "plate_id int, age double, lat double, lon double, angle double, conjugate_id int")
+    with pytest.raises(checks.ContractError, match="fewer than three"):
+        prepare.prepare(spark, obs, modern, nlat=8, nlon=16, step=10.0, rotation_entries=entries, static_plates=rings)
+
+
+def test_dynamic_geometry_refuses_ages_without_outlines(spark):
+    from terrachron.plans import dynamic
+
+    ring = [("f", 1, 1, "exterior", k, x, y, 1, 1, 0) for k, (x, y) in enumerate([(0.0, 0.0), (5.0, 0.0), (5.0, 5.0)])]
+    v = spark.createDataFrame(ring, "feature_id string, part int, ring int, role string, vertex int, lon double, lat double, plate_id int, priority int, age_idx int")
+    base = spark.createDataFrame([(0, 0, 1.0, 1.0, 1)], "i int, j int, lon double, lat double, plate_id int")
+    with pytest.raises(checks.ContractError, match="without any outline"):
+        dynamic.dynamic_features(base, base, v, v.limit(0), v, base, step=10.0, n_anchors=2)
+    with pytest.raises(checks.ContractError, match="plates: rings"):
+        dynamic.dynamic_features(base, base, v.where("vertex < 2"), v, v, base, step=10.0, n_anchors=1)
