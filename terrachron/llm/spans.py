@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one pass of the numpy helpers holds (a longer text makes its own block).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 #: Rows of a batch that are converted at a time.
 SLICE_ROWS = 1024
