@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import checks, polygons, rotations
+from ..sources.storage import stored
 from .prepare import DISTANCE_SCALE_KM, REFERENCE_SCALE_KM
 
 
@@ -30,6 +31,8 @@ def dynamic_features(
     found by rotating a cell back; it is zero where that is not supported. A ring with fewer than
     three vertices and an anchor without any outline are refused.
     """
+    # Read by every check, join and search below; their rotations are worked out once.
+    plates, networks, continents = (stored(t) for t in (plates, networks, continents))
     for name, polygon_table in (("plates", plates), ("networks", networks), ("continents", continents)):
         short = polygons.short_rings(polygon_table, [*polygons.RING, "age_idx"])
         checks.must_be_empty(short, f"{name}: rings with fewer than three vertices")
