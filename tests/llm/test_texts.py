@@ -324,3 +324,42 @@ def test_an_advert_does_not_part_an_article(wrap):
     page = f"<div id=top><div class=menu>Menu</div></div><div>{body}</div><div class=ad>Buy more</div><div><div>Imprint</div></div>"
     assert html_extract.main_text(page) == "\n".join(["Title", first.strip(), second.strip(), last])
     assert html_extract.main_text(body) == "\n".join(["Title", first.strip(), second.strip(), last])
+
+
+LONG = "Long words here and there " * 15
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        *(f"<{t}>gone</{t}>" for t in "script style noscript button svg iframe textarea template select canvas".split()),
+        "<span class='ad'>gone</span>", "<b id=share-box>gone</b>", "<i hidden>gone</i>", "<span class='ad'>gone<br>away</span>",
+    ],
+)
+def test_elements_dropped_inside_an_article(part):
+    assert html_extract.main_text(f"<article><p>a</p>{part}<p>b</p></article>") == "a\nb"
+    assert html_extract.main_text(f"<article><p>a {part} b</p></article>") == "a b"
+    assert html_extract.main_text(f"<article>{part}<p>a{part}</p>{part}</article>") == "a"
+    assert html_extract.main_text(f"<div><p>{LONG}</p>{part}<p>{LONG}</p><p>b</p></div>") == f"{LONG.strip()}\n{LONG.strip()}\nb"
+
+
+@pytest.mark.parametrize("name", ["social-history", "notice-board", "search-results", "form_of_address", "widgets-and-gears"])
+@pytest.mark.parametrize("tag", ["div", "p", "section"])
+def test_a_name_that_only_holds_a_mark_is_left_to_the_ratios(name, tag):
+    inner = LONG if tag == "p" else f"<p>{LONG}</p>"
+    links = "".join(f"<li><a href=/{i}>Go {i}</a></li>" for i in range(6))
+    for around in ("article", "div"):
+        page = f"<{around}><p>{LONG}</p><{tag} class='{name}'>{inner}</{tag}><p>{LONG}</p></{around}>"
+        assert html_extract.main_text(page) == "\n".join([LONG.strip()] * 3)
+        page = f"<{around}><p>{LONG}</p><div class='{name}'><ul>{links}</ul></div><p>{LONG}</p></{around}>"
+        assert html_extract.main_text(page) == "\n".join([LONG.strip()] * 2)
+
+
+def test_ratios_decide_on_lists_of_links():
+    """Neither an article nor a telling name; items of the text itself stay, as does a lone link."""
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Place {i}</a></li>" for i in range(5)) + "</ul>"
+    items = "<ul><li>first thing</li><li>second <a href=x>thing</a></li></ul><p><a href=y>one link</a></p>"
+    want = "\n".join([LONG.strip(), "first thing", "second thing", "one link", LONG.strip()])
+    for around in ("article", "div"):
+        assert html_extract.main_text(f"<{around}><p>{LONG}</p>{items}<p>{LONG}</p>{menu}</{around}>") == want
+    assert html_extract.main_text(f"<article>{menu}</article>") == "\n".join(f"Place {i}" for i in range(5))
