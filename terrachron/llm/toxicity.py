@@ -88,6 +88,9 @@ class Model:
         return out
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
+        """Scores of texts with this evidence; 0 for all where no token speaks for the toxic label."""
+        if not self.informed:
+            return np.zeros(len(evidence))
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * evidence + self.shift, -50, 50)))
 
 
@@ -198,9 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = training_sample(docs, labels, "toxic", MODULUS, REST, bound, id_col, text_col)
     sums = sample.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     n, bad = sums["n"], sums["toxic"] or 0
-    base = np.log((bad + 0.5) / (n - bad + 0.5))
     if not bad or bad == n:
-        return Model(shift=float(base))
+        return Model()
     counts = sample.mapInArrow(_count, "key bigint, toxic bigint, clean bigint").groupBy("key").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     )
@@ -217,7 +219,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     keys = np.array([r["key"] for r in lexicon], dtype=np.int64).view(np.uint64)
     model = Model(keys, np.array([r["odds"] for r in lexicon]))
     if not len(keys):
-        model.shift = float(base)
         return model
     clean = np.array([r["clean"] for r in lexicon]) + FLAT_PRIOR / len(lexicon)
     lengths = sample.where("label = 0").agg(F.sum(F.length("text"))).first()[0] or 1
@@ -253,8 +254,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     significant passage as byte range, score and expected number by chance. A scan, no shuffle.
 
     Defined cases: a null or empty text has no passage and the score of that; without a usable
-    label of each kind all texts get the share of toxic labels, which tells nothing of any of them
-    (``drop_toxic`` then keeps all); ids may be null or repeated.
+    label of each kind, or without a telling token, all texts score 0 (``drop_toxic`` then keeps
+    all); ids may be null or repeated.
     """
     rows = ship(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = (
@@ -297,5 +298,5 @@ def op5_toxicity(spark, sf_dir):
         "doc_id",
         held_out("doc_id", MODULUS, REST).alias("held_out"),
         "score",
-        (F.lit(model.informed) & (F.col("score") >= CUT)).cast("int").alias("predicted"),
+        (F.col("score") >= CUT).cast("int").alias("predicted"),
     )
