@@ -116,6 +116,11 @@ class Codec:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self.words = _Words(self)
+        #: Bytes that each id, written as a decimal number, decodes to.
+        self.bytes_of = {
+            str(i): b"" if s is None else bytes((s,)) if isinstance(s, int) else s.encode()
+            for i, s in enumerate(self.pieces.surface)
+        }
 
     def _fallback(self, char: str) -> list[int]:
         p = self.pieces
@@ -211,6 +216,24 @@ class Codec:
         return "".join(out)
 
 
+    def decode_decimals(self, ids: list[str]) -> str:
+        """What ``decode`` gives for ids as decimal numbers: the bytes of all ids, read as UTF-8 at once.
+
+        Lists that begin with a piece without text, or whose bytes are no UTF-8, are left to ``decode``.
+        """
+        if not ids:
+            return ""
+        first = self.pieces.surface[int(ids[0])]
+        if first is not None and int(ids[0]) != self.pieces.unknown:
+            try:
+                text = b"".join(map(self.bytes_of.__getitem__, ids)).decode()
+            except UnicodeDecodeError:
+                pass
+            else:
+                return text[1:] if isinstance(first, str) and first.startswith(" ") else text
+        return self.decode([int(i) for i in ids])
+
+
 def _utf8(run: bytearray) -> str:
     """Bytes as text; each byte that is no part of a character gives one U+FFFD."""
     out, at = [], 0
@@ -230,14 +253,9 @@ class _Words(dict):
 
     def __init__(self, codec: Codec):
         self.codec = codec
-        #: Words whose ids do not decode to them (none for models with byte pieces).
-        self.lossy: set[str] = set()
 
     def __missing__(self, word: str) -> str:
-        ids = self.codec.word(word)
-        if self.codec.decode(ids) != word:
-            self.lossy.add(word)
-        found = ",".join(map(str, ids))
+        found = ",".join(map(str, self.codec.word(word)))
         if len(word) <= 64:
             if len(self) >= CACHED_WORDS:
                 self.clear()
@@ -269,12 +287,10 @@ def _coder(path: str):
                 for text in batch.column("text").to_pylist():
                     text = text or ""
                     joined = ",".join(c.text_ids(text))
+                    decimals = joined.split(",") if joined else []
                     ids.append(joined)
-                    counts.append(joined.count(",") + 1 if joined else 0)
-                    if c.words.lossy:
-                        back.append(c.decode([int(i) for i in joined.split(",")] if joined else []))
-                    else:  # each word was decoded from its ids when they were made, and came back whole
-                        back.append(text.replace(SPACE, " "))
+                    counts.append(len(decimals))
+                    back.append(c.decode_decimals(decimals))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                     ["id", "n_tokens", "ids", "decoded"],

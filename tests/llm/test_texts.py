@@ -167,7 +167,7 @@ def test_toxicity(spark):
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and 400 < kept.count() < 520
     none = toxicity.fit(docs, labels.limit(0))
-    assert {r["score"] for r in toxicity.score_toxicity(docs, none).collect()} == {0.5}
+    assert {r["score"] for r in toxicity.score_toxicity(docs, none).collect()} == {0.0}
     assert toxicity.score_toxicity(docs.limit(0), model).collect() == []
 
 
@@ -363,3 +363,19 @@ def test_ratios_decide_on_lists_of_links():
     for around in ("article", "div"):
         assert html_extract.main_text(f"<{around}><p>{LONG}</p>{items}<p>{LONG}</p>{menu}</{around}>") == want
     assert html_extract.main_text(f"<article>{menu}</article>") == "\n".join(f"Place {i}" for i in range(5))
+
+
+def test_documents_are_decoded_from_their_ids():
+    """Random ids, byte pieces that form no character among them, decode as the library does it."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    coder, rng = piece_codec.Codec(PIECES), random.Random(11)
+    size, odd = library.get_piece_size(), list(coder.pieces.byte.values()) + [coder.pieces.unknown]
+    for k in range(400):
+        pool = odd if k % 2 else range(size)
+        ids = [rng.choice(pool) if rng.random() < 0.5 else rng.randrange(size) for _ in range(rng.randint(0, 12))]
+        ids = [i for i in ids if not library.is_control(i)]
+        assert coder.decode_decimals([str(i) for i in ids]) == library.decode(ids) == coder.decode(ids), ids
+    for text in ["", " ", "   a", "a  b   ", "▁▁x", "日本 語\n\tz", " \U0001f600é", "a" * 300]:
+        assert coder.decode_decimals([str(i) for i in library.encode(text)]) == library.decode(library.encode(text))
