@@ -18,17 +18,19 @@ _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 WINDOW = 5
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
-#: Statistics in thousandths: name, numerator, denominator, least spread, whether low values fail.
+#: Statistics in thousandths: name, numerator, denominator, percent of texts in a tail, reach, whether
+#: low values fail. Repeated lines and words are common in sound texts, so their tail is a hundredth.
 STATISTICS = (
-    ("symbols", "n_symbols", "word_chars", 20, False),
-    ("dup_lines", "n_dup_lines", "n_lines", 100, False),
-    ("repeats", "n_repeat_words", "n_words", 40, False),
-    ("word_length", "word_chars", "n_words", 1000, True),
+    ("symbols", "n_symbols", "word_chars", 10, 2, False),
+    ("dup_lines", "n_dup_lines", "n_lines", 1, 1, False),
+    ("repeats", "n_repeat_words", "n_words", 1, 1, False),
+    ("word_length", "word_chars", "n_words", 10, 2, True),
 )
-#: A value may lie this many spreads from the median.
-REACH = 5
-#: Groups with fewer texts use the sketch of their language, and languages that of the table.
-LEAST_DOCS = 50
+#: Thousandths that a value may always lie beyond the tail, so that a group of equal texts has room.
+FLOOR = 10
+#: A group's tail must hold this many texts; otherwise the sketch of its language is used, and of
+#: languages that of the table.
+LEAST_TAIL = 5
 
 
 def features_of(block: spans.Block) -> dict[str, np.ndarray]:
@@ -98,7 +100,7 @@ def sketches(rows: DataFrame) -> DataFrame:
     thousandth. Rows that the base rules reject are left out.
     """
     values = F.array(
-        *[F.struct(F.lit(s).alias("statistic"), _thousandths(a, b).alias("value")) for s, a, b, _, _ in STATISTICS]
+        *[F.struct(F.lit(s).alias("statistic"), _thousandths(a, b).alias("value")) for s, a, b, *_ in STATISTICS]
     )
     return (
         rows.where("not base_failed")
@@ -108,13 +110,19 @@ def sketches(rows: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(sketch: DataFrame, reach: int = REACH) -> DataFrame:
+def _per_statistic(column: int) -> Column:
+    """A column of ``STATISTICS``, looked up by the row's statistic."""
+    return F.create_map(*[F.lit(x) for s in STATISTICS for x in (s[0], s[column])])[F.col("statistic")]
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source, level, statistic, docs, low, high) for sources, languages and the whole table.
 
-    The limits are the median plus or minus ``reach`` times the distance between the quartiles, or
-    times the statistic's least spread if that is more.
+    Limits come from the sketch's tails: the quantile that leaves the statistic's tail percent
+    outside, and beyond it ``reach`` times its distance from the median, and ``FLOOR``.
     """
     parts = []
+    tail, reach = _per_statistic(3), _per_statistic(4)
     for level, keys in enumerate((["lang", "source"], ["lang"], [])):
         group = [*keys, "statistic"]
         merged = sketch.groupBy(*group, "value").agg(F.sum("n").alias("n"))
@@ -125,40 +133,42 @@ def thresholds(sketch: DataFrame, reach: int = REACH) -> DataFrame:
             F.sum("n").over(upto).alias("seen"),
             F.sum("n").over(Window.partitionBy(*group)).alias("docs"),
         )
-        quantile = lambda q: F.min(F.when(F.col("seen") * 4 >= F.col("docs") * q, F.col("value")))
+        quantile = lambda p: F.min(F.when(F.col("seen") * 100 >= F.col("docs") * p, F.col("value")))
         parts.append(
             seen.groupBy(*group)
-            .agg(F.max("docs").alias("docs"), quantile(1).alias("q1"), quantile(2).alias("q2"), quantile(3).alias("q3"))
+            .agg(
+                F.max("docs").alias("docs"),
+                quantile(tail).alias("lower"),
+                quantile(50).alias("middle"),
+                quantile(100 - tail).alias("upper"),
+            )
             .select(
                 *[(F.col(k) if k in keys else F.lit(None).cast("string")).alias(k) for k in ("lang", "source")],
                 F.lit(level).alias("level"),
                 "statistic",
                 "docs",
-                "q1",
-                "q2",
-                "q3",
+                "lower",
+                "middle",
+                "upper",
             )
         )
     limits = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    least = F.create_map(*[F.lit(x) for s in STATISTICS for x in (s[0], s[3])])
-    below = F.array(*[F.lit(s[0]) for s in STATISTICS if s[4]])
-    room = F.lit(reach) * F.greatest(F.col("q3") - F.col("q1"), least[F.col("statistic")])
     return limits.select(
         "lang",
         "source",
         "level",
         "statistic",
         "docs",
-        F.when(F.array_contains(below, F.col("statistic")), F.col("q2") - room).alias("low"),
-        (F.col("q2") + room).alias("high"),
+        F.when(_per_statistic(5), F.col("lower") - reach * (F.col("middle") - F.col("lower")) - FLOOR).alias("low"),
+        (F.col("upper") + reach * (F.col("upper") - F.col("middle")) + FLOOR).alias("high"),
     )
 
 
 def _limits(table: DataFrame, level: int, name: str) -> DataFrame:
-    """One row per key of a level: its limits as a map from statistic, null where it has too few texts."""
-    least = LEAST_DOCS if level < 2 else 0
+    """One row per key of a level: its limits as a map from statistic, without those of too few texts."""
+    enough = F.col("docs") * _per_statistic(3) >= 100 * LEAST_TAIL if level < 2 else F.lit(True)
     return (
-        table.where((F.col("level") == level) & (F.col("docs") >= least))
+        table.where((F.col("level") == level) & enough)
         .groupBy(F.col("lang").alias(f"{name}_lang"), F.col("source").alias(f"{name}_source"))
         .agg(
             F.map_from_entries(F.collect_list(F.struct("statistic", F.struct("low", "high")))).alias(name)
@@ -177,10 +187,9 @@ def judged(rows: DataFrame, table: DataFrame) -> DataFrame:
         .withColumn("one", F.when(~F.col("base_failed"), 1))
         .join(F.broadcast(every.select("one", "every")), "one", "left")
     )
-    limit = F.coalesce("own", "tongue", "every")
     good = F.lit(True)
-    for name, a, b, _, _ in STATISTICS:
-        value, at = _thousandths(a, b), limit[name]
+    for name, a, b, *_ in STATISTICS:
+        value, at = _thousandths(a, b), F.coalesce(*[F.col(c)[name] for c in ("own", "tongue", "every")])
         good = good & (value <= at["high"]) & (at["low"].isNull() | (value >= at["low"]))
     return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(good, F.lit(True)))).select(
         *rows.columns, "kept"
@@ -245,35 +254,39 @@ with t as (
 ), b as (
   select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from f
 ), v as (
-  select doc_id, lang, source, 'symbols' as st, 20 as least, case when word_chars > 0 then 1000 * n_symbols // word_chars else 0 end as x
+  select doc_id, lang, source, 'symbols' as st, 10 as tail, 2 as reach,
+         case when word_chars > 0 then 1000 * n_symbols // word_chars else 0 end as x
   from b where not base_failed
   union all
-  select doc_id, lang, source, 'dup_lines', 100, case when n_lines > 0 then 1000 * n_dup_lines // n_lines else 0 end
+  select doc_id, lang, source, 'dup_lines', 1, 1, case when n_lines > 0 then 1000 * n_dup_lines // n_lines else 0 end
   from b where not base_failed
   union all
-  select doc_id, lang, source, 'repeats', 40, 1000 * n_repeat_words // n_words from b where not base_failed
+  select doc_id, lang, source, 'repeats', 1, 1, 1000 * n_repeat_words // n_words from b where not base_failed
   union all
-  select doc_id, lang, source, 'word_length', 1000, 1000 * word_chars // n_words from b where not base_failed
+  select doc_id, lang, source, 'word_length', 10, 2, 1000 * word_chars // n_words from b where not base_failed
 ), own as (
-  select lang, source, st, count(*) as n, quantile_disc(x, 0.25) as q1, quantile_disc(x, 0.5) as q2, quantile_disc(x, 0.75) as q3
-  from v group by all having count(*) >= 50
+  select lang, source, st, quantile_disc(x, 0.1) as a, quantile_disc(x, 0.5) as m,
+         case when tail = 10 then quantile_disc(x, 0.9) else quantile_disc(x, 0.99) end as z
+  from v group by lang, source, st, tail having count(*) * tail >= 500
 ), tongue as (
-  select lang, st, quantile_disc(x, 0.25) as q1, quantile_disc(x, 0.5) as q2, quantile_disc(x, 0.75) as q3
-  from v group by all having count(*) >= 50
+  select lang, st, quantile_disc(x, 0.1) as a, quantile_disc(x, 0.5) as m,
+         case when tail = 10 then quantile_disc(x, 0.9) else quantile_disc(x, 0.99) end as z
+  from v group by lang, st, tail having count(*) * tail >= 500
 ), every as (
-  select st, quantile_disc(x, 0.25) as q1, quantile_disc(x, 0.5) as q2, quantile_disc(x, 0.75) as q3 from v group by all
+  select st, quantile_disc(x, 0.1) as a, quantile_disc(x, 0.5) as m,
+         case when tail = 10 then quantile_disc(x, 0.9) else quantile_disc(x, 0.99) end as z
+  from v group by st, tail
 ), lim as (
-  select v.doc_id, v.st, x, least,
-         case when own.st is not null then own.q2 when tongue.st is not null then tongue.q2 else every.q2 end as q2,
-         case when own.st is not null then own.q3 - own.q1 when tongue.st is not null then tongue.q3 - tongue.q1
-              else every.q3 - every.q1 end as spread
+  select v.doc_id, v.st, x, reach,
+         case when own.st is not null then own.a when tongue.st is not null then tongue.a else every.a end as a,
+         case when own.st is not null then own.m when tongue.st is not null then tongue.m else every.m end as m,
+         case when own.st is not null then own.z when tongue.st is not null then tongue.z else every.z end as z
   from v
   left join own on v.lang is not distinct from own.lang and v.source is not distinct from own.source and v.st = own.st
   left join tongue on v.lang is not distinct from tongue.lang and v.st = tongue.st
   left join every on v.st = every.st
 ), ok as (
-  select doc_id, bool_and(x <= q2 + 5 * greatest(spread, least)
-                          and (st <> 'word_length' or x >= q2 - 5 * greatest(spread, least))) as good
+  select doc_id, bool_and(x <= z + reach * (z - m) + 10 and (st <> 'word_length' or x >= a - reach * (m - a) - 10)) as good
   from lim group by doc_id
 )
 select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

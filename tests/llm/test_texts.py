@@ -379,3 +379,30 @@ def test_documents_are_decoded_from_their_ids():
         assert coder.decode_decimals([str(i) for i in ids]) == library.decode(ids) == coder.decode(ids), ids
     for text in ["", " ", "   a", "a  b   ", "▁▁x", "日本 語\n\tz", " \U0001f600é", "a" * 300]:
         assert coder.decode_decimals([str(i) for i in library.encode(text)]) == library.decode(library.encode(text))
+
+
+def test_each_limit_rejects_a_planted_outlier(spark):
+    """One outlier per statistic and source; the same text is sound where a source is like that."""
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "bcdfghjklmnpqrstvwxz" for b in "aeiou" for c in "lmnrst"]
+
+    def text(symbols=0.0, dup=0, repeat=0, tail=""):
+        lines = [[rng.choice(words) + tail for _ in range(10)] for _ in range(10)]
+        lines = [[w + "#" if rng.random() < symbols else w for w in line] for line in lines]
+        lines += [["same", "line"]] * (dup + 1) if dup else []
+        lines += [lines[0][:repeat]] if repeat else []
+        return "\n".join(" ".join(line) for line in lines)
+
+    rows = [(i, text(symbols=0.1 if i % 2 else 0.0), "en", f"s{i % 2}") for i in range(1200)]
+    planted = {
+        "symbols": text(symbols=0.9), "dup_lines": text(dup=7), "repeats": text(repeat=8), "word_length": text(tail="y" * 12),
+    }
+    for k, name in enumerate(planted):
+        rows += [(2000 + 2 * k + s, planted[name], "en", f"s{s}") for s in range(2)]
+    rows += [(3000 + s, text(symbols=0.1), "en", f"s{s}") for s in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not any(got[i].kept for i in range(2000, 2008))
+    assert not got[3000].kept and got[3001].kept
+    assert sum(not got[i].kept for i in range(1200)) <= 24  # the far end of 600 noisy texts at most
