@@ -146,18 +146,22 @@ _NATIVE_POINTS = (
 )
 
 
+_ANCHOR_POINTS = (
+    "apts",
+    f"select a*64800 + i*360+j as qid, lon, lat, a*1e1 as age from modern, (select unnest(range({ANCHORS})) as a)",
+)
+
+
 @query(
-    with_(*FIELD_CTES, MODERN, _NATIVE_POINTS,
-          ("v", b.nested_interpolation_text("npts", "lon", "lat", "age", "qid")))
-    + f"select qid, {r('value', 'value')} from v"
+    with_(*FIELD_CTES, MODERN, _ANCHOR_POINTS,
+          ("v", b.nested_interpolation_text("apts", "lon", "lat", "age", "qid")))
+    + f"select qid // 64800 as age_idx, qid % 64800 as qid, {r('value', 'value')} from v"
 )
 def export_native_grid(spark, sf):
-    """The youngest anchor field sampled at every one-degree cell centre."""
-    young = b.field(spark, sf).where("age_idx = 0").select("i", "j", "value")
-    out = ops.export_to_native(spark, young, NLAT, NLON)
-    return rounded(
-        out.select((F.col("i") * 360 + F.col("j")).cast("long").alias("qid"), "value")
-    )
+    """Every anchor's field sampled at every one-degree cell centre."""
+    out = ops.export_to_native(spark, b.field(spark, sf), NLAT, NLON, STEP, ANCHORS)
+    cell = (F.col("i") * 360 + F.col("j")).cast("long")
+    return rounded(out.select(F.col("age_idx").cast("long"), cell.alias("qid"), "value"))
 
 
 _MODERN_CELLS = (

@@ -178,10 +178,13 @@ def sample_one_field(
 
 
 def export_to_native(
-    spark: SparkSession, field: DataFrame, nlat: int, nlon: int, value: str = "value"
+    spark: SparkSession, field: DataFrame, nlat: int, nlon: int, step: float, n_anchors: int
 ) -> DataFrame:
-    """A Gauss field sampled at the 64,800 one-degree cell centres."""
-    return sample_one_field(grids.native_grid(spark), field, nlat, nlon, value=value)
+    """Every anchor's Gauss field sampled at the 64,800 one-degree cell centres, with ``age_idx`` and ``age``."""
+    anchors = F.explode(F.sequence(F.lit(0), F.lit(n_anchors - 1)))
+    cells = grids.native_grid(spark).withColumn("age_idx", anchors)
+    at = cells.withColumn("age", F.col("age_idx") * F.lit(float(step)))
+    return sample_fields(at, field, nlat, nlon, step, n_anchors)
 
 
 def nearest_category(
