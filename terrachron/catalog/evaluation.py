@@ -211,7 +211,7 @@ def robust_centre_scale(spark, sf):
         ),
         (
             "asked",
-            "select distinct floor(age) as query_age from roled where role <> 'train'",
+            "select distinct age as query_age from roled where role <> 'train'",
         ),
         (
             "med",
@@ -219,12 +219,12 @@ def robust_centre_scale(spark, sf):
           on role = 'train' and abs(age - query_age) <= 5 group by query_age""",
         ),
     )
-    + f"""select cast(observation_id as bigint) as observation_id, floor(age) as query_age,
+    + f"""select cast(observation_id as bigint) as observation_id, {r('age', 'query_age')},
        {r("coalesce(m, (select quantile_cont(y, 0.5) from roled where role = 'train'))", 'prediction')}
-    from roled left join med on med.query_age = floor(age) where role <> 'train'"""
+    from roled left join med on med.query_age = age where role <> 'train'"""
 )
 def rolling_age_median(spark, sf):
-    """Median training thickness within 5 Myr of each whole-Ma query age."""
+    """Median training thickness within 5 Myr of each record's own age."""
     lo, hi = F.col("age_lower_ma"), F.col("age_upper_ma")
     rows = b.obs(spark, sf).select(
         "observation_id",
@@ -233,7 +233,7 @@ def rolling_age_median(spark, sf):
         splits.window_role(lo, hi, (lo + hi) / 2.0, b.WINDOW).alias("role"),
     )
     queries = rows.where("role <> 'train'").select(
-        "observation_id", F.floor("age").cast("double").alias("query_age")
+        "observation_id", F.col("age").alias("query_age")
     )
     out = metrics.rolling_age_median(rows.where("role = 'train'"), queries, 5.0)
     return rounded(out)

@@ -232,42 +232,133 @@ def robust_centre_scale(df: DataFrame, value: str, by: Sequence[str] = ()) -> Da
     )
 
 
+#: Age bins per window width, and value bins per factor e, of the rolling median's histogram.
+AGE_BINS, VALUE_BINS = 64, 64
+
+
 def rolling_age_median(
     train: DataFrame, queries: DataFrame, window_myr: float = 10.0
 ) -> DataFrame:
     """Median of the training values within +-window of each query age.
 
-    ``train`` has ``age, y``; ``queries`` has ``query_age``. Query ages are reduced
-    to their distinct values first, so a table of queries costs as many windows as
-    it has ages. Training rows reach a query through age bins of the window's
-    width (an equi join), are merged to (query age, value) counts on the map side,
-    and the rank is read from those counts. Ages with no training rows get the
-    overall median.
+    ``train`` has ``age, y``; ``queries`` has ``query_age``, of any values. Training rows are counted
+    by age bin and value bin, and the counts are summed up along the age, so two rows of that table
+    give a window's counts per value bin. Rows are read for a window only in the age bins at its two
+    edges and, once the counts tell in which value bin the middle rank lies, in that bin. Ages with no
+    training rows get the overall median; null query ages give no row.
     """
-    ages = queries.select("query_age").distinct()
     width = float(window_myr)
+    q, distance = F.col("query_age"), F.abs(F.col("age") - F.col("query_age"))
 
     def bin_of(c: Column) -> Column:
-        return F.floor(c / width)
-
-    spread = ages.withColumn(
+        return F.floor(c / (width / AGE_BINS))
+
+    value_bin = F.floor(ordering.coarse_chunk(F.col("y")) / (ordering.COARSE // VALUE_BINS))
+    merged = (
+        train.select(F.col("age").cast("double").alias("age"), F.col("y").cast("double").alias("y"))
+        .where(F.col("y").isNotNull() & ~F.isnan("y") & F.col("age").isNotNull() & ~F.isnan("age"))
+        .groupBy("age", "y")
+        .agg(F.count("*").alias("c"))
+        .withColumns({"_bin": bin_of(F.col("age")), "_value": value_bin})
+    )
+    ages = (
+        queries.select("query_age")
+        .where(q.isNotNull() & ~F.isnan(q.cast("double")))
+        .distinct()
+        .withColumns({"_from": bin_of(q - width), "_to": bin_of(q + width)})
+    )
+    # A row beside a bin's border may be rounded into the next bin, so a window is sure of the bins
+    # from _from + 2 to _to - 2 and looks at the three at each edge.
+    before, upto = F.col("_from") + 1, F.col("_to") - 2
+    edges = F.array(*[F.col(c) + k for c in ("_from", "_to") for k in (-1, 0, 1)])
+
+    counts = merged.groupBy("_bin", "_value").agg(F.sum("c").alias("c"))
+    values = counts.agg(F.sort_array(F.collect_set("_value")).alias("v")).select("v").scalar()
+    by_value = F.map_from_entries(F.collect_list(F.struct("_value", "c")))
+    asked_bins = ages.select(F.explode(F.array(before, upto)).alias("_bin")).distinct()
+    histogram = (
+        counts.groupBy("_bin")
+        .agg(by_value.alias("_row"))
+        .join(asked_bins.withColumn("_asked", F.lit(True)), "_bin", "full")
+        .withColumn("_values", values)
+    )
+    cells = histogram.select(
         "_bin",
-        F.explode(
-            F.sequence(bin_of(F.col("query_age") - width), bin_of(F.col("query_age") + width))
-        ),
+        "_asked",
+        F.posexplode(F.transform("_values", lambda v: F.coalesce(F.col("_row")[v], F.lit(0)))).alias("_at", "_c"),
+    )
+    along = Window.partitionBy("_at").orderBy("_bin")
+    sums = (
+        cells.withColumn("_c", F.sum("_c").over(along))
+        .where("_asked")
+        .groupBy("_bin")
+        .agg(F.sort_array(F.collect_list(F.struct("_at", "_c"))).alias("_sums"))
+    )
+    at_edges = (
+        ages.withColumn("_bin", F.explode(edges))
+        .join(merged, "_bin")
+        .where(distance <= width)
+        .groupBy("query_age", "_value")
+        .agg(F.sum("c").alias("c"))
+        .groupBy("query_age")
+        .agg(by_value.alias("_edge"))
+    )
+    low = sums.select(F.col("_bin").alias("_low"), F.col("_sums").alias("_before"))
+    high = sums.select(F.col("_bin").alias("_high"), F.col("_sums").alias("_upto"))
+    inside = F.zip_with("_upto", "_before", lambda x, y: x["_c"] - y["_c"])
+    windows = (
+        ages.join(low, before == F.col("_low"))
+        .join(high, upto == F.col("_high"))
+        .join(at_edges, "query_age", "left")
+        .withColumn("_values", values)
+        .withColumn(
+            "_counts",
+            F.zip_with(
+                inside,
+                "_values",
+                lambda c, v: F.struct(v.alias("v"), (c + F.coalesce(F.col("_edge")[v], F.lit(0))).alias("c")),
+            ),
+        )
+        .withColumn("_n", F.aggregate("_counts", F.lit(0).cast("long"), lambda n, s: n + s["c"]))
+        .where("_n > 0")
+        .withColumn("_rank", F.explode(F.array_distinct(F.expr("array((_n - 1) div 2, _n div 2)"))))
+    )
+
+    def holder(seen: Column, s: Column) -> Column:
+        """The value bin that holds the wanted rank, and the rows in the bins before it."""
+        end, rank = seen["end"] + s["c"], F.col("_rank")
+        here = (seen["end"] <= rank) & (rank < end)
+        return F.struct(
+            end.alias("end"),
+            F.when(here, s["v"]).otherwise(seen["v"]).alias("v"),
+            F.when(here, seen["end"]).otherwise(seen["base"]).alias("base"),
+        )
+
+    nothing = F.expr("named_struct('end', 0L, 'v', cast(null as bigint), 'base', 0L)")
+    wide = lambda c: F.floor(c / AGE_BINS)
+    wanted = windows.withColumn("_hit", F.aggregate("_counts", nothing, holder)).select(
+        "query_age",
+        "_rank",
+        F.col("_hit.v").alias("_value"),
+        F.col("_hit.base").alias("_base"),
+        F.explode(F.sequence(wide(F.col("_from") - 1), wide(F.col("_to") + 1))).alias("_wide"),
     )
-    # Merge equal (age, value) rows before they meet the query ages.
-    merged = train.groupBy("age", "y").agg(F.count("*").alias("c"))
     near = (
-        merged.withColumn("_bin", bin_of(F.col("age")))
-        .join(spread, "_bin")
-        .where(F.abs(F.col("age") - F.col("query_age")) <= width)
-        .groupBy("query_age", "y")
+        merged.withColumn("_wide", wide(F.col("_bin")))
+        .join(wanted, ["_wide", "_value"])
+        .where(distance <= width)
+        .groupBy("query_age", "_rank", "_base", "y")
         .agg(F.sum("c").alias("c"))
     )
-    medians = weighted_median(near, ["query_age"], "y", "c")
+    end = F.col("_base") + F.sum("c").over(Window.partitionBy("query_age", "_rank").orderBy("y"))
+    medians = (
+        near.withColumn("_end", end)
+        .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("c")))
+        .groupBy("query_age")
+        .agg((F.min("y") + (F.max("y") - F.min("y")) * 0.5).alias("median"))
+    )
     overall = ordering.exact_quantiles(train, [], "y", {"m": 0.5}).select("m").scalar()
-    filled = ages.join(medians, "query_age", "left").withColumn("_overall", overall)
+    filled = ages.select("query_age").join(medians, "query_age", "left").withColumn("_overall", overall)
     return queries.join(
         filled.select("query_age", F.coalesce("median", "_overall").alias("prediction")),
         "query_age",
