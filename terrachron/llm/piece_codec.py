@@ -116,11 +116,7 @@ class Codec:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self.words = _Words(self)
-        #: Bytes that each id, written as a decimal number, decodes to.
-        self.bytes_of = {
-            str(i): b"" if s is None else bytes((s,)) if isinstance(s, int) else s.encode()
-            for i, s in enumerate(self.pieces.surface)
-        }
+        self.surfaces = _Surfaces(self.pieces.surface)
 
     def _fallback(self, char: str) -> list[int]:
         p = self.pieces
@@ -216,22 +212,24 @@ class Codec:
         return "".join(out)
 
 
-    def decode_decimals(self, ids: list[str]) -> str:
-        """What ``decode`` gives for ids as decimal numbers: the bytes of all ids, read as UTF-8 at once.
+    def decode_decimals(self, parts: list[str]) -> str:
+        """What ``decode`` gives for the ids of all parts, each decimal numbers joined by commas.
 
-        Lists that begin with a piece without text, or whose bytes are no UTF-8, are left to ``decode``.
+        Bytes of ids add up, so the bytes of each part are joined and read as UTF-8 at once. Lists that
+        begin with a piece without text, or whose bytes are no UTF-8, are left to ``decode``.
         """
-        if not ids:
+        if not parts:
             return ""
-        first = self.pieces.surface[int(ids[0])]
-        if first is not None and int(ids[0]) != self.pieces.unknown:
+        first = int(parts[0].partition(",")[0])
+        surface = self.pieces.surface[first]
+        if surface is not None and first != self.pieces.unknown:
             try:
-                text = b"".join(map(self.bytes_of.__getitem__, ids)).decode()
+                text = b"".join(map(self.surfaces.__getitem__, parts)).decode()
             except UnicodeDecodeError:
                 pass
             else:
-                return text[1:] if isinstance(first, str) and first.startswith(" ") else text
-        return self.decode([int(i) for i in ids])
+                return text[1:] if isinstance(surface, str) and surface.startswith(" ") else text
+        return self.decode([int(i) for part in parts for i in part.split(",")])
 
 
 def _utf8(run: bytearray) -> str:
@@ -263,6 +261,24 @@ class _Words(dict):
         return found
 
 
+class _Surfaces(dict):
+    """Bytes that ids decode to, by the ids of a word as text; made from each id when first asked for."""
+
+    def __init__(self, surface: list[str | int | None]):
+        self.bytes_of = {
+            str(i): b"" if s is None else bytes((s,)) if isinstance(s, int) else s.encode()
+            for i, s in enumerate(surface)
+        }
+
+    def __missing__(self, ids: str) -> bytes:
+        found = b"".join(map(self.bytes_of.__getitem__, ids.split(",")))
+        if len(ids) <= 256:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[ids] = found
+        return found
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -286,11 +302,11 @@ def _coder(path: str):
                 ids, counts, back = [], [], []
                 for text in batch.column("text").to_pylist():
                     text = text or ""
-                    joined = ",".join(c.text_ids(text))
-                    decimals = joined.split(",") if joined else []
+                    parts = c.text_ids(text)
+                    joined = ",".join(parts)
                     ids.append(joined)
-                    counts.append(len(decimals))
-                    back.append(c.decode_decimals(decimals))
+                    counts.append(joined.count(",") + 1 if joined else 0)
+                    back.append(c.decode_decimals(parts))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                     ["id", "n_tokens", "ids", "decoded"],
