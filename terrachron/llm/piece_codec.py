@@ -10,7 +10,7 @@ so that merging would leave the border between the two open. Ids are recovered b
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import ship, tidy
 
 SPACE = "▁"
-#: Words that a worker remembers; the table is emptied when full.
+#: Words, and units of words, that a worker remembers; a table is emptied when full.
 CACHED_WORDS = 200_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _UNIT = re.compile(f"{SPACE}?(?:[{_LATIN}]+|[^{_LATIN}{SPACE}]+)|{SPACE}")
@@ -66,9 +66,9 @@ class Pieces:
         self.automaton = ahocorasick.Automaton()
         for p in [*words, SPACE]:
             if p in self.ids and (len(p) == 1 or self._derive(p)):
-                self.automaton.add_word(p, p)
+                # With the tokens that it may or may not follow; None: a text's start, or a character in no piece.
+                self.automaton.add_word(p, (p, len(p), str(self.ids[p]), {None: True}))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
 
     def _derive(self, piece: str) -> bool:
         """Whether merging the piece's own characters gives the piece; notes its last merge."""
@@ -89,13 +89,7 @@ class Pieces:
         Undoes the merges of the two tokens, last one first; the pair at the border must at no
         time have been the better merge. Of equal ranks the left one is merged first.
         """
-        found = self.fits.get((left, right))
-        if found is None:
-            found = self.fits[left, right] = self._compatible(left, right)
-        return found
-
-    def _compatible(self, x: str, y: str) -> bool:
-        rank, limit = self.rank, float("inf")
+        x, y, rank, limit = left, right, self.rank, float("inf")
         while True:
             crossing = rank.get(x + y)
             if crossing is not None and crossing < limit:
@@ -115,41 +109,45 @@ class Codec:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.words = _Words(self)
+        self.units = _Remembered(self.unit)
+        self.words = _Remembered(self.word)
         self.surfaces = _Surfaces(self.pieces.surface)
 
     def _fallback(self, char: str) -> list[int]:
         p = self.pieces
         return [p.byte[b] for b in char.encode()] if p.byte else [p.unknown]
 
-    def unit(self, text: str) -> list[int]:
-        """Ids of characters that hold no space but in front."""
-        p, n = self.pieces, len(text)
-        last: list[str | None] = [None] * (n + 1)
-        step = [1] * (n + 1)
-        done = 0  # prefixes up to here have their last token
-        for end, piece in p.automaton.iter(text):
+    def unit(self, text: str) -> str:
+        """Ids of characters that hold no space but in front, as decimal numbers joined by commas."""
+        compatible = self.pieces.compatible
+        last: list[str | None] = [None] * (len(text) + 1)  # by prefix; None where its last character is in no piece
+        step: list[tuple[int, str] | None] = last.copy()
+        for end, (piece, size, number, fits) in self.pieces.automaton.iter(text):
             end += 1
-            while done < end - 1:  # characters that are in no piece
-                done += 1
             if last[end] is None:
-                start = end - len(piece)
-                before = last[start] if start else None
-                if before is None or p.compatible(before, piece):
-                    last[end], step[end] = piece, len(piece)
-        out: list[list[int]] = []
-        at = n
+                before = last[end - size]
+                fit = fits.get(before)
+                if fit is None:
+                    fit = fits[before] = compatible(before, piece)
+                if fit:
+                    last[end], step[end] = piece, (size, number)
+        out, at = [], len(text)
         while at:
-            piece = last[at]
-            out.append([p.ids[piece]] if piece is not None else self._fallback(text[at - 1]))
-            at -= step[at]
-        return [i for ids in reversed(out) for i in ids]
+            found = step[at]
+            if found is None:
+                at -= 1
+                out.append(",".join(map(str, self._fallback(text[at]))))
+            else:
+                at -= found[0]
+                out.append(found[1])
+        out.reverse()
+        return ",".join(out)
 
-    def word(self, text: str) -> list[int]:
+    def word(self, text: str) -> str:
         """Ids of a word with one space in front."""
         if not self.pieces.parted:
             return self.unit(SPACE + text)
-        return [i for part in _UNIT.findall(SPACE + text) for i in self.unit(part)]
+        return ",".join(map(self.units.__getitem__, _UNIT.findall(SPACE + text)))
 
     def run(self, n: int) -> list[int]:
         """Ids of ``n`` spaces: runs have equal ranks, so the leftmost pair merges first."""
@@ -246,18 +244,18 @@ def _utf8(run: bytearray) -> str:
     return "".join(out)
 
 
-class _Words(dict):
-    """Ids of words as text, made when first asked for."""
+class _Remembered(dict):
+    """Ids of words or units as text, made when first asked for."""
 
-    def __init__(self, codec: Codec):
-        self.codec = codec
+    def __init__(self, ids_of: Callable[[str], str]):
+        self.ids_of = ids_of
 
-    def __missing__(self, word: str) -> str:
-        found = ",".join(map(str, self.codec.word(word)))
-        if len(word) <= 64:
+    def __missing__(self, text: str) -> str:
+        found = self.ids_of(text)
+        if len(text) <= 64:
             if len(self) >= CACHED_WORDS:
                 self.clear()
-            self[word] = found
+            self[text] = found
         return found
 
 
