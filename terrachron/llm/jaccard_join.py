@@ -393,13 +393,20 @@ def _component_rows(docs: DataFrame, id_col: str, text_col: str, words: int, sha
     sizes = classes.groupBy("node").agg(F.min("n").alias("size"), F.max("n").alias("common"))
     members = written(linked.unionByName(own.join(sizes, "node")))
 
-    # The matrix, and the groups that a node's prefix tokens open.
-    named = tokens.join(members.select("node", "pivot"), "node")
-    matrix = named.groupBy("token", "pivot").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    query = named.select("token", F.col("node").alias("query"), F.col("n").alias("own"), F.col("pivot").alias("home"))
+    # The matrix, and the groups that a node's prefix tokens open. Of two groups the smaller one asks:
+    # a family of thousands is not compared one by one with each set beside it.
+    held = members.groupBy("pivot").agg(F.count("*").alias("held"))
+    named = tokens.join(members.select("node", "pivot").join(held, "pivot"), "node")
+    matrix = named.groupBy("token", "pivot").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("held").alias("holds")
+    )
+    query = named.select(
+        "token", F.col("node").alias("query"), F.col("n").alias("own"), F.col("pivot").alias("home"), "held"
+    )
     opened = (
         query.join(matrix, "token")
-        .where("home > pivot and 100 * most >= {0} * own and 100 * own >= {0} * least".format(share))
+        .where("held < holds or held = holds and home > pivot")
+        .where("100 * most >= {0} * own and 100 * own >= {0} * least".format(share))
         .groupBy("query", "home", "pivot", "own")
         .agg(F.count("*").alias("met"))
         .where(f"met >= 1 + {share} * own div {100 * EXTRA}")
@@ -430,17 +437,20 @@ def _component_rows(docs: DataFrame, id_col: str, text_col: str, words: int, sha
     )
     reach = 1 - share / 100 + 1e-9
     others = members.where("node <> pivot").withColumnRenamed("node", "member")
-    least = others.groupBy("pivot").agg(F.min("size").alias("least"))
-    open_still = written(apart.where(F.col("far") <= 2 * reach).join(least, "pivot"))
+    open_still = written(
+        apart.where(F.col("far") <= 2 * reach).join(others.select("pivot").distinct(), "pivot", "left_semi")
+    )
     # A link needs share / (100 + share) of both sizes in common; at most ``shares`` of these lie in
-    # the pivot, so the rest must be tokens that query and member share outside it.
-    within = f"{100 + share} * least(shares, common) >= {share} * (length + size)"
-    direct = (
-        open_still.where(f"{100 + share} * shares >= {share} * (length + least)")
-        .join(others, "pivot")
-        .where((F.abs(F.col("far") - F.col("apart")) <= reach) & F.expr(within))
-        .select("query", "home", "pivot", "member")
+    # the pivot, so the rest must be tokens that query and member share outside it. Members of one
+    # band are equally far from the pivot, so a query meets bands, and the members of fitting ones.
+    band = ["pivot", "size", "common"]
+    bands = others.groupBy(*band).agg(F.min("apart").alias("near"), F.max("apart").alias("apart"))
+    fitting = (
+        open_still.join(bands, "pivot")
+        .where((F.col("far") - F.col("apart") <= reach) & (F.col("near") - F.col("far") <= reach))
+        .where(f"{100 + share} * least(shares, common) >= {share} * (length + size)")
     )
+    direct = fitting.join(others.select("member", *band), band).select("query", "home", "pivot", "member")
     asked = stored.outside(open_still.select("query", "home", "pivot", "shares", "length"), "query", "pivot")
     wanted = others.join(open_still.select("pivot").distinct(), "pivot", "left_semi").select("member", "pivot", "size")
     offered = stored.outside(wanted, "member", "pivot")
