@@ -207,38 +207,42 @@ def predictive_samples(
 
     For every record and k: a draw by hash, a node by its cumulative weight, and a
     Student-t(4) deviate by the closed-form quantile. ``nodes`` has (observation_id,
-    draw, node_idx, node_weight, mu, sigma). A record's node means (at most eight
-    nodes x draws) become one array, so there is one shuffle and no join of samples.
+    draw, node_idx, node_weight, mu, sigma); draws are numbered from 0 to n_draws - 1.
+    The hash picks first: only the weights of a record's nodes (at most eight) are laid side by
+    side, and each pick is joined to the one row it wants, so that no record's draws are gathered.
+    A pick whose row is missing gives a null sample.
     """
-    entry = F.struct("draw", "node_idx", "node_weight", "mu", "sigma")
-    packed = nodes.groupBy("observation_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("_m")
+    oid, k = F.col("observation_id"), F.col("k")
+    weights = nodes.groupBy("observation_id", "node_idx").agg(F.min_by("node_weight", "draw").alias("w"))
+    packed = weights.groupBy("observation_id").agg(
+        F.array_sort(F.collect_list(F.struct("node_idx", "w"))).alias("_m")
     )
-    # The list is ordered by draw and node, so the first block holds the weights.
-    packed = packed.withColumn("_n", (F.size("_m") / n_draws).cast("int"))
-    packed = packed.withColumn(
-        "_cum",
-        F.transform(
-            F.sequence(F.lit(1), F.col("_n")),
-            lambda k: F.aggregate(
-                F.slice("_m", F.lit(1), k), F.lit(0.0), lambda acc, e: acc + e["node_weight"]
-            ),
-        ),
+    total = F.transform(
+        F.sequence(F.lit(1), F.size("_m")),
+        lambda n: F.aggregate(F.slice("_m", F.lit(1), n), F.lit(0.0), lambda acc, e: acc + e["w"]),
+    )
+    # Exploding works the uniform out once, not once per node.
+    drawn = F.transform(
+        F.sequence(F.lit(0), F.lit(predictive_draws - 1)),
+        lambda n: F.struct(n.alias("k"), hash_uniform(seed, F.lit("node"), oid, n).alias("u")),
+    )
+    picks = (
+        packed.select("observation_id", "_m", total.alias("_cum"), F.inline(drawn))
+        .withColumn("_below", F.size(F.filter("_cum", lambda c: c <= F.col("u"))))
+        .select(
+            "observation_id",
+            "k",
+            F.floor(hash_uniform(seed, F.lit("draw"), oid, k) * n_draws).cast("int").alias("draw"),
+            F.get("_m", F.least(F.col("_below"), F.size("_m") - 1))["node_idx"].alias("node_idx"),
+        )
     )
-    oid = F.col("observation_id")
-
-    def one(k: Column) -> Column:
-        draw = F.floor(hash_uniform(seed, F.lit("draw"), oid, k) * n_draws).cast("int")
-        u = hash_uniform(seed, F.lit("node"), oid, k)
-        below = F.size(F.filter("_cum", lambda c: c <= u))
-        node = F.least(below, F.col("_n") - 1)
-        mean = F.get("_m", draw * F.col("_n") + node)
-        # Half-open 32-bit uniforms moved to bin centres keep the quantile finite.
-        noise = hash_uniform(seed, F.lit("noise"), oid, k) + F.lit(0.5 / 4294967296.0)
-        return mean["mu"] + mean["sigma"] * t4_quantile(noise)
-
-    samples = F.transform(F.sequence(F.lit(0), F.lit(predictive_draws - 1)), one)
-    return packed.select("observation_id", samples.alias("samples"))
+    # Half-open 32-bit uniforms moved to bin centres keep the quantile finite.
+    noise = hash_uniform(seed, F.lit("noise"), oid, k) + F.lit(0.5 / 4294967296.0)
+    wanted = nodes.select("observation_id", "draw", "node_idx", "mu", "sigma")
+    sample = (F.col("mu") + F.col("sigma") * t4_quantile(noise)).alias("sample")
+    rows = picks.join(wanted, ["observation_id", "draw", "node_idx"], "left").select("observation_id", "k", sample)
+    ordered = F.sort_array(F.collect_list(F.struct("k", "sample")))
+    return rows.groupBy("observation_id").agg(ordered["sample"].alias("samples"))
 
 
 def array_quantile(sorted_array, level: float) -> Column:

@@ -40,7 +40,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, file_name, bytes, sha256) of every file under ``path``."""
+    """(path, file_name, bytes, sha256) of every file under ``path`` but empty ones, which Spark's readers pass over."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

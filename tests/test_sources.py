@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from terrachron.sources import frozen, gpml, storage, synthetic, tables, text
@@ -56,3 +58,11 @@ def test_observation_csv(spark, tmp_path):
     p.write_text("observation_id,present_lon,present_lat,age_lower_ma,age_upper_ma,thickness_km,qc_negative_age\na,1,2,3,4,x,false\n")
     row = tables.read_observations(spark, str(p)).collect()[0]
     assert row.thickness_km is None and row.qc_negative_age is False
+
+
+def test_file_hashes_against_hashlib(spark, tmp_path):
+    contents = {"a.gmt": b"> x", "b.gmt": bytes(range(256)) * 300, "c.txt": b"left out", "d.gmt": b""}
+    for name, raw in contents.items():
+        (tmp_path / name).write_bytes(raw)
+    found = {r.file_name: (r.bytes, r.sha256) for r in storage.geometry_hashes(spark, {"x": str(tmp_path)}).collect()}
+    assert found == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items() if n in ("a.gmt", "b.gmt")}
