@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import sphere
 from ..functions.sphere import vec_columns, vec_of
+from ..sources.storage import stored
 from . import spherebins
 
 RING = ("feature_id", "part", "ring")
@@ -261,28 +262,20 @@ def _cell_edges(strips: DataFrame, ring: Sequence[str], carry: Sequence[str], ce
     )
 
 
-def ring_hits(
+def _cell_tables(
     points: DataFrame,
     vertices: DataFrame,
-    *,
     point_keys: Sequence[str],
-    ring: Sequence[str] = RING,
-    carry: Sequence[str] = (),
-    by: Sequence[str] = (),
-    cell: float = 1.0,
-) -> DataFrame:
-    """(point keys, ring keys) for every ring that contains the point.
-
-    The sphere is cut into cells of ``cell`` degrees, numbered by strip of longitude and band of
-    latitude. The way from a point north to the border of its cell and then west to the
-    corner stays in the cell, so only edges of that cell can be crossed; whether the corner is
-    inside was settled once for each cell and ring. A point is inside if the corner's state and the
-    number of edges crossed are odd together. A point thus meets the edges of one cell and one row for
-    each ring around it, both by an equi join on the cell; map-side counting leaves one
-    row per (point, ring) to shuffle. Distinct positions should be passed in, not every record
-    (see ``assign_plates``).
+    ring: Sequence[str],
+    carry: Sequence[str],
+    by: Sequence[str],
+    cell: float,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Points with their cells, and the rings in these cells: whole, at the corner only, and their edges.
+
+    Cells without a point are left out before any ring is spread over them. Both tables of rings
+    are stored, since each is read several times.
     """
-    by = list(by)
     extra = [c for c in by if c not in ring]
     carried = [*carry, *extra]
     edge_rows = edges(vertices, ring, carried)
@@ -294,7 +287,6 @@ def ring_hits(
     rings = summary.select(
         *ring, F.when(halved, refusal.cast("boolean")).otherwise(north).alias("holds_north")
     )
-    strips = _strips(edge_rows, ring, carried, cell)
     lon, lat = sphere.wrap360("lon"), F.col("lat")
     bands = int(round(180.0 / cell))
     at = points.select(
@@ -308,26 +300,43 @@ def ring_hits(
         F.pmod(F.floor(lon / cell), F.lit(int(round(360.0 / cell)))).cast("int").alias("strip"),
         sphere.clip(F.floor((lat + 90.0) / cell), 0, bands - 1).cast("int").alias("band"),
     )
-    keys = list(dict.fromkeys([*point_keys, *by, *ring, *carry]))
     place = [*by, "strip", "band"]
-    inner = _inside_cells(strips, rings, ring, carried, cell)
-    near = _cell_edges(strips, ring, carried, cell)
+    occupied = at.select(*place).distinct()
+    strips = _strips(edge_rows, ring, carried, cell).join(
+        occupied.select(*by, "strip").distinct(), [*by, "strip"], "left_semi"
+    )
+    inner = stored(_inside_cells(strips, rings, ring, carried, cell).join(occupied, place, "left_semi"))
+    upright = _meridian_edges(edge_rows, ring, carried, cell)
+    near = stored(_cell_edges(strips, ring, carried, cell).unionByName(upright).join(occupied, place, "left_semi"))
     # A cell that no edge of a ring touches is inside as a whole; its points need no counting.
-    touched = near.select(*ring, *extra, "strip", "band").distinct()
+    # These joins are merged: plans expect far fewer rows of rings than there are, and would have
+    # the driver gather them for a broadcast.
+    touched = near.select(*ring, *extra, "strip", "band").distinct().hint("merge")
     same = [*ring, *extra, "strip", "band"]
-    settled = at.join(inner.join(touched, same, "left_anti"), place).select(*keys)
-    corners = at.join(inner.join(touched, same, "left_semi"), place).select(*keys)
-    met = at.join(near, place)
+    return at, inner.join(touched, same, "left_anti"), inner.join(touched, same, "left_semi"), near
+
+
+def _settled_and_counted(
+    at: DataFrame, whole: DataFrame, corners: DataFrame, near: DataFrame, place: Sequence[str], keys: Sequence[str]
+) -> DataFrame:
+    """``keys`` of every point and ring around it, from the tables of cells.
+
+    Merged, as in ``_cell_tables``, so that no table of rings is gathered on the driver.
+    """
+    settled = at.join(whole.hint("merge"), place).select(*keys)
+    at_corner = at.join(corners.hint("merge"), place).select(*keys)
+    met = at.join(near.hint("merge"), place)
     reach = F.col("mx") * F.col("_cl") + F.col("my") * F.col("_sl")
     above = reach * F.col("_cp") > F.col("mz") * F.col("_sp")
     above_top = reach * F.col("_ct") > F.col("mz") * F.col("_st")
     # North along the point's meridian, half-open in longitude; then west along the border.
     up = (F.col("from") <= F.col("_lon")) & (F.col("_lon") < F.col("to")) & (above != above_top)
     reached = F.when(F.col("to") <= F.col("_lon"), F.col("end_above")).otherwise(above_top)
-    along = (F.col("start") < F.least("to", "_lon")) & (F.col("start_above") != reached)
+    upright = (F.col("from") == F.col("to")) & (F.col("to") <= F.col("_lon"))
+    along = ((F.col("start") < F.least("to", "_lon")) | upright) & (F.col("start_above") != reached)
     crossed = met.where(up != along).select(*keys)
     counted = (
-        corners.unionByName(crossed)
+        at_corner.unionByName(crossed)
         .groupBy(*keys)
         .agg(F.count("*").alias("_crossings"))
         .where(F.col("_crossings") % 2 == 1)
@@ -336,6 +345,77 @@ def ring_hits(
     return settled.unionByName(counted)
 
 
+def _meridian_edges(edge_rows: DataFrame, ring: Sequence[str], carry: Sequence[str], cell: float) -> DataFrame:
+    """Edges along a meridian inside a strip, once for each cell they touch, shaped like ``_cell_edges``.
+
+    No way north crosses them, but the way west along a cell's border may. On a strip's own
+    western border they lie beyond the corner, as points on a meridian count as just east of it.
+    """
+    bands = int(round(180.0 / cell))
+    m = F.col("from")
+    band = lambda lat: sphere.clip(F.floor((lat + 90.0) / cell), 0, bands - 1).cast("int")
+    rows = (
+        edge_rows.withColumns({"from": sphere.wrap360("a_lon"), "to": sphere.wrap360("b_lon")})
+        .where(F.col("from") == F.col("to"))
+        .withColumn("strip", F.pmod(F.floor(m / cell), F.lit(int(round(360.0 / cell)))).cast("int"))
+        .where(m > F.col("strip") * cell)
+        .withColumn(
+            "band",
+            F.explode(F.sequence(band(F.least("a_lat", "b_lat")), band(F.greatest("a_lat", "b_lat")))),
+        )
+    )
+    top = (F.col("band") + 1) * cell - 90.0
+    return rows.select(
+        *ring,
+        *carry,
+        "strip",
+        "band",
+        *[F.lit(0.0).alias(c) for c in ("mx", "my", "mz")],
+        "from",
+        "to",
+        m.alias("start"),
+        (F.col("a_lat") > top).alias("start_above"),
+        (F.col("b_lat") > top).alias("end_above"),
+        F.cos(F.radians(top)).alias("_ct"),
+        F.sin(F.radians(top)).alias("_st"),
+    )
+
+
+def ring_hits(
+    points: DataFrame,
+    vertices: DataFrame,
+    *,
+    point_keys: Sequence[str],
+    ring: Sequence[str] = RING,
+    carry: Sequence[str] = (),
+    by: Sequence[str] = (),
+    cell: float = 1.0,
+) -> DataFrame:
+    """(point keys, ring keys) for every ring that contains the point.
+
+    The sphere is cut into cells of ``cell`` degrees, numbered by strip of longitude and band of
+    latitude. The way from a point north to the border of its cell and then west to the
+    corner stays in the cell, so only edges of that cell can be crossed; whether the corner is
+    inside was settled once for each cell and ring. A point is inside if the corner's state and the
+    number of edges crossed are odd together. A point thus meets the edges of one cell and one row for
+    each ring around it, both by an equi join on the cell; map-side counting leaves one
+    row per (point, ring) to shuffle. Distinct positions should be passed in, not every record
+    (see ``assign_plates``).
+    """
+    by = list(by)
+    tables = _cell_tables(points, vertices, point_keys, ring, carry, by, cell)
+    keys = list(dict.fromkeys([*point_keys, *by, *ring, *carry]))
+    return _settled_and_counted(*tables, [*by, "strip", "band"], keys)
+
+
+def _covering(whole: DataFrame, corners: DataFrame, near: DataFrame, place: Sequence[str]) -> DataFrame:
+    """Exteriors that fill a cell in which their part has no hole: they hold every point of the cell."""
+    part = [*dict.fromkeys([*place, "feature_id", "part"])]
+    holes = [t.where("role = 'hole'").select(*part) for t in (whole, corners, near)]
+    dented = holes[0].unionByName(holes[1]).unionByName(holes[2]).distinct().hint("merge")
+    return whole.where("role = 'exterior'").join(dented, part, "left_anti")
+
+
 def containing_features(
     points: DataFrame,
     vertices: DataFrame,
@@ -357,12 +437,15 @@ def _holding_parts(
 ) -> DataFrame:
     """(point keys, feature_id, carry), once for every part that holds the point."""
     hits = ring_hits(points, vertices, point_keys=point_keys, carry=["role", *carry], by=by)
-    keys = list(dict.fromkeys([*point_keys, *by]))
-    parts = hits.groupBy(*keys, "feature_id", *carry, "part").agg(
+    return _parts_of(hits, list(dict.fromkeys([*point_keys, *by])), carry)
+
+
+def _parts_of(hits: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    parts = hits.groupBy(*dict.fromkeys([*keys, "feature_id", *carry, "part"])).agg(
         F.bool_or(F.col("role") == "exterior").alias("_in"),
         F.bool_or(F.col("role") == "hole").alias("_hole"),
     )
-    return parts.where(F.col("_in") & ~F.col("_hole")).select(*keys, "feature_id", *carry)
+    return parts.where(F.col("_in") & ~F.col("_hole")).select(*dict.fromkeys([*keys, "feature_id", *carry]))
 
 
 def assign_plates(
@@ -370,14 +453,25 @@ def assign_plates(
 ) -> DataFrame:
     """Plate of the first polygon (lowest ``priority``) containing each point, else -1.
 
-    ``vertices`` carries ``plate_id`` and ``priority``. Equal positions are resolved
-    once and joined back.
+    ``vertices`` carries ``plate_id`` and ``priority``; of equal priorities the lowest plate
+    counts. Equal positions are resolved once and joined back. A polygon that fills a whole cell
+    hides all later ones there, so a cell keeps only rings that come no later than its first
+    such polygon, however many polygons lie on top of each other.
     """
     by = list(by)
-    position = [*by, "lon", "lat"]
+    position, place = [*by, "lon", "lat"], [*by, "strip", "band"]
     unique = points.select(*position).distinct()
-    inside = _holding_parts(unique, vertices, position, ["plate_id", "priority"], by)
-    first = inside.groupBy(*position).agg(F.min_by("plate_id", "priority").alias("_plate"))
+    carry = ["role", "plate_id", "priority"]
+    at, *tables = _cell_tables(unique, vertices, position, RING, carry, by, 1.0)
+    best = _covering(*tables, place).groupBy(*place).agg(F.min("priority").alias("_best")).hint("merge")
+    early = [
+        t.join(best, place, "left").where(F.col("_best").isNull() | (F.col("priority") <= F.col("_best"))).drop("_best")
+        for t in tables
+    ]
+    keys = list(dict.fromkeys([*position, *RING, *carry]))
+    hits = _settled_and_counted(at, *early, place, keys)
+    inside = _parts_of(hits, position, carry[1:]).where(F.col("priority").isNotNull())
+    first = inside.groupBy(*position).agg(F.min_by("plate_id", F.struct("priority", "plate_id")).alias("_plate"))
     joined = points.join(first, position, "left")
     return joined.withColumn(out, F.coalesce("_plate", F.lit(-1)).cast("int")).drop("_plate")
 
@@ -496,7 +590,14 @@ def coverage_fraction(
         F.col("o.db").alias("db"),
     )
     keys = ["i", "j", "da", "db"]
-    inside = _holding_parts(probes, vertices, keys, [], []).select(*keys).distinct()
+    place = ["strip", "band"]
+    at, *tables = _cell_tables(probes, vertices, keys, RING, ["role"], [], 1.0)
+    # Probes of a cell that one polygon fills are inside; rings are met only in the other cells.
+    filled = _covering(*tables, place).select(*place).distinct()
+    open_cells = [t.join(filled.hint("merge"), place, "left_anti") for t in tables]
+    hits = _settled_and_counted(at, *open_cells, place, [*keys, *RING, "role"])
+    surely = at.join(filled, place, "left_semi").select(*keys)
+    inside = surely.unionByName(_parts_of(hits, keys, []).select(*keys)).distinct()
     counted = inside.groupBy("i", "j").agg(F.count("*").alias("_n"))
     return cells.join(counted, ["i", "j"], "left").withColumn(
         "coverage", F.coalesce(F.col("_n"), F.lit(0)) / float(subsample**2)

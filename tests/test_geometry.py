@@ -216,3 +216,51 @@ def test_nearest_targets_crowded_into_one_cell(spark):
                     assert got[i] == cap
                 else:
                     assert math.isclose(got[i], want if cap is None else min(want, cap), rel_tol=1e-9, abs_tol=1e-5), (i, got[i], want)
+
+
+def _stack(n):
+    """Polygons on top of each other; the first has a hole."""
+    square = [(-10, -10), (10, -10), (10, 10), (-10, 10)]
+    hole = [(-2.5, -2.5), (2.5, -2.5), (2.5, 2.5), (-2.5, 2.5)]
+    rows = [r for k in range(n) for r in ring(f"f{k}", square, plate=k + 1)]
+    return rows + ring("f0", hole, "hole", 2, plate=1)
+
+
+def test_plates_hidden_by_an_earlier_one_are_not_met(spark, monkeypatch):
+    v = spark.createDataFrame(_stack(30), SCHEMA)
+    pts = [(6.5, 6.5, 1), (0.5, 0.5, 2), (2.2, 2.2, 2), (2.8, 0.5, 1), (9.9, 9.9, 1), (10.3, 0.5, -1)]
+    p = spark.createDataFrame([(float(a), float(b), c) for a, b, c in pts], "lon double, lat double, want int")
+    rows, real = [], polygons._settled_and_counted
+
+    def counted(at, whole, corners, near, *rest):
+        rows.append(whole.count() + corners.count())
+        return real(at, whole, corners, near, *rest)
+
+    monkeypatch.setattr(polygons, "_settled_and_counted", counted)
+    out = polygons.assign_plates(p, v).collect()
+    assert all(r.plate_id == r.want for r in out), out
+    # Without the bound, 30 squares in each of the cells that they fill.
+    assert rows[0] < 100, rows
+
+
+def test_ring_tables_are_not_broadcast(spark):
+    v = spark.createDataFrame(_stack(30), SCHEMA)
+    p = spark.createDataFrame([(6.5, 6.5), (0.5, 0.5)], "lon double, lat double")
+    hits = polygons.ring_hits(p, v, point_keys=["lon", "lat"])
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 5
+
+
+def test_coverage_counts_probes_of_filled_cells(spark):
+    v = spark.createDataFrame(_stack(3)[:4] + ring("f0", [(-2.5, -2.5), (2.5, -2.5), (2.5, 2.5), (-2.5, 2.5)], "hole", 2), SCHEMA)
+    cells = spark.createDataFrame([(0, 0, 6.0, 6.0), (0, 1, 0.0, 0.0), (0, 2, 0.0, 10.0), (0, 3, 2.5, 2.5)], "i int, j int, lat double, lon double")
+    got = {r.j: r.coverage for r in polygons.coverage_fraction(cells, v, 1.0, 1.0).collect()}
+    assert got == {0: 1.0, 1: 0.0, 2: 0.5, 3: 0.75}
+
+
+def test_edges_along_a_meridian_inside_a_cell(spark):
+    v = spark.createDataFrame(ring("f", [(-2.5, -2.5), (2.5, -2.5), (2.5, 2.5), (-2.5, 2.5)]), SCHEMA)
+    pts = [(2.2, 0.5, 1), (2.5, 0.5, -1), (2.8, 0.5, -1), (-2.8, 0.5, -1), (-2.5, 0.5, 1), (-2.2, 0.5, 1), (2.8, 2.2, -1)]
+    p = spark.createDataFrame([(float(a), float(b), c) for a, b, c in pts], "lon double, lat double, want int")
+    out = polygons.assign_plates(p, v).collect()
+    assert all(r.plate_id == r.want for r in out), out
