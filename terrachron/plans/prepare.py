@@ -13,6 +13,7 @@ from ..operators import checks, fields, physics, polygons, records, rotations, s
 from ..operators import spherebins, trajectories
 from ..functions import sphere
 from ..functions.sphere import vec_columns, vec_of
+from ..sources.storage import stored
 
 CONTINENTAL_KM = 20.0
 DISTANCE_SCALE_KM = 3000.0
@@ -41,8 +42,9 @@ def static_features(
     if plates is None:
         cells = cells.withColumns({"edge_km": F.lit(0.0), "plate_id": F.lit(-1)})
     else:
-        raster = polygons.assign_plates(grid, plates).withColumn("age_idx", F.lit(0))
-        edged = physics.plate_edges(raster)
+        # Both tables have a row per cell and are read by every level of the search below.
+        raster = stored(polygons.assign_plates(grid, plates)).withColumn("age_idx", F.lit(0))
+        edged = stored(physics.plate_edges(raster))
         targets = edged.where("edge").select(
             F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat")
         )

@@ -88,6 +88,7 @@ def rigid_priors(
     own = polygons.assign_plates(paths, static_plates, out="_own").withColumn(
         "same", F.col("_own") == F.col("plate_id")
     )
+    own = cut_lineage(own)  # else the plans of all that follows hold this search several times
     timed = own.withColumn("age", F.explode(F.lit(ages)))
     moved = rotations.reconstruct(timed, entries)
     support = fields.sample_fields(
@@ -108,7 +109,7 @@ def rigid_priors(
         & (F.col("deformation_coverage") <= MAX_NETWORK)
     )
     kept = trajectories.drop_failed_records(
-        support.withColumn("_good", good), "_good", "factor_id"
+        cut_lineage(support.withColumn("_good", good)), "_good", "factor_id"
     )
     phi = F.radians("centre_lat")
     half = math.radians(0.5)
