@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import temporal
 from ..functions.chronology import hash_uniform, t4_log_density, t4_quantile
 from ..functions.physics import softplus
+from ..sources.storage import stored
 from . import metrics, ordering
 from .scoring import mixture_density
 
@@ -208,41 +209,61 @@ def predictive_samples(
     For every record and k: a draw by hash, a node by its cumulative weight, and a
     Student-t(4) deviate by the closed-form quantile. ``nodes`` has (observation_id,
     draw, node_idx, node_weight, mu, sigma); draws are numbered from 0 to n_draws - 1.
-    The hash picks first: only the weights of a record's nodes (at most eight) are laid side by
-    side, and each pick is joined to the one row it wants, so that no record's draws are gathered.
+    A record's rows (nodes times draws) are laid side by side once, ordered by draw and node, and
+    all its picks are read from there in place: no row is made, joined or shuffled for a pick.
     A pick whose row is missing gives a null sample.
     """
-    oid, k = F.col("observation_id"), F.col("k")
-    weights = nodes.groupBy("observation_id", "node_idx").agg(F.min_by("node_weight", "draw").alias("w"))
-    packed = weights.groupBy("observation_id").agg(
-        F.array_sort(F.collect_list(F.struct("node_idx", "w"))).alias("_m")
-    )
-    total = F.transform(
-        F.sequence(F.lit(1), F.size("_m")),
-        lambda n: F.aggregate(F.slice("_m", F.lit(1), n), F.lit(0.0), lambda acc, e: acc + e["w"]),
-    )
-    # Exploding works the uniform out once, not once per node.
+    oid = F.col("observation_id")
+    rows = F.struct("draw", "node_idx", "mu", "sigma", "node_weight")
+    packed = nodes.groupBy("observation_id").agg(F.array_sort(F.collect_list(rows)).alias("_rows"))
+
+    def weight(i: Column) -> Column:  # that of the node's lowest draw
+        return F.get(F.filter("_rows", lambda e: e["node_idx"] == i), F.lit(0))["node_weight"]
+
+    ids = F.array_sort(F.array_distinct(F.transform("_rows", lambda e: e["node_idx"])))
+    heads = F.transform(ids, lambda i: F.struct(i.alias("i"), weight(i).alias("w")))
+
+    def running(m: Column) -> Column:
+        total = lambda n: F.aggregate(F.slice(m, F.lit(1), n), F.lit(0.0), lambda acc, e: acc + e["w"])
+        return F.transform(F.sequence(F.lit(1), F.size(m)), total)
+
     drawn = F.transform(
         F.sequence(F.lit(0), F.lit(predictive_draws - 1)),
-        lambda n: F.struct(n.alias("k"), hash_uniform(seed, F.lit("node"), oid, n).alias("u")),
-    )
-    picks = (
-        packed.select("observation_id", "_m", total.alias("_cum"), F.inline(drawn))
-        .withColumn("_below", F.size(F.filter("_cum", lambda c: c <= F.col("u"))))
-        .select(
-            "observation_id",
-            "k",
+        lambda k: F.struct(
             F.floor(hash_uniform(seed, F.lit("draw"), oid, k) * n_draws).cast("int").alias("draw"),
-            F.get("_m", F.least(F.col("_below"), F.size("_m") - 1))["node_idx"].alias("node_idx"),
-        )
+            hash_uniform(seed, F.lit("node"), oid, k).alias("u"),
+            # Half-open 32-bit uniforms moved to bin centres keep the quantile finite.
+            (hash_uniform(seed, F.lit("noise"), oid, k) + F.lit(0.5 / 4294967296.0)).alias("v"),
+        ),
     )
-    # Half-open 32-bit uniforms moved to bin centres keep the quantile finite.
-    noise = hash_uniform(seed, F.lit("noise"), oid, k) + F.lit(0.5 / 4294967296.0)
-    wanted = nodes.select("observation_id", "draw", "node_idx", "mu", "sigma")
-    sample = (F.col("mu") + F.col("sigma") * t4_quantile(noise)).alias("sample")
-    rows = picks.join(wanted, ["observation_id", "draw", "node_idx"], "left").select("observation_id", "k", sample)
-    ordered = F.sort_array(F.collect_list(F.struct("k", "sample")))
-    return rows.groupBy("observation_id").agg(ordered["sample"].alias("samples"))
+
+    def sample(m: Column, cum: Column) -> Column:
+        def place(e: Column) -> Column:
+            n = F.least(F.size(F.filter(cum, lambda c: c <= e["u"])), F.size(m) - 1)
+            return F.struct(e["draw"].alias("draw"), n.alias("n"), t4_quantile(e["v"]).alias("t"))
+
+        def look(e: Column) -> Column:
+            i = F.get(m, e["n"])["i"]
+            return F.struct(
+                e["draw"].alias("draw"), i.alias("i"), e["t"].alias("t"),
+                F.get("_rows", e["draw"] * F.size(m) + e["n"]).alias("row"),
+            )
+
+        def value(e: Column) -> Column:
+            here = lambda r: (r["draw"] == e["draw"]) & (r["node_idx"] == e["i"])
+            # With every draw of every node there, a row's place follows from both numbers.
+            row = F.when(here(e["row"]), e["row"]).otherwise(F.get(F.filter("_rows", here), F.lit(0)))
+            return _bound(row, lambda r: r["mu"] + r["sigma"] * e["t"])
+
+        return F.transform(F.transform(F.transform(drawn, place), look), value)
+
+    samples = _bound(heads, lambda m: _bound(running(m), lambda cum: sample(m, cum)))
+    return packed.select("observation_id", samples.alias("samples"))
+
+
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often and in whatever loop it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def array_quantile(sorted_array, level: float) -> Column:
@@ -424,7 +445,8 @@ def observed_rmse(fields: DataFrame) -> DataFrame:
 
 def posterior_report(scores: DataFrame, intervals: DataFrame, alpha: float = 0.1) -> DataFrame:
     """One row: predictive NLL, mean MAE and interval metrics."""
-    joined = scores.join(intervals, "observation_id")
+    # Read by two aggregations; a row a record.
+    joined = stored(scores.join(intervals, "observation_id"))
     part = metrics.interval_metrics(joined, 1 - alpha)
     core = joined.agg(
         F.avg("nll").alias("posterior_predictive_nll"),

@@ -105,3 +105,22 @@ def test_bootstrap_vectors_follow_the_hash_law(spark):
         want[r.k] = (n + t * r.n, sa + t * (r.sa or 0), sb + t * (r.sb or 0))
     want = {k: sa / n - sb / n for k, (n, sa, sb) in want.items() if n}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_predictive_samples_read_picks_in_place(spark):
+    import hashlib
+
+    from terrachron.operators import histories
+
+    def uniform(*parts):
+        return int(hashlib.md5("-".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+
+    rows = [(7, d, n, 0.5, 10.0 * d + n, 0.0) for d in range(3) for n in range(2) if (d, n) != (1, 1)]
+    nodes = spark.createDataFrame(rows, "observation_id long, draw int, node_idx int, node_weight double, mu double, sigma double")
+    out = histories.predictive_samples(nodes, 3, 40, 42)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    picks = [(int(uniform(42, "draw", 7, k) * 3), int(uniform(42, "node", 7, k) >= 0.5)) for k in range(40)]
+    assert (1, 1) in picks
+    want = [None if p == (1, 1) else 10.0 * p[0] + p[1] for p in picks]
+    assert out.collect()[0].samples == want
