@@ -99,7 +99,8 @@ def synthesise(
     y = points.withColumn("_y", harmonics.basis(lmax))
     if by:
         arrays = coefficient_array(coefficients, by).select(F.col(by).alias("_by"), F.col("c").alias("_c"))
-        y = y.join(arrays, F.col(by) == F.col("_by")).drop("_by")
+        # A row per anchor: broadcast, so that points are not dealt to as many tasks as there are anchors.
+        y = y.join(F.broadcast(arrays), F.col(by) == F.col("_by")).drop("_by")
     else:
         y = y.withColumn("_c", coefficient_array(coefficients).select("c").scalar())
     return y.withColumn(out, harmonics.synthesis("_y", "_c")).drop("_y", "_c")

@@ -159,8 +159,9 @@ def nearest_distance(
     Branch and bound: pairs of occupied cells of ``width`` degrees are bounded first; a pair that
     can't hold a nearest target is dropped with all that lies below it, the others are replaced by
     the pairs of the occupied narrower cells in them, until a cell holds few targets.
-    Each level is a stored table of cells, so plans stay short and sizes known; its number
-    of rows follows the occupied cells, not points times targets.
+    Each level is a stored table of cells, so plans stay short; its number of rows follows the
+    occupied cells, not points times targets. Its files are far smaller than its rows, so the joins are
+    merged and never broadcast by the driver.
     """
     by = list(by)
     reach = math.pi if cap_km is None else min(math.pi, cap_km / EARTH_RADIUS_KM + slack)
@@ -227,29 +228,23 @@ def nearest_distance(
 def rbf_sums(points: DataFrame, centres: Sequence[tuple[float, float, float]], length_km: float = 800.0) -> DataFrame:
     """``points`` with ``weight`` and ``weighted_value``: Gaussian kernel sums over all centres.
 
-    ``centres`` are (lon, lat, value) of a basis that is fixed by design. They travel as one literal
-    array that is folded per row, so no table of pairs is made and no centre is left out.
+    ``centres`` are (lon, lat, value) of a basis that is fixed by design. Each is one compiled
+    expression per row, so no table of pairs is made and no centre is left out.
     """
-    basis = []
-    for lon, lat, value in centres:
-        lam, phi = math.radians(lon), math.radians(lat)
-        basis.append((math.cos(phi) * math.cos(lam), math.cos(phi) * math.sin(lam), math.sin(phi), float(value)))
-    rows = F.array(*[F.array(*map(F.lit, b)) for b in basis])
     p = sphere.unit_vector("lon", "lat")
     here = points.withColumns({"_px": p.x, "_py": p.y, "_pz": p.z})
 
-    def kernel(c: Column) -> Column:
+    def kernel(lon: float, lat: float) -> Column:
+        lam, phi = math.radians(lon), math.radians(lat)
+        centre = (math.cos(phi) * math.cos(lam), math.cos(phi) * math.sin(lam), math.sin(phi))
+        dx, dy, dz = (F.col("_p" + c) - v for c, v in zip("xyz", centre))
         # The chord keeps its digits for near centres, where a dot product has lost them.
-        chord2 = F.pow(F.col("_px") - c[0], 2) + F.pow(F.col("_py") - c[1], 2) + F.pow(F.col("_pz") - c[2], 2)
-        d = 2.0 * EARTH_RADIUS_KM * F.asin(F.least(F.sqrt(chord2) / 2.0, F.lit(1.0)))
-        return F.exp(-0.5 * F.pow(d / length_km, 2))
-
-    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("v"))
-    total = F.aggregate(
-        rows,
-        zero,
-        lambda s, c: F.struct((s["w"] + kernel(c)).alias("w"), (s["v"] + kernel(c) * c[3]).alias("v")),
-    )
-    return here.withColumn("_s", total).select(
-        *points.columns, F.col("_s.w").alias("weight"), F.col("_s.v").alias("weighted_value")
-    )
+        d = 2.0 * EARTH_RADIUS_KM * F.asin(F.least(F.sqrt(dx * dx + dy * dy + dz * dz) / 2.0, F.lit(1.0)))
+        return F.exp(d * d * (-0.5 / length_km**2))
+
+    kernels = here.withColumn("_k", F.array(*[kernel(lon, lat) for lon, lat, _ in centres]))
+    weight, weighted = F.lit(0.0), F.lit(0.0)
+    for n, (_, _, value) in enumerate(centres):
+        weight = weight + F.get("_k", F.lit(n))
+        weighted = weighted + F.get("_k", F.lit(n)) * float(value)
+    return kernels.select(*points.columns, weight.alias("weight"), weighted.alias("weighted_value"))

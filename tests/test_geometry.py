@@ -264,3 +264,26 @@ def test_edges_along_a_meridian_inside_a_cell(spark):
     p = spark.createDataFrame([(float(a), float(b), c) for a, b, c in pts], "lon double, lat double, want int")
     out = polygons.assign_plates(p, v).collect()
     assert all(r.plate_id == r.want for r in out), out
+
+
+def test_kernel_sums_are_compiled(spark):
+    from terrachron.operators import spherebins
+
+    p = spark.createDataFrame([(0.0, 0.0), (10.0, 80.0)], "lon double, lat double")
+    out = spherebins.rbf_sums(p, [(0.0, 0.0, 2.0), (90.0, 0.0, 3.0), (0.0, 5.0, 1.0)], 800.0)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    k = lambda d: math.exp(-0.5 * (6371 * math.radians(d) / 800) ** 2)
+    row = out.where("lat = 0").collect()[0]
+    assert math.isclose(row.weight, 1 + k(90) + k(5), rel_tol=1e-9)
+    assert math.isclose(row.weighted_value, 2 + 3 * k(90) + k(5), rel_tol=1e-9)
+
+
+def test_anchor_coefficients_are_broadcast(spark):
+    from terrachron.operators import harmonics as sums
+
+    rows = [(a, t, float(a + t)) for a in range(2) for t in range(4)]
+    c = spark.createDataFrame(rows, "age_idx int, term int, coefficient double")
+    p = spark.range(10).selectExpr("cast(id % 2 as int) as age_idx", "0e0 as lon", "id * 1e0 as lat")
+    out = sums.synthesise(p, c, 1, by="age_idx")
+    assert "strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 10
