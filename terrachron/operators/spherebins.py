@@ -114,7 +114,7 @@ def _useful(pairs: DataFrame, radii: float, by: Sequence[str], reach: float, sla
     bound = measured.groupBy(*by, "cell").agg((F.min("angle") + radii).alias("best"))
     nearest = F.least(F.col("best") + slack, F.lit(reach))
     return (
-        measured.join(bound, [*by, "cell"])
+        measured.join(bound.hint("merge"), [*by, "cell"])
         .where(F.col("angle") - radii <= nearest)
         .drop("angle", "best")
     )
@@ -185,7 +185,7 @@ def nearest_distance(
     mine = occupied(here, 0, "cell").withColumns(_centre("cell", top, "c_"))
     goals = occupied(there, 0, "target_cell").withColumns(_centre("target_cell", top, "g_"))
     if by:  # a key has a few hundred of the widest cells at most
-        first = mine.join(goals, by)
+        first = mine.join(goals.hint("merge"), by)
     else:
         around = F.explode(top.around(F.col("cell"), min(reach + 2 * top.radius, math.pi)))
         first = mine.withColumn("target_cell", around).join(goals, "target_cell")
@@ -199,10 +199,10 @@ def nearest_distance(
         half = (
             pairs.withColumnsRenamed({"cell": "wide_cell", "target_cell": "wide_target_cell"})
             .withColumns(_centre("wide_target_cell", wide, "g_"))
-            .join(mine, [*by, "wide_cell"])
+            .join(mine.hint("merge"), [*by, "wide_cell"])
         )
         half = _useful(half, wide.radius + scheme.radius, by, reach, slack).drop("g_x", "g_y", "g_z")
-        whole = half.join(goals, [*by, "wide_target_cell"])
+        whole = half.join(goals.hint("merge"), [*by, "wide_target_cell"])
         # A cell that lies in two wider ones has the pairs of both.
         pairs = stored(_useful(whole, 2 * scheme.radius, by, reach, slack).select(*keep).distinct())
 
@@ -212,8 +212,8 @@ def nearest_distance(
     )
     goals = targets.withColumn("target_cell", last.cell("t_lon", "t_lat"))
     near = (
-        place.join(pairs, [*by, "cell"])
-        .join(goals, [*by, "target_cell"])
+        place.join(pairs.hint("merge"), [*by, "cell"])
+        .join(goals.hint("merge"), [*by, "target_cell"])
         .groupBy(*dict.fromkeys([*by, *point_keys]))
         .agg(F.min(distance).alias("_d"))
     )
