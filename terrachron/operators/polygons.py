@@ -506,6 +506,22 @@ def densified_edges(
     return rows.withColumns({"t_lon": lon, "t_lat": lat}).drop("_n", "_k", "arc")
 
 
+def _arcs(vertices: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every arc of the outlines once per key, with its end vectors.
+
+    Polygons that repeat or share an arc bring nobody nearer, so copies end before arcs are cut into samples.
+    """
+    ends = ("a_lon", "a_lat", "b_lon", "b_lat")
+    extra = [c for c in by if c not in RING]
+    rows = edges(vertices, RING, extra).select(*by, *ends).distinct()
+    return rows.withColumns(
+        {
+            **vec_columns(sphere.unit_vector("a_lon", "a_lat"), "a_"),
+            **vec_columns(sphere.unit_vector("b_lon", "b_lat"), "b_"),
+        }
+    )
+
+
 def boundary_vertex_distance(
     points: DataFrame,
     vertices: DataFrame,
@@ -517,9 +533,8 @@ def boundary_vertex_distance(
 ) -> DataFrame:
     """Distance to the nearest tessellated boundary vertex, capped."""
     by = list(by)
-    extra = [c for c in by if c not in RING]
-    samples = densified_edges(edges(vertices, RING, extra), tessellation_deg, by)
-    targets = samples.select(*by, "t_lon", "t_lat", "t_x", "t_y", "t_z").distinct()
+    samples = densified_edges(_arcs(vertices, by), tessellation_deg, by)
+    targets = samples.select(*by, "t_lon", "t_lat", "t_x", "t_y", "t_z")
     return spherebins.nearest_distance(
         points,
         targets,
@@ -546,10 +561,9 @@ def outline_distance(
     is to the whole arc.
     """
     by = list(by)
-    extra = [c for c in by if c not in RING]
-    targets = densified_edges(edges(vertices, RING, extra), sample_deg, by, 0.5).withColumns(
+    targets = densified_edges(_arcs(vertices, by), sample_deg, by, 0.5).withColumns(
         vec_columns(sphere.arc_normal(vec_of("a_"), vec_of("b_")), "n_")
-    )
+    ).drop("t_x", "t_y", "t_z")
     return spherebins.nearest_distance(
         points,
         targets,

@@ -53,8 +53,10 @@ class CellScheme:
         push down as one huge inlined expression.
         """
         band = self.band(lat)
-        n = self._sectors(band)
-        sector = F.least(F.floor(sphere.wrap360(lon) / 360.0 * n), n - 1)
+        return self._numbered(band, self._sectors(band), sphere.wrap360(lon))
+
+    def _numbered(self, band: Column, n: Column, lon: Column) -> Column:
+        sector = F.least(F.floor(lon / 360.0 * n), n - 1)
         return F.coalesce((band * F.lit(self.max_sectors).cast("long") + sector).cast("long"), F.lit(-1).cast("long"))
 
     def centre(self, cell: Column) -> tuple[Column, Column]:
@@ -90,11 +92,25 @@ class CellScheme:
         return F.flatten(F.transform(F.sequence(low, high), in_band))
 
 
+def _with_cells(df: DataFrame, lon: str, lat: str, schemes: dict[str, CellScheme]) -> DataFrame:
+    """``df`` with the cell of every named scheme.
+
+    Bands and sectors are columns of their own: one expression would work each out a dozen times.
+    """
+    bands = {f"_{c}_band": s.band(lat) for c, s in schemes.items()}
+    sectors = {f"_{c}_n": s._sectors(F.col(f"_{c}_band")) for c, s in schemes.items()}
+    cells = {c: s._numbered(F.col(f"_{c}_band"), F.col(f"_{c}_n"), F.col("_lon")) for c, s in schemes.items()}
+    placed = df.withColumns({"_lon": sphere.wrap360(lon), **bands}).withColumns(sectors)
+    return placed.withColumns(cells).drop("_lon", *bands, *sectors)
+
+
 #: Widest cells of a search, in degrees, and how often they may be halved where targets are dense.
 COARSEST = 12.0
 LEVELS = 13
 #: Targets that share a cell, on average over the targets, at which a search stops to descend.
 FEW_TARGETS = 24.0
+#: Levels whose targets are counted in one pass.
+LEVELS_AT_ONCE = 4
 
 
 def _centre(cell: str, scheme: CellScheme, prefix: str) -> dict[str, Column]:
@@ -120,19 +136,26 @@ def _useful(pairs: DataFrame, radii: float, by: Sequence[str], reach: float, sla
     )
 
 
-def _depth(occupied: DataFrame, by: Sequence[str]) -> int:
+def _depth(targets: DataFrame, schemes: Sequence[CellScheme], by: Sequence[str]) -> int:
     """Halvings of the widest cells after which targets share their cell with few others.
 
-    ``occupied`` has the cells of every level and ``n``; the driver reads a number a level.
+    The driver reads a number a level. A few levels are counted at a time, wide cells first, as their
+    counts shrink to few rows before they are shuffled and most searches end among them.
     """
-    cells = F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"c{k}").alias("cell")) for k in range(LEVELS)])
-    counts = (
-        occupied.select(*by, "n", F.explode(cells).alias("c"))
-        .groupBy(*by, "c.level", "c.cell")
-        .agg(F.sum("n").alias("n"))
-    )
-    found = dict(counts.groupBy("level").agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).collect())
-    return next((k for k in range(LEVELS) if found.get(k, 0.0) <= FEW_TARGETS), LEVELS - 1)
+    for first in range(0, LEVELS, LEVELS_AT_ONCE):
+        wanted = range(first, min(first + LEVELS_AT_ONCE, LEVELS))
+        cells = F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"c{k}").alias("cell")) for k in wanted])
+        counts = (
+            _with_cells(targets.select(*by, "t_lon", "t_lat"), "t_lon", "t_lat", {f"c{k}": schemes[k] for k in wanted})
+            .select(*by, F.explode(cells).alias("c"))
+            .groupBy(*by, "c.level", "c.cell")
+            .agg(F.count("*").alias("n"))
+        )
+        found = dict(counts.groupBy("level").agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).collect())
+        for k in wanted:
+            if found.get(k, 0.0) <= FEW_TARGETS:
+                return k
+    return LEVELS - 1
 
 
 def nearest_distance(
@@ -149,7 +172,8 @@ def nearest_distance(
 ) -> DataFrame:
     """Smallest ``distance`` (radians) from each point to a target, in km.
 
-    ``points`` has ``lon, lat`` and the point keys; ``targets`` has ``t_lon, t_lat``
+    ``points`` has ``lon, lat`` and the point keys, which only name a point: each row gets the
+    distance of its own position. ``targets`` has ``t_lon, t_lat``
     and whatever columns ``distance`` reads (point vector ``p_x..p_z``). ``by``
     columns must match on both sides. ``slack`` is how much closer, in radians, the
     true target may be than its sample position (half a sampling step for arcs).
@@ -161,21 +185,23 @@ def nearest_distance(
     the pairs of the occupied narrower cells in them, until a cell holds few targets.
     Each level is a stored table of cells, so plans stay short; its number of rows follows the
     occupied cells, not points times targets. Its files are far smaller than its rows, so the joins are
-    merged and never broadcast by the driver.
+    merged and never broadcast by the driver. Targets are stored too, as they are read for each group of
+    levels; points that share a position (and ``by``) are searched for once.
     """
     by = list(by)
     reach = math.pi if cap_km is None else min(math.pi, cap_km / EARTH_RADIUS_KM + slack)
     schemes = [CellScheme(width / 2.0**k) for k in range(LEVELS)]
     top = schemes[0]
 
-    def levels(df: DataFrame, lon: str, lat: str, wanted: Sequence[int]) -> DataFrame:
-        cells = [schemes[k].cell(lon, lat).alias(f"c{k}") for k in wanted]
-        return stored(df.groupBy(*by, *cells).agg(F.count("*").alias("n")))
-
-    there = levels(targets, "t_lon", "t_lat", range(LEVELS))
-    depth = _depth(there, by)
+    targets = stored(targets)
+    depth = _depth(targets, schemes, by)
     path = sorted({0, *range(depth, 0, -2)})
-    here = levels(points, "lon", "lat", path)
+
+    def levels(df: DataFrame, lon: str, lat: str) -> DataFrame:
+        wanted = {f"c{k}": schemes[k] for k in path}
+        return stored(_with_cells(df.select(*by, lon, lat), lon, lat, wanted).select(*by, *wanted).distinct())
+
+    there, here = levels(targets, "t_lon", "t_lat"), levels(points, "lon", "lat")
 
     def occupied(df: DataFrame, level: int, name: str, above: int | None = None) -> DataFrame:
         """Cells of a level, each with the cells of the level above that share a row with it."""
@@ -207,19 +233,19 @@ def nearest_distance(
         pairs = stored(_useful(whole, 2 * scheme.radius, by, reach, slack).select(*keep).distinct())
 
     last = schemes[depth]
-    place = points.withColumn("cell", last.cell("lon", "lat")).withColumns(
+    position = list(dict.fromkeys([*by, "lon", "lat"]))
+    place = _with_cells(points.select(*position).distinct(), "lon", "lat", {"cell": last}).withColumns(
         sphere.vec_columns(sphere.unit_vector("lon", "lat"), "p_")
     )
-    goals = targets.withColumn("target_cell", last.cell("t_lon", "t_lat"))
+    goals = _with_cells(targets, "t_lon", "t_lat", {"target_cell": last})
     near = (
         place.join(pairs.hint("merge"), [*by, "cell"])
         .join(goals.hint("merge"), [*by, "target_cell"])
-        .groupBy(*dict.fromkeys([*by, *point_keys]))
+        .groupBy(*position)
         .agg(F.min(distance).alias("_d"))
     )
     km = F.col("_d") * EARTH_RADIUS_KM
-    keys = list(dict.fromkeys([*by, *point_keys]))
-    joined = points.join(near, keys, "left")
+    joined = points.join(near, position, "left").select(*points.columns, "_d")
     if cap_km is not None:
         km = F.least(F.coalesce(km, F.lit(float(cap_km))), F.lit(float(cap_km)))
     return joined.withColumn(out, km).drop("_d")

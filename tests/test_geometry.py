@@ -287,3 +287,22 @@ def test_anchor_coefficients_are_broadcast(spark):
     out = sums.synthesise(p, c, 1, by="age_idx")
     assert "strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == 10
+
+
+def test_copies_of_an_outline_are_searched_once(spark, monkeypatch):
+    """Thirty equal squares are four arcs, and points that share a position one point."""
+    from terrachron.operators import spherebins
+
+    v = spark.createDataFrame([r for r in _stack(30) if r[3] == "exterior"], SCHEMA)
+    p = spark.createDataFrame([(k, 12.0, 0.0) for k in range(5)], "pid int, lon double, lat double")
+    seen, real = [], spherebins.nearest_distance
+
+    def watched(points, targets, *rest, **named):
+        seen.append((targets.count(), targets.select("t_lon", "t_lat").distinct().count()))
+        return real(points, targets, *rest, **named)
+
+    monkeypatch.setattr(spherebins, "nearest_distance", watched)
+    for search in (polygons.outline_distance, polygons.boundary_vertex_distance):
+        out = search(p, v, point_keys=["pid"]).collect()
+        assert len(out) == 5 and len({r[-1] for r in out}) == 1
+        assert seen[-1][0] < 1.5 * seen[-1][1], seen
