@@ -43,10 +43,7 @@ def dynamic_features(
     ).drop("plate_id")
     by = ["age_idx"]
     places = cells.select("age_idx", "i", "j", "lon", "lat")
-    located = polygons.assign_plates(places, plates, by=by, out="p")
-    located = polygons.assign_plates(located, networks, by=by, out="n")
-    located = polygons.assign_plates(located, continents, by=by, out="c")
-    located = polygons.override_ids(located, "n", "p").withColumn(
+    located = polygons.override_ids(_covers(places, {"p": plates, "n": networks, "c": continents}), "n", "p").withColumn(
         "age", F.col("age_idx") * float(step)
     )
     shared = [c for c in polygons.RING] + ["role", "vertex", "lon", "lat", "age_idx"]
@@ -72,6 +69,25 @@ def dynamic_features(
     ).drop("boundary_km", "reference_km", "c", "in_network")
 
 
+def _covers(places: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
+    """``places`` with the plate of every layer of polygons at each, -1 if none.
+
+    The layers are a key of one containment search, whose fixed cost is its many stages.
+    """
+    columns = [*polygons.RING, "role", "vertex", "lon", "lat", "plate_id", "priority", "age_idx"]
+    stacked = None
+    for name, table in layers.items():
+        rows = table.select(*columns).withColumn("layer", F.lit(name))
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    # Rings are told apart by their keys alone, and layers may share feature ids.
+    stacked = stacked.withColumn("feature_id", F.concat_ws(":", "layer", F.col("feature_id").cast("string")))
+    asked = places.withColumn("layer", F.explode(F.array(*[F.lit(name) for name in layers])))
+    found = polygons.assign_plates(asked, stacked, by=["age_idx", "layer"], out="found")
+    return found.groupBy(*places.columns).agg(
+        *[F.max(F.when(F.col("layer") == name, F.col("found"))).alias(name) for name in layers]
+    )
+
+
 def require_boundaries(vertices: DataFrame, n_anchors: int) -> DataFrame:
     """Anchors without any outline (must be empty before distances are used)."""
     spark = vertices.sparkSession

@@ -194,3 +194,24 @@ def test_dynamic_geometry_refuses_ages_without_outlines(spark):
         dynamic.dynamic_features(base, base, v, v.limit(0), v, base, step=10.0, n_anchors=2)
     with pytest.raises(checks.ContractError, match="plates: rings"):
         dynamic.dynamic_features(base, base, v.where("vertex < 2"), v, v, base, step=10.0, n_anchors=1)
+
+
+def test_dynamic_geometry_searches_all_layers_at_once(spark, monkeypatch):
+    """Layers that share a feature id stay apart in the one containment search."""
+    from terrachron.operators import polygons
+    from terrachron.plans import dynamic
+
+    def square(plate, west):
+        corners = [(west, 0.0), (west + 5.0, 0.0), (west + 5.0, 5.0), (west, 5.0)]
+        rows = [("f", 1, 1, "exterior", k, x, y, plate, 1, 0) for k, (x, y) in enumerate(corners)]
+        return spark.createDataFrame(rows, "feature_id string, part int, ring int, role string, vertex int, lon double, lat double, plate_id int, priority int, age_idx int")
+
+    calls, real = [], polygons._cell_tables
+    monkeypatch.setattr(polygons, "_cell_tables", lambda *a: calls.append(1) or real(*a))
+    base = spark.createDataFrame([(0, k, x, 2.0, -1) for k, x in enumerate([1.5, 4.0, 7.0, 10.0])], "i int, j int, lon double, lat double, plate_id int")
+    modern = spark.range(180 * 360).selectExpr("cast(id div 360 as int) as i", "cast(id % 360 as int) as j", "7e0 as value")
+    entries = spark.createDataFrame([(p, 0.0, 90.0, 0.0, 0.0, 0) for p in (1, 2)], "plate_id int, age double, lat double, lon double, angle double, conjugate_id int")
+    out = dynamic.dynamic_features(base, modern, square(1, 0.0), square(2, 3.0), square(3, 6.0), entries, step=10.0, n_anchors=1)
+    got = {r.j: (r.plate_id, r.deformation_coverage, r.continental_mask) for r in out.collect()}
+    assert got == {0: (1, 0.0, -1.0), 1: (2, 1.0, -1.0), 2: (2, 1.0, 1.0), 3: (-1, 0.0, 1.0)}, got
+    assert len(calls) == 1
