@@ -66,3 +66,17 @@ def test_file_hashes_against_hashlib(spark, tmp_path):
         (tmp_path / name).write_bytes(raw)
     found = {r.file_name: (r.bytes, r.sha256) for r in storage.geometry_hashes(spark, {"x": str(tmp_path)}).collect()}
     assert found == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items() if n in ("a.gmt", "b.gmt")}
+
+
+def test_long_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    """Pieces give the digest of the whole file, also of files that no task may read whole."""
+    contents = {f"{k}.gmt": bytes(range(256)) * (40 + 60 * k) + b"x" * k for k in range(4)}
+    for name, raw in contents.items():
+        (tmp_path / name).write_bytes(raw)
+    monkeypatch.setattr(storage, "PIECE_BYTES", 15000, raising=False)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 15000)
+    try:
+        found = {r.file_name: (r.bytes, r.sha256) for r in storage.file_hashes(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert found == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items()}
