@@ -69,35 +69,132 @@ def _poisson_cuts() -> list[float]:
     return cuts
 
 
+#: Hashes that are worked out side by side; their arrays stay in a core's cache.
+_SIDE_BY_SIDE = 32768
+
+
 def _replicate_sums(n_boot: int, seed: int):
     """Adds up all replicates of the units that a task reads, as vectors; ``n_boot`` rows a task.
 
-    A nested function without globals, so that executors need no copy of this library.
+    The MD5 of ``seed-replicate-unit`` is worked out for many units and replicates side by side, as its text
+    fits one block; only units with longer texts go through ``hashlib``. A nested function without
+    globals, so that executors need no copy of this library.
     """
-    cuts = _poisson_cuts()
+    cuts, side_by_side = _poisson_cuts(), _SIDE_BY_SIDE
 
     def run(batches):
         import hashlib
+        import math
 
         import numpy as np
         import pyarrow as pa
 
-        heads = [f"{seed}-{k}".encode() for k in range(n_boot)]
-        steps = np.array(cuts)
+        word = np.dtype("<u4")
+        sines = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+        turns = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+        start = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+        # A mark reaches a cut when it reaches the next whole number.
+        marks_of_cuts = [math.ceil(c * 2**32) for c in cuts]
+        steps = np.array([c for c in marks_of_cuts if c < 2**32], dtype=np.uint32)
+        # Replicates by the length of their text: then all their words lie alike.
+        heads = {}
+        for k in range(n_boot):
+            heads.setdefault(len(f"{seed}-{k}"), []).append(k)
+        most = max(heads)
+
+        def words(head_texts, tails):
+            """The 16 words of each message: a number, a row by replicate, a column by unit, or a table."""
+            h, t = len(head_texts[0]), len(tails[0])
+            first = np.zeros((len(head_texts), 64), dtype=np.uint8)
+            first[:, :h] = np.frombuffer(b"".join(head_texts), dtype=np.uint8).reshape(-1, h)
+            last = np.zeros((len(tails), 64), dtype=np.uint8)
+            last[:, h : h + t] = np.frombuffer(b"".join(tails), dtype=np.uint8).reshape(len(tails), t)
+            last[:, h + t] = 0x80
+            first, last = first.view(word), last.view(word)
+            out = []
+            for i in range(14):
+                if 4 * i >= h + t + 1:
+                    out.append(0)
+                elif 4 * i + 4 <= h:
+                    out.append(first[None, :, i])
+                elif 4 * i >= h:
+                    out.append(last[:, i, None])
+                else:
+                    out.append(first[None, :, i] | last[:, i, None])
+            return [*out, 8 * (h + t), 0]
+
+        def first_words(message, shape):
+            """The first four bytes of every digest, as a big-endian number."""
+            a, b, c, d = (np.full(shape, v, dtype=np.uint32) for v in start)
+            f, g = np.empty(shape, dtype=np.uint32), np.empty(shape, dtype=np.uint32)
+            for i in range(61):  # the last three steps do not touch these bytes
+                part = i // 16
+                if part == 0:
+                    np.bitwise_xor(c, d, out=f)
+                    f &= b
+                    f ^= d
+                    m = message[i]
+                elif part == 1:
+                    np.bitwise_xor(b, c, out=f)
+                    f &= d
+                    f ^= c
+                    m = message[(5 * i + 1) % 16]
+                elif part == 2:
+                    np.bitwise_xor(b, c, out=f)
+                    f ^= d
+                    m = message[(3 * i + 5) % 16]
+                else:
+                    np.invert(d, out=f)
+                    f |= b
+                    f ^= c
+                    m = message[7 * i % 16]
+                f += a
+                if isinstance(m, int):
+                    f += np.uint32((sines[i] + m) % 2**32)
+                else:
+                    f += m + np.uint32(sines[i])
+                turn = turns[part][i % 4]
+                np.right_shift(f, np.uint32(32 - turn), out=g)
+                f <<= np.uint32(turn)
+                f |= g
+                f += b
+                a, b, c, d, f = d, f, b, c, a
+            b += np.uint32(start[0])
+            return b.byteswap()
+
         n, sa, sb = np.zeros(n_boot, dtype=np.int64), np.zeros(n_boot), np.zeros(n_boot)
-        md5 = hashlib.md5
+
+        def add(replicates, marks, amounts):
+            times = np.zeros(marks.shape, dtype=np.uint8)
+            for cut in steps:
+                times += marks >= cut
+            total = amounts @ times.astype(np.float64)
+            n[replicates] += np.rint(total[0]).astype(np.int64)
+            sa[replicates] += total[1]
+            sb[replicates] += total[2]
+
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("unit", "n", "sa", "sb")))
-            for unit, count, first, second in rows:
+            # A unit without any error to add counts with its rows only.
+            amounts = np.array(
+                [[v or 0 for v in batch.column(c).to_pylist()] for c in ("n", "sa", "sb")], dtype=np.float64
+            )
+            alike = {}
+            for place, unit in enumerate(batch.column("unit").to_pylist()):
                 tail = b"" if unit is None else b"-" + unit.encode()
-                marks = b"".join([md5(head + tail).digest()[:4] for head in heads])
-                uniform = np.frombuffer(marks, dtype=">u4") / 4294967296.0
-                times = np.searchsorted(steps, uniform, side="right")
-                n += times * count
-                if first is not None:  # a unit without any error to add
-                    sa += times * first
-                if second is not None:
-                    sb += times * second
+                alike.setdefault(len(tail), []).append((place, tail))
+            for length, members in alike.items():
+                for h, replicates in heads.items():
+                    texts = [f"{seed}-{k}".encode() for k in replicates]
+                    size = max(1, side_by_side // len(replicates))
+                    for low in range(0, len(members), size):
+                        block = members[low : low + size]
+                        tails = [tail for _, tail in block]
+                        if most + length <= 55:
+                            marks = first_words(words(texts, tails), (len(block), len(replicates)))
+                        else:
+                            digests = b"".join(hashlib.md5(x + tail).digest()[:4] for tail in tails for x in texts)
+                            marks = np.frombuffer(digests, dtype=">u4").reshape(len(block), len(replicates))
+                        add(replicates, marks, amounts[:, [place for place, _ in block]])
         columns = [pa.array(np.arange(n_boot, dtype=np.int32)), pa.array(n), pa.array(sa), pa.array(sb)]
         yield pa.RecordBatch.from_arrays(columns, ["b", "n", "sa", "sb"])
 

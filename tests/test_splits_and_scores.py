@@ -124,3 +124,29 @@ def test_predictive_samples_read_picks_in_place(spark):
     assert (1, 1) in picks
     want = [None if p == (1, 1) else 10.0 * p[0] + p[1] for p in picks]
     assert out.collect()[0].samples == want
+
+
+def test_bootstrap_hashes_units_side_by_side(monkeypatch):
+    """Every replicate's counts follow hashlib, which only texts over one block still go through."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from terrachron.operators import metrics
+
+    real, calls, n_boot = hashlib.md5, [], 120
+    units = ["7", "42", "12345", "ü3", "", None, "x" * 48, "x" * 49, "x" * 50, "x" * 51, "x" * 130]
+    rows = pa.record_batch({"unit": units, "n": pa.array(range(1, 12), pa.int64()), "sa": [1.5, None, *[0.25] * 9], "sb": [2.0] * 11})
+    want = np.zeros((3, n_boot))
+    cuts = metrics._poisson_cuts()
+    for row in rows.to_pylist():
+        tail = "" if row["unit"] is None else f"-{row['unit']}"
+        for k in range(n_boot):
+            u = int(real(f"3-{k}{tail}".encode()).hexdigest()[:8], 16) / 2**32
+            want[:, k] += sum(u >= c for c in cuts) * np.array([row["n"], row["sa"] or 0, row["sb"]])
+    monkeypatch.setattr(hashlib, "md5", lambda text: calls.append(text) or real(text))
+    out = next(metrics._replicate_sums(n_boot, 3)([rows]))
+    assert out.column("n").to_pylist() == want[0].tolist()
+    assert np.allclose(out.column("sa"), want[1], atol=1e-12) and np.allclose(out.column("sb"), want[2], atol=1e-12)
+    assert all(len(text) > 49 for text in calls)
