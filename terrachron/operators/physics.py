@@ -228,26 +228,33 @@ def trajectory_residuals(steps: DataFrame) -> DataFrame:
     )
 
 
-def budget_residuals(interior: DataFrame, boundary: DataFrame) -> DataFrame:
+def budget_residuals(interior: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
     """Moving-region residuals: dV + integral of (boundary flux - source), normalised.
 
     Interior points ``factor_id, evidence_id, age, h, source, area_km2, reference_km3,
     sigma``; boundary points ``factor_id, age, h, rel_normal_velocity, length_km``.
-    Both are summed per (factor, age) before they meet.
+    Both are summed per (factor, age) before they meet. Without a boundary table every interior
+    row is a boundary point too; such rows are read once and nothing is joined.
     """
-    inside = interior.groupBy("factor_id", "evidence_id", "age").agg(
+    flux = F.col("h") * F.col("rel_normal_velocity") * F.col("length_km")
+    parts = [
         F.sum(F.col("h") * F.col("area_km2")).alias("volume"),
         F.sum(F.col("source") * F.col("area_km2")).alias("gain"),
         F.first("reference_km3").alias("reference_km3"),
         F.first("sigma").alias("sigma"),
-    )
-    flux = F.col("h") * F.col("rel_normal_velocity") * F.col("length_km")
-    outside = boundary.groupBy("factor_id", "age").agg(F.sum(flux).alias("flux"))
-    steps = inside.join(outside, ["factor_id", "age"]).withColumn(
-        "_net", F.col("flux") - F.col("gain")
-    )
+    ]
+    if boundary is None:
+        rows = interior.where(F.col("factor_id").isNotNull() & F.col("age").isNotNull())
+        inside = rows.groupBy("factor_id", "evidence_id", "age").agg(*parts, F.sum(flux).alias("_flux"))
+        # The flux is that of the (factor, age), also where several evidence ids share it.
+        step = Window.partitionBy("factor_id").orderBy(F.col("age").desc()).rangeBetween(0, 0)
+        steps = inside.withColumn("flux", F.sum("_flux").over(step))
+    else:
+        inside = interior.groupBy("factor_id", "evidence_id", "age").agg(*parts)
+        outside = boundary.groupBy("factor_id", "age").agg(F.sum(flux).alias("flux"))
+        steps = inside.join(outside, ["factor_id", "age"])
     return (
-        path_integral(steps, "_net")
+        path_integral(steps.withColumn("_net", F.col("flux") - F.col("gain")), "_net")
         .groupBy("factor_id", "evidence_id")
         .agg(
             (
@@ -276,6 +283,25 @@ def source_rate(basis: DataFrame, coefficients: DataFrame, keys: Sequence[str])
     )
 
 
+def with_source_rate(rows: DataFrame, columns: Sequence[str], coefficients: DataFrame) -> DataFrame:
+    """``rows`` with ``source``, the sum of basis columns x coefficient, worked out in place.
+
+    ``columns`` are the basis values in the order of ``basis_idx``; the coefficients, one per column,
+    are laid out as one broadcast row. A basis without a coefficient adds nothing; without any the source is null.
+    """
+    names = [f"_k{n}" for n in range(len(columns))]
+    wide = coefficients.agg(
+        *[F.sum(F.when(F.col("basis_idx") == n, F.col("coefficient"))).alias(k) for n, k in enumerate(names)]
+    )
+    terms = [F.col(c) * F.col(k) for c, k in zip(columns, names)]
+    known = F.coalesce(*terms).isNotNull()  # without any term the sum is null
+    total = None
+    for term in terms:
+        part = F.coalesce(term, F.lit(0.0))
+        total = part if total is None else total + part
+    return rows.crossJoin(F.broadcast(wide)).withColumn("source", F.when(known, total)).drop(*names)
+
+
 def evidence_mean(residuals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Half the mean over evidence ids of the mean square inside an id.
 

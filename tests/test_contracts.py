@@ -215,3 +215,39 @@ def test_dynamic_geometry_searches_all_layers_at_once(spark, monkeypatch):
     got = {r.j: (r.plate_id, r.deformation_coverage, r.continental_mask) for r in out.collect()}
     assert got == {0: (1, 0.0, -1.0), 1: (2, 1.0, -1.0), 2: (2, 1.0, 1.0), 3: (-1, 0.0, 1.0)}, got
     assert len(calls) == 1
+
+
+def test_budget_points_of_both_kinds_are_read_once(spark):
+    """One table of interior and boundary points gives what two copies of it give, without a join."""
+    from terrachron.operators import physics
+
+    rows = [
+        (f, f"e{f % 2}" if f < 4 else f"e{k % 2}", 10.0 * (k // 2 if f > 4 else k), 5.0 + f + k, 0.1 * k, 2.0 + f, 1.0 - 0.3 * k, 3.0 + k, 100.0, 0.5)
+        for f in range(6) for k in range(4)
+    ] + [(None, "e0", 10.0, *[1.0] * 7), (1, "e1", None, *[1.0] * 7)]
+    df = spark.createDataFrame(
+        rows, "factor_id int, evidence_id string, age double, h double, source double, area_km2 double, "
+        "rel_normal_velocity double, length_km double, reference_km3 double, sigma double",
+    )
+    one, two = physics.budget_residuals(df), physics.budget_residuals(df, df)
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+    # Factors 4 and 5 lie under two evidence ids, 5 at equal ages too, where the order of its steps is open.
+    found, wanted = ({(r.factor_id, r.evidence_id): r.residual for r in t.collect()} for t in (one, two))
+    assert found.keys() == wanted.keys() and len(found) == 8
+    assert all(abs(found[k] - wanted[k]) < 1e-12 for k in found if k[0] < 5), (found, wanted)
+
+
+def test_constraint_steps_are_dealt_out_once(spark, tmp_path):
+    """Lines are scanned and shuffled once for a kind of residual, and both kinds share that."""
+    from terrachron.catalog import physics
+
+    lines = [(o, n, float(1 + o + n), 0.01 * n, 0.02 * (o % 3)) for o in range(1, 30) for n in range(1, 5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, o % 7) for o in range(1, 30)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    for query in (physics.moving_budget_residuals, physics.trajectory_residuals, physics.evidence_grouped_loss):
+        out = query(spark, str(tmp_path))
+        assert out.count() > 0
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in line and "Reused" not in line]
+        assert len(dealt) == 1 and plan.count("SortMergeJoin") == 0, plan
