@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grids
-from ..operators import records
+from ..operators import ordering, records
 from ..sources import synthetic
 
 NLAT, NLON, STEP, ANCHORS = 8, 16, 10.0, 7
@@ -81,8 +81,10 @@ OBS_KEEP = [
 ]
 
 
-def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return records.explode_nodes(obs(spark, sf), OBS_KEEP)
+def nodes(spark: SparkSession, sf: str, laid_out: bool = False) -> DataFrame:
+    """Node rows; ``laid_out``: those of a record follow each other in one partition."""
+    rows = obs(spark, sf)
+    return records.explode_nodes(ordering.laid_out(rows, "observation_id") if laid_out else rows, OBS_KEEP)
 
 
 def truth_text(lon: str, lat: str, age: str) -> str:
@@ -100,9 +102,9 @@ SCORED = (
 )
 
 
-def scored_nodes(spark: SparkSession, sf: str) -> DataFrame:
+def scored_nodes(spark: SparkSession, sf: str, laid_out: bool = False) -> DataFrame:
     """Nodes with the analytic truth as prediction."""
-    return nodes(spark, sf).select(
+    return nodes(spark, sf, laid_out).select(
         "observation_id",
         "node_idx",
         "node_age",

@@ -68,7 +68,7 @@ def draw_nodes(spark, sf):
     )
     # The draws travel as one array per node and are unpacked in place.
     packed = offsets.agg(F.collect_list(F.struct("draw", "o")).alias("d")).select("d").scalar()
-    nodes = b.scored_nodes(spark, sf).withColumn("_d", packed)
+    nodes = b.scored_nodes(spark, sf, laid_out=True).withColumn("_d", packed)
     return nodes.select(
         "observation_id", "node_idx", "node_weight", "y", "sigma", "mu", F.explode("_d").alias("e")
     ).select(
@@ -124,7 +124,7 @@ _PI_CTES = (OBS, NODES, NODE_ROWS, b.SCORED, _DRAW_NODES, _CUM, _SAMPLES, _PI)
 @query(with_(*_PI_CTES) + f"select observation_id, {r('lower', 'lower')}, {r('upper', 'upper')} from pint")
 def predictive_intervals(spark, sf):
     """Central 90 % range of a reproducible predictive sample per record."""
-    s = histories.predictive_samples(draw_nodes(spark, sf), _N_DRAWS, 256, 42)
+    s = histories.predictive_samples(draw_nodes(spark, sf), _N_DRAWS, 256, 42, laid_out=True)
     return rounded(histories.predictive_intervals(s))
 
 
@@ -138,9 +138,10 @@ def predictive_intervals(spark, sf):
 def posterior_report(spark, sf):
     nodes = draw_nodes(spark, sf)
     intervals = histories.predictive_intervals(
-        histories.predictive_samples(nodes, _N_DRAWS, 256, 42)
+        histories.predictive_samples(nodes, _N_DRAWS, 256, 42, laid_out=True)
     )
-    return rounded(histories.posterior_report(histories.predictive_scores(nodes), intervals))
+    scores = histories.predictive_scores(nodes)
+    return rounded(histories.posterior_report(scores, intervals))
 
 
 @query(

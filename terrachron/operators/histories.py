@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import temporal
-from ..functions.chronology import hash_uniform, t4_log_density, t4_quantile
+from ..functions.chronology import side_by_side_hashes
 from ..functions.physics import softplus
-from ..sources.storage import stored
+from ..sources.storage import stored, unweighed_batches
 from . import metrics, ordering
 from .scoring import mixture_density
 
@@ -185,6 +185,51 @@ def split_rhat(draws: DataFrame) -> DataFrame:
     )
 
 
+def _record_blocks():
+    """``blocks(batches, column, rows)``: whole records from batches in which a record's rows follow each other.
+
+    Gives (table, starts) with the row where each record begins. Records must come in the order of
+    their keys, nulls first, so rows of a record that are apart are noticed; then the task fails.
+    Nested and without globals, so that executors need no copy of this library.
+    """
+
+    def blocks(batches, column, rows):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def parted(held, before, ended):
+            """(records that are whole, the other rows, the last key of the whole ones)."""
+            table = pa.Table.from_batches(held).combine_chunks()
+            runs = pc.run_end_encode(table.column(column).combine_chunks(), run_end_type=pa.int64())
+            ends, keys = runs.run_ends.to_numpy(), runs.values
+            n = len(ends) if ended else len(ends) - 1
+            if not n:
+                return None, table.to_batches(), before
+            seen = keys[:n] if before is None else pa.concat_arrays([before, keys[:n]])
+            nulls = seen.null_count > 1 or seen.null_count and seen[0].is_valid
+            if nulls or pc.any(pc.greater_equal(seen[:-1], seen[1:])).as_py():
+                raise ValueError(f"rows are not laid out by {column}")
+            end = int(ends[n - 1])
+            whole = table.slice(0, end).combine_chunks(), np.concatenate(([0], ends[: n - 1]))
+            return whole, table.slice(end).to_batches(), keys[n - 1 : n]
+
+        held, more, before = [], 0, None
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                more += batch.num_rows
+            if more >= rows:
+                block, held, before = parted(held, before, False)
+                more = 0
+                if block:
+                    yield block
+        if held:
+            yield parted(held, before, True)[0]
+
+    return blocks
+
+
 def predictive_scores(nodes: DataFrame) -> DataFrame:
     """Per record: predictive NLL over draws and the expected value.
 
@@ -201,69 +246,169 @@ def predictive_scores(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _sample_records(n_draws: int, picks: int, seed: int, hashes, blocks):
+    """Picks a draw, a node and a deviate ``picks`` times for many records at once; a row for each record.
+
+    ``hashes`` has a tail for each pick.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def uniforms(name, letters, lengths, wanted):
+            """The 32-bit numbers of every pick of the wanted records; keys of one length are hashed together."""
+            out = np.empty((len(lengths), picks), dtype=np.uint32)
+            for length in np.unique(lengths[wanted]):
+                rows = np.flatnonzero(wanted & (lengths == length))
+                middles = np.frombuffer(b"".join([letters[i] for i in rows]), dtype=np.uint8)
+                out[rows] = hashes(f"{seed}-{name}-".encode(), middles.reshape(len(rows), length))
+            return out
+
+        def deviates(word):
+            """``t4_quantile`` of half-open 32-bit uniforms moved to bin centres, which keeps it finite."""
+            p = word / 4294967296.0
+            p += 0.5 / 4294967296.0
+            root = 1.0 - p
+            root *= p
+            root *= 4.0
+            np.sqrt(root, out=root)
+            q = np.minimum(root, 1.0)
+            np.arccos(q, out=q)
+            q /= 3.0
+            np.cos(q, out=q)
+            q /= root
+            q -= 1.0
+            np.maximum(q, 0.0, out=q)
+            np.sqrt(q, out=q)
+            q *= 2.0
+            p -= 0.5
+            return np.copysign(q, p, out=q)
+
+        def complete(starts, sizes, record, draw, node):
+            """If every record has each draw of its nodes 0, 1, ... once: node counts and rows by draw and node."""
+            m = np.maximum.reduceat(node, starts) + 1
+            if (m > sizes).any() or (m * n_draws != sizes).any() or (node < 0).any() or (draw < 0).any() or (draw >= n_draws).any():
+                return None
+            rows = np.full(len(record), -1)
+            rows[starts[record] + draw * m[record] + node] = np.arange(len(record))
+            return None if (rows < 0).any() else (m, rows)
+
+        def tables(table, starts):
+            """Nodes per record, their weights, and mu, sigma and whether it is there of every draw and node."""
+            size = table.num_rows
+            sizes = np.diff([*starts, size])
+            record = np.repeat(np.arange(len(starts)), sizes)
+            values, known = {}, {}
+            for name in ("draw", "node_idx", "mu", "sigma", "node_weight"):
+                column = table.column(name)
+                known[name] = column.is_valid().to_numpy() if column.null_count else np.ones(size, dtype=bool)
+                values[name] = column.fill_null(pa.scalar(0, column.type)).to_numpy()
+            draw, node, weight = values["draw"], values["node_idx"], np.where(known["node_weight"], values["node_weight"], np.nan)
+            good = known["mu"] & known["sigma"]
+            plain = known["draw"].all() and known["node_idx"].all() and draw.dtype == node.dtype == np.int64
+            simple = complete(starts, sizes, record, draw, node) if plain else None
+            if simple:
+                m, rows = simple
+                before = np.cumsum(m) - m
+                heads = weight[rows[np.repeat(starts - before, m) + np.arange(m.sum())]]
+                return m, heads, values["mu"][rows], values["sigma"][rows], good[rows]
+
+            # In the order of draw, node, mu, sigma and weight, null first, some may be missing or there twice.
+            order = [x for name in reversed(values) for x in (values[name], known[name])]
+            order = np.lexsort([*order, record])
+            draw, node, weight, good = draw[order], node[order], weight[order], good[order]
+            mu, sigma = values["mu"][order], values["sigma"][order]
+            has_draw, has_node = known["draw"][order], known["node_idx"][order]
+            # A record's nodes in their order, null last, each with the weight of its first row.
+            by_node = np.lexsort((node, ~has_node, record))
+            parts = np.stack((record, has_node, np.where(has_node, node, 0)))[:, by_node]
+            new = np.concatenate(([True], (parts[:, 1:] != parts[:, :-1]).any(axis=0)))
+            m = np.bincount(record[by_node[new]], minlength=len(starts))
+            number = np.empty(size, dtype=np.int64)
+            number[by_node] = np.cumsum(new) - 1
+            number -= (np.cumsum(m) - m)[record]
+            heads = np.where(has_node, weight, np.nan)[by_node[new]]
+            # The first row of each draw and node, or one that is where it would be if there were no others.
+            cells = m * n_draws
+            base = np.cumsum(cells) - cells
+            usable = has_draw & has_node & (draw >= 0) & (draw < n_draws) & (draw == np.floor(draw))
+            cell = np.where(usable, base[record] + np.where(usable, draw, 0).astype(np.int64) * m[record] + number, -1)
+            rows = np.full(cells.sum(), -1)
+            rows[cell[usable][::-1]] = np.flatnonzero(usable)[::-1]
+            place = np.arange(len(rows)) + np.repeat(starts - base, cells)
+            there = np.flatnonzero(place < np.repeat(starts + sizes, cells))
+            there = there[cell[place[there]] == there]
+            rows[there] = place[there]
+            return m, heads, mu[rows], sigma[rows], good[rows] & (rows >= 0)
+
+        for table, starts in blocks(batches, "observation_id", 32768):
+            n = len(starts)
+            m, weights, mu, sigma, good = tables(table, starts)
+            at_node, at_cell = np.cumsum(m) - m, (np.cumsum(m) - m) * n_draws
+            ids = table.column("observation_id").take(starts).combine_chunks()
+            texts = table.column("_text").take(starts) if "_text" in table.column_names else ids.cast(pa.string())
+            # A key that is null is left out of the text.
+            letters = [b"" if t is None else t.encode() + b"-" for t in texts.to_pylist()]
+            lengths = np.array([len(t) for t in letters])
+            everyone = np.ones(n, dtype=bool)
+            draw = uniforms("draw", letters, lengths, everyone) / 4294967296.0 * n_draws
+            node = uniforms("node", letters, lengths, m > 1)  # a lone node is picked anyway
+            samples = deviates(uniforms("noise", letters, lengths, everyone))
+            there = None if good.all() else np.empty((n, picks), dtype=bool)
+            for nodes in np.unique(m):
+                some = np.flatnonzero(m == nodes)
+                pick = np.zeros((len(some), picks), dtype=np.int64)
+                if nodes > 1:
+                    u, total = node[some] / 4294967296.0, np.zeros(len(some))
+                    for j in range(nodes):
+                        total = total + weights[at_node[some] + j]  # null or NaN is reached by no pick
+                        pick += total[:, None] <= u
+                    np.minimum(pick, nodes - 1, out=pick)
+                pick += draw[some].astype(np.int64) * nodes
+                pick += at_cell[some][:, None]
+                samples[some] = mu[pick] + sigma[pick] * samples[some]
+                if there is not None:
+                    there[some] = good[pick]
+            values = pa.array(samples.ravel(), mask=None if there is None else ~there.ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(picks)), values)
+            yield pa.RecordBatch.from_arrays([ids, lists], ["observation_id", "samples"])
+
+    return run
+
+
 def predictive_samples(
-    nodes: DataFrame, n_draws: int, predictive_draws: int = 256, seed: int = 42
+    nodes: DataFrame, n_draws: int, predictive_draws: int = 256, seed: int = 42, laid_out: bool = False
 ) -> DataFrame:
     """Reproducible predictive sample per record: (observation_id, samples array).
 
     For every record and k: a draw by hash, a node by its cumulative weight, and a
     Student-t(4) deviate by the closed-form quantile. ``nodes`` has (observation_id,
     draw, node_idx, node_weight, mu, sigma); draws are numbered from 0 to n_draws - 1.
-    A record's rows (nodes times draws) are laid side by side once, ordered by draw and node, and
-    all its picks are read from there in place: no row is made, joined or shuffled for a pick.
-    A pick whose row is missing gives a null sample.
+    A record's rows (nodes times draws) are read once as they pass by; the hashes and picks of many records
+    are worked out side by side in arrays, as ``hash_uniform`` and ``t4_quantile`` would: no row is made,
+    joined or shuffled for a pick. A pick whose row is missing gives a null sample.
+    ``laid_out``: the rows come from records on which ``ordering.laid_out`` was called before they were
+    spread, so that they need not be shuffled and sorted here.
     """
-    oid = F.col("observation_id")
-    rows = F.struct("draw", "node_idx", "mu", "sigma", "node_weight")
-    packed = nodes.groupBy("observation_id").agg(F.array_sort(F.collect_list(rows)).alias("_rows"))
-
-    def weight(i: Column) -> Column:  # that of the node's lowest draw
-        return F.get(F.filter("_rows", lambda e: e["node_idx"] == i), F.lit(0))["node_weight"]
-
-    ids = F.array_sort(F.array_distinct(F.transform("_rows", lambda e: e["node_idx"])))
-    heads = F.transform(ids, lambda i: F.struct(i.alias("i"), weight(i).alias("w")))
-
-    def running(m: Column) -> Column:
-        total = lambda n: F.aggregate(F.slice(m, F.lit(1), n), F.lit(0.0), lambda acc, e: acc + e["w"])
-        return F.transform(F.sequence(F.lit(1), F.size(m)), total)
-
-    drawn = F.transform(
-        F.sequence(F.lit(0), F.lit(predictive_draws - 1)),
-        lambda k: F.struct(
-            F.floor(hash_uniform(seed, F.lit("draw"), oid, k) * n_draws).cast("int").alias("draw"),
-            hash_uniform(seed, F.lit("node"), oid, k).alias("u"),
-            # Half-open 32-bit uniforms moved to bin centres keep the quantile finite.
-            (hash_uniform(seed, F.lit("noise"), oid, k) + F.lit(0.5 / 4294967296.0)).alias("v"),
-        ),
+    rows = nodes if laid_out else ordering.laid_out(nodes, "observation_id")
+    types = dict(nodes.dtypes)
+    whole = ("tinyint", "smallint", "int", "bigint")
+    for c in ("draw", "node_idx"):
+        if types[c] not in (*whole, "float", "double") and not types[c].startswith("decimal"):
+            raise ValueError(f"{c} must be a number")
+    key = types["observation_id"]
+    text = [] if key in (*whole, "string") else [F.col("observation_id").cast("string").alias("_text")]
+    columns = rows.select(
+        "observation_id",
+        *text,
+        *[F.col(c).cast("long" if types[c] in whole else "double").alias(c) for c in ("draw", "node_idx")],
+        *[F.col(c).cast("double").alias(c) for c in ("node_weight", "mu", "sigma")],
     )
-
-    def sample(m: Column, cum: Column) -> Column:
-        def place(e: Column) -> Column:
-            n = F.least(F.size(F.filter(cum, lambda c: c <= e["u"])), F.size(m) - 1)
-            return F.struct(e["draw"].alias("draw"), n.alias("n"), t4_quantile(e["v"]).alias("t"))
-
-        def look(e: Column) -> Column:
-            i = F.get(m, e["n"])["i"]
-            return F.struct(
-                e["draw"].alias("draw"), i.alias("i"), e["t"].alias("t"),
-                F.get("_rows", e["draw"] * F.size(m) + e["n"]).alias("row"),
-            )
-
-        def value(e: Column) -> Column:
-            here = lambda r: (r["draw"] == e["draw"]) & (r["node_idx"] == e["i"])
-            # With every draw of every node there, a row's place follows from both numbers.
-            row = F.when(here(e["row"]), e["row"]).otherwise(F.get(F.filter("_rows", here), F.lit(0)))
-            return _bound(row, lambda r: r["mu"] + r["sigma"] * e["t"])
-
-        return F.transform(F.transform(F.transform(drawn, place), look), value)
-
-    samples = _bound(heads, lambda m: _bound(running(m), lambda cum: sample(m, cum)))
-    return packed.select("observation_id", samples.alias("samples"))
-
-
-def _bound(value: Column, then) -> Column:
-    """``then(value)`` with the value worked out once, however often and in whatever loop it is named."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    hashes = side_by_side_hashes([str(k).encode() for k in range(predictive_draws)])
+    run = _sample_records(n_draws, predictive_draws, seed, hashes, _record_blocks())
+    return unweighed_batches(columns).mapInArrow(run, f"observation_id {key}, samples array<double>")
 
 
 def array_quantile(sorted_array, level: float) -> Column:
@@ -275,14 +420,47 @@ def array_quantile(sorted_array, level: float) -> Column:
     return low + (high - low) * (at - F.floor(at))
 
 
+def _list_quantiles(levels: dict[str, float]):
+    """Linear quantiles of every list, null before numbers; lists of one length are sorted together."""
+
+    import pyarrow
+
+    def run(lists):
+        import math
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lengths = pc.list_value_length(lists).fill_null(0).to_numpy()
+        starts = np.cumsum(lengths) - lengths
+        flat = lists.flatten()
+        null = flat.is_null().to_numpy(zero_copy_only=False) if flat.null_count else None
+        flat = flat.fill_null(-math.inf).to_numpy()
+        out = {name: np.zeros(len(lists)) for name in levels}
+        there = {name: np.zeros(len(lists), dtype=bool) for name in levels}
+        for length in np.unique(lengths[lengths > 0]):
+            rows = np.flatnonzero(lengths == length)
+            at = starts[rows][:, None] + np.arange(length)
+            values, nulls = np.sort(flat[at], axis=1), 0 if null is None else null[at].sum(axis=1)
+            for name, level in levels.items():
+                place = (int(length) - 1) * level
+                low, high = values[:, math.floor(place)], values[:, math.ceil(place)]
+                with np.errstate(all="ignore"):
+                    out[name][rows] = low + (high - low) * (place - math.floor(place))
+                there[name][rows] = nulls <= math.floor(place)
+        return pa.StructArray.from_arrays([pa.array(out[name], mask=~there[name]) for name in levels], list(levels))
+
+    run.__annotations__ = {"lists": pyarrow.Array, "return": pyarrow.Array}  # Spark asks for them
+    return run
+
+
 def predictive_intervals(samples: DataFrame, alpha: float = 0.1) -> DataFrame:
     """Central interval per record, read from its sorted sample; no shuffle."""
-    ordered = samples.withColumn("_s", F.sort_array("samples"))
-    return ordered.select(
-        "observation_id",
-        array_quantile("_s", alpha / 2).alias("lower"),
-        array_quantile("_s", 1 - alpha / 2).alias("upper"),
-    )
+    levels = {"lower": alpha / 2, "upper": 1 - alpha / 2}
+    quantiles = F.arrow_udf(_list_quantiles(levels), "lower double, upper double")
+    found = samples.select("observation_id", quantiles(F.col("samples").cast("array<double>")).alias("_q"))
+    return found.select("observation_id", "_q.lower", "_q.upper")
 
 
 # --- history checks ----------------------------------------------------------

@@ -150,3 +150,117 @@ def test_bootstrap_hashes_units_side_by_side(monkeypatch):
     assert out.column("n").to_pylist() == want[0].tolist()
     assert np.allclose(out.column("sa"), want[1], atol=1e-12) and np.allclose(out.column("sb"), want[2], atol=1e-12)
     assert all(len(text) > 49 for text in calls)
+
+
+def _odd_draws():
+    """Records with all rows, without some, with some twice or null, and with other numbers for nodes; shuffled."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for oid in (None, -7, 0, 5, 12, 345, 99_999, 30_000_017, 2**62):
+        for d in range(3):
+            for n in range(1 if oid == 12 else 4):
+                node = 10 * n - 5 if oid == 345 else n
+                row = [oid, d, node, 0.25, rng.uniform(0, 40), rng.uniform(1, 4), 20.0]
+                if oid == 0 and (d, n) in ((0, 0), (1, 2), (2, 3)):
+                    continue
+                if oid == 5 and rng.random() < 0.4:
+                    row[rng.choice([1, 2, 3, 4, 5])] = None
+                rows.append(tuple(row))
+                if oid == 99_999 and n % 2:
+                    rows.append((oid, d, node, 0.5, rng.uniform(0, 40), 1.0, 20.0))
+    rng.shuffle(rows)
+    return rows
+
+
+_DRAW_COLUMNS = "observation_id long, draw int, node_idx int, node_weight double, mu double, sigma double, y double"
+
+
+def test_predictive_samples_hash_side_by_side(spark, monkeypatch):
+    """Samples of odd records follow hashlib; the picks are neither SQL expressions nor hashlib calls."""
+    import hashlib
+    import math
+
+    from terrachron.functions.chronology import side_by_side_hashes
+    from terrachron.operators import histories
+
+    def uniform(name, oid, k):
+        text = "-".join(str(x) for x in (42, name, oid, k) if x is not None)
+        return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 2**32
+
+    def first(rows, d, n):
+        at = [r for r in rows if r[1] == d and r[2] == n and None not in (d, n)]
+        return min(at, key=lambda r: [(x is not None, x or 0) for x in (r[4], r[5], r[3])]) if at else None
+
+    nodes = spark.createDataFrame(_odd_draws(), _DRAW_COLUMNS).repartition(3)
+    frame = histories.predictive_samples(nodes, 3, 60, 42)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "Join" not in plan and "Generate" not in plan
+    got = {r.observation_id: r.samples for r in frame.collect()}
+    records = {}
+    for row in _odd_draws():
+        records.setdefault(row[0], []).append(row)
+    assert got.keys() == records.keys()
+    for oid, rows in records.items():
+        if oid == 99_999:  # of rows that are there twice one is taken
+            continue
+        heads = sorted({r[2] for r in rows if r[2] is not None}) + [None] * any(r[2] is None for r in rows)
+        weights = []
+        for n in heads:
+            own = [r for r in rows if r[2] == n and n is not None]
+            low = min(own, key=lambda r: [(x is not None, x or 0) for x in (r[1], r[2], r[4])], default=None)
+            weights.append(math.nan if low is None or low[3] is None else low[3])
+        for k, sample in enumerate(got[oid]):
+            at = min(sum(sum(weights[: i + 1]) <= uniform("node", oid, k) for i in range(len(heads))), len(heads) - 1)
+            row = first(rows, int(uniform("draw", oid, k) * 3), heads[at])
+            if row is None or None in row[4:6]:
+                assert sample is None
+            else:
+                p = uniform("noise", oid, k) + 0.5 / 2**32
+                a = 4 * p * (1 - p)
+                t = math.copysign(2 * math.sqrt(max(math.cos(math.acos(math.sqrt(a)) / 3) / math.sqrt(a) - 1, 0)), p - 0.5)
+                assert abs(sample - row[4] - row[5] * t) < 1e-6
+
+    import numpy as np
+
+    real, calls = hashlib.md5, []
+    monkeypatch.setattr(hashlib, "md5", lambda text: calls.append(text) or real(text))
+    tails = [str(k).encode() for k in range(130)]
+    hashes = side_by_side_hashes(tails)
+    for length in (0, 1, 7, 8, 9, 30, 43, 44, 45, 70):
+        texts = [bytes(65 + (i * 7 + j) % 26 for j in range(length)) for i in range(300)]
+        out = hashes(b"42-draw-", np.frombuffer(b"".join(texts), dtype=np.uint8).reshape(300, length))
+        assert (length > 44) == bool(calls)  # only texts over one block
+        for i in (0, 255, 256, 299):
+            assert out[i].tolist() == [int(real(b"42-draw-" + texts[i] + t).hexdigest()[:8], 16) for t in tails]
+
+
+def test_predictive_intervals_of_odd_lists(spark):
+    import math
+
+    from terrachron.operators import histories
+
+    lists = {0: [3.0, 1.0, 2.0], 1: [None, 1.0, 5.0], 2: [4.0], 3: [], 4: None, 5: [math.nan, 1.0], 6: [None] * 2 + [float(k) for k in range(40)]}
+    df = spark.createDataFrame(list(lists.items()), "observation_id long, samples array<double>").coalesce(1)
+    frame = histories.predictive_intervals(df)
+    assert "sort_array" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.observation_id: (r.lower, r.upper) for r in frame.collect()}
+    assert got[0] == (1.1, 2.9) and got[2] == (4.0, 4.0) and got[3] == got[4] == (None, None)
+    assert got[1] == (None, 4.6) and got[5][0] != got[5][0]
+    assert abs(got[6][0] - 0.05) < 1e-9 and abs(got[6][1] - 36.95) < 1e-9
+
+
+def test_rows_that_are_not_laid_out_are_refused(spark):
+    import pytest
+
+    from terrachron.operators import histories, ordering
+
+    apart = [(1, 0, 0, 1.0, 1.0, 1.0, 0.0), (2, 0, 0, 1.0, 1.0, 1.0, 0.0), (1, 1, 0, 1.0, 1.0, 1.0, 0.0)]
+    nodes = spark.createDataFrame(apart, _DRAW_COLUMNS).coalesce(1)
+    with pytest.raises(Exception, match="not laid out"):
+        histories.predictive_samples(nodes, 2, 4, laid_out=True).collect()
+    spread = ordering.laid_out(nodes, "observation_id")
+    frame = histories.predictive_samples(spread, 2, 4, laid_out=True)
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert sorted(frame.collect()) == sorted(histories.predictive_samples(nodes, 2, 4).collect())
