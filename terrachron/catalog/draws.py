@@ -91,7 +91,7 @@ _PREDICTIVE = (
 )
 def predictive_likelihood(spark, sf):
     """Posterior predictive NLL and expected value per record."""
-    out = histories.predictive_scores(draw_nodes(spark, sf))
+    out = histories.predictive_scores(draw_nodes(spark, sf), laid_out=True)
     return rounded(out.select("observation_id", "nll", "expected"))
 
 
@@ -140,7 +140,7 @@ def posterior_report(spark, sf):
     intervals = histories.predictive_intervals(
         histories.predictive_samples(nodes, _N_DRAWS, 256, 42, laid_out=True)
     )
-    scores = histories.predictive_scores(nodes)
+    scores = histories.predictive_scores(nodes, laid_out=True)
     return rounded(histories.posterior_report(scores, intervals))
 
 

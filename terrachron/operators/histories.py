@@ -14,7 +14,7 @@ from ..functions.chronology import side_by_side_hashes
 from ..functions.physics import softplus
 from ..sources.storage import stored, unweighed_batches
 from . import metrics, ordering
-from .scoring import mixture_density
+from .scoring import weighted_density
 
 
 # --- temporal whitening ------------------------------------------------------
@@ -230,19 +230,58 @@ def _record_blocks():
     return blocks
 
 
-def predictive_scores(nodes: DataFrame) -> DataFrame:
+def _score_records(blocks):
+    """Averages the draws of many records at once; a row for each record."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for table, starts in blocks(batches, "observation_id", 32768):
+            n = len(starts)
+            record = np.repeat(np.arange(n), np.diff([*starts, table.num_rows]))
+            draws = pc.dictionary_encode(table.column("draw").combine_chunks(), null_encoding="encode")
+            width = len(draws.dictionary)
+            group = record * width + draws.indices.to_numpy()
+
+            def mean(name):
+                """Mean of the draws' sums that are not null, and which records have one."""
+                column = table.column(name)
+                good = column.is_valid().to_numpy() if column.null_count else slice(None)
+                sums = np.bincount(group[good], column.to_numpy()[good], n * width).reshape(n, width)
+                there = (np.bincount(group[good], minlength=n * width) > 0).reshape(n, width).sum(axis=1)
+                return sums.sum(axis=1) / np.maximum(there, 1), there > 0
+
+            (p, has_p), (e, has_e) = mean("p"), mean("e")
+            with np.errstate(all="ignore"):
+                nll = -np.log(p)
+            first = table.select(["observation_id", "y"]).take(starts).combine_chunks()
+            columns = [first.column("observation_id"), pa.array(nll, mask=~has_p | (p <= 0)), pa.array(e, mask=~has_e), first.column("y")]
+            yield from pa.table(columns, ["observation_id", "nll", "expected", "y"]).to_batches()
+
+    return run
+
+
+def predictive_scores(nodes: DataFrame, laid_out: bool = False) -> DataFrame:
     """Per record: predictive NLL over draws and the expected value.
 
     ``nodes`` has ``observation_id, draw, node_weight, mu, y, sigma``. A record has
-    nodes x draws rows; densities are averaged over draws after the node mixture.
+    nodes x draws rows; densities are averaged over draws after the node mixture. Rows are summed
+    as they pass by, in arrays of many records; ``laid_out`` as for ``predictive_samples``.
     """
-    by_draw = nodes.groupBy("observation_id", "draw").agg(
-        mixture_density().alias("p"),
-        F.sum(F.col("node_weight") * F.col("mu")).alias("e"),
-        F.first("y").alias("y"),
+    rows = nodes if laid_out else ordering.laid_out(nodes, "observation_id")
+    terms = rows.select(
+        "observation_id",
+        "draw",
+        weighted_density().cast("double").alias("p"),
+        (F.col("node_weight") * F.col("mu")).cast("double").alias("e"),
+        "y",
     )
-    return by_draw.groupBy("observation_id").agg(
-        (-F.log(F.avg("p"))).alias("nll"), F.avg("e").alias("expected"), F.first("y").alias("y")
+    types = {c: t for c, t in terms.dtypes}
+    return unweighed_batches(terms).mapInArrow(
+        _score_records(_record_blocks()),
+        f"observation_id {types['observation_id']}, nll double, expected double, y {types['y']}",
     )
 
 

@@ -19,8 +19,13 @@ from ..functions import chronology as chrono
 from ..functions import physics
 
 
+def weighted_density(y="y", mu="mu", sigma="sigma", weight="node_weight") -> Column:
+    """A node's part of ``mixture_density``."""
+    return F.col(weight) * chrono.t4_density(y, mu, sigma)
+
+
 def mixture_density(y="y", mu="mu", sigma="sigma", weight="node_weight") -> Column:
-    return F.sum(F.col(weight) * chrono.t4_density(y, mu, sigma))
+    return F.sum(weighted_density(y, mu, sigma, weight))
 
 
 def record_scores(nodes: DataFrame, keys=("observation_id",), carry=()) -> DataFrame:

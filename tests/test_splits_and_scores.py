@@ -264,3 +264,32 @@ def test_rows_that_are_not_laid_out_are_refused(spark):
     frame = histories.predictive_samples(spread, 2, 4, laid_out=True)
     assert frame._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
     assert sorted(frame.collect()) == sorted(histories.predictive_samples(nodes, 2, 4).collect())
+
+
+def test_predictive_scores_sum_rows_as_they_pass(spark):
+    """Scores of odd records follow their definition, without an aggregation of every record and draw."""
+    import math
+
+    from terrachron.operators import histories, ordering
+
+    nodes = spark.createDataFrame(_odd_draws(), _DRAW_COLUMNS).repartition(3)
+    frame = histories.predictive_scores(ordering.laid_out(nodes, "observation_id"), laid_out=True)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 1
+    got = {r.observation_id: r for r in frame.collect()}
+    assert sorted(got.values(), key=str) == sorted(histories.predictive_scores(nodes).collect(), key=str)
+    records = {}
+    for oid, d, _, w, mu, sigma, y in _odd_draws():
+        p, e = records.setdefault(oid, {}).setdefault(d, ([], []))
+        if None not in (w, mu, sigma):
+            p.append(w * 0.375 / sigma * (1 + ((y - mu) / sigma) ** 2 / 4) ** -2.5)
+        if None not in (w, mu):
+            e.append(w * mu)
+    assert got.keys() == records.keys()
+    for oid, draws in records.items():
+        p, e = ([sum(x[i]) for x in draws.values() if x[i]] for i in (0, 1))
+        assert abs(got[oid].nll + math.log(sum(p) / len(p))) < 1e-9
+        assert abs(got[oid].expected - sum(e) / len(e)) < 1e-9 and got[oid].y == 20.0
+    empty = [(1, 0, 0, 0.0, 1.0, 1.0, 2.0), (2, 0, 0, 1.0, None, 1.0, 3.0)]
+    rows = histories.predictive_scores(spark.createDataFrame(empty, _DRAW_COLUMNS)).collect()
+    assert sorted(map(tuple, rows)) == [(1, None, 0.0, 2.0), (2, None, None, 3.0)]
