@@ -450,15 +450,6 @@ def predictive_samples(
     return unweighed_batches(columns).mapInArrow(run, f"observation_id {key}, samples array<double>")
 
 
-def array_quantile(sorted_array, level: float) -> Column:
-    """Linear quantile of a sorted array column."""
-    a = F.col(sorted_array) if isinstance(sorted_array, str) else sorted_array
-    at = (F.size(a) - 1) * F.lit(float(level))
-    low = F.get(a, F.floor(at).cast("int"))
-    high = F.get(a, F.ceil(at).cast("int"))
-    return low + (high - low) * (at - F.floor(at))
-
-
 def _list_quantiles(levels: dict[str, float]):
     """Linear quantiles of every list, null before numbers; lists of one length are sorted together."""
 
